@@ -5,17 +5,33 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidepool.llm.tables import documents
+from tidepool.llm.packing import pack_documents
+from tidepool.llm.tables import documents, shared_path
 from tidepool.llm.token_counts import count_tokens
+from tidepool.llm.token_files import read_token_files, write_token_files
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(documents(spark, sf_dir), "byte_bpe_50k.json")
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = pack_documents(documents(spark, sf_dir), "word_bpe_49k.json")
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "token-files")
+    write_token_files(documents(spark, sf_dir), path, "word_bpe_49k.json")
+    return read_token_files(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
+    "op4_packing": op4_packing,
+    "op6_token_files": op6_token_files,
 }
 
 ORACLE_SQL: dict[str, str] = {}
