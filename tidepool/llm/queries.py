@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidepool.llm import sql
 from tidepool.llm.packing import pack_documents
+from tidepool.llm.quality import quality_cascade
 from tidepool.llm.tables import documents, shared_path
 from tidepool.llm.token_counts import count_tokens
 from tidepool.llm.token_files import read_token_files, write_token_files
@@ -28,10 +30,18 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    judged = quality_cascade(documents(spark, sf_dir), measures=base)
+    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    return judged.select("doc_id", *base, failed.alias("base_failed"), "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op4_packing": op4_packing,
     "op6_token_files": op6_token_files,
+    "op9_quality": op9_quality,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op9_quality": sql.QUALITY}
