@@ -104,7 +104,7 @@ def windows(hashes: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarr
     row = np.repeat(np.arange(len(counts)), counts)
     inside = row[: n - size + 1] == row[size - 1 :]
     at = np.flatnonzero(inside)
-    h = hashes[at].copy()
+    h = mix(hashes[at] + _M2)
     for k in range(1, size):
         h = mix(h ^ hashes[at + k]) + np.uint64(k)
     return h, row[at], at

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepool.llm import sql
+from tidepool.llm.jaccard import similar_groups
 from tidepool.llm.packing import pack_documents
 from tidepool.llm.quality import quality_cascade
 from tidepool.llm.tables import documents, shared_path
@@ -30,6 +31,10 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_groups(documents(spark, sf_dir))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     judged = quality_cascade(documents(spark, sf_dir), measures=base)
@@ -41,6 +46,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op4_packing": op4_packing,
     "op6_token_files": op6_token_files,
+    "op7_jaccard": op7_jaccard,
     "op9_quality": op9_quality,
 }
 
