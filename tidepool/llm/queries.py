@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidepool.llm import sql
 from tidepool.llm.jaccard import similar_groups
 from tidepool.llm.packing import pack_documents
+from tidepool.llm.pii import BASE, find_pii, joined
 from tidepool.llm.quality import quality_cascade
 from tidepool.llm.tables import documents, shared_path
 from tidepool.llm.token_counts import count_tokens
@@ -42,12 +43,24 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *base, failed.alias("base_failed"), "kept")
 
 
+def _is_kind(name: str):
+    return lambda s: s["kind"] == name
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_pii(documents(spark, sf_dir, "doc_id", "text"))
+    of = {name: F.filter("pii", _is_kind(name)) for name in (k.name for k in BASE)}
+    base = F.filter("pii", lambda s: s["kind"].isin([k.name for k in BASE]))
+    return found.select("doc_id", *(F.size(v).cast("long").alias(f"n_{k}") for k, v in of.items()), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("pii")).alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op4_packing": op4_packing,
     "op6_token_files": op6_token_files,
     "op7_jaccard": op7_jaccard,
     "op9_quality": op9_quality,
+    "op10_pii": op10_pii,
 }
 
 ORACLE_SQL: dict[str, str] = {"op9_quality": sql.QUALITY}
