@@ -15,6 +15,7 @@ from tidepool.llm.quality import quality_cascade
 from tidepool.llm.tables import documents, shared_path
 from tidepool.llm.token_counts import count_tokens
 from tidepool.llm.token_files import read_token_files, write_token_files
+from tidepool.llm.toxicity import held_out, score_toxicity, train
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +37,12 @@ def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_groups(documents(spark, sf_dir))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return score_toxicity(docs, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     judged = quality_cascade(documents(spark, sf_dir), measures=base)
@@ -59,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_packing": op4_packing,
     "op6_token_files": op6_token_files,
     "op7_jaccard": op7_jaccard,
+    "op8_toxicity": op8_toxicity,
     "op9_quality": op9_quality,
     "op10_pii": op10_pii,
 }
