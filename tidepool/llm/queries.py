@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepool.llm import sql
+from tidepool.llm.ann import nearest
 from tidepool.llm.jaccard import similar_groups
 from tidepool.llm.packing import pack_documents
 from tidepool.llm.pii import BASE, find_pii, joined
@@ -22,6 +23,11 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(documents(spark, sf_dir), "byte_bpe_50k.json")
 
 
+def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return nearest(vectors, vectors.where(F.col("vec_id") % 50 == 0), 5)
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack_documents(documents(spark, sf_dir), "word_bpe_49k.json")
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -63,6 +69,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
+    "op3_nearest": op3_nearest,
     "op4_packing": op4_packing,
     "op6_token_files": op6_token_files,
     "op7_jaccard": op7_jaccard,
