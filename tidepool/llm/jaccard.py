@@ -17,8 +17,8 @@ of those prefixes meet by shingle.  A pair is a candidate if it passes
 and is verified once, on whole sets.
 
 A group of k near copies has k * k / 2 links, so links are found in two passes.
-The first pairs each row with ``LEADERS`` documents of its shingle, drawn by
-independent hashes; verified links merge most of a group.  The second pairs rows
+The first pairs each row with the ``LEADERS`` documents of its shingle whose ids
+hash lowest; verified links merge most of a group.  The second pairs rows
 of one shingle whose documents are still in different components, all of them,
 so no component is missed: a pair left out lies inside one component already.
 
@@ -35,14 +35,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepool.llm import bytetext as bt
 from tidepool.llm.components import components
 from tidepool.llm.tables import per_batch, staged
 
-SHINGLE, LEADERS, BINS = 5, 8, 64
+SHINGLE, LEADERS, BINS = 5, 32, 64
 SKETCH_BITS, SLICES, FILTER_BITS = 20, 64, 25
 
 
@@ -204,10 +204,10 @@ def _candidate(a: str, b: str):
 
 
 def _sets_table(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The whole sets of the ``wanted`` documents (doc): doc, n, bins, grams.
+    """The whole sets of the ``wanted`` documents (doc), and of a few others: doc, n, bins, grams.
 
-    A bit filter of a fixed 4 MB drops most others before the texts are parsed;
-    what it lets pass wrongly goes in the join.
+    A bit filter of a fixed 4 MB drops most others before the texts are parsed, so
+    that no text is shuffled; joins pass over what it lets through wrongly.
     """
     size = 1 << FILTER_BITS
     slot = lambda ids: (bt.mix(ids.astype(np.int64).view(np.uint64) + np.uint64(1)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
@@ -232,8 +232,7 @@ def _sets_table(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             bins = np.bincount(part, minlength=n * BINS).reshape(n, BINS).astype("<i4")
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, n), pa.array(np.diff(bounds)), pa.array([x.tobytes() for x in bins], pa.binary()), pa.array([h[bounds[i] : bounds[i + 1]].tobytes() for i in range(n)], pa.binary())], names=["doc", "n", "bins", "grams"])
 
-    made = docs.where("doc IS NOT NULL").mapInArrow(per_batch(run), "doc long, n long, bins binary, grams binary")
-    return staged(made.join(wanted, "doc", "left_semi"), "sets")
+    return staged(docs.where("doc IS NOT NULL").mapInArrow(per_batch(run), "doc long, n long, bins binary, grams binary"), "sets")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -261,6 +260,10 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(whole("x"), "x").join(whole("y"), "y").select(size("x"), size("y"), "gx", "gy").mapInArrow(per_batch(verify), "x long, y long").distinct()
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("x", "y")).alias("doc")).distinct()
+
+
 def _ordered(a: str, b: str) -> list:
     return [F.least(F.col(f"{a}.doc"), F.col(f"{b}.doc")).alias("x"), F.greatest(F.col(f"{a}.doc"), F.col(f"{b}.doc")).alias("y")]
 
@@ -277,14 +280,13 @@ def similar_groups(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     packed = _prefixes(docs.where("doc IS NOT NULL"), levels).join(reps, ["doc", "s1"], "left_semi").select("doc", "n", "prefix")
     grams = packed.mapInArrow(per_batch(_unpacked), "gram long, doc long, n int, pos int")
     met = staged(grams.repartition("gram").sortWithinPartitions("gram").mapInArrow(_without_singles, grams.schema), "met")
-    sets = _sets_table(docs, met.select("doc").distinct())
 
     # pass 1: each row with a few leaders of its shingle
-    draw = [F.min(F.struct(F.xxhash64("doc", F.lit(k)).alias("h"), "doc", "n", "pos")).alias(f"l{k}") for k in range(LEADERS)]
-    leaders = met.groupBy("gram").agg(F.array(*draw).alias("ls")).select("gram", F.explode(F.array_distinct(F.transform("ls", lambda s: s.dropFields("h")))).alias("l")).select("gram", "l.*")
+    draw = Window.partitionBy("gram").orderBy(F.xxhash64("doc"), "doc", "n")
+    leaders = met.withColumn("nth", F.row_number().over(draw)).where(F.col("nth") <= LEADERS).drop("nth")
     first = met.alias("a").join(leaders.alias("b"), "gram").where(F.col("a.doc") != F.col("b.doc")).where(_candidate("a", "b")).select(*_ordered("a", "b")).distinct()
     tried = staged(first, "pairs")
-    links = staged(_linked(tried, sets), "links")
+    links = staged(_linked(tried, _sets_table(docs, _ends(tried))), "links")
     merged = staged(components(links.select(F.col("x").alias("u"), F.col("y").alias("v"))), "merged")
 
     # pass 2: rows of one shingle in different components, all of them
@@ -294,7 +296,7 @@ def similar_groups(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     rest = known.join(mixed, "gram", "left_semi")
     apart = rest.alias("a").join(rest.alias("b"), (F.col("a.gram") == F.col("b.gram")) & (F.col("a.component") != F.col("b.component")) & (F.col("a.doc") < F.col("b.doc")) & _candidate("a", "b"))
     second = staged(apart.select(*_ordered("a", "b")).distinct().join(tried, ["x", "y"], "left_anti"), "pairs")
-    links2 = staged(_linked(second, sets), "links")
+    links2 = staged(_linked(second, _sets_table(docs, _ends(second))), "links")
 
     final = components(links.union(links2).select(F.col("x").alias("u"), F.col("y").alias("v"))).withColumnRenamed("node", "rep")
     of_class = classes.join(final, "rep", "left").select("s1", "s2", "n", F.coalesce("component", "rep").alias("component"))
