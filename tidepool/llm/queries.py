@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from tidepool.llm import sql
 from tidepool.llm.ann import nearest
+from tidepool.llm.chat import format_transcripts
 from tidepool.llm.jaccard import similar_groups
+from tidepool.llm.nbest import decode_pieces, encode_nbest
 from tidepool.llm.packing import pack_documents
 from tidepool.llm.pii import BASE, find_pii, joined
 from tidepool.llm.quality import quality_cascade
@@ -19,6 +21,20 @@ from tidepool.llm.token_files import read_token_files, write_token_files
 from tidepool.llm.toxicity import held_out, score_toxicity, train
 
 
+def raw_transcripts(conversations: DataFrame) -> DataFrame:
+    """The conversations as transcripts: each in one of four marker styles, every fifth turn without its marker."""
+    role = F.coalesce("role", F.lit("user"))
+    said = lambda *names: F.when(role == "system", names[0]).when(role == "assistant", names[2]).otherwise(names[1])
+    styles = F.array(said("System: ", "User: ", "Assistant: "), said("Context: ", "Human: ", "AI: "), said("### Instruction:", "### User:", "### Assistant:"), said("[system] ", "[user] ", "[assistant] "))
+    marker = F.when(F.pmod(F.xxhash64("conv_id", "turn"), F.lit(5)) == 0, "").otherwise(F.element_at(styles, F.pmod(F.xxhash64("conv_id"), F.lit(4)).cast("int") + 1))
+    return conversations.withColumn("text", F.concat(F.coalesce(marker, F.lit("")), F.coalesce("text", F.lit(""))))
+
+
+def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = format_transcripts(raw_transcripts(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+    return turns.select(F.col("conv").alias("conv_id"), "turn", "role", "n_lines", "n_begun", F.sha2("rendered", 256).alias("rendered_sha256"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(documents(spark, sf_dir), "byte_bpe_50k.json")
 
@@ -39,6 +55,13 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op5_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    found = decode_pieces(encode_nbest(turns, n=4, id_cols=["conv_id", "turn"]))
+    packed = F.crc32(F.concat_ws(",", F.transform("ids", lambda x: x.cast("string"))).cast("binary"))
+    return found.select("conv_id", "turn", "rank", "score", F.size("ids").alias("n_pieces"), packed.alias("ids_crc32"), (F.col("decoded") == F.col("normalized")).alias("decodes"))
+
+
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_groups(documents(spark, sf_dir))
 
@@ -68,9 +91,11 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat": op1_chat,
     "op2_token_counts": op2_token_counts,
     "op3_nearest": op3_nearest,
     "op4_packing": op4_packing,
+    "op5_nbest": op5_nbest,
     "op6_token_files": op6_token_files,
     "op7_jaccard": op7_jaccard,
     "op8_toxicity": op8_toxicity,
