@@ -194,13 +194,18 @@ def _needed(n, m):
 
 
 def _candidate(a: str, b: str):
-    """Length and positional filters, and the index prefix of the smaller set, for rows aliased a and b."""
+    """Length and positional filters, and the index prefix of the smaller set, for rows aliased a and b.
+
+    Rows whose documents share the shingle before as well (``prev``) are passed
+    over: the pair meets there already, and at its first common shingle at last.
+    """
     c = lambda t, k: F.col(f"{t}.{k}")
     a_less = (c(a, "n") < c(b, "n")) | ((c(a, "n") == c(b, "n")) & (c(a, "doc") < c(b, "doc")))
     short_n, long_n = F.least(c(a, "n"), c(b, "n")), F.greatest(c(a, "n"), c(b, "n"))
     short_pos = F.when(a_less, c(a, "pos")).otherwise(c(b, "pos"))
     left = F.least(c(a, "n") - c(a, "pos"), c(b, "n") - c(b, "pos"))
-    return (10 * short_n >= 8 * long_n) & (left >= _needed(short_n, long_n)) & (short_pos < short_n - F.floor((8 * short_n + 8) / 9) + 1)
+    first = c(a, "prev").isNull() | c(b, "prev").isNull() | (c(a, "prev") != c(b, "prev"))
+    return first & (10 * short_n >= 8 * long_n) & (left >= _needed(short_n, long_n)) & (short_pos < short_n - F.floor((8 * short_n + 8) / 9) + 1)
 
 
 def _sets_table(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -279,7 +284,8 @@ def similar_groups(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     reps = classes.select(F.col("rep").alias("doc"), "s1")
     packed = _prefixes(docs.where("doc IS NOT NULL"), levels).join(reps, ["doc", "s1"], "left_semi").select("doc", "n", "prefix")
     grams = packed.mapInArrow(per_batch(_unpacked), "gram long, doc long, n int, pos int")
-    met = staged(grams.repartition("gram").sortWithinPartitions("gram").mapInArrow(_without_singles, grams.schema), "met")
+    met = grams.repartition("gram").sortWithinPartitions("gram").mapInArrow(_without_singles, grams.schema)
+    met = staged(met.withColumn("prev", F.lag("gram").over(Window.partitionBy("doc", "n").orderBy("pos"))), "met")
 
     # pass 1: each row with a few leaders of its shingle
     draw = Window.partitionBy("gram").orderBy(F.xxhash64("doc"), "doc", "n")
