@@ -163,9 +163,11 @@ def encode_nbest(df: DataFrame, model: str = "piece_bpe_32k.model", *, n: int =
 
 
 def decode_pieces(df: DataFrame, model: str = "piece_bpe_32k.model", *, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
-    """``df`` with its piece ids decoded (as normalised text: word marks stay); null ids give null."""
-    if out_col in df.columns:
-        raise ValueError(f"there is a column {out_col}")
+    """``df`` with its piece ids decoded (as normalised text: word marks stay); null ids give null.
+
+    A column that has the name of the result is replaced by it.
+    """
+    df = df.drop(out_col) if out_col != ids_col else df
     where = df.columns.index(ids_col)
 
     def run(batch: pa.RecordBatch):

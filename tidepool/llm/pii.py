@@ -12,8 +12,8 @@ the match before ended, the pattern says so, and repeats give nothing back.  The
 matches are those of the plain pattern, in time linear in the text.
 
 Null and empty texts have no spans.  Each row is judged by itself: repeats, ties
-and empty tables need no rule.  All other columns of the input are passed on; the
-columns that are added must not be among them (a ValueError).
+and empty tables need no rule.  All other columns of the input are passed on; one
+that has the name of the result is replaced by it.
 """
 
 from __future__ import annotations
@@ -126,20 +126,26 @@ def _judged(kind: Kind, rank: int, text: Column, spans: Column) -> Column:
     return F.when(F.size(spans) == 0, F.array().cast(_FOUND)).otherwise(found)
 
 
-def find_pii(df: DataFrame, kinds: Sequence[Kind] = KINDS, *, text_col: str = "text") -> DataFrame:
-    """``df`` with ``pii``: array<struct<start, rank, end, kind, score>> by start, then kind as listed."""
-    names = ["pii", "__text", *(f"__{what}_{k.name}" for what in ("hits", "spans", "pii") for k in kinds)]
-    if clash := set(names) & set(df.columns):
-        raise ValueError(f"columns in the way: {sorted(clash)}")
-    text = F.col("__text")
-    df = df.withColumn("__text", F.coalesce(F.col(text_col), F.lit("")))
-    hits = {f"__hits_{k.name}": F.regexp_extract_all(text, F.lit(k.pattern), F.lit(0)) for k in kinds}
-    hits |= {f"__hits_{k.name}": F.when(F.contains(text, F.lit(k.hint)), hits[f"__hits_{k.name}"]).otherwise(F.array().cast("array<string>")) for k in kinds if k.hint}
+def find_pii(df: DataFrame, kinds: Sequence[Kind] = KINDS, *, text_col: str = "text", out_col: str = "pii") -> DataFrame:
+    """``df`` with ``out_col``: array<struct<start, rank, end, kind, score>> by start, then kind as listed."""
+    own = _fresh(df, "__pii")
+    kept = [c for c in df.columns if c != out_col]
+    text = F.col(f"{own}_text")
+    df = df.withColumn(f"{own}_text", F.coalesce(F.col(text_col), F.lit("")))
+    hits = {f"{own}_hits_{k.name}": F.regexp_extract_all(text, F.lit(k.pattern), F.lit(0)) for k in kinds}
+    hits |= {f"{own}_hits_{k.name}": F.when(F.contains(text, F.lit(k.hint)), hits[f"{own}_hits_{k.name}"]).otherwise(F.array().cast("array<string>")) for k in kinds if k.hint}
     df = df.withColumns(hits)
-    df = df.withColumns({f"__spans_{k.name}": _spans(text, F.col(f"__hits_{k.name}"), k.pattern) for k in kinds})
-    df = df.withColumns({f"__pii_{k.name}": _judged(k, i, text, F.col(f"__spans_{k.name}")) for i, k in enumerate(kinds)})
-    df = df.withColumn("pii", F.array_sort(F.concat(*(F.col(f"__pii_{k.name}") for k in kinds))))
-    return df.drop(*names[1:])
+    df = df.withColumns({f"{own}_spans_{k.name}": _spans(text, F.col(f"{own}_hits_{k.name}"), k.pattern) for k in kinds})
+    df = df.withColumns({f"{own}_found_{k.name}": _judged(k, i, text, F.col(f"{own}_spans_{k.name}")) for i, k in enumerate(kinds)})
+    found = F.array_sort(F.concat(*(F.col(f"{own}_found_{k.name}") for k in kinds)))
+    return df.select(*(F.col(f"`{c}`") for c in kept), found.alias(out_col))
+
+
+def _fresh(df: DataFrame, name: str) -> str:
+    """A prefix that no column of ``df`` begins with."""
+    while any(c.lower().startswith(name) for c in df.columns):
+        name += "_"
+    return name
 
 
 def joined(spans: Column) -> Column:
@@ -149,7 +155,8 @@ def joined(spans: Column) -> Column:
 
 def redact(df: DataFrame, kinds: Sequence[Kind] = KINDS, *, text_col: str = "text") -> DataFrame:
     """``df`` with every span of its texts replaced by its kind in angle brackets; of overlapping spans the first names it."""
-    found = find_pii(df, kinds, text_col=text_col)
+    spans = _fresh(df, "__spans")
+    found = find_pii(df, kinds, text_col=text_col, out_col=spans)
     text = F.col(text_col)
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
 
@@ -159,5 +166,5 @@ def redact(df: DataFrame, kinds: Sequence[Kind] = KINDS, *, text_col: str = "tex
         put = F.when(apart, F.concat(a["out"], kept, F.lit("<"), F.upper(s["kind"]), F.lit(">"))).otherwise(a["out"])
         return F.struct(F.greatest(s["end"], a["at"]).alias("at"), put.alias("out"))
 
-    clean = F.aggregate("pii", start, step, lambda a: F.concat(a["out"], F.substr(text, a["at"].cast("int") + 1)))
-    return found.withColumn(text_col, F.when(text.isNull() | (F.size("pii") == 0), text).otherwise(clean)).drop("pii")
+    clean = F.aggregate(spans, start, step, lambda a: F.concat(a["out"], F.substr(text, a["at"].cast("int") + 1)))
+    return found.withColumn(text_col, F.when(text.isNull() | (F.size(spans) == 0), text).otherwise(clean)).drop(spans)
