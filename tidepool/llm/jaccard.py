@@ -17,8 +17,9 @@ of those prefixes meet by shingle.  A pair is a candidate if it passes
 and is verified once, on whole sets.
 
 A group of k near copies has k * k / 2 links, so links are found in two passes.
-The first pairs each row with the ``LEADERS`` documents of its shingle whose ids
-hash lowest; verified links merge most of a group.  The second pairs rows
+The first pairs each row with the ``LEADERS`` documents of its shingle that have
+the fewest rarer shingles before it: of near copies, those with the least text of
+their own, which link with most others.  Verified links merge most of a group.  The second pairs rows
 of one shingle whose documents are still in different components, all of them,
 so no component is missed: a pair left out lies inside one component already.
 
@@ -288,7 +289,7 @@ def similar_groups(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     met = staged(met.withColumn("prev", F.lag("gram").over(Window.partitionBy("doc", "n").orderBy("pos"))), "met")
 
     # pass 1: each row with a few leaders of its shingle
-    draw = Window.partitionBy("gram").orderBy(F.xxhash64("doc"), "doc", "n")
+    draw = Window.partitionBy("gram").orderBy("pos", F.xxhash64("doc"), "doc", "n")
     leaders = met.withColumn("nth", F.row_number().over(draw)).where(F.col("nth") <= LEADERS).drop("nth")
     first = met.alias("a").join(leaders.alias("b"), "gram").where(F.col("a.doc") != F.col("b.doc")).where(_candidate("a", "b")).select(*_ordered("a", "b")).distinct()
     tried = staged(first, "pairs")
