@@ -103,4 +103,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_pii": op10_pii,
 }
 
-ORACLE_SQL: dict[str, str] = {"op9_quality": sql.QUALITY}
+ORACLE_SQL: dict[str, str] = {"op7_jaccard": sql.JACCARD, "op9_quality": sql.QUALITY}
