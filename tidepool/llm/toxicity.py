@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from tidepool.llm import bytetext as bt
 from tidepool.llm.tables import per_batch
 
-SAMPLE_TOXIC, SAMPLE_CLEAN = 3000, 6000
+SAMPLE_TOXIC, SAMPLE_CLEAN = 2000, 4000
 FEATURE_BITS, BEGINNINGS = 20, (4, 5, 6)
 MINED, SELECTED, RIDGE = 192, 8192, 0.3
 
@@ -153,7 +153,7 @@ def fit(docs: list[np.ndarray], pattern: np.ndarray, label: np.ndarray, base_rat
         weights[lexicon] = 3.0
         return Model(weights, -2.0)
     count = np.array([len(x) for x in docs])
-    row, at = np.repeat(np.arange(len(docs)), count), np.concatenate(docs)
+    row, at = np.repeat(np.arange(len(docs), dtype=np.int32), count), np.concatenate(docs)
     n1, n0 = int(label.sum()), int((1 - label).sum())
 
     def z(weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -256,7 +256,7 @@ def train(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     kind = df.schema[id_col].dataType.simpleString()
     got = texts.select("id", "text", "y").mapInArrow(per_batch(run), f"id {kind}, y int, bits int, f binary").dropDuplicates(["id"]).collect()
     got.sort(key=lambda r: str(r["id"]))
-    docs = [np.frombuffer(r["f"], dtype="<u4").astype(np.int64) for r in got]
+    docs = [np.frombuffer(r["f"], dtype="<i4") for r in got]
     bits = np.array([r["bits"] for r in got], dtype=np.int64)
     label = np.array([r["y"] for r in got], dtype=np.int64)
     rate = n.get(1, 0) / max(sum(n.values()), 1)
