@@ -1,8 +1,10 @@
 """Every registered query with an oracle, against DuckDB on the smallest tables; and the entry points."""
 
 import os
+from numbers import Number
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -22,9 +24,17 @@ def duck():
     return con
 
 
+def plain(v):
+    if isinstance(v, bool) or type(v).__name__ == "bool":
+        return str(bool(v))
+    if v is None or v is pd.NA or v != v:
+        return "null"
+    return round(float(v), 5) if isinstance(v, Number) else str(v)
+
+
 def rows(frame):
     cols = sorted(frame.columns)
-    return sorted((tuple("null" if v is None or v != v else round(float(v), 6) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v) for v in r) for r in frame[cols].itertuples(index=False)), key=str)
+    return sorted((tuple(map(plain, r)) for r in frame[cols].itertuples(index=False)), key=str)
 
 
 @pytest.mark.parametrize("name", sorted(n for n, sql in PLAIN.items() if sql))
