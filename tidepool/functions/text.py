@@ -6,14 +6,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Words that carry no content; fixed values.
-STOPWORDS = (
-    "the", "and", "for", "are", "but", "not", "you", "all", "any", "can", "had", "her", "was", "one", "our", "out", "day",
-    "get", "has", "him", "his", "how", "its", "may", "new", "now", "old", "see", "two", "who", "did", "yes", "this", "that",
-    "with", "from", "they", "have", "been", "were", "will", "your", "what", "when", "which", "their", "there", "would",
-    "about", "could", "other", "into", "more", "some", "than", "them", "then", "these", "also", "just", "like", "very",
-)
-#: Phrases of a model that declines.
-REFUSALS = ("i cannot", "i can't", "as an ai", "i'm sorry", "i am sorry", "unable to")
+STOPWORDS = tuple(
+    """
+    a an the this that these those and or but if then so of in on at to for with
+    from by as is are was were be been being it its it's you your they their he
+    she his her we our i my not no do does did will would can could should has
+    have had also into about than more most such
+    """.split()
+)
+#: Phrases of a model that declines; fixed values.
+REFUSALS = ("i cannot", "i can't", "i'm unable", "as an ai", "i don't have enough information")
 
 
 def strip(x: Column) -> Column:
@@ -66,22 +68,26 @@ def description(summary: Column, storyline: Column) -> Column:
     return F.when(F.length(text) > 0, text)
 
 
+def plain_words(x: Column) -> Column:
+    """Lower-case runs of letters, digits and apostrophes."""
+    return F.regexp_extract_all(F.lower(F.coalesce(x, F.lit(""))), F.lit("([a-z0-9']+)"), F.lit(1))
+
+
 def content_words(x: Column, least: int = 4) -> Column:
-    """Distinct lower-case words of at least ``least`` letters or digits that are no stopwords."""
-    found = F.regexp_extract_all(F.lower(F.coalesce(x, F.lit(""))), F.lit("([a-z0-9']+)"), F.lit(1))
-    return F.array_distinct(F.filter(found, lambda w: (F.length(w) >= least) & ~w.isin(*STOPWORDS)))
+    """Distinct plain words of at least ``least`` characters that are no stopwords."""
+    return F.array_distinct(F.filter(plain_words(x), lambda w: (F.length(w) >= least) & ~w.isin(*STOPWORDS)))
 
 
 def overlap_ratio(claim: Column, source: Column) -> Column:
-    """The share of the claim's content words that the source has; 1 where the claim has none."""
-    a, b = content_words(claim), content_words(source)
+    """The share of the claim's content words that are words of the source; 1 where the claim has none."""
+    a, b = content_words(claim), F.array_distinct(plain_words(source))
     return F.when(F.size(a) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
 
 
 def degenerate(x: Column) -> Column:
     """Empty, a refusal, or one word more than half of six or more."""
     low = F.lower(strip(F.coalesce(x, F.lit(""))))
-    w = words(low)
+    w = plain_words(low)
     refuses = F.lit(False)
     for phrase in REFUSALS:
         refuses = refuses | F.contains(low, F.lit(phrase))
@@ -96,9 +102,9 @@ def _has_word(text: Column, term: Column) -> Column:
 
 
 def ungrounded(text: Column, vocabulary: Column, allowed: Column) -> Column:
-    """Terms of the vocabulary that the text names and that are not allowed."""
+    """Terms of the vocabulary, in its order, that the text names and that are not allowed."""
     low = F.transform(allowed, lambda t: F.lower(t))
-    return F.array_sort(F.filter(vocabulary, lambda t: _has_word(text, t) & ~F.array_contains(low, F.lower(t))))
+    return F.filter(vocabulary, lambda t: _has_word(text, t) & ~F.array_contains(low, F.lower(t)))
 
 
 def without_fence(x: Column) -> Column:

@@ -170,25 +170,25 @@ def support_cap(spark, d):
 
 # -- generated texts -------------------------------------------------------------------
 
-_STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
+_STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in T.STOPWORDS)
 _CONTENT = lambda x: f"list_distinct(list_filter(regexp_extract_all(lower({x}), '[a-z0-9'']+'), lambda w: length(w) >= 4 AND w NOT IN ({_STOP})))"
 
 
-@query(f"WITH p AS (SELECT a.doc_id, {_CONTENT('a.text')} AS x, {_CONTENT('b.text')} AS y FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1) SELECT doc_id, round(CASE WHEN len(x) = 0 THEN 1.0 ELSE len(list_intersect(x, y)) / len(x)::DOUBLE END, 6) AS overlap FROM p")
+@query(f"WITH p AS (SELECT a.doc_id, {_CONTENT('a.text')} AS x, regexp_extract_all(lower(b.text), '[a-z0-9'']+') AS y FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1) SELECT doc_id, round(CASE WHEN len(x) = 0 THEN 1.0 ELSE len(list_intersect(x, y)) / len(x)::DOUBLE END, 6) AS overlap FROM p")
 def overlap_ratio(spark, d):
     doc = table(spark, d, "documents").select("doc_id", "text")
     b = doc.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("other"))
     return doc.join(b, "doc_id").select("doc_id", F.round(T.overlap_ratio(F.col("text"), F.col("other")), 6).alias("overlap"))
 
 
-@query(r"""WITH w AS (SELECT doc_id, lower(text) AS t, list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> '') AS w FROM documents WHERE n_chars < 400)
-SELECT doc_id, (len(w) = 0 OR contains(t, 'i cannot') OR contains(t, 'i can''t') OR contains(t, 'as an ai') OR contains(t, 'i''m sorry') OR contains(t, 'i am sorry') OR contains(t, 'unable to') OR (len(w) >= 6 AND 2 * list_max(list_transform(list_distinct(w), lambda u: len(list_filter(w, lambda v: v = u)))) > len(w))) AS degenerate FROM w""")
+@query(r"""WITH w AS (SELECT doc_id, lower(text) AS t, regexp_extract_all(lower(text), '[a-z0-9'']+') AS w FROM documents WHERE n_chars < 400)
+SELECT doc_id, (regexp_full_match(t, '\\s*') OR contains(t, 'i cannot') OR contains(t, 'i can''t') OR contains(t, 'i''m unable') OR contains(t, 'as an ai') OR contains(t, 'i don''t have enough information') OR (len(w) >= 6 AND 2 * list_max(list_transform(list_distinct(w), lambda u: len(list_filter(w, lambda v: v = u)))) > len(w))) AS degenerate FROM w""")
 def degenerate_text(spark, d):
     doc = table(spark, d, "documents").where("n_chars < 400")
     return doc.select("doc_id", T.degenerate(F.col("text")).alias("degenerate"))
 
 
-@query("SELECT p_partkey, array_to_string(list_sort(list_filter(['red', 'blue', 'ring', 'widget', 'small'], lambda t: contains(' ' || trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) || ' ', ' ' || t || ' ') AND t <> 'red')), ',') AS tags FROM part")
+@query("SELECT p_partkey, array_to_string(list_filter(['red', 'blue', 'ring', 'widget', 'small'], lambda t: contains(' ' || trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) || ' ', ' ' || t || ' ') AND t <> 'red'), ',') AS tags FROM part")
 def ungrounded_tags(spark, d):
     vocabulary = F.array(*(F.lit(t) for t in ("red", "blue", "ring", "widget", "small")))
     return table(spark, d, "part").select("p_partkey", F.concat_ws(",", T.ungrounded(F.col("p_name"), vocabulary, F.array(F.lit("Red")))).alias("tags"))
