@@ -182,7 +182,7 @@ def overlap_ratio(spark, d):
 
 
 @query(r"""WITH w AS (SELECT doc_id, lower(text) AS t, regexp_extract_all(lower(text), '[a-z0-9'']+') AS w FROM documents WHERE n_chars < 400)
-SELECT doc_id, (regexp_full_match(t, '\\s*') OR contains(t, 'i cannot') OR contains(t, 'i can''t') OR contains(t, 'i''m unable') OR contains(t, 'as an ai') OR contains(t, 'i don''t have enough information') OR (len(w) >= 6 AND 2 * list_max(list_transform(list_distinct(w), lambda u: len(list_filter(w, lambda v: v = u)))) > len(w))) AS degenerate FROM w""")
+SELECT doc_id, (regexp_full_match(t, '\s*') OR contains(t, 'i cannot') OR contains(t, 'i can''t') OR contains(t, 'i''m unable') OR contains(t, 'as an ai') OR contains(t, 'i don''t have enough information') OR (len(w) >= 6 AND 2 * list_max(list_transform(list_distinct(w), lambda u: len(list_filter(w, lambda v: v = u)))) > len(w))) AS degenerate FROM w""")
 def degenerate_text(spark, d):
     doc = table(spark, d, "documents").where("n_chars < 400")
     return doc.select("doc_id", T.degenerate(F.col("text")).alias("degenerate"))
