@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepool.llm.tables import staged
+from tidepool.llm.tables import small_batches, staged
 from tidepool.llm.vector_graph import QUERY_BEAM, Graph
 
 SHARD, SHARDS, QUERY_BLOCK = (1024, 1 << 17), 64, 128
@@ -39,6 +39,7 @@ def usable(vector: Column) -> Column:
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, *, id_col: str = "vec_id", vector_col: str = "embedding", beam: int = QUERY_BEAM) -> DataFrame:
     """The k nearest rows of ``vectors`` to each row of ``queries`` but its own: query_id, rank, <id>, score."""
+    small_batches(vectors.sparkSession)
     shape = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.transform(vector_col, lambda x: x.cast("double")).alias("v")).where(F.col("id").isNotNull() & usable(F.col("v")))
     copies = Window.partitionBy("v").orderBy("id")
     points = staged(shape(vectors).withColumn("nth", F.row_number().over(copies)).where(F.col("nth") <= k + 1).drop("nth"), "points")

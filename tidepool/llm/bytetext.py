@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that one vectorised step works on; bounds the memory of a task.
-STEP_BYTES = 1 << 21
+STEP_BYTES = 1 << 20
 
 _M1 = np.uint64(0x9E3779B97F4A7C15)
 _M2 = np.uint64(0xC2B2AE3D27D4EB4F)

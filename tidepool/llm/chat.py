@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.llm.tables import per_batch, staged
+from tidepool.llm.tables import per_batch, small_batches, staged
 
 ROLES = ("system", "user", "assistant")
 CHUNK = 512
@@ -229,6 +229,7 @@ def format_transcripts(df: DataFrame, *, conv_col: str = "conv_id", order_col: s
 
     ``rendered``, in order, is the conversation in canonical form.
     """
+    small_batches(df.sparkSession)
     rows = df.select(F.col(conv_col).cast("long").alias("conv"), F.col(order_col).cast("long").alias("turn"), F.col(text_col).alias("text"))
     order = ["conv", "turn", F.xxhash64("text"), "text"]
     chunks = staged(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_cut, _CHUNKS), "chunks")

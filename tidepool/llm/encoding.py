@@ -56,24 +56,32 @@ class Encoder:
 
         if style not in ("word", "byte"):
             raise ValueError(f"unknown pre-tokenization: {style}")
-        self.style = style
-        self.library = Tokenizer.from_file(path)
+        self.style, self.path, self._library = style, path, None
         self.model = Tokenizer.from_file(path)
         cut = pre_tokenizers.WhitespaceSplit() if style == "word" else pre_tokenizers.Split("\x00", "removed")
         self.model.pre_tokenizer = pre_tokenizers.Sequence([cut, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         if style == "word":
             self.model.normalizer = normalizers.Sequence([])
-        size = self.library.get_vocab_size()
+        size = self.model.get_vocab_size()
         if size > 1 << 16:
             raise ValueError("ids must fit 16 bits")
-        tokens = [self.library.id_to_token(i) or "" for i in range(size)]
+        tokens = [self.model.id_to_token(i) or "" for i in range(size)]
         #: Whether an id ends a pre-token (word), and how many bytes an id stands for (byte).
         self.ends = np.array([x.endswith("</w>") for x in tokens])
         self.width = np.array([len(x) for x in tokens], dtype=np.int64)
-        for k, x in self.library.get_added_tokens_decoder().items():
+        for k, x in self.model.get_added_tokens_decoder().items():
             self.width[k] = len(x.content.encode())
         self._clear()
 
+    @property
+    def library(self):
+        """The tokenizer as it is, for odd texts; loaded when the first one comes."""
+        if self._library is None:
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_file(self.path)
+        return self._library
+
     def _clear(self) -> None:
         self.key = np.zeros(1 << _SLOTS_BITS, dtype=np.uint64)
         self.at = np.zeros(1 << _SLOTS_BITS, dtype=np.int64)

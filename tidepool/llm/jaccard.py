@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from tidepool.llm import bytetext as bt
 from tidepool.llm.components import components
-from tidepool.llm.tables import per_batch, staged
+from tidepool.llm.tables import per_batch, release, small_batches, staged
 
 SHINGLE, LEADERS, BINS = 5, 32, 64
 SKETCH_BITS, SLICES, FILTER_BITS = 20, 64, 25
@@ -135,6 +135,7 @@ def _survey(docs: DataFrame) -> DataFrame:
                 counts += np.bincount((h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts))
                 s1, s2 = signatures(h, bounds)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, n), pa.array(np.diff(bounds)), pa.array(s1), pa.array(s2), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=["doc", "n", "s1", "s2", "slice", "part"])
+        release()
         longs = pa.nulls(SLICES, pa.int64())
         yield pa.RecordBatch.from_arrays([longs, longs, longs, longs, pa.array(range(SLICES), pa.int32()), pa.array(_slices(counts), pa.binary())], names=["doc", "n", "s1", "s2", "slice", "part"])
 
@@ -276,6 +277,7 @@ def _ordered(a: str, b: str) -> list:
 
 def similar_groups(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``df``: its id, n_shingles, component_id (see the module)."""
+    small_batches(df.sparkSession)
     docs = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     survey = _survey(docs)
     found = survey.where("slice IS NULL").select("doc", "n", "s1", "s2")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.llm.tables import per_batch
+from tidepool.llm.tables import per_batch, small_batches
 
 MARK, BYTE_SCORE, CACHE_WORDS = "▁", -20.0, 400_000
 
@@ -144,6 +144,7 @@ def lattice(name: str) -> Lattice:
 
 def encode_nbest(df: DataFrame, model: str = "piece_bpe_32k.model", *, n: int = 4, id_cols: Sequence[str] = ("doc_id",), text_col: str = "text") -> DataFrame:
     """Per row and segmentation: the id columns, rank (from 1), score, ids, normalized (the text after the model's rules)."""
+    small_batches(df.sparkSession)
     id_cols = list(id_cols)
 
     def run(batch: pa.RecordBatch):
@@ -167,6 +168,7 @@ def decode_pieces(df: DataFrame, model: str = "piece_bpe_32k.model", *, ids_col:
 
     A column that has the name of the result is replaced by it.
     """
+    small_batches(df.sparkSession)
     df = df.drop(out_col) if out_col != ids_col else df
     where = df.columns.index(ids_col)
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tidepool.llm.encoding import encoder
 from tidepool.llm.hilbert import hilbert_key
-from tidepool.llm.tables import per_batch, staged
+from tidepool.llm.tables import per_batch, release, small_batches, staged
 from tidepool.llm.token_files import with_end
 
 SEQUENCE, HASHED, DIMS, BITS, SEED = 2048, 256, 4, 12, 20
@@ -55,6 +55,7 @@ def pack_documents(df: DataFrame, tokenizer: str = "word_bpe_49k.json", *, end_i
     The ids are written compressed to the shared folder, then range-sorted by
     key: the texts are encoded once, and the shuffle holds compressed ids.
     """
+    small_batches(df.sparkSession)
     df = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def encode(batch: pa.RecordBatch):
@@ -112,6 +113,7 @@ def pack_documents(df: DataFrame, tokenizer: str = "word_bpe_49k.json", *, end_i
             close(powers_of_two(fill))
         if out:
             yield batch_of()
+        release()
 
     ordered = coded.repartitionByRange("key", "doc_id").sortWithinPartitions("key", "doc_id", F.xxhash64("frame")).select("doc_id", "doc_tokens", "frame")
     return ordered.mapInArrow(lay, _PIECE)

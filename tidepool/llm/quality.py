@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepool.llm import bytetext as bt
-from tidepool.llm.tables import per_batch
+from tidepool.llm.tables import per_batch, small_batches
 
 WINDOW, SAMPLE_DOCS = 8, 512
 _SYMBOL = np.zeros(256, dtype=bool)
@@ -244,6 +244,7 @@ def order_rules(rules: Sequence[Rule], measured: dict[str, tuple[float, float]])
 
 def quality_cascade(df: DataFrame, rules: Sequence[Rule] = RULES, *, id_col: str = "doc_id", text_col: str = "text", measures: Sequence[str] = (), sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """Per row: id, the ``measures`` asked for (of every row), kept."""
+    small_batches(df.sparkSession)
     ordered = order_rules(rules, measure_rules(df, rules, id_col=id_col, text_col=text_col, sample_docs=sample_docs))
 
     def run(batch: pa.RecordBatch):
@@ -258,6 +259,7 @@ def quality_cascade(df: DataFrame, rules: Sequence[Rule] = RULES, *, id_col: str
 
 def keep_documents(df: DataFrame, rules: Sequence[Rule] = RULES, *, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """The rows of ``df`` that no rule rejects, with all their columns."""
+    small_batches(df.sparkSession)
     ordered = order_rules(rules, measure_rules(df, rules, id_col=id_col, text_col=text_col, sample_docs=sample_docs))
     where = df.columns.index(text_col)
 

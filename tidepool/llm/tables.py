@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -23,6 +24,17 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Bytes of an Arrow batch: texts may be long, and a batch is held by the JVM and by Python.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches, where Spark's default (64 MB) holds."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key).rstrip("bB") == str(64 << 20):
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def staged(df: DataFrame, what: str) -> DataFrame:
     """``df`` written to the shared folder and read back: its lineage ends at files that outlive any executor."""
     path = shared_path(df.sparkSession, what)
@@ -38,16 +50,26 @@ def drop_staged(df: DataFrame, path: str) -> None:
 
 
 def per_batch(f: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]):
-    """A function for mapInArrow from one on batches."""
+    """A function for mapInArrow from one on batches; what a task has freed goes back to the system at its end."""
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
                 yield from f(batch)
+        release()
 
     return run
 
 
+def release() -> None:
+    """Give freed memory back: workers live on between tasks, and their heaps would keep the largest task's size."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return df.select(*columns) if columns else df

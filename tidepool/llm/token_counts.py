@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tidepool.llm import bytetext as bt
 from tidepool.llm.encoding import Encoder, encoder, stable_cuts
-from tidepool.llm.tables import per_batch
+from tidepool.llm.tables import per_batch, small_batches
 
 WINDOW, OVERLAP, LIMIT = 1 << 15, 1 << 9, 512
 
@@ -105,6 +105,7 @@ def count_tokens(df: DataFrame, tokenizer: str = "byte_bpe_50k.json", *, id_col:
 
     One pass over the id and the text; no shuffle.
     """
+    small_batches(df.sparkSession)
 
     def run(batch: pa.RecordBatch):
         enc = encoder(tokenizer, "byte")

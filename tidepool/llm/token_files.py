@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepool.llm.encoding import encoder
-from tidepool.llm.tables import per_batch
+from tidepool.llm.tables import per_batch, small_batches
 
 SEGMENT_BYTES, SEGMENT_DOCS = 1 << 20, 1 << 13
 SAMPLE_DOCS, SAMPLE_IDS, DICT_BYTES, LEVEL = 512, 4096, 1 << 16, 3
@@ -73,6 +73,7 @@ def _dictionary(raw: bytes) -> zstandard.ZstdCompressionDict | None:
 
 def write_token_files(df: DataFrame, path: str, tokenizer: str = "word_bpe_49k.json", *, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", segment_bytes: int = SEGMENT_BYTES, sample_docs: int = SAMPLE_DOCS, sample_ids: int = SAMPLE_IDS, dict_bytes: int = DICT_BYTES) -> None:
     """Write the file set at ``path`` (see the module): one shuffle of the texts by ranges of the id."""
+    small_batches(df.sparkSession)
     spark = df.sparkSession
     df = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     raw = train_dictionary(df, tokenizer, id_col="doc_id", text_col="text", sample_docs=sample_docs, sample_ids=sample_ids, dict_bytes=dict_bytes)
@@ -123,6 +124,7 @@ def read_token_files(spark: SparkSession, path: str, *, doc_ids: list[int] | Non
 
     ``doc_ids``: only these, by pruning segments and decompressing their frames alone.
     """
+    small_batches(spark)
     head = spark.read.parquet(f"{path}/dictionary").first()
     digest, raw = head["dict_hash"], bytes(head["dictionary"])
     if hashlib.sha256(raw).hexdigest() != digest:

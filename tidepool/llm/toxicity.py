@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepool.llm import bytetext as bt
-from tidepool.llm.tables import per_batch
+from tidepool.llm.tables import per_batch, small_batches
 
 SAMPLE_TOXIC, SAMPLE_CLEAN = 2000, 4000
 FEATURE_BITS, BEGINNINGS = 20, (4, 5, 6)
@@ -152,27 +152,37 @@ def fit(docs: list[np.ndarray], pattern: np.ndarray, label: np.ndarray, base_rat
         weights = np.zeros(size)
         weights[lexicon] = 3.0
         return Model(weights, -2.0)
-    count = np.array([len(x) for x in docs])
-    row, at = np.repeat(np.arange(len(docs), dtype=np.int32), count), np.concatenate(docs)
     n1, n0 = int(label.sum()), int((1 - label).sum())
 
+    def parts():
+        """(document, feature) of some documents at a time, so that no array holds them all."""
+        for k in range(0, len(docs), 128):
+            some = docs[k : k + 128]
+            yield k + np.repeat(np.arange(len(some)), [len(x) for x in some]), np.concatenate(some).astype(np.int64)
+
     def z(weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """How far a feature's rates in the two classes lie apart, in standard errors; and its count."""
-        one = np.bincount(at, weights=weight[row], minlength=size)
-        every = np.bincount(at, minlength=size)
+        one, every = np.zeros(size), np.zeros(size)
+        for row, at in parts():
+            one += np.bincount(at, weights=weight[row], minlength=size)
+            every += np.bincount(at, minlength=size)
         a, b = one / max(weight.sum(), 1), (every - one) / max((1 - weight).sum(), 1)
         p = every / len(docs)
         return (a - b) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / max(n1, 1) + 1 / max(n0, 1))), every
 
+    def having(chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(document, place among the chosen) of the chosen features alone."""
+        place = np.full(size, -1)
+        place[chosen] = np.arange(len(chosen))
+        held = [(row[place[at] >= 0], place[at[place[at] >= 0]]) for row, at in parts()]
+        return np.concatenate([r for r, _ in held]), np.concatenate([c for _, c in held])
+
     apart, every = z(label.astype(np.float64))
     mined = np.argsort(-np.where(every >= 5, apart, -np.inf), kind="stable")[:MINED]
     mined = mined[apart[mined] > 4]
     voters = np.unique(np.concatenate([lexicon, mined]))
-    place = np.full(size, -1)
-    place[voters] = np.arange(len(voters))
-    hit = place[at] >= 0
     votes = np.zeros((len(docs), len(voters)), dtype=bool)
-    votes[row[hit], place[at[hit]]] = True
+    votes[having(voters)] = True
     quiet = ~votes.any(axis=1, keepdims=True)
     votes = np.hstack([votes, pattern, quiet, label[:, None] == 1])
     post, _ = label_model(votes, n1 / len(docs), label)
@@ -182,10 +192,7 @@ def fit(docs: list[np.ndarray], pattern: np.ndarray, label: np.ndarray, base_rat
     apart = np.where(every >= 3, np.abs(apart), 0)
     chosen = np.argsort(-apart, kind="stable")[:SELECTED]
     chosen = chosen[apart[chosen] > 3.5]
-    place[:] = -1
-    place[chosen] = np.arange(len(chosen))
-    hit = place[at] >= 0
-    w, bias = _regress(row[hit], place[at[hit]], post, len(chosen))
+    w, bias = _regress(*having(chosen), post, len(chosen))
     weights = np.zeros(size)
     weights[chosen] = w
     shift = np.log(base_rate / (1 - base_rate)) - np.log(n1 / n0)  # the sample has its own share of toxic rows
@@ -235,6 +242,7 @@ def held_out(id_col: str = "doc_id"):
 
 def train(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_toxic: int = SAMPLE_TOXIC, sample_clean: int = SAMPLE_CLEAN) -> Model:
     """Fit on labelled rows that are not held out: at most ``sample_toxic`` and ``sample_clean`` of them."""
+    small_batches(df.sparkSession)
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where(~held_out("id") & F.col("y").isin(0, 1))
     known = known.groupBy("id").agg(F.max("y").alias("y"))
     n = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
@@ -265,6 +273,7 @@ def train(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
 
 def score_toxicity(df: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, score (0 to 1)."""
+    small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)  # 8 MB, whatever the corpus
 
     def run(batch: pa.RecordBatch):
@@ -279,6 +288,7 @@ def score_toxicity(df: DataFrame, model: Model, *, id_col: str = "doc_id", text_
 
 def drop_toxic(df: DataFrame, model: Model, *, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of ``df`` that score below the threshold, with all their columns."""
+    small_batches(df.sparkSession)
     shared, where = df.sparkSession.sparkContext.broadcast(model), df.columns.index(text_col)
 
     def run(batch: pa.RecordBatch):
