@@ -91,7 +91,8 @@ def degenerate(x: Column) -> Column:
     refuses = F.lit(False)
     for phrase in REFUSALS:
         refuses = refuses | F.contains(low, F.lit(phrase))
-    most = F.array_max(F.transform(F.array_distinct(w), lambda u: F.size(F.filter(w, lambda v: v == u))))
+    middle = F.get(F.sort_array(w), F.floor(F.size(w) / 2).cast("int"))  # a word of more than half is also the middle one
+    most = F.size(w) - F.size(F.array_remove(w, middle))
     return (F.length(low) == 0) | refuses | ((F.size(w) >= 6) & (F.coalesce(most, F.lit(0)) * 2 > F.size(w)))
 
 

@@ -188,6 +188,14 @@ def degenerate_text(spark, d):
     return doc.select("doc_id", T.degenerate(F.col("text")).alias("degenerate"))
 
 
+@query(r"""WITH t AS (SELECT doc_id, md5(coalesce(text, '')) AS h, lower(coalesce(text, '')) AS t FROM documents), d AS (SELECT DISTINCT h, t FROM t),
+c AS (SELECT h, u, count(*) AS n FROM (SELECT h, unnest(regexp_extract_all(t, '[a-z0-9'']+')) AS u FROM d) GROUP BY ALL), m AS (SELECT h, sum(n) AS n, max(n) AS most FROM c GROUP BY h)
+SELECT doc_id, (regexp_full_match(t, '\s*') OR contains(t, 'i cannot') OR contains(t, 'i can''t') OR contains(t, 'i''m unable') OR contains(t, 'as an ai') OR contains(t, 'i don''t have enough information') OR coalesce(n >= 6 AND 2 * most > n, false)) AS degenerate FROM t LEFT JOIN m USING (h)""")
+def degenerate_documents(spark, d):
+    """``degenerate_text`` over every document, of any length."""
+    return table(spark, d, "documents").select("doc_id", T.degenerate(F.col("text")).alias("degenerate"))
+
+
 @query("SELECT p_partkey, array_to_string(list_filter(['red', 'blue', 'ring', 'widget', 'small'], lambda t: contains(' ' || trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) || ' ', ' ' || t || ' ') AND t <> 'red'), ',') AS tags FROM part")
 def ungrounded_tags(spark, d):
     vocabulary = F.array(*(F.lit(t) for t in ("red", "blue", "ring", "widget", "small")))
