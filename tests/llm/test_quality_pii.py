@@ -115,6 +115,23 @@ def test_further_kinds_need_proof(spark, text, kinds):
     assert [s["kind"] for s in find_pii(df).first()["pii"]] == kinds
 
 
+@pytest.mark.parametrize(("text", "clean"), [
+    ("IBAN DE89370400440532013000 Thanks", "IBAN <IBAN> Thanks"),
+    ("IBAN GB82 WEST 1234 5698 7654 32 Please pay", "IBAN <IBAN> Please pay"),
+    ("IBAN DE89370400440532013000 BIC COBADEFFXXX", "IBAN <IBAN> BIC COBADEFFXXX"),
+    ("IBAN DE89 3704 0044 0532 0130 00 2024 invoice", "IBAN <IBAN> 2024 invoice"),
+    ("IBAN DE89 3704 0044 0532 0130 00 1234567890 AND MORE", "IBAN <IBAN> 1234567890 AND MORE"),
+    ("IBAN DE89 3704 0044 0532 0130 00 GB82 WEST 1234 5698 7654 32.", "IBAN <IBAN> <IBAN>."),
+    ("REF AB12 DE89370400440532013000", "REF AB12 <IBAN>"),
+    ("é DE89370400440532013000\nGB82WEST12345698765432", "é <IBAN>\n<IBAN>"),
+    ("IBAN DE89370400440532013001 Thanks", "IBAN DE89370400440532013001 Thanks"),
+    ("IBAN DE89370400440532013000a", "IBAN DE89370400440532013000a"),
+    ("xDE89370400440532013000 Thanks", "xDE89370400440532013000 Thanks"),
+])
+def test_iban_ends_where_its_checksum_says(spark, text, clean):
+    assert redact(spark.createDataFrame([(text,)], "text string")).first()["text"] == clean
+
+
 def test_redact_keeps_columns(spark):
     df = spark.createDataFrame([(1, "é a@b.cd and 1.2.3.4!", "p", "t"), (2, None, "p", "t"), (3, "clean", "p", "t"), (3, "clean", "p", "t")], "doc_id long, text string, pii string, __pii_text string")
     got = redact(df)

@@ -11,6 +11,11 @@ Where a span could only begin at the start of a run of its characters, or where
 the match before ended, the pattern says so, and repeats give nothing back.  The
 matches are those of the plain pattern, in time linear in the text.
 
+An IBAN's end is not known from its pattern, as what follows may look like more of
+it.  Its pattern finds the first four characters; of the ends at word boundaries
+that make the mod-97 remainder right, that of the country's length is taken, or
+else the last.
+
 Null and empty texts have no spans.  Each row is judged by itself: repeats, ties
 and empty tables need no rule.  All other columns of the input are passed on; one
 that has the name of the result is replaced by it.
@@ -39,6 +44,7 @@ class Kind:
     context: str
     base: bool = False
     hint: str | None = None  # a text without this string holds no match
+    whole: str | None = None  # the longest span from where the pattern matches; it may end at any space in it
 
 
 BASE = (
@@ -48,12 +54,20 @@ BASE = (
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "phone", 0.7, r"phone|tel|call|mobile|fax", True, "+"),
 )
 FURTHER = (
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", "mod97", 0.8, r"iban|account|konto|bank|cuenta|compte"),
+    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=(?:\x20?[A-Z0-9]){11})", "mod97", 0.8, r"iban|account|konto|bank|cuenta|compte", whole=r"^[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])"),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", None, 0.4, r"\bssn\b|social security", hint="-"),
     Kind("secret", r"(?<![A-Za-z0-9])[A-Za-z0-9]{32,64}+(?![A-Za-z0-9])", "mixed", 0.3, r"(?:token|secret|passw(?:or)?d|api[_ -]?key)[\"']?\s*[:=]"),
 )
 KINDS = BASE + FURTHER
 
+#: Characters of an IBAN by country; other countries' may have any length that the pattern allows.
+_IBAN_LENGTHS = (
+    "NO15 BE16 DK18 FI18 FO18 GL18 NL18 MK19 SI19 AT20 BA20 EE20 KZ20 LT20 LU20 XK20 CH21 HR21 LI21 LV21 BG22 BH22 CR22 DE22 GB22 GE22 IE22 ME22 RS22 VA22 "
+    "AE23 GI23 IL23 IQ23 OM23 SO23 TL23 AD24 CZ24 ES24 MD24 PK24 RO24 SA24 SE24 SK24 TN24 VG24 LY25 PT25 ST25 IS26 TR26 BI27 DJ27 FR27 GR27 IT27 MC27 MR27 SM27 "
+    "AL28 AZ28 BY28 CY28 DO28 GT28 HN28 HU28 LB28 NI28 PL28 SV28 BR29 EG29 PS29 QA29 UA29 JO30 KW30 MN20 MU30 SD18 YE30 MT31 SC31 LC32 RU33 FK18"
+).split()
+WINDOW = 69  # 34 characters of an IBAN, each after a space, and the next one
+
 _SPAN = "array<struct<start:bigint,end:bigint,hit:string>>"
 _FOUND = "array<struct<start:bigint,rank:int,end:bigint,kind:string,score:double>>"
 
@@ -111,6 +125,28 @@ def _spans(text: Column, hits: Column, pattern: str) -> Column:
     return F.when(F.size(hits) == 0, F.array().cast(_SPAN)).otherwise(F.aggregate(pairs, start, step, lambda a: a["out"]))
 
 
+def _ended(kind: Kind, text: Column, spans: Column) -> Column:
+    """Spans from where ``kind.whole`` begins to their right ends; those without one, and those that begin in the span before, are left out."""
+    usual = F.create_map(*(F.lit(x) for c in _IBAN_LENGTHS for x in (c[:2], int(c[2:]))))
+    length = lambda hit: F.length(F.regexp_replace(hit, " ", ""))
+
+    def ends(s):
+        parts = F.split(F.regexp_extract(F.substr(text, s["start"].cast("int") + 1, F.lit(WINDOW)), kind.whole, 0), " ")
+        return F.struct(s["start"].alias("start"), F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), " ")).alias("hits"))
+
+    def right(s):
+        return F.struct(s["start"].alias("start"), F.filter(s["hits"], lambda h: (length(h) >= 15) & _valid(kind, h)).alias("hits"))
+
+    def best(s):
+        known = F.filter(s["hits"], lambda h: F.coalesce(F.try_element_at(usual, F.substring(h, 1, 2)) == length(h), F.lit(False)))
+        hit = F.coalesce(F.get(known, F.lit(0)), F.element_at(s["hits"], -1))
+        return F.struct(s["start"].alias("start"), (s["start"] + F.length(hit)).alias("end"), hit.alias("hit"))
+
+    found = F.transform(F.filter(F.transform(F.transform(spans, ends), right), lambda s: F.size(s["hits"]) > 0), best)
+    apart = lambda out, s: F.when((F.size(out) == 0) | (F.coalesce(F.get(out, F.size(out) - 1)["end"], F.lit(0)) <= s["start"]), F.concat(out, F.array(s))).otherwise(out)
+    return F.when(F.size(spans) == 0, F.array().cast(_SPAN)).otherwise(F.aggregate(found, F.array().cast(_SPAN), apart))
+
+
 def _judged(kind: Kind, rank: int, text: Column, spans: Column) -> Column:
     """Confirmed spans with scores; further kinds need the threshold."""
 
@@ -120,7 +156,7 @@ def _judged(kind: Kind, rank: int, text: Column, spans: Column) -> Column:
         score = F.lit(kind.prior) + F.when(near.rlike(kind.context), 0.3).otherwise(0.0) - F.when(near.rlike(NEGATIVE), 0.3).otherwise(0.0)
         return F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end"), F.lit(kind.name).alias("kind"), F.least(score, F.lit(1.0)).alias("score"))
 
-    found = F.transform(F.filter(spans, lambda s: _valid(kind, s["hit"])), scored)
+    found = F.transform(spans if kind.whole else F.filter(spans, lambda s: _valid(kind, s["hit"])), scored)
     if not kind.base:
         found = F.filter(found, lambda s: s["score"] >= THRESHOLD)
     return F.when(F.size(spans) == 0, F.array().cast(_FOUND)).otherwise(found)
@@ -136,6 +172,7 @@ def find_pii(df: DataFrame, kinds: Sequence[Kind] = KINDS, *, text_col: str = "t
     hits |= {f"{own}_hits_{k.name}": F.when(F.contains(text, F.lit(k.hint)), hits[f"{own}_hits_{k.name}"]).otherwise(F.array().cast("array<string>")) for k in kinds if k.hint}
     df = df.withColumns(hits)
     df = df.withColumns({f"{own}_spans_{k.name}": _spans(text, F.col(f"{own}_hits_{k.name}"), k.pattern) for k in kinds})
+    df = df.withColumns({f"{own}_spans_{k.name}": _ended(k, text, F.col(f"{own}_spans_{k.name}")) for k in kinds if k.whole})
     df = df.withColumns({f"{own}_found_{k.name}": _judged(k, i, text, F.col(f"{own}_spans_{k.name}")) for i, k in enumerate(kinds)})
     found = F.array_sort(F.concat(*(F.col(f"{own}_found_{k.name}") for k in kinds)))
     return df.select(*(F.col(f"`{c}`") for c in kept), found.alias(out_col))
