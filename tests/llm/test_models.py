@@ -210,6 +210,19 @@ def test_nbest_rows_decode(spark):
     assert decode_pieces(encode_nbest(df.limit(0), n=3)).count() == 0
 
 
+def test_op5_covers_documents_and_turns(spark, tmp_path):
+    from tidepool.llm.queries import QUERIES
+
+    docs = [(1, "Hello  world ﬁ"), (2, "日本語 🙂 hello " * 3000), (3, None), (4, "")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, 0, "Hello  world")], "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = QUERIES["op5_nbest"](spark, str(tmp_path)).toPandas()
+    assert got.groupby("doc_id").size().to_dict() == {1: 4, 2: 4, 3: 1, 4: 1} and got["decodes"].all()
+    assert (got[got["doc_id"] == 2]["n_pieces"] > 9000).all()
+    turns = QUERIES["op5_nbest_turns"](spark, str(tmp_path)).toPandas()
+    assert turns[["conv_id", "turn"]].drop_duplicates().to_numpy().tolist() == [[7, 0]] and len(turns) == 4
+
+
 # -- pipeline ---------------------------------------------------------------------------------
 
 

@@ -22,17 +22,22 @@ from __future__ import annotations
 
 import heapq
 import os
-from collections.abc import Sequence
-from itertools import product
+from array import array
+from bisect import insort
+from collections.abc import Iterator, Sequence
+from itertools import accumulate, chain, product
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepool.llm.tables import per_batch, small_batches
 
 MARK, BYTE_SCORE, CACHE_WORDS = "▁", -20.0, 400_000
+#: Rows and bytes of text that are encoded at a time (one row at least); the result is several times as large.
+STEP_ROWS, STEP_BYTES = 256, 256 << 10
 
 
 class Lattice:
@@ -55,6 +60,7 @@ class Lattice:
             self.pieces[piece] = (i, -float(np.log(rank + 10)))
             if any(a != MARK and b == MARK for a, b in zip(piece, piece[1:])):
                 raise ValueError("a piece runs into the next word")
+        self.arc = {piece: (score, (i,)) for piece, (i, score) in self.pieces.items()}
         self.longest = max(map(len, self.pieces), default=1)
         self.cache: dict[tuple[str, int], list[tuple[float, tuple[int, ...]]]] = {}
 
@@ -74,11 +80,11 @@ class Lattice:
     def arcs(self, word: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
         """For each node, the arcs that end there: (from, score, ids)."""
         into: list[list[tuple[int, float, tuple[int, ...]]]] = [[] for _ in range(len(word) + 1)]
-        for a in range(len(word)):
-            for b in range(a + 1, min(len(word), a + self.longest) + 1):
-                hit = self.pieces.get(word[a:b])
-                if hit:
-                    into[b].append((a, hit[1], (hit[0],)))
+        get, longest, end = self.arc.get, self.longest, len(word)
+        for a in range(end):
+            for b in range(a + 1, min(end, a + longest) + 1):
+                if hit := get(word[a:b]):
+                    into[b].append((a, *hit))
                 elif b == a + 1:
                     raw = word[a].encode()
                     into[b].append((a, BYTE_SCORE * len(raw), tuple(self.bytes[x] for x in raw)))
@@ -90,31 +96,38 @@ class Lattice:
         if key in self.cache:
             return self.cache[key]
         into = self.arcs(word)
-        ahead = [0.0] + [float("-inf")] * len(word)  # forward Viterbi scores
-        for b in range(1, len(word) + 1):
-            ahead[b] = max(ahead[a] + s for a, s, _ in into[b])
-        # backward A*: (-(score so far + forward score of the node), order, node, score so far, ids so far)
-        heap = [(-ahead[-1], 0, len(word), 0.0, ())]
+        ahead = [0.0]  # forward Viterbi scores
+        for arcs in into[1:]:
+            ahead.append(max([ahead[a] + s for a, s, _ in arcs]))
+        # backward A*: [-(score so far + forward score of the node), order, node, score so far, ids so far], best first.
+        # Each is the cost of a whole segmentation, so no more are kept than are still asked for.
+        queue = [(-ahead[-1], 0, len(word), 0.0, ())]
         out, order = [], 0
-        while heap and len(out) < n:
-            _, _, node, score, ids = heapq.heappop(heap)
+        while queue and len(out) < n:
+            _, _, node, score, ids = queue.pop(0)
             if node == 0:
                 out.append((score, ids))
                 continue
+            left = n - len(out)
             for a, s, more in into[node]:
                 order += 1
-                heapq.heappush(heap, (-(score + s + ahead[a]), order, a, score + s, more + ids))
+                cost = -(score + s + ahead[a])
+                if len(queue) < left or cost < queue[-1][0]:
+                    insort(queue, (cost, order, a, score + s, more + ids))
+                    del queue[left:]
         if len(self.cache) >= CACHE_WORDS:
             self.cache.clear()
         if len(word) <= 32:
             self.cache[key] = out
         return out
 
-    def encode(self, text: str, n: int) -> list[tuple[float, list[int]]]:
+    def encode(self, text: str, n: int) -> list[tuple[float, array]]:
         """The n best segmentations of a normalised text."""
-        found = [self.best(w, n) for w in self.words(text)]
-        score = sum(x[0][0] for x in found)
+        known = self.cache.get
+        found = [known((w, n)) or self.best(w, n) for w in self.words(text)]
+        score = sum([x[0][0] for x in found])
         ids = [x[0][1] for x in found]
+        first, at = array("i", chain.from_iterable(ids)), [0, *accumulate(map(len, ids))]
         losses = [(x[0][0] - x[1][0], k) for k, x in enumerate(found) if len(x) > 1]
         turns = [k for _, k in heapq.nsmallest(n - 1, losses)]
         options: list[tuple[float, dict[int, int]]] = [(0.0, {})]
@@ -123,7 +136,11 @@ class Lattice:
             options = sorted(wider, key=lambda o: (o[0], sorted(o[1].items())))[:n]
         out = []
         for loss, chosen in options:
-            out.append((score - loss, [i for k, word in enumerate(ids) for i in (found[k][chosen[k]][1] if k in chosen else word)]))
+            turned, a = array("i"), 0
+            for k in sorted(chosen):
+                turned += first[a : at[k]] + array("i", found[k][chosen[k]][1])
+                a = at[k + 1]
+            out.append((score - loss, turned + first[a:]))
         return out
 
 
@@ -142,6 +159,18 @@ def lattice(name: str) -> Lattice:
     return _LATTICES[name]
 
 
+def steps(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of rows, of at most STEP_ROWS rows and, but for a single row, STEP_BYTES of text."""
+    sizes, a, held = pc.fill_null(pc.binary_length(texts), 0).to_pylist(), 0, 0
+    for b, x in enumerate(sizes):
+        if b > a and (b - a == STEP_ROWS or held + x > STEP_BYTES):
+            yield a, b
+            a, held = b, 0
+        held += x
+    if sizes:
+        yield a, len(sizes)
+
+
 def encode_nbest(df: DataFrame, model: str = "piece_bpe_32k.model", *, n: int = 4, id_cols: Sequence[str] = ("doc_id",), text_col: str = "text") -> DataFrame:
     """Per row and segmentation: the id columns, rank (from 1), score, ids, normalized (the text after the model's rules)."""
     small_batches(df.sparkSession)
@@ -149,15 +178,17 @@ def encode_nbest(df: DataFrame, model: str = "piece_bpe_32k.model", *, n: int =
 
     def run(batch: pa.RecordBatch):
         lat = lattice(model)
-        for a in range(0, batch.num_rows, 256):
-            part = batch.slice(a, 256)
-            row, rank, score, ids, normal = [], [], [], [], []
+        for a, b in steps(batch.column(len(id_cols))):
+            part = batch.slice(a, b - a)
+            row, rank, score, normal, ids, ends = [], [], [], [], array("i"), [0]
             for r, text in enumerate(part.column(len(id_cols)).to_pylist()):
                 plain = lat.model.normalize(text) if text else ""
                 for k, (s, found) in enumerate(lat.encode(plain, n)):
-                    row.append(r), rank.append(k + 1), score.append(s), ids.append(found), normal.append(plain)
+                    ids.extend(found)
+                    row.append(r), rank.append(k + 1), score.append(s), normal.append(plain), ends.append(len(ids))
             keys = [part.column(k).take(pa.array(row, pa.int64())) for k in range(len(id_cols))]
-            yield pa.RecordBatch.from_arrays([*keys, pa.array(rank, pa.int32()), pa.array(score, pa.float64()), pa.array(ids, pa.list_(pa.int32())), pa.array(normal, pa.string())], names=[*id_cols, "rank", "score", "ids", "normalized"])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(ids, np.int32) if ids else [], pa.int32()))
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(rank, pa.int32()), pa.array(score, pa.float64()), lists, pa.array(normal, pa.string())], names=[*id_cols, "rank", "score", "ids", "normalized"])
 
     keys = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*id_cols).schema]
     return df.select(*id_cols, F.col(text_col)).mapInArrow(per_batch(run), ", ".join([*keys, "rank int, score double, ids array<int>, normalized string"]))
@@ -175,7 +206,14 @@ def decode_pieces(df: DataFrame, model: str = "piece_bpe_32k.model", *, ids_col:
     def run(batch: pa.RecordBatch):
         lat = lattice(model)
         text = {i: p.encode() for p, (i, _) in lat.pieces.items()} | {i: bytes([b]) for b, i in enumerate(lat.bytes)}
-        out = [None if ids is None else b"".join(text[i] for i in ids).decode(errors="replace") for ids in batch.column(where).to_pylist()]
+        table, lists = pa.array([text.get(i) for i in range(max(text) + 1)], pa.large_binary()), batch.column(where)
+        bits = table.take(lists.flatten())
+        if bits.null_count:
+            raise ValueError("an id is no piece of the model")
+        at = np.frombuffer(bits.buffers()[1], np.int64)[bits.offset :] if len(bits) else np.zeros(1, np.int64)
+        ends = at[np.cumsum([0, *pc.fill_null(pc.list_value_length(lists), 0).to_pylist()])].tolist()
+        data = memoryview(bits.buffers()[2] or b"")
+        out = [str(data[a:b], "utf-8", "replace") if known else None for a, b, known in zip(ends, ends[1:], lists.is_valid().to_pylist())]
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=[*batch.schema.names, out_col])
 
     keys = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema]

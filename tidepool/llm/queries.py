@@ -55,11 +55,18 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-def op5_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    found = decode_pieces(encode_nbest(turns, n=4, id_cols=["conv_id", "turn"]))
+def _nbest(rows: DataFrame, *ids: str) -> DataFrame:
+    found = decode_pieces(encode_nbest(rows, n=4, id_cols=ids))
     packed = F.crc32(F.concat_ws(",", F.transform("ids", lambda x: x.cast("string"))).cast("binary"))
-    return found.select("conv_id", "turn", "rank", "score", F.size("ids").alias("n_pieces"), packed.alias("ids_crc32"), (F.col("decoded") == F.col("normalized")).alias("decodes"))
+    return found.select(*ids, "rank", "score", F.size("ids").alias("n_pieces"), packed.alias("ids_crc32"), (F.col("decoded") == F.col("normalized")).alias("decodes"))
+
+
+def op5_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _nbest(documents(spark, sf_dir), "doc_id")
+
+
+def op5_nbest_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _nbest(spark.read.parquet(f"{sf_dir}/conversations.parquet"), "conv_id", "turn")
 
 
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_nearest": op3_nearest,
     "op4_packing": op4_packing,
     "op5_nbest": op5_nbest,
+    "op5_nbest_turns": op5_nbest_turns,
     "op6_token_files": op6_token_files,
     "op7_jaccard": op7_jaccard,
     "op8_toxicity": op8_toxicity,
