@@ -49,6 +49,11 @@ def test_query_without_sql_runs(spark, name):
     assert entry.queries()[name](spark, DIR).count() > 0
 
 
+def test_blend_has_every_component(spark):
+    got = entry.queries()["vector_blend_whole"](spark, DIR).groupBy("vec_id").count()
+    assert {r["count"] for r in got.collect()} == {64}
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())

@@ -113,6 +113,15 @@ def vector_blend(spark, d):
     return b.select("vec_id", (F.col("i") + 1).alias("i"), F.round("x", 6).alias("x")).where("i <= 4")
 
 
+@query(f"""WITH {CATALOG}, b AS (SELECT d.vec_id, d.i, 0.7 * d.x + 0.3 * c.x AS x FROM dims d JOIN cat c ON c.item = d.item AND c.i = d.i), n AS (SELECT vec_id, sqrt(sum(x * x)) AS n FROM b GROUP BY vec_id)
+SELECT vec_id, i::INT AS i, round(x / n, 6) AS x FROM b JOIN n USING (vec_id)""")
+def vector_blend_whole(spark, d):
+    """``vector_blend`` with every component."""
+    q = queries_of(spark, d).join(catalog(spark, d).withColumnRenamed("vector", "description"), "item")
+    b = q.select("vec_id", F.posexplode(V.blend(F.col("vector"), F.col("description"), 0.3)).alias("i", "x"))
+    return b.select("vec_id", (F.col("i") + 1).alias("i"), F.round("x", 6).alias("x"))
+
+
 @query(f"""WITH {CATALOG}, h AS (SELECT vec_id, item, score FROM scores WHERE score >= 0.0 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, item) <= 3),
 p AS (SELECT vec_id, c.i, sum(greatest(score, 0) * c.x) / sum(greatest(score, 0)) AS x FROM h JOIN cat c USING (item) GROUP BY vec_id, c.i), pn AS (SELECT vec_id, sqrt(sum(x * x)) AS n FROM p GROUP BY vec_id),
 b AS (SELECT d.vec_id, d.i, CASE WHEN pn.n IS NULL THEN d.x ELSE 0.6 * d.x + 0.4 * p.x / pn.n END AS x FROM dims d LEFT JOIN p USING (vec_id, i) LEFT JOIN pn ON pn.vec_id = d.vec_id),
