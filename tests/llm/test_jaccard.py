@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from tidepool.llm import bytetext as bt
@@ -18,21 +19,25 @@ def shingles(text):
 
 
 def groups(docs):
-    sets = {i: shingles(t) for i, t in docs}
-    root = {i: i for i in sets}
+    """(n_shingles, component) of each row, by links of all pairs of rows; rows of one id are one node."""
+    sets = [(i, shingles(t)) for i, t in docs]
+    root = {i: i for i, _ in sets}
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    ids = sorted(sets)
-    for a in ids:
-        for b in ids:
-            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
-                x, y = sorted((find(a), find(b)))
+    for i, a in sets:
+        for j, b in sets:
+            if i < j and a and b and 100 * len(a & b) >= 80 * len(a | b):
+                x, y = sorted((find(i), find(j)))
                 root[y] = x
-    return {i: (len(sets[i]), find(i)) for i in ids}
+    return sorted((i, len(a), find(i)) for i, a in sets)
+
+
+def found(df):
+    return sorted(tuple(r) for r in J.similar_groups(df).select("doc_id", "n_shingles", "component_id").collect())
 
 
 def corpus(seed):
@@ -51,6 +56,8 @@ def corpus(seed):
         own = " ".join(rnd.choice(words) for _ in range(rnd.randint(1, 80)))
         docs.append(own + (" " + common if rnd.random() < 0.5 else ""))
     docs += [d for d in docs[-8:]]
+    # words that differ in a control character alone, at the lengths where a block of eight bytes ends
+    docs += ["one two three four abcdef six seven", "one two three four abcdef\x01 six seven", "abcdefg h i j k", "abcdefg\x00 h i j k", "abcdefgh b c d e f", "abcdefgh\x00 b c d e f"]
     rnd.shuffle(docs)
     return list(enumerate(docs))
 
@@ -60,8 +67,51 @@ def test_components_of_all_links(spark, monkeypatch):
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("n", F.lit(0)).repartition(5)
     for leaders in (1, 32):  # with one leader, much is left for the second pass
         monkeypatch.setattr(J, "LEADERS", leaders)
-        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in J.similar_groups(df).collect()}
-        assert got == groups(docs)
+        assert found(df) == groups(docs)
+
+
+def test_hot_shingles_are_dealt_out(spark, monkeypatch):
+    docs = corpus(11)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(J, "HOT", 8)
+    assert found(df) == groups(docs)
+
+
+def test_rows_of_one_id_are_one_node(spark):
+    a, b, c = ("a b c d e f g h i j", "k l m n o p q r s t", "u v w x y z 1 2 3 4")
+    docs = [(1, a), (5, a), (5, b), (2, b), (5, b), (5, None), (9, c), (8, c), (8, "a lone text of its own here"), (8, ""), (7, None), (7, ""), (3, "x y"), (3, "y z"), (4, "y z")]
+    docs += [(20, f"{a} {i}") for i in range(30)] + [(21, f"{b} {c}")] * 40  # an id with many texts, and one with many equal rows
+    got = found(spark.createDataFrame(docs, "doc_id long, text string").repartition(3))
+    assert got == groups(docs) and (2, 6, 1) in got and (5, 0, 1) in got and (8, 0, 8) in got
+
+
+def test_very_long_texts(spark):
+    rnd = random.Random(5)
+    base = [f"w{rnd.randrange(50_000)}" for _ in range(200_000)]
+    near = list(base)
+    near[1000:2000] = ["x"] * 1000
+    docs = [(1, " ".join(base)), (2, " ".join(near)), (3, "y" * 1_000_000), (4, "y" * 1_000_001)]
+    assert [(i, c) for i, _, c in found(spark.createDataFrame(docs, "doc_id long, text string"))] == [(1, 1), (2, 1), (3, 3), (4, 4)]
+
+
+def test_tables_go_when_nothing_reads_them(spark, tmp_path, monkeypatch):
+    from tidepool.llm import tables
+
+    monkeypatch.setattr(tables, "shared_folder", lambda _: f"file://{tmp_path}")
+    df = spark.createDataFrame(corpus(7), "doc_id long, text string")
+    assert J.similar_groups(df).count() == df.count()
+    assert [p.name.split("-")[0] for p in tmp_path.iterdir()] == ["groups"]
+
+
+def test_a_shared_folder_is_needed_on_a_cluster():
+    from types import SimpleNamespace
+
+    from tidepool.llm.tables import shared_folder
+
+    conf = SimpleNamespace(get=lambda *a: None)
+    session = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077", getConf=lambda: conf))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(session)
 
 
 def test_rows_without_words_and_empty_tables(spark):
@@ -71,6 +121,13 @@ def test_rows_without_words_and_empty_tables(spark):
     assert J.similar_groups(df.limit(0)).count() == 0
 
 
+def test_one_of_each_takes_one_row_of_an_id(spark):
+    text = "a b c d e f g h"
+    df = spark.createDataFrame([(1, text, 1), (1, text, 1), (1, text + " i", 2), (2, text, 3), (None, text, 4), (None, text, 4)], "doc_id long, text string, place_ int")
+    got = J.one_of_each(df)
+    assert got.columns == df.columns and sorted((r["doc_id"] or 0) for r in got.collect()) == [0, 0, 1]
+
+
 def test_one_of_each_keeps_columns(spark):
     text = "a b c d e f g h"
     df = spark.createDataFrame([(2, text, "p"), (1, text, "q"), (3, "other words here to read", "r"), (None, text, "s")], "doc_id long, text string, component_id string")
@@ -83,6 +140,7 @@ def test_sets_match_plain_python():
     data, offsets = bt.buffers(pa.array(texts, pa.string()))
     _, bounds = J.shingle_sets(data, offsets)
     assert np.diff(bounds).tolist() == [len(shingles(t)) for t in texts]
+    assert len({tuple(s) for s in zip(*J.signatures(*J.shingle_sets(data, offsets)))}) == len({shingles(t) for t in texts})
 
 
 def test_components_of_chains_and_stars(spark):

@@ -60,10 +60,10 @@ def steps(offsets: np.ndarray, limit: int = STEP_BYTES) -> Iterator[tuple[int, i
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes, by blocks of eight."""
+    """A 64-bit hash of each span of bytes: its blocks of eight bytes, then its length."""
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
     words = np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
-    h = mix((words[starts] & _MASK[np.minimum(lengths, 8)]) ^ (lengths.astype(np.uint64) << np.uint64(48)))
+    h = mix(words[starts] & _MASK[np.minimum(lengths, 8)])
     todo = np.flatnonzero(lengths > 8)
     at = 8
     while len(todo):
@@ -71,7 +71,7 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np
         h[todo] = mix(h[todo] ^ (words[starts[todo] + at] & _MASK[np.minimum(rest, 8)]))
         at += 8
         todo = todo[rest > 8]
-    return h
+    return mix(h ^ (lengths.astype(np.uint64) * _M2))
 
 
 def spans_of_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.llm.tables import staged
+from tidepool.llm.tables import drop, staged
 
 _EDGE = "u long, v long"
 
@@ -39,10 +39,14 @@ def _forest(batches):
         yield pa.RecordBatch.from_arrays([pa.array(nodes[off]), pa.array(nodes[root[off]])], names=["u", "v"])
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, component): the smallest node reachable, for every node of ``edges`` (u, v); self loops are ignored."""
+def components(edges: DataFrame, held: list[str] | None = None) -> DataFrame:
+    """(node, component): the smallest node reachable, for every node of ``edges`` (u, v); self loops are ignored.
+
+    The result reads the last round's table, whose path is added to ``held``; earlier ones are deleted.
+    """
+    spark, rounds = edges.sparkSession, []
     edges = edges.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u <> v")
-    edges = staged(edges.mapInArrow(_forest, _EDGE).distinct(), "edges")
+    edges = staged(edges.mapInArrow(_forest, _EDGE).distinct(), "edges", rounds)
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -50,11 +54,15 @@ def components(edges: DataFrame) -> DataFrame:
         # small star: every node's smaller neighbours, and the node itself, go to the least of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        after = staged(small, "edges")
+        before, rounds = rounds, []
+        after = staged(small, "edges", rounds)
+        drop(spark, before)
         # done when every node has one edge and no centre is the outer end of another
         outer = after.groupBy("u").agg(F.count("*").alias("n"))
         more = outer.where("n > 1").limit(1).count() or after.join(outer.select(F.col("u").alias("v")), "v", "left_semi").limit(1).count()
         edges = after
         if not more:
             break
+    if held is not None:
+        held += rounds
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -16,11 +17,12 @@ def shared_path(spark: SparkSession, what: str) -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; where it is unset, as in tests, a folder in /tmp is set."""
+    """The cluster's spark.checkpoint.dir.  Where it is unset, a folder in /tmp will do if all runs on this machine, as in tests; else no folder is known to be shared."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file:///tmp/checkpoints"
-        spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
@@ -35,18 +37,30 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
-def staged(df: DataFrame, what: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: its lineage ends at files that outlive any executor."""
+def staged(df: DataFrame, what: str, held: list[str] | None = None) -> DataFrame:
+    """``df`` written to the shared folder and read back: its lineage ends at files that outlive any executor.
+
+    The files go when the session's JVM ends, or by ``drop`` of the paths that ``held`` collects.
+    """
     path = shared_path(df.sparkSession, what)
     df.write.parquet(path)
+    fs, p = _file(df.sparkSession, path)
+    fs.deleteOnExit(p)
+    if held is not None:
+        held.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_staged(df: DataFrame, path: str) -> None:
-    """Delete files that ``staged`` wrote."""
-    jvm = df.sparkSession.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def drop(spark: SparkSession, held: list[str]) -> None:
+    """Delete tables that ``staged`` wrote and nothing reads any more."""
+    while held:
+        fs, p = _file(spark, held.pop())
+        fs.delete(p, True)
+
+
+def _file(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
 def per_batch(f: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]):
