@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidepool.llm import bytetext as bt
 from tidepool.llm.pii import find_pii, joined, redact
-from tidepool.llm.quality import MEASURES, RULES, Texts, cascade, keep_documents, order_rules, quality_cascade
+from tidepool.llm.quality import MEASURES, RULES, Survey, Texts, cascade, keep_documents, order_rules, quality_cascade, survey_rules
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -30,7 +30,7 @@ def measured(text):
     }
 
 
-TEXT = st.lists(st.sampled_from(["a", "bb", "é", "#", "12", " ", "\n", "\n\n", "the", " cat ", "\t", "日本", "a b c d e f g h "]), max_size=60).map("".join)
+TEXT = st.lists(st.sampled_from(["a", "bb", "é", "#", "12", " ", "\n", "\n\n", "the", " cat ", "\t", "日本", "a b c d e f g h ", "\x00", "\x01", "abcdef", "abcdefg", "abcdefgh", "\x1f"]), max_size=60).map("".join)
 
 
 @given(texts=st.lists(TEXT, max_size=6))
@@ -42,6 +42,11 @@ def test_measures(texts):
         assert f(t).tolist() == [m[name] for m in want], name
 
 
+def test_words_that_differ_in_a_control_character_differ():
+    texts = ["abcdef\nabcdef\x01\nabcdef", "abcdefg\nabcdefg\x00", "abcdefgh\nabcdefgh\x00", "\x00\n\x00\x00"]
+    assert MEASURES["n_dup_lines"](Texts(*bt.buffers(pa.array(texts)))).tolist() == [1, 0, 0, 0]
+
+
 @given(texts=st.lists(TEXT, min_size=1, max_size=8), seed=st.integers(0, 99))
 @settings(max_examples=100, deadline=None)
 def test_cascade_is_a_conjunction_in_any_order(texts, seed):
@@ -51,9 +56,22 @@ def test_cascade_is_a_conjunction_in_any_order(texts, seed):
     assert kept.tolist() == want
 
 
-def test_rules_run_by_rejection_per_cost():
-    measured_ = {r.name: (1.0, 0.0) for r in RULES} | {"stutter": (2.0, 0.5), "symbols": (0.1, 0.3)}
-    assert [r.name for r in order_rules(RULES, measured_)][:2] == ["symbols", "stutter"]
+def test_rules_run_by_rejection_per_cost_beyond_what_is_paid():
+    at = {r.name: k for k, r in enumerate(RULES)}
+    cost = {"words": 4.0, "hashes": 4.0} | dict.fromkeys(MEASURES, 1.0)
+    names = lambda survey, paid=(): [r.name for r in order_rules(RULES, survey, paid)]
+    rejected = Counter({0: 60, 1 << at["symbols"]: 10, 1 << at["few_words"]: 20, 1 << at["stutter"]: 12, 1 << at["few_words"] | 1 << at["short_words"]: 4})
+    # symbols: 10 for 2 seconds; few_words: 24 for 5; stutter then shares the words: 12 for 6; short_words has nothing left to reject
+    assert names(Survey(cost, rejected))[:3] == ["symbols", "few_words", "stutter"]
+    assert names(Survey(cost, rejected), ["n_words"])[:2] == ["few_words", "symbols"]
+    assert names(Survey()) == [r.name for r in RULES]
+
+
+def test_survey_counts_rejections(spark):
+    docs = [(1, GOOD), (2, ""), (3, "buy " * 50), (3, "buy " * 50)]
+    got = survey_rules(spark.createDataFrame(docs, "doc_id long, text string"))
+    want = Counter(sum(int(r.rejects({k: np.array([v]) for k, v in measured(t).items()})[0]) << k for k, r in enumerate(RULES)) for _, t in docs)
+    assert got.rejected_by == want and {"words", "hashes", "n_repeat_words"} <= set(got.cost)
 
 
 GOOD = "This is a plain text of some length. " + " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60))

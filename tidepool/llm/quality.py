@@ -1,22 +1,27 @@
 """Quality rules as a short-circuit cascade.
 
-A document is kept if no rule rejects it.  On a bounded sample each rule's cost
-(seconds a MB) and rejection rate are measured; rules then run in falling order
-of rejection per cost, each on the documents that all earlier ones let pass.
-The verdict is a conjunction, so the order changes the work and not the result.
-A measure that several rules or the caller need is taken once.
-
-Words are ``[^\\x20\\x09-\\x0D]+``.  Null and empty texts have no words and are
-rejected.  Rows are judged one by one: ties, repeats and empty tables need no
-rule.  Columns other than the id and the text are passed on (``keep_documents``)
-or not read (``quality_cascade``).
+A document is kept if no rule rejects it.  On a bounded sample the cost (seconds a
+MB) of each measure, and of the words and hashes that measures share, is taken
+apart, and each document's rejecting rules are noted.  Rules are then ordered one
+after the other: the next one rejects most of what the earlier ones left, for what
+it costs beyond what they have paid already.  Each runs on the documents that all
+earlier ones let pass.  The verdict is a conjunction, so the order changes the work
+and not the result.  A measure that several rules or the caller need is taken once.
+
+Words are ``[^\\x20\\x09-\\x0D]+``.  Words and lines are compared by 64-bit hashes of
+their bytes and length, within one text: n of them hold a false repeat with a
+chance of n * n / 2^65 (for a text of 1 MB below 10^-8).  Null and empty texts have
+no words and are rejected.  Rows are judged one by one: ties, repeats and empty
+tables need no rule.  Columns other than the id and the text are passed on
+(``keep_documents``) or not read (``quality_cascade``).
 """
 
 from __future__ import annotations
 
 import time
+from collections import Counter
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -137,6 +142,9 @@ def n_stutters(t: Texts) -> np.ndarray:
 
 MEASURES: dict[str, Callable[[Texts], np.ndarray]] = {f.__name__: f for f in (n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_letter_words, n_stutters)}
 
+#: What a measure uses of a text's shared parts; they are found once for all measures.
+SHARED = {"n_words": ("words",), "n_repeat_words": ("words", "hashes"), "n_letter_words": ("words",), "n_stutters": ("words", "hashes")}
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -155,6 +163,10 @@ class Rule:
     def needs(self) -> tuple[str, ...]:
         return (self.part,) if self.whole is None else (self.part, self.whole)
 
+    def parts(self) -> set[str]:
+        """The measures and shared parts that the rule pays for, unless another has."""
+        return {p for k in self.needs() for p in (k, *SHARED.get(k, ()))}
+
 
 BASE_RULES = (Rule("few_words", "n_words", None, 20, False), Rule("repeated_words", "n_repeat_words", "n_words", 30, True))
 RULES = (
@@ -215,37 +227,64 @@ class _Masked(Texts):
                 self._hashes = base._hashes[held]
 
 
-def measure_rules(df: DataFrame, rules: Sequence[Rule] = RULES, *, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> dict[str, tuple[float, float]]:
-    """Each rule's (seconds a MB, share rejected) on the ``sample_docs`` documents whose ids hash lowest."""
+@dataclass
+class Survey:
+    """What a sample showed: the seconds a MB of each measure and shared part, and how many documents each set of rules rejects."""
+
+    cost: dict[str, float] = field(default_factory=dict)
+    rejected_by: Counter = field(default_factory=Counter)
+
+
+def survey_rules(df: DataFrame, rules: Sequence[Rule] = RULES, *, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> Survey:
+    """The costs and rejections on the ``sample_docs`` documents whose ids hash lowest."""
     picked = [r[0] for r in df.select(id_col).where(F.col(id_col).isNotNull()).orderBy(F.xxhash64(id_col), id_col).limit(sample_docs).collect()]
     if not picked:
-        return {}
+        return Survey()
+    names = sorted({k for r in rules for k in r.needs()})
 
     def run(batch: pa.RecordBatch):
         data, offsets = bt.buffers(batch.column(0))
-        for rule in rules:
-            seconds, rejected = 0.0, 0
-            for a, b in bt.steps(offsets):
-                t = Texts(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        spent, masks = Counter(), Counter()
+        for a, b in bt.steps(offsets):
+            t = Texts(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            values = {}
+            for name, f in [("words", Texts.words), ("hashes", Texts.hashes), *((k, MEASURES[k]) for k in names)]:
                 began = time.perf_counter()
-                rejected += int(rule.rejects({k: MEASURES[k](t) for k in rule.needs()}).sum())
-                seconds += time.perf_counter() - began
-            yield pa.RecordBatch.from_pydict({"rule": [rule.name], "seconds": [seconds], "mb": [len(data) / 1e6], "rejected": [float(rejected)], "n": [float(batch.num_rows)]})
+                values[name] = f(t)
+                spent[name] += time.perf_counter() - began
+            masks.update(sum(r.rejects(values).astype(np.int64) << k for k, r in enumerate(rules)).tolist())
+        mb = len(data) / 1e6
+        yield pa.RecordBatch.from_pydict({"part": [*spent, *[None] * len(masks)], "rules": pa.array([*[None] * len(spent), *masks], pa.int64()), "seconds": pa.array([*spent.values(), *[None] * len(masks)], pa.float64()), "mb": pa.array([mb] * (len(spent) + len(masks)), pa.float64()), "n": pa.array([*[None] * len(spent), *masks.values()], pa.int64())})
+
+    rows = df.where(F.col(id_col).isin(picked)).select(text_col).limit(2 * sample_docs).mapInArrow(per_batch(run), "part string, rules long, seconds double, mb double, n long")
+    got = rows.groupBy("part", "rules").agg(F.sum("seconds").alias("seconds"), F.sum("mb").alias("mb"), F.sum("n").alias("n")).collect()  # at most a row for each document sampled
+    cost = {r["part"]: r["seconds"] / max(r["mb"], 1e-6) for r in got if r["part"] is not None}
+    return Survey(cost, Counter({r["rules"]: r["n"] for r in got if r["part"] is None}))
+
 
-    rows = df.where(F.col(id_col).isin(picked)).select(text_col).limit(2 * sample_docs).mapInArrow(per_batch(run), "rule string, seconds double, mb double, rejected double, n double")
-    total = rows.groupBy("rule").agg(*(F.sum(c).alias(c) for c in ("seconds", "mb", "rejected", "n"))).collect()
-    return {r["rule"]: (r["seconds"] / max(r["mb"], 1e-6), r["rejected"] / r["n"]) for r in total}
+def order_rules(rules: Sequence[Rule], survey: Survey, paid: Sequence[str] = ()) -> list[Rule]:
+    """Rules one by one: the most rejections of what is left, per cost beyond what is ``paid``; as given where nothing was measured."""
+    paid = {p for k in paid for p in (k, *SHARED.get(k, ()))}
+    out, left, alive = [], list(enumerate(rules)), survey.rejected_by
 
+    def worth(item: tuple[int, Rule]) -> float:
+        k, rule = item
+        rejected = sum(n for mask, n in alive.items() if mask >> k & 1)
+        return rejected / max(sum(survey.cost.get(p, 0.0) for p in rule.parts() - paid), 1e-9)
 
-def order_rules(rules: Sequence[Rule], measured: dict[str, tuple[float, float]]) -> list[Rule]:
-    """Rules in falling order of rejection per cost; as given where nothing was measured."""
-    return sorted(rules, key=lambda r: -measured[r.name][1] / max(measured[r.name][0], 1e-9) if r.name in measured else 0.0)
+    while left:
+        item = max(left, key=worth)  # the first of equals
+        left.remove(item)
+        out.append(item[1])
+        paid |= item[1].parts()
+        alive = {mask: n for mask, n in alive.items() if not mask >> item[0] & 1}
+    return out
 
 
 def quality_cascade(df: DataFrame, rules: Sequence[Rule] = RULES, *, id_col: str = "doc_id", text_col: str = "text", measures: Sequence[str] = (), sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """Per row: id, the ``measures`` asked for (of every row), kept."""
     small_batches(df.sparkSession)
-    ordered = order_rules(rules, measure_rules(df, rules, id_col=id_col, text_col=text_col, sample_docs=sample_docs))
+    ordered = order_rules(rules, survey_rules(df, rules, id_col=id_col, text_col=text_col, sample_docs=sample_docs), measures)
 
     def run(batch: pa.RecordBatch):
         data, offsets = bt.buffers(batch.column(1))
@@ -260,7 +299,7 @@ def quality_cascade(df: DataFrame, rules: Sequence[Rule] = RULES, *, id_col: str
 def keep_documents(df: DataFrame, rules: Sequence[Rule] = RULES, *, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """The rows of ``df`` that no rule rejects, with all their columns."""
     small_batches(df.sparkSession)
-    ordered = order_rules(rules, measure_rules(df, rules, id_col=id_col, text_col=text_col, sample_docs=sample_docs))
+    ordered = order_rules(rules, survey_rules(df, rules, id_col=id_col, text_col=text_col, sample_docs=sample_docs))
     where = df.columns.index(text_col)
 
     def run(batch: pa.RecordBatch):
