@@ -10,8 +10,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tidepool.llm import ann, chat
 from tidepool.llm import bytetext as bt
-from tidepool.llm import chat
 from tidepool.llm.ann import Shard, nearest
 from tidepool.llm.nbest import decode_pieces, encode_nbest, lattice
 from tidepool.llm.queries import raw_transcripts
@@ -39,6 +39,31 @@ def test_recall_of_a_shard():
     assert sum(len(set(g["id"]) & set(want[q])) for q, g in got.groupby("query_id")) / 500 >= 0.9
 
 
+def test_recall_over_several_shards(spark, monkeypatch):
+    monkeypatch.setattr(ann, "SHARD", (256, 512))
+    rng = np.random.default_rng(8)
+    centres = rng.standard_normal((40, 24))
+    v = centres[rng.integers(0, 40, 3000)] + 0.4 * rng.standard_normal((3000, 24))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>").repartition(4)
+    got = nearest(df, df.where("vec_id % 50 = 0"), 5).toPandas()
+    want = brute(np.arange(3000), v, range(0, 3000, 50), 5)
+    assert (got.groupby("query_id").size() == 5).all() and got["query_id"].nunique() == 60
+    assert sum(len(set(g["vec_id"]) & set(want[q])) for q, g in got.groupby("query_id")) / 300 >= 0.9
+    unit = v / np.linalg.norm(v, axis=1)[:, None]
+    assert np.allclose(got["score"], (unit[got["query_id"]] * unit[got["vec_id"]]).sum(axis=1))
+
+
+def test_rows_that_share_an_id_are_one_item(spark):
+    one, two, far = [1.0, 0.0, 0.1], [0.9, 0.1, 0.0], [-1.0, 0.2, 0.0]
+    rows = [(50, one)] * 8 + [(60, one), (7, two), (7, far), (7, two), (8, far), (9, [0.5, 0.5, 0.5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = nearest(df, df.where("vec_id IN (50, 7)"), 5).orderBy("query_id", "rank").toPandas()
+    assert got[got["query_id"] == 50]["vec_id"].tolist() == [60, 7, 9, 8] and abs(got[got["query_id"] == 50]["score"].iloc[0] - 1) < 1e-12
+    assert got[got["query_id"] == 7]["vec_id"].tolist() == [8, 50, 60, 9]  # 8 equals one of the vectors of 7
+    many = spark.createDataFrame([(1, [1.0, 0.001 * i]) for i in range(200)] + [(i, [1.0, 0.1 * i]) for i in range(2, 9)], "vec_id long, embedding array<double>")
+    assert nearest(many, many.where("vec_id = 2"), 5).orderBy("rank").toPandas()["vec_id"].tolist() == [1, 3, 4, 5, 6]
+
+
 def test_graph_degrees_and_pruning():
     rng = np.random.default_rng(2)
     x = rng.standard_normal((300, 8))

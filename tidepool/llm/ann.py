@@ -12,14 +12,17 @@ bounded until shards reach the upper end, and the queries' work grows with the
 queries alone.
 
 Vectors that are null, empty, zero, or hold null or non-finite components take no
-part, as query or candidate.  Vectors of different lengths are not compared.  A
-query never finds its own row, but may find other rows of the same id's copies.
-Fewer than k candidates: all of them.  Rows without an id take no part.  An empty
-table gives an empty result.  Other columns are not read.
+part, as query or candidate.  Vectors of different lengths are not compared.  Equal
+rows count once.  Rows that share an id are one item, whose score with another is
+the largest of their vectors': so an id is found once at most by a query, and never
+by itself.  Fewer than k candidates: all of them.  Rows without an id take no part.
+An empty table gives an empty result.  Other columns are not read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -42,7 +45,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, *, id_col: str =
     small_batches(vectors.sparkSession)
     shape = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.transform(vector_col, lambda x: x.cast("double")).alias("v")).where(F.col("id").isNotNull() & usable(F.col("v")))
     copies = Window.partitionBy("v").orderBy("id")
-    points = staged(shape(vectors).withColumn("nth", F.row_number().over(copies)).where(F.col("nth") <= k + 1).drop("nth"), "points")
+    points = staged(shape(vectors).distinct().withColumn("nth", F.row_number().over(copies)).where(F.col("nth") <= k + 1).drop("nth"), "points")
     size = min(max(points.count() // SHARDS, SHARD[0]), SHARD[1])
     counted = points.groupBy(F.size("v").alias("dim")).count().collect()  # one row per length of vector
     plan = {r["dim"]: max(1, -(-r["count"] // size)) for r in counted}
@@ -50,7 +53,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, *, id_col: str =
     shards = spark.createDataFrame([(d, n) for d, n in plan.items()], "dim int, shards int")  # as small
     salt = F.pmod(F.xxhash64("v"), F.col("shards"))
     indexed = points.join(F.broadcast(shards), F.size("v") == F.col("dim")).select("dim", salt.cast("int").alias("shard"), F.lit(0).alias("kind"), "id", "v")
-    asked = shape(queries).join(F.broadcast(shards), F.size("v") == F.col("dim"))
+    asked = shape(queries).distinct().join(F.broadcast(shards), F.size("v") == F.col("dim"))
     asked = asked.select("dim", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), F.lit(1).alias("kind"), "id", "v")
     rows = indexed.union(asked).repartition("dim", "shard").sortWithinPartitions("dim", "shard", "kind", "id")
 
@@ -76,7 +79,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, *, id_col: str =
                     d = min(b, c + QUERY_BLOCK)
                     yield shard.query(batch.column(3).to_numpy()[c:d], vector[c - a : d - a], k, beam)
 
-    found = rows.mapInArrow(run, "query_id long, id long, score double")
+    found = rows.mapInArrow(run, "query_id long, id long, score double").groupBy("query_id", "id").agg(F.max("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
 
@@ -96,6 +99,7 @@ class Shard:
         self.ids, of = ids[order], of.ravel()[order]
         self.bounds = np.searchsorted(of, np.arange(len(first) + 1))
         self.v = vectors[first]
+        self.distinct = np.unique(ids)
         self.norm = norms(self.v)
         self.graph = Graph(self.v / self.norm[:, None])
 
@@ -111,8 +115,21 @@ class Shard:
         if odd.any():
             score[odd] = np.einsum("qcd,qd->qc", self.v[near] / self.norm[near][:, :, None], unit)[odd]
         out: list[tuple[int, int, float]] = []
-        for q, point, s in zip(ids.tolist(), near.tolist(), score.tolist()):
-            rows = [(-x, i) for p, x in zip(point, s) if p >= 0 for i in self.ids[self.bounds[p] : self.bounds[p + 1]].tolist() if i != q]
-            out += [(q, i, -x) for x, i in sorted(rows)[:k]]
+        for q, (name, point, s) in enumerate(zip(ids.tolist(), near.tolist(), score.tolist())):
+            best = self.items(name, point, s, k)
+            if len(best) < min(k, len(self.distinct) - 1):  # copies and other vectors of the same ids fill the beam: look at all points
+                best = self.items(name, range(len(self.v)), (((self.v / self.norm[:, None]) @ unit[q])).tolist(), k)
+            out += [(name, i, x) for i, x in best]
         columns = list(zip(*out)) if out else [(), (), ()]
         return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], names=["query_id", "id", "score"])
+
+    def items(self, query: int, points: Sequence[int], scores: list[float], k: int) -> list[tuple[int, float]]:
+        """The k best ids of some points, but the query's own, each with its largest score."""
+        best: dict[int, float] = {}
+        for p, x in zip(points, scores):
+            if p < 0:
+                continue
+            for i in self.ids[self.bounds[p] : self.bounds[p + 1]].tolist():
+                if i != query and x > best.get(i, -np.inf):
+                    best[i] = x
+        return sorted(best.items(), key=lambda z: (-z[1], z[0]))[:k]
