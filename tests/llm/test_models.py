@@ -3,17 +3,21 @@
 import itertools
 import math
 import random
+import time
+import zlib
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidepool.llm import ann, chat
 from tidepool.llm import bytetext as bt
 from tidepool.llm.ann import Shard, nearest
-from tidepool.llm.nbest import decode_pieces, encode_nbest, lattice
+from tidepool.llm.nbest import BYTE_SCORE, UNIT, Table, decode_pieces, encode_nbest, lattice, table
 from tidepool.llm.queries import raw_transcripts
 from tidepool.llm.toxicity import drop_toxic, features, held_out, label_model, score_toxicity, train
 from tidepool.llm.vector_graph import Graph
@@ -208,33 +212,85 @@ def test_roles_are_recovered(spark):
 # -- n-best ---------------------------------------------------------------------------------
 
 
-def all_paths(lat, word):
-    into = lat.arcs(word)
-    paths = [[(0.0, ())]] + [[] for _ in word]
-    for b in range(1, len(word) + 1):
-        for a, s, i in into[b]:
-            paths[b] += [(t + s, p + i) for t, p in paths[a]]
+def all_paths(lat, text):
+    """All segmentations into pieces, and bytes for characters that are none."""
+    paths = [[(0, ())]] + [[] for _ in text]
+    for b in range(1, len(text) + 1):
+        for a in range(b):
+            if hit := lat.arcs.get(text[a:b]):
+                paths[b] += [(t + hit[0], (*p, hit[1])) for t, p in paths[a]]
+            elif b == a + 1:
+                raw = text[a].encode()
+                paths[b] += [(t + round(BYTE_SCORE / UNIT) * len(raw), (*p, *(lat.bytes[x] for x in raw))) for t, p in paths[a]]
     return sorted(paths[-1], reverse=True)
 
 
-@pytest.mark.parametrize("text", ["▁hello", "▁▁▁straße", "▁日本x", "ab", "▁the▁cat▁sat", "aé▁▁b", "▁a▁b▁c▁d"])
-def test_nbest_against_all_segmentations(text):
+WORDS = ["▁hello", "▁▁▁straße", "▁日本x", "ab", "▁the▁cat▁sat", "aé▁▁b", "▁a▁b▁c▁d", "", "aaaaaaa", "..,,..", "▁12.5▁🙂"]
+
+
+@pytest.mark.parametrize("n", [1, 2, 4, 6])
+def test_nbest_against_all_segmentations(n):
+    lat = lattice("piece_bpe_32k.model")
+    row, rank, score, ends, ids = Table(lat, n).encode(WORDS)
+    for k, text in enumerate(WORDS):
+        mine = np.flatnonzero(row == k)
+        want = all_paths(lat, text)[:n]
+        assert rank[mine].tolist() == list(range(1, len(want) + 1))
+        assert [round(x / UNIT) for x in score[mine]] == [s for s, _ in want]
+        every = dict((i, s) for s, i in all_paths(lat, text))
+        found = [tuple(ids[ends[m] : ends[m + 1]].tolist()) for m in mine]
+        assert len(set(found)) == len(found) and [every[i] for i in found] == [s for s, _ in want]
+
+
+@given(texts=st.lists(st.text(st.sampled_from("ab th.e▁1é日\x00"), max_size=9), max_size=5))
+@settings(max_examples=100, deadline=None)
+def test_nbest_of_random_texts(texts):
     lat = lattice("piece_bpe_32k.model")
-    got, want = lat.encode(text, 6), all_paths(lat, text)[:6]
-    assert np.allclose([s for s, _ in got], [s for s, _ in want])
-    assert len({tuple(i) for _, i in got}) == len(got)
+    row, _, score, ends, ids = table("piece_bpe_32k.model", 3).encode(texts)
+    for k, text in enumerate(texts):
+        want = all_paths(lat, text)
+        every = dict((i, s) for s, i in want)
+        mine = np.flatnonzero(row == k)
+        assert [every[tuple(ids[ends[m] : ends[m + 1]].tolist())] for m in mine] == [s for s, _ in want[:3]] == [round(x / UNIT) for x in score[mine]]
+
+
+def test_very_long_words_take_time_in_proportion():
+    known = table("piece_bpe_32k.model", 4)
+    began = time.perf_counter()
+    for word in ("a" * 100_000, "the" * 33_000, "日" * 30_000, "▁" * 100_000):
+        row, _, _, ends, _ = known.encode([word])
+        assert len(row) == (1 if word[0] == "日" else 4) and (np.diff(ends) > 0).all()  # no piece holds that character twice
+    assert time.perf_counter() - began < 10
+
+
+def test_equal_hashes_of_different_parts_do_no_harm(monkeypatch):
+    want = Table(lattice("piece_bpe_32k.model"), 3).encode(WORDS)
+    monkeypatch.setattr(bt, "span_hashes", lambda data, starts, lengths: np.zeros(len(starts), np.uint64))
+    got = Table(lattice("piece_bpe_32k.model"), 3).encode(WORDS)
+    assert all((a == b).all() for a, b in zip(got, want))
 
 
 def test_nbest_rows_decode(spark):
-    rows = [(1, "Hello  world\n ﬁ"), (2, None), (3, ""), (1, "Hello  world\n ﬁ"), (4, "日本語 🙂 hello " * 300)]
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit("x"))
+    rows = [(1, "Hello  world\n ﬁ"), (2, None), (3, ""), (1, "Hello  world\n ﬁ"), (4, "日本語 🙂 hello " * 300), (5, " two\tspaces  ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit("x")).withColumn("ids", F.lit(1))
     got = decode_pieces(encode_nbest(df, n=3)).toPandas()
-    assert (got["decoded"] == got["normalized"]).all()
-    assert got.groupby("doc_id").size().to_dict() == {1: 6, 2: 1, 3: 1, 4: 3}
-    assert all((np.diff(g.sort_values("rank")["score"]) <= 1e-9).all() for _, g in got[got["doc_id"] == 4].groupby("doc_id"))
+    text = {i: t or "" for i, t in rows}
+    assert (got["decoded"] == got["doc_id"].map(text)).all() and (got["text_crc32"] == [zlib.crc32(t.encode()) for t in got["decoded"]]).all()
+    assert got.groupby("doc_id").size().to_dict() == {1: 6, 2: 1, 3: 1, 4: 3, 5: 3}
+    assert all((np.diff(g.sort_values("rank")["score"]) <= 0).all() for _, g in got[got["doc_id"] == 4].groupby("doc_id"))
     assert decode_pieces(encode_nbest(df.limit(0), n=3)).count() == 0
 
 
+def test_decoding_is_that_of_the_library(spark):
+    model = lattice("piece_bpe_32k.model").model
+    ids = [model.encode(t) for t in ("Hello  world", " x", "🙂é\n", "")] + [[1, 15043, 2], [0, 15043, 0], [259, 15043], [35, 15043], [1, 259, 2, 259], [], [1, 2]]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(ids)], "k int, ids array<int>")
+    got = [r["decoded"] for r in decode_pieces(df).orderBy("k").collect()]
+    assert got == [model.decode(x) for x in ids]
+    odd = spark.createDataFrame([(None, "p"), ([None, 99999, -5], "p")], "ids array<int>, decoded string")
+    assert [r["decoded"] for r in decode_pieces(odd).collect()] == [None, " ⁇  ⁇  ⁇ "]
+
+
 def test_op5_covers_documents_and_turns(spark, tmp_path):
     from tidepool.llm.queries import QUERIES
 

@@ -74,6 +74,22 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np
     return mix(h ^ (lengths.astype(np.uint64) * _M2))
 
 
+def equal_spans(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, other: np.ndarray) -> bool:
+    """Whether each span holds the same bytes as the span of number ``other``."""
+    if not (lengths == lengths[other]).all():
+        return False
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    words = np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+    todo, at = np.flatnonzero(other != np.arange(len(other))), 0
+    while len(todo):
+        mask = _MASK[np.minimum(lengths[todo] - at, 8)]
+        if ((words[starts[todo] + at] ^ words[starts[other[todo]] + at]) & mask).any():
+            return False
+        at += 8
+        todo = todo[lengths[todo] > at]
+    return True
+
+
 def spans_of_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, lengths and rows of the words ``[^\\x20\\x09-\\x0D]+``."""
     if not len(data):

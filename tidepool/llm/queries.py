@@ -57,8 +57,8 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _nbest(rows: DataFrame, *ids: str) -> DataFrame:
     found = decode_pieces(encode_nbest(rows, n=4, id_cols=ids))
-    packed = F.crc32(F.concat_ws(",", F.transform("ids", lambda x: x.cast("string"))).cast("binary"))
-    return found.select(*ids, "rank", "score", F.size("ids").alias("n_pieces"), packed.alias("ids_crc32"), (F.col("decoded") == F.col("normalized")).alias("decodes"))
+    decodes = F.crc32(F.col("decoded").cast("binary")) == F.col("text_crc32")
+    return found.select(*ids, "rank", "score", F.size("ids").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), decodes.alias("decodes"))
 
 
 def op5_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
