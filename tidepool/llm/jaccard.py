@@ -16,8 +16,7 @@ candidate if it passes
 * the suffix filter: the sets are cut at fixed pivots of the hash into 64 parts,
   and the smaller part sizes bound what is common,
 
-and is verified once, on whole sets.  The whole sets of the documents that met
-another one are written once and serve both passes.
+and is verified once, on whole sets.
 
 A group of k near copies has k * k / 2 links, so links are found in two passes.
 The first pairs each row with the ``LEADERS`` documents of its shingle that have
@@ -307,6 +306,10 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(whole("x"), "x").join(whole("y"), "y").select(size("x"), size("y"), "gx", "gy").mapInArrow(per_batch(verify), "x long, y long").distinct()
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("x", "y")).alias("doc")).distinct()
+
+
 def _ordered(a: str, b: str) -> list:
     return [F.least(F.col(f"{a}.doc"), F.col(f"{b}.doc")).alias("x"), F.greatest(F.col(f"{a}.doc"), F.col(f"{b}.doc")).alias("y")]
 
@@ -338,7 +341,6 @@ def similar_groups(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     salt = F.when(F.col("salts") > 0, F.pmod(F.xxhash64("doc"), F.col("salts"))).otherwise(F.lit(-1)).cast("int")
     met = grams.repartition(F.col("gram"), salt).sortWithinPartitions("gram").mapInArrow(_without_singles, grams.schema)
     met = staged(met.withColumn("prev", F.lag("gram").over(Window.partitionBy("doc", "nth").orderBy("pos"))), "met", held)
-    sets = _sets_table(docs, met.select("doc").distinct(), repeats, held)
 
     # pass 1: each row with a few leaders of its shingle
     draw = Window.partitionBy("gram").orderBy("pos", F.xxhash64("doc"), "doc", "nth")
@@ -346,7 +348,7 @@ def similar_groups(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     leaders = leaders.withColumn("salt", F.explode(F.when(F.col("salts") > 0, F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(F.array(F.lit(-1)))))
     first = met.withColumn("salt", salt).alias("a").join(leaders.alias("b"), ["gram", "salt"]).where(F.col("a.doc") != F.col("b.doc")).where(_candidate("a", "b")).select(*_ordered("a", "b")).distinct()
     tried = staged(first, "pairs", held)
-    links = staged(_linked(tried, sets), "links", held)
+    links = staged(_linked(tried, _sets_table(docs, _ends(tried), repeats, held)), "links", held)
     # the classes of one document are one node
     apart = members.join(repeated.where("low < high").select("doc", "low"), "doc").where("rep > low").select(F.col("low").alias("x"), F.col("rep").alias("y")).distinct()
     links = links.union(apart)
@@ -359,7 +361,7 @@ def similar_groups(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     rest = known.join(mixed, "gram", "left_semi")
     across = rest.alias("a").join(rest.alias("b"), (F.col("a.gram") == F.col("b.gram")) & (F.col("a.component") != F.col("b.component")) & (F.col("a.doc") < F.col("b.doc")) & _candidate("a", "b"))
     second = staged(across.select(*_ordered("a", "b")).distinct().join(tried, ["x", "y"], "left_anti"), "pairs", held)
-    links2 = staged(_linked(second, sets), "links", held)
+    links2 = staged(_linked(second, _sets_table(docs, _ends(second), repeats, held)), "links", held)
 
     # rows without words follow their document's other rows
     final = components(links.union(links2).select(F.col("x").alias("u"), F.col("y").alias("v")), held).withColumnRenamed("node", "rep")
