@@ -1,7 +1,9 @@
 """Token counts, token files, packing: against the library itself, and exact round trips."""
 
+import hashlib
+import itertools
 import random
-import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -11,7 +13,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidepool.llm.encoding import encoder, stable_cuts
+from tidepool.llm import bytetext as bt
+from tidepool.llm.encoding import Encoder, encoder, stable_cuts
 from tidepool.llm.hilbert import hilbert_key
 from tidepool.llm.packing import curve_keys, pack_documents, powers_of_two
 from tidepool.llm.token_counts import count_column, count_tokens
@@ -60,6 +63,15 @@ def test_windows_are_spliced(window, overlap):
     assert widened > 0  # some overlaps have no stable boundary
 
 
+@pytest.mark.parametrize(("name", "style"), BOTH)
+def test_equal_hashes_of_different_words_do_no_harm(monkeypatch, name, style):
+    texts = ["a cat sat on a mat", "a dog sat in a bag", "a cat"]
+    monkeypatch.setattr(bt, "span_hashes", lambda data, starts, lengths: np.ones(len(starts), np.uint64))
+    enc = Encoder(encoder(name, style).path, style)
+    want = [e.ids for e in enc.library.encode_batch(texts, add_special_tokens=False)]
+    assert encoded(enc, texts) == want == encoded(enc, texts)
+
+
 def test_count_tokens_rows(spark):
     rows = [(1, "Hello world", 9), (2, None, 9), (3, "", 9), (1, "Hello world", 9), (None, "é " * 600, 9)]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_tokens int")
@@ -94,23 +106,62 @@ def test_token_files_round_trip(spark, tmp_path):
     assert read_token_files(spark, empty).count() == 0
 
 
-def test_packing_holds_every_id_once(spark):
-    df = spark.createDataFrame(DOCS, "doc_id long, text string").withColumn("key", F.lit("x")).repartition(3)
-    rows = pack_documents(df, sequence=64).collect()
-    held = {}
-    for r in rows:
-        assert len(r["ids"]) == 4 * r["length"]
-        held.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
-    for pieces in held.values():
-        at = 0
-        for offset, length in sorted(pieces):
-            assert offset == at
-            at += length
-        assert at <= 64 and (at == 64 or at & (at - 1) == 0)
-    total = sum(len(ids_of(t)) for _, t in DOCS)
-    assert sum(r["length"] for r in rows) == total
-    whole = b"".join(bytes(r["ids"]) for r in sorted((r for r in rows if r["doc_id"] == 3), key=lambda r: r["start"]))
-    assert zlib.crc32(whole) == zlib.crc32(ids_of("word " * 9000).tobytes())
+def wordy(n, seed):
+    rnd = random.Random(seed)
+    words = [f"{a}{b}" for a in ("sun", "tide", "rock", "moss", "wind") for b in ("", "s", "ed", "ing", "less")]
+    return [(k, " ".join(rnd.choice(words) for _ in range(rnd.randint(1, 120)))) for k in range(n)]
+
+
+def test_a_trained_dictionary_round_trips(spark, tmp_path):
+    docs = [*wordy(700, 1), (10_000, "café " * 300_000), (10_001, "")]
+    path = f"file://{tmp_path}/files"
+    write_token_files(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), path)
+    head = spark.read.parquet(f"{path}/dictionary").first()
+    assert bytes(head["dictionary"][:4]) == bytes.fromhex("37a430ec")  # zstandard's mark of a trained dictionary
+    at = 0
+    for (i, text), r in zip(docs, sorted(read_token_files(spark, path).collect(), key=lambda r: r["start"]), strict=True):
+        want = ids_of(text)
+        assert (r["doc_id"], r["start"], r["n_tokens"], bytes(r["ids"])) == (i, at, len(want), want.tobytes())
+        at += len(want)
+    other = bytes(head["dictionary"]) + b"x"
+    for digest, raised in ((head["dict_hash"], "damaged"), (hashlib.sha256(other).hexdigest(), "another dictionary")):
+        spark.createDataFrame([(digest, other, head["tokenizer"], 2)], "dict_hash string, dictionary binary, tokenizer string, id_bytes int").write.mode("overwrite").parquet(f"{path}/dictionary")
+        with pytest.raises(Exception, match=raised):
+            read_token_files(spark, path).collect()
+
+
+def packed_fully(rows, docs, sequence):
+    """Check pieces against a plain version: all ids once, sequences without gaps, documents along the curve."""
+    rows = sorted(rows, key=lambda r: (r["sequence_id"], r["offset"]))
+    ids = [ids_of(t) for _, t in docs]
+    keys = [int(curve_keys(x.astype(np.uint16), np.array([0, len(x)]))[0]) for x in ids]
+    lost = Counter((d, x.tobytes()) for (d, _), x in zip(docs, ids))
+    order, at = [], 0  # documents, end to end
+    stream = b"".join(bytes(r["ids"]) for r in rows)
+    while at < len(rows):
+        assert rows[at]["start"] == 0
+        total, begin, doc = rows[at]["doc_tokens"], sum(r["length"] for r in rows[:at]), rows[at]["doc_id"]
+        have = 0
+        while have < total:
+            assert (rows[at]["doc_id"], rows[at]["start"], rows[at]["doc_tokens"]) == (doc, have, total) and len(rows[at]["ids"]) == 4 * rows[at]["length"] > 0
+            have, at = have + rows[at]["length"], at + 1
+        whole = stream[4 * begin : 4 * (begin + total)]
+        lost[doc, whole] -= 1
+        order.append((next(k for k, x in zip(keys, ids) if x.tobytes() == whole), -1 if doc is None else doc))
+    assert order == sorted(order) and not any(lost.values())
+    for _, g in itertools.groupby(rows, key=lambda r: r["sequence_id"]):
+        end = 0
+        for r in g:
+            assert r["offset"] == end
+            end += r["length"]
+        assert end == sequence or (end < sequence and end & (end - 1) == 0)
+
+
+def test_packing_against_a_plain_version(spark):
+    docs = [*DOCS, *((k + 100, t) for k, t in wordy(200, 2)), *[(50, "the same row")] * 40]
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("key", F.lit("x")).repartition(3)
+    packed_fully(pack_documents(df, sequence=64).collect(), docs, 64)
+    packed_fully(pack_documents(df.where("doc_id = 3")).collect(), [(3, "word " * 9000)], 2048)
     assert pack_documents(df.limit(0)).count() == 0
 
 

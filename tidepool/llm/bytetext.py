@@ -74,20 +74,25 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np
     return mix(h ^ (lengths.astype(np.uint64) * _M2))
 
 
+def matching(a: np.ndarray, a_starts: np.ndarray, b: np.ndarray, b_starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Whether each span of ``a`` holds the same bytes as that of ``b``, both of the given lengths; eight bytes follow the last span."""
+    x, y = (np.ndarray((len(z) - 7,), dtype="<u8", buffer=z, strides=(1,)) for z in (a, b))
+    out, todo, at = np.ones(len(lengths), dtype=bool), np.flatnonzero(lengths > 0), 0
+    while len(todo):
+        same = ((x[a_starts[todo] + at] ^ y[b_starts[todo] + at]) & _MASK[np.minimum(lengths[todo] - at, 8)]) == 0
+        out[todo[~same]] = False
+        at += 8
+        todo = todo[same & (lengths[todo] > at)]
+    return out
+
+
 def equal_spans(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, other: np.ndarray) -> bool:
     """Whether each span holds the same bytes as the span of number ``other``."""
     if not (lengths == lengths[other]).all():
         return False
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    words = np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
-    todo, at = np.flatnonzero(other != np.arange(len(other))), 0
-    while len(todo):
-        mask = _MASK[np.minimum(lengths[todo] - at, 8)]
-        if ((words[starts[todo] + at] ^ words[starts[other[todo]] + at]) & mask).any():
-            return False
-        at += 8
-        todo = todo[lengths[todo] > at]
-    return True
+    one = np.flatnonzero(other != np.arange(len(other)))
+    return bool(matching(padded, starts[one], padded, starts[other[one]], lengths[one]).all())
 
 
 def spans_of_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

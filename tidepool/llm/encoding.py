@@ -88,6 +88,10 @@ class Encoder:
         self.n = np.zeros(1 << _SLOTS_BITS, dtype=np.int32)
         self.pool = np.zeros(1 << 16, dtype=np.uint16)
         self.used = 0
+        #: The bytes of the pre-tokens in the cache, and where those of each slot are.
+        self.text, self.text_used = np.zeros(1 << 18, dtype=np.uint8), 0
+        self.text_at = np.zeros(1 << _SLOTS_BITS, dtype=np.int64)
+        self.text_len = np.full(1 << _SLOTS_BITS, -1, dtype=np.int64)
 
     # -- the plain path -------------------------------------------------
 
@@ -177,23 +181,40 @@ class Encoder:
         self.used += len(ids)
         return at, ends - begin
 
+    def _keep(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, slots: np.ndarray) -> None:
+        """Hold the bytes of the pre-tokens that the slots now have."""
+        ends = np.cumsum(lengths)
+        while self.text_used + ends[-1] + 8 > len(self.text):
+            self.text = np.concatenate([self.text, np.zeros_like(self.text)])
+        self.text[self.text_used : self.text_used + ends[-1]] = data[np.arange(ends[-1]) + np.repeat(starts - ends + lengths, lengths)]
+        self.text_at[slots], self.text_len[slots] = self.text_used + ends - lengths, lengths
+        self.text_used += int(ends[-1])
+
     def _plain(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of plain rows, and their bounds."""
-        if self.used > _POOL_MOST:
+        if self.used > _POOL_MOST or self.text_used > 8 * _POOL_MOST:
             self._clear()
         data, starts, lengths = self.pretokens(data, offsets)
         h = bt.span_hashes(data, starts, lengths) | np.uint64(1)
         slot = (h >> np.uint64(64 - _SLOTS_BITS)).astype(np.int64)
         at, n = self.at[slot], self.n[slot].astype(np.int64)
-        miss = np.flatnonzero(self.key[slot] != h)
+        padded = np.concatenate([data, np.zeros(8, np.uint8)])
+        hit = np.flatnonzero((self.key[slot] == h) & (self.text_len[slot] == lengths))
+        hit = hit[bt.matching(padded, starts[hit], self.text, self.text_at[slot[hit]], lengths[hit])]  # a hash alone proves nothing
+        missed = np.ones(len(h), dtype=bool)
+        missed[hit] = False
+        miss = np.flatnonzero(missed)
         if len(miss):
             _, first, back = np.unique(h[miss], return_index=True, return_inverse=True)
+            if not bt.equal_spans(data, starts[miss], lengths[miss], first[back]):
+                first, back = np.arange(len(miss)), np.arange(len(miss))
             new = miss[first]
             a, c = self._new(data, starts[new], lengths[new])
             at[miss], n[miss] = a[back], c[back]
-            # of two new pre-tokens in one slot the same one must win in all three arrays
+            # of two new pre-tokens in one slot the same one must win in all arrays
             one, pick = np.unique(slot[new], return_index=True)
             self.key[one], self.at[one], self.n[one] = h[new][pick], a[pick], c[pick]
+            self._keep(data, starts[new][pick], lengths[new][pick], one)
         total = np.concatenate([[0], np.cumsum(n)])
         ids = self.pool[np.repeat(at - total[:-1], n) + np.arange(total[-1])]
         return ids, total[np.searchsorted(starts, offsets)]

@@ -7,7 +7,7 @@ that order, cutting at sequence ends.  The rest that a task has at its end is
 cut into sequences whose lengths are powers of two, so no sequence needs padding.
 
 Null text: packed as empty (the end id alone).  Equal keys (copies, a hot group)
-are ordered by doc_id and text hash, so a range may split them.  Repeated rows
+are ordered by doc_id, text hash and place, so ranges split them.  Repeated rows
 are packed as rows of their own.  An empty table gives no pieces.  Other columns
 are not read.
 """
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tidepool.llm.encoding import encoder
 from tidepool.llm.hilbert import hilbert_key
-from tidepool.llm.tables import per_batch, release, small_batches, staged
+from tidepool.llm.tables import per_batch, release, small_batches, staged, tasks_for
 from tidepool.llm.token_files import with_end
 
 SEQUENCE, HASHED, DIMS, BITS, SEED = 2048, 256, 4, 12, 20
@@ -115,5 +115,7 @@ def pack_documents(df: DataFrame, tokenizer: str = "word_bpe_49k.json", *, end_i
             yield batch_of()
         release()
 
-    ordered = coded.repartitionByRange("key", "doc_id").sortWithinPartitions("key", "doc_id", F.xxhash64("frame")).select("doc_id", "doc_tokens", "frame")
+    size = coded.agg(F.sum("doc_tokens")).first()[0]
+    order = ["key", "doc_id", F.xxhash64("frame")]  # then, as equal rows can be a hot group, their place in the files
+    ordered = coded.repartitionByRange(tasks_for(df.sparkSession, size and 2 * size), *order, F.monotonically_increasing_id()).sortWithinPartitions(*order).select("doc_id", "doc_tokens", "frame")
     return ordered.mapInArrow(lay, _PIECE)

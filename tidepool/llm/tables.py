@@ -63,6 +63,15 @@ def _file(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+#: Bytes that a task of a range-partitioned write is to read.
+TASK_BYTES = 64 << 20
+
+
+def tasks_for(spark: SparkSession, size: int | None) -> int:
+    """Into how many tasks so many bytes are dealt: no fewer than the session's shuffle partitions."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(size or 0) // TASK_BYTES))
+
+
 def per_batch(f: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]):
     """A function for mapInArrow from one on batches; what a task has freed goes back to the system at its end."""
 

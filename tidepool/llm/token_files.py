@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepool.llm.encoding import encoder
-from tidepool.llm.tables import per_batch, small_batches
+from tidepool.llm.tables import per_batch, small_batches, tasks_for
 
 SEGMENT_BYTES, SEGMENT_DOCS = 1 << 20, 1 << 13
 SAMPLE_DOCS, SAMPLE_IDS, DICT_BYTES, LEVEL = 512, 4096, 1 << 16, 3
@@ -111,7 +111,9 @@ def write_token_files(df: DataFrame, path: str, tokenizer: str = "word_bpe_49k.j
         if docs:
             yield flush()
 
-    df.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text")).mapInArrow(run, _SEGMENT).write.parquet(f"{path}/segments")
+    size = df.agg(F.sum(F.octet_length("text"))).first()[0]
+    order = ["doc_id", F.xxhash64("text")]
+    df.repartitionByRange(tasks_for(spark, size), *order).sortWithinPartitions(*order).mapInArrow(run, _SEGMENT).write.parquet(f"{path}/segments")
 
 
 def _arrow_segment() -> pa.Schema:
