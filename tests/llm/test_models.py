@@ -19,7 +19,7 @@ from tidepool.llm import bytetext as bt
 from tidepool.llm.ann import Shard, nearest
 from tidepool.llm.nbest import BYTE_SCORE, UNIT, Table, decode_pieces, encode_nbest, lattice, table
 from tidepool.llm.queries import raw_transcripts
-from tidepool.llm.toxicity import drop_toxic, features, held_out, label_model, score_toxicity, train
+from tidepool.llm.toxicity import drop_toxic, features, held_out, label_model, sample_features, score_toxicity, train
 from tidepool.llm.vector_graph import Graph
 
 # -- nearest neighbours ---------------------------------------------------------------
@@ -141,20 +141,39 @@ def test_without_labels_the_lexicon_decides(spark):
 def test_label_model_learns_who_is_right():
     rng = np.random.default_rng(5)
     y = rng.random(4000) < 0.3
-    votes = np.stack([y ^ (rng.random(4000) < p) for p in (0.05, 0.1, 0.4)] + [rng.random(4000) < 0.5], axis=1)
-    label = (y ^ (rng.random(4000) < 0.1)).astype(int)
-    post, fitted = label_model(np.hstack([votes, label[:, None] == 1]), 0.3, label)
+    votes = np.stack([y ^ (rng.random(4000) < p) for p in (0.05, 0.1, 0.2, 0.4)] + [rng.random(4000) < 0.5], axis=1)
+    label = y ^ (rng.random(4000) < 0.1)
+    post, fitted = label_model(votes, 0.3, np.where(label, 0.95, 0.05))
     assert ((post > 0.5) == y).mean() > 0.95 > (label == y).mean()
-    assert abs(fitted["rate"][1][0] - 0.95) < 0.03 and abs(fitted["rate"][1][3] - fitted["rate"][0][3]) < 0.05
+    assert abs(fitted["rate"][1][0] - 0.95) < 0.03 and abs(fitted["rate"][1][4] - fitted["rate"][0][4]) < 0.05
 
 
-def test_correlated_voters_share_their_voice():
+def test_a_voter_that_repeats_another_adds_nothing():
     rng = np.random.default_rng(6)
     y = rng.random(3000) < 0.4
-    one = y ^ (rng.random(3000) < 0.25)
-    votes = np.stack([one] * 5 + [y ^ (rng.random(3000) < 0.25)], axis=1)
-    _, fitted = label_model(np.hstack([votes, y[:, None]]), 0.4, y.astype(int))
-    assert fitted["share"][0] < 0.5 < fitted["share"][5]
+    one, other, third = (y ^ (rng.random(3000) < 0.25) for _ in range(3))
+    votes = np.stack([one] * 5 + [other, third], axis=1)
+    post, fitted = label_model(votes, 0.4, np.where(y, 0.95, 0.05))
+    copies = [k for k in range(1, 5) if fitted["parent"][k] < 5]
+    assert len(copies) == 4 and (np.abs(np.log(fitted["table"][1, 1, copies] / fitted["table"][0, 1, copies])) < 0.02).all()
+    alone, _ = label_model(votes[:, 4:], 0.4, np.where(y, 0.95, 0.05))
+    assert np.abs(post - alone).max() < 0.1
+
+
+def test_the_sample_is_bounded_in_bytes(spark):
+    docs, labels = toxic_corpus(300, 2)
+    docs += [(5000, " ".join("".join(p) for p in itertools.product("abcdefgh", repeat=5))), (docs[0][0], "another text of the same id")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    lab = spark.createDataFrame([*labels, (5000, 1, 0)], "doc_id long, toxic int, quality int")
+    held = {}
+    for most in (20_000, 1 << 24):
+        rows = sample_features(df, lab, id_col="doc_id", text_col="text", label_col="toxic", sample_toxic=100, sample_clean=100, sample_bytes=most)[0].collect()
+        for y in (0, 1):
+            assert 0 < sum(len(r["f"]) for r in rows if r["y"] == y) <= most
+        held[most] = {r["id"] for r in rows}
+        assert len(held[most]) == len(rows) <= 200
+    assert not held[20_000] - held[1 << 24] and held[1 << 24] - held[20_000]
+    assert 5000 not in held[20_000]
 
 
 def test_features_count_words_and_beginnings():

@@ -1,22 +1,26 @@
 """Toxicity by weak supervision.
 
-1. A bounded sample of labelled training rows is drawn (``sample_toxic`` and
-   ``sample_clean`` rows at most, those whose ids hash lowest).
+1. A bounded sample of labelled training rows is drawn: ``sample_toxic`` and
+   ``sample_clean`` rows at most, those whose ids hash lowest, as long as the
+   features of each side fit ``SAMPLE_BYTES`` (a text with more than a 64th of that
+   is no sample; it is scored like any other).
 2. Many voters judge each sampled text: words of a lexicon, words and word
    beginnings that are frequent in texts labelled toxic, patterns (shouting, masked
    words, runs of exclamation marks), the absence of all of these, and the given
-   label.  A voter votes for one side or abstains.
-3. A generative model estimates by EM, for either hidden class, how often each
-   voter votes, and from the residuals the correlations of voters within a class;
-   a voter's evidence is divided by what correlated voters say too.
+   label, whose accuracy is estimated like any other's.  A voter votes or abstains.
+3. A generative model of a hidden class and the votes is fitted by EM, which the
+   labels start.  Votes depend on the class and on one another along a tree: the
+   spanning tree of the largest mutual information within the classes, found anew
+   as the classes settle.  So a voter that only repeats its parent adds nothing.
 4. A logistic regression on hashed words and word beginnings learns the posteriors.
    Its weights have a fixed size, and every document is scored with them.
 
 Labels, language, source and ids are no inputs of a score.  Null and empty texts
 get the score of a text without known words.  Without labelled rows the weights
-are those of the lexicon.  Texts are scored row by row, so ties, repeats and
-empty tables need no rule.  Other columns are passed on (``drop_toxic``) or not
-read (``score_toxicity``).
+are those of the lexicon.  Of rows that share an id, the one with the fewest
+features is the sample, ties by their bytes.  Texts are scored row by row, so ties,
+repeats and empty tables need no rule.  Other columns are passed on
+(``drop_toxic``) or not read (``score_toxicity``).
 """
 
 from __future__ import annotations
@@ -25,13 +29,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepool.llm import bytetext as bt
-from tidepool.llm.tables import per_batch, small_batches
+from tidepool.llm.tables import per_batch, small_batches, staged
 
-SAMPLE_TOXIC, SAMPLE_CLEAN = 2000, 4000
+SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_BYTES = 2000, 4000, 24 << 20
 FEATURE_BITS, BEGINNINGS = 20, (4, 5, 6)
 MINED, SELECTED, RIDGE = 192, 8192, 0.3
 
@@ -109,39 +113,56 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(total + self.bias, -30, 30)))
 
 
-def label_model(votes: np.ndarray, prior: float, label: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-    """Posteriors of the hidden class from binary votes (documents by voters), the last column being the given label.
+def label_model(votes: np.ndarray, prior: float, start: np.ndarray, rounds: int = 40) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Posteriors of the hidden class from binary votes (documents by voters), and what was fitted.
 
-    EM over P(vote | class), started from the label; in each round voters that are
-    correlated within a class share their evidence.
+    EM from the posteriors ``start``.  Fitted are ``rate`` (class, voter): how often a
+    voter votes; ``parent``: the voter that each depends on, itself at the root; and
+    ``table`` (class, vote of the parent, voter): how often it votes then.
     """
-    v = votes.astype(np.float64)
-    post = np.where(label == 1, 0.95, 0.05)
-    share = np.ones(v.shape[1])
-    rate = np.zeros((2, v.shape[1]))
+    v = votes.astype(np.float32)
+    post, parent = start.astype(np.float64), np.arange(v.shape[1])
     for step in range(rounds):
-        for y, weight in enumerate((1 - post, post)):
-            rate[y] = (weight @ v + 0.5) / (weight.sum() + 1)
-        if step % 5 == 4:
-            share = _shares(v, post, rate)
-        evidence = v * np.log(rate[1] / rate[0]) + (1 - v) * np.log((1 - rate[1]) / (1 - rate[0]))
-        odds = np.log(prior / (1 - prior)) + evidence @ share
+        weights = np.stack([1 - post, post])
+        rate = np.stack([(w @ v + 0.5) / (w.sum() + 1) for w in weights])
+        if step == 0 or (step >= 10 and step % 5 == 0):
+            # at first the classes are too rough to tell weak dependence from the class itself; later it is to be worth its two parameters
+            parent = _tree(v, weights, rate, 0.15 if step == 0 else np.log(len(v)) / len(v))
+        above = v[:, parent]
+        table = np.empty((2, 2, v.shape[1]))
+        for y, w in enumerate(weights):
+            for a, held in enumerate((1 - above, above)):
+                # shrunk towards the rate without regard to the parent
+                table[y, a] = ((w[:, None] * held * v).sum(axis=0) + 4 * rate[y]) / (w @ held + 4)
+        root = parent == np.arange(len(parent))
+        table[:, :, root] = rate[:, None, root]
+        odds = np.full(len(v), np.log(prior / (1 - prior)))
+        for a, held in enumerate((1 - above, above)):
+            odds += (held * (v * np.log(table[1, a] / table[0, a]) + (1 - v) * np.log((1 - table[1, a]) / (1 - table[0, a])))).sum(axis=1)
         post = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-    return post, {"rate": rate, "share": share}
-
-
-def _shares(v: np.ndarray, post: np.ndarray, rate: np.ndarray) -> np.ndarray:
-    """One over one and the correlations of a voter with the others within the classes; the label keeps its voice."""
-    corr = np.zeros((v.shape[1], v.shape[1]))
-    for y, weight in enumerate((1 - post, post)):
-        rest = (v - rate[y]) * np.sqrt(weight)[:, None]
-        cov = rest.T @ rest
-        sd = np.sqrt(np.maximum(np.diag(cov), 1e-12))
-        corr += np.abs(cov / sd[:, None] / sd[None, :]) * weight.sum() / len(v)
-    np.fill_diagonal(corr, 0)
-    share = 1 / (1 + np.where(corr > 0.1, corr, 0).sum(axis=1))
-    share[-1] = 1
-    return share
+    return post, {"rate": rate, "parent": parent, "table": table}
+
+
+def _tree(v: np.ndarray, weights: np.ndarray, rate: np.ndarray, least: float) -> np.ndarray:
+    """Each voter's parent in the spanning tree of the largest mutual information within the classes (Chow and Liu, 1968), itself where that is below ``least``."""
+    m = v.shape[1]
+    shared = np.zeros((m, m))
+    for y, w in enumerate(weights):
+        n = w.sum() + 1
+        both = (v.T @ (w[:, None].astype(np.float32) * v) + 0.25) / n
+        p, q = rate[y][:, None], rate[y][None, :]
+        for joint, apart in ((both, p * q), (p - both, p * (1 - q)), (q - both, (1 - p) * q), (1 - p - q + both, (1 - p) * (1 - q))):
+            joint = np.maximum(joint, 1e-9)
+            shared += w.sum() / len(v) * joint * np.log(joint / apart)
+    shared[shared < least] = 0
+    parent, inside = np.zeros(m, np.int64), np.zeros(m, dtype=bool)
+    inside[0], best = True, shared[0].copy()
+    for _ in range(m - 1):
+        k = int(np.where(inside, -np.inf, best).argmax())
+        inside[k] = True
+        nearer = ~inside & (shared[k] > best)
+        parent[nearer], best[nearer] = k, shared[k][nearer]
+    return np.where(best > 0, parent, np.arange(m))
 
 
 def fit(docs: list[np.ndarray], pattern: np.ndarray, label: np.ndarray, base_rate: float) -> Model:
@@ -184,8 +205,7 @@ def fit(docs: list[np.ndarray], pattern: np.ndarray, label: np.ndarray, base_rat
     votes = np.zeros((len(docs), len(voters)), dtype=bool)
     votes[having(voters)] = True
     quiet = ~votes.any(axis=1, keepdims=True)
-    votes = np.hstack([votes, pattern, quiet, label[:, None] == 1])
-    post, _ = label_model(votes, n1 / len(docs), label)
+    post, _ = label_model(np.hstack([votes, pattern, quiet, label[:, None] == 1]), n1 / len(docs), np.where(label == 1, 0.95, 0.05))
 
     # logistic regression on the posteriors, over the features that tell the classes apart
     apart, every = z(post)
@@ -240,9 +260,8 @@ def held_out(id_col: str = "doc_id"):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0
 
 
-def train(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_toxic: int = SAMPLE_TOXIC, sample_clean: int = SAMPLE_CLEAN) -> Model:
-    """Fit on labelled rows that are not held out: at most ``sample_toxic`` and ``sample_clean`` of them."""
-    small_batches(df.sparkSession)
+def sample_features(df: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str, sample_toxic: int, sample_clean: int, sample_bytes: int) -> tuple[DataFrame, dict[int, int]]:
+    """The sample (id, y, bits, f), whose rows and bytes are bounded, and how many labelled rows there are of each label."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where(~held_out("id") & F.col("y").isin(0, 1))
     known = known.groupBy("id").agg(F.max("y").alias("y"))
     n = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
@@ -262,8 +281,20 @@ def train(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(bits.astype(np.int32)), pa.array([f[cut[i] : cut[i + 1]].tobytes() for i in range(b - a)], pa.binary())], names=["id", "y", "bits", "f"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    got = texts.select("id", "text", "y").mapInArrow(per_batch(run), f"id {kind}, y int, bits int, f binary").dropDuplicates(["id"]).collect()
-    got.sort(key=lambda r: str(r["id"]))
+    found = texts.select("id", "text", "y").mapInArrow(per_batch(run), f"id {kind}, y int, bits int, f binary").where(F.length("f") <= sample_bytes // 64)
+    found = found.groupBy("id", "y").agg(F.min(F.struct(F.length("f").alias("n"), "f", "bits")).alias("one")).select("id", "y", "one.*")
+    found = staged(found, "features")
+    # each side's rows by the hash of their ids, until the bytes are filled; a side has no more rows than its limit
+    filled = Window.partitionBy("y").orderBy(F.xxhash64("id"), "id")
+    chosen = found.select("id", "y", F.sum("n").over(filled).alias("filled")).where(F.col("filled") <= sample_bytes).select("id")
+    return found.join(chosen, "id").select("id", "y", "bits", "f"), n
+
+
+def train(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_toxic: int = SAMPLE_TOXIC, sample_clean: int = SAMPLE_CLEAN, sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """Fit on labelled rows that are not held out: at most ``sample_toxic`` and ``sample_clean`` of them, with ``sample_bytes`` of features each."""
+    small_batches(df.sparkSession)
+    sample, n = sample_features(df, labels, id_col=id_col, text_col=text_col, label_col=label_col, sample_toxic=sample_toxic, sample_clean=sample_clean, sample_bytes=sample_bytes)
+    got = sorted(sample.collect(), key=lambda r: str(r["id"]))
     docs = [np.frombuffer(r["f"], dtype="<i4") for r in got]
     bits = np.array([r["bits"] for r in got], dtype=np.int64)
     label = np.array([r["y"] for r in got], dtype=np.int64)
