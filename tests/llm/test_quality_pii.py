@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -12,6 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidepool.llm import bytetext as bt
+from tidepool.llm import pii
 from tidepool.llm.pii import find_pii, joined, redact
 from tidepool.llm.quality import MEASURES, RULES, Survey, Texts, cascade, keep_documents, order_rules, quality_cascade, survey_rules
 
@@ -150,6 +152,29 @@ def test_iban_ends_where_its_checksum_says(spark, text, clean):
     assert redact(spark.createDataFrame([(text,)], "text string")).first()["text"] == clean
 
 
+def test_very_many_spans_in_a_text(spark):
+    parts = ["mail é a%d@b.cd" % k for k in range(100_000)]
+    text = ", ".join(parts)
+    df = spark.createDataFrame([(text,)], "text string")
+    began = time.perf_counter()
+    base = F.filter("pii", lambda s: s["kind"] == "email")
+    assert find_pii(df).select(joined(base)).first()[0] == base_spans(text)
+    assert redact(df).first()["text"] == ", ".join(["mail é <EMAIL>"] * 100_000)
+    ibans = " ".join(["IBAN DE89370400440532013000"] * 5000)
+    assert redact(spark.createDataFrame([(ibans,)], "text string")).first()["text"] == " ".join(["IBAN <IBAN>"] * 5000)
+    assert time.perf_counter() - began < 120
+
+
+def test_blocks_do_not_show(spark, monkeypatch):
+    rows = [(" 1.2.3.4 mail a@b.cd x " * 9 + "card 4111 1111 1111 1111 " * 5,), ("+1 (555) 123-4567 " * 7 + "GB82 WEST 1234 5698 7654 32 " * 4,), ("1.2.3.4@b.cd " * 6,)]
+    df = spark.createDataFrame(rows, "text string")
+    seen = []
+    for size in (256, 1, 2, 5):
+        monkeypatch.setattr(pii, "BLOCK", size)
+        seen.append((find_pii(df).collect(), redact(df).collect()))
+    assert seen[0] == seen[1] == seen[2] == seen[3]
+
+
 def test_redact_keeps_columns(spark):
     df = spark.createDataFrame([(1, "é a@b.cd and 1.2.3.4!", "p", "t"), (2, None, "p", "t"), (3, "clean", "p", "t"), (3, "clean", "p", "t")], "doc_id long, text string, pii string, __pii_text string")
     got = redact(df)

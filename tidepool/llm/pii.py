@@ -9,7 +9,9 @@ exclusive, and within a kind spans are leftmost and do not overlap.
 
 Where a span could only begin at the start of a run of its characters, or where
 the match before ended, the pattern says so, and repeats give nothing back.  The
-matches are those of the plain pattern, in time linear in the text.
+matches are those of the plain pattern, in time linear in the text.  Spans are
+folded in blocks of ``BLOCK``, each with its own part of the text, so that a text
+with very many spans is not walked, or a long array copied, for each of them.
 
 An IBAN's end is not known from its pattern, as what follows may look like more of
 it.  Its pattern finds the first four characters; of the ends at word boundaries
@@ -23,13 +25,13 @@ that has the name of the result is replaced by it.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-THRESHOLD, BEFORE, AFTER = 0.5, 40, 20
+THRESHOLD, BEFORE, AFTER, BLOCK = 0.5, 40, 20, 256
 NEGATIVE = r"\b(?:example|sample|dummy|fake|version|isbn|invoice no|order no)\b"
 
 
@@ -111,18 +113,59 @@ def _valid(kind: Kind, hit: Column) -> Column:
     return F.lit(True)
 
 
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def _blocks(items: Column) -> Column:
+    """An array in blocks, none for an empty one."""
+    cut = lambda x: F.transform(F.sequence(F.lit(0), F.greatest(F.size(x) - 1, F.lit(0)), F.lit(BLOCK)), lambda k: F.slice(x, k + 1, F.lit(BLOCK)))
+    return F.filter(_let(items, cut), lambda part: F.size(part) > 0)
+
+
+def _scan(items: Column, kind: str, put: Callable[..., Column], setup: Callable[[Column, Column], Column] | None = None, finish: Callable[[Column], Column] | None = None) -> Column:
+    """A running fold.  ``put(at, item, own)`` gives struct(at, out); the arrays ``out`` (of type ``kind``) are strung together.
+
+    ``at`` begins at 0.  ``own`` is what ``setup(at, block)`` gives once for a block.
+    ``finish(at)`` is a last ``out``.
+    """
+    none = F.array().cast(kind)
+
+    def block(a, part):
+        own = setup(a["at"], part) if setup else F.lit(0)
+        step = lambda b, z, o: _let(put(b["at"], z, o), lambda r: F.struct(r["at"].alias("at"), F.concat(b["out"], r["out"]).alias("out")))
+        inner = _let(own, lambda o: F.aggregate(part, F.struct(a["at"].alias("at"), none.alias("out")), lambda b, z: step(b, z, o)))
+        return _let(inner, lambda r: F.struct(r["at"].alias("at"), F.concat(a["out"], F.array(r["out"])).alias("out")))
+
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(f"array<{kind}>").alias("out"))
+    last = (lambda a: F.flatten(F.concat(a["out"], F.array(finish(a["at"]))))) if finish else (lambda a: F.flatten(a["out"]))
+    return F.aggregate(_blocks(items), start, block, last)
+
+
+def _near(text: Column, spans: Column, before: int, after: int, f: Callable[[Column, Callable[[Column, Column], Column]], Column]) -> Column:
+    """f(span, cut) of each span; cut(position, length) is the text there, from so many characters before a span to so many behind its block."""
+
+    def block(part):
+        base = F.greatest(F.element_at(part, 1)["start"] - before, F.lit(0))
+        size = F.element_at(part, -1)["end"] + after - base
+        own = F.struct(base.alias("base"), F.substr(text, base.cast("int") + 1, size.cast("int")).alias("text"))
+        return _let(own, lambda o: F.transform(part, lambda s: f(s, lambda at, n: F.substr(o["text"], (at - o["base"]).cast("int") + 1, n.cast("int")))))
+
+    return F.flatten(F.transform(_blocks(spans), block))
+
+
 def _spans(text: Column, hits: Column, pattern: str) -> Column:
     """Matches with positions: the texts between them, from split, give the distances."""
-    gaps = F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(_SPAN).alias("out"))
 
-    def step(a, z):
-        begin = a["at"] + F.length(z["gaps"])
+    def put(at, z, _):
+        begin = at + F.length(z["gaps"])
         end = begin + F.length(z["hits"])
-        return F.struct(end.alias("at"), F.concat(a["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), z["hits"].alias("hit")))).alias("out"))
+        return F.struct(end.alias("at"), F.array(F.struct(begin.alias("start"), end.alias("end"), z["hits"].alias("hit"))).alias("out"))
 
+    gaps = F.split(text, pattern, -1)
     pairs = F.filter(F.arrays_zip(gaps.alias("gaps"), hits.alias("hits")), lambda z: z["hits"].isNotNull())
-    return F.when(F.size(hits) == 0, F.array().cast(_SPAN)).otherwise(F.aggregate(pairs, start, step, lambda a: a["out"]))
+    return F.when(F.size(hits) == 0, F.array().cast(_SPAN)).otherwise(_scan(pairs, _SPAN, put))
 
 
 def _ended(kind: Kind, text: Column, spans: Column) -> Column:
@@ -130,8 +173,8 @@ def _ended(kind: Kind, text: Column, spans: Column) -> Column:
     usual = F.create_map(*(F.lit(x) for c in _IBAN_LENGTHS for x in (c[:2], int(c[2:]))))
     length = lambda hit: F.length(F.regexp_replace(hit, " ", ""))
 
-    def ends(s):
-        parts = F.split(F.regexp_extract(F.substr(text, s["start"].cast("int") + 1, F.lit(WINDOW)), kind.whole, 0), " ")
+    def ends(s, cut):
+        parts = F.split(F.regexp_extract(cut(s["start"], F.lit(WINDOW)), kind.whole, 0), " ")
         return F.struct(s["start"].alias("start"), F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), " ")).alias("hits"))
 
     def right(s):
@@ -142,21 +185,24 @@ def _ended(kind: Kind, text: Column, spans: Column) -> Column:
         hit = F.coalesce(F.get(known, F.lit(0)), F.element_at(s["hits"], -1))
         return F.struct(s["start"].alias("start"), (s["start"] + F.length(hit)).alias("end"), hit.alias("hit"))
 
-    found = F.transform(F.filter(F.transform(F.transform(spans, ends), right), lambda s: F.size(s["hits"]) > 0), best)
-    apart = lambda out, s: F.when((F.size(out) == 0) | (F.coalesce(F.get(out, F.size(out) - 1)["end"], F.lit(0)) <= s["start"]), F.concat(out, F.array(s))).otherwise(out)
-    return F.when(F.size(spans) == 0, F.array().cast(_SPAN)).otherwise(F.aggregate(found, F.array().cast(_SPAN), apart))
+    def put(at, s, _):
+        apart = s["start"] >= at
+        return F.struct(F.when(apart, s["end"]).otherwise(at).alias("at"), F.when(apart, F.array(s)).otherwise(F.array().cast(_SPAN)).alias("out"))
+
+    found = F.transform(F.filter(F.transform(_near(text, spans, 0, WINDOW, ends), right), lambda s: F.size(s["hits"]) > 0), best)
+    return F.when(F.size(spans) == 0, F.array().cast(_SPAN)).otherwise(_scan(found, _SPAN, put))
 
 
 def _judged(kind: Kind, rank: int, text: Column, spans: Column) -> Column:
     """Confirmed spans with scores; further kinds need the threshold."""
 
-    def scored(s):
-        before = F.substr(text, F.greatest(s["start"] - BEFORE, F.lit(0)).cast("int") + 1, F.least(s["start"], F.lit(BEFORE)).cast("int"))
-        near = F.lower(F.concat(before, F.lit(" "), F.substr(text, s["end"].cast("int") + 1, F.lit(AFTER))))
+    def scored(s, cut):
+        begin = F.greatest(s["start"] - BEFORE, F.lit(0))
+        near = F.lower(F.concat(cut(begin, s["start"] - begin), F.lit(" "), cut(s["end"], F.lit(AFTER))))
         score = F.lit(kind.prior) + F.when(near.rlike(kind.context), 0.3).otherwise(0.0) - F.when(near.rlike(NEGATIVE), 0.3).otherwise(0.0)
         return F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end"), F.lit(kind.name).alias("kind"), F.least(score, F.lit(1.0)).alias("score"))
 
-    found = F.transform(spans if kind.whole else F.filter(spans, lambda s: _valid(kind, s["hit"])), scored)
+    found = _near(text, spans if kind.whole else F.filter(spans, lambda s: _valid(kind, s["hit"])), BEFORE, AFTER, scored)
     if not kind.base:
         found = F.filter(found, lambda s: s["score"] >= THRESHOLD)
     return F.when(F.size(spans) == 0, F.array().cast(_FOUND)).otherwise(found)
@@ -195,13 +241,16 @@ def redact(df: DataFrame, kinds: Sequence[Kind] = KINDS, *, text_col: str = "tex
     spans = _fresh(df, "__spans")
     found = find_pii(df, kinds, text_col=text_col, out_col=spans)
     text = F.col(text_col)
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
 
-    def step(a, s):
-        apart = s["start"] >= a["at"]
-        kept = F.substr(text, a["at"].cast("int") + 1, (s["start"] - a["at"]).cast("int"))
-        put = F.when(apart, F.concat(a["out"], kept, F.lit("<"), F.upper(s["kind"]), F.lit(">"))).otherwise(a["out"])
-        return F.struct(F.greatest(s["end"], a["at"]).alias("at"), put.alias("out"))
+    def setup(at, part):
+        end = F.array_max(F.transform(part, lambda s: s["end"]))
+        return F.struct(at.alias("base"), F.substr(text, at.cast("int") + 1, F.greatest(end - at, F.lit(0)).cast("int")).alias("text"))
+
+    def put(at, s, own):
+        apart = s["start"] >= at
+        kept = F.substr(own["text"], (at - own["base"]).cast("int") + 1, (s["start"] - at).cast("int"))
+        mark = F.array(kept, F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">")))
+        return F.struct(F.greatest(s["end"], at).alias("at"), F.when(apart, mark).otherwise(F.array().cast("array<string>")).alias("out"))
 
-    clean = F.aggregate(spans, start, step, lambda a: F.concat(a["out"], F.substr(text, a["at"].cast("int") + 1)))
-    return found.withColumn(text_col, F.when(text.isNull() | (F.size(spans) == 0), text).otherwise(clean)).drop(spans)
+    pieces = _scan(F.col(spans), "array<string>", put, setup, lambda at: F.array(F.substr(text, at.cast("int") + 1)))
+    return found.withColumn(text_col, F.when(text.isNull() | (F.size(spans) == 0), text).otherwise(F.array_join(pieces, ""))).drop(spans)
