@@ -330,13 +330,33 @@ def test_models(spark):
 
 
 def test_preferences_and_prompts(spark):
-    p = Pref.profile("I love tactical combat, but I hate grinding. Too many menus.")
-    assert p["likes"] == ["tactical combat"] and p["dislikes"] == ["grinding"] and p["avoid"][0] == "menus" and p["confidence"] == "high"
-    assert Pref.profile(None)["polarity"] == "neutral"
-    assert Pref.embedding_text(p).startswith("likes: tactical combat")
     df = spark.createDataFrame([("I love farms",), (None,)], "t string")
-    assert df.select(Pref.extract(F.col("t")).alias("p")).select("p.likes").first()[0] == ["farms"]
     assert len(df.select(prompts.hashed_embedding(8)(F.col("t"))).first()[0]) == 8
     assert prompts.OverlapBackend().generate_ranking("cozy farm", [(1, "war"), (2, "a farm"), (3, "cozy farm")], 2) == [3, 2]
     text = df.select(prompts.judge_prompt(F.col("t"), F.lit("g"), F.lit("e"))).first()[0]
     assert "I love farms" in text and "faithfulness" in text
+
+
+@pytest.mark.parametrize(("said", "want"), [
+    ("I loved it and I like stealth, but I hated the long grind, and bugs.", {"likes": ["stealth", "it and i like stealth"], "dislikes": ["the long grind", "and bugs"], "constraints": ["shorter pacing preferred", "low grind preferred"], "confidence": "normal"}),
+    ("I want co-op; must have fishing, cozy. I don't like pvp.", {"likes": ["co-op", "multiplayer/co-op interaction"], "must_have": ["fishing"], "style_tone": ["cozy"], "avoid": ["heavy pvp focus"]}),
+    ("too grindy. Too  GRINDY", {"dislikes": ["grindy"], "avoid": ["grindy or repetitive progression loops"], "confidence": "normal"}),
+    ("I enjoy solo play", {"constraints": ["single-player preference"], "likes": ["solo play"], "confidence": "low"}),
+    ("looking for: - long games -", {"likes": ["long games"], "dislikes": []}),
+    ("i like " + "a" * 200, {"likes": ["a" * 119]}),
+    (" ", {"likes": [], "confidence": "low", "raw_query": ""}),
+    (None, {"avoid": [], "confidence": "low", "raw_query": ""}),
+])
+def test_preferences(spark, said, want):
+    df = spark.createDataFrame([(said, 1)], "t string, preferences int")
+    got = Pref.with_preferences(df, "t")
+    p = got.first()["preferences"].asDict()
+    assert got.columns == ["t", "preferences"] and {k: p[k] for k in want} == want
+
+
+def test_embedding_text(spark):
+    df = Pref.with_preferences(spark.createDataFrame([("I loved Hitman, but I hated the grind",), (None,)], "t string"), "t")
+    made = [r[0] for r in df.select(Pref.embedding_text(F.col("preferences"))).collect()]
+    assert made[0].startswith("WANTS: hitman. AVOIDS: grindy or repetitive progression loops, the grind. MUST_HAVE: none. DISLIKES: the grind.")
+    assert made[0].endswith("CONFIDENCE: normal. OPTIONAL_CONTEXT: i hated the grind.") and made[1].endswith("CONFIDENCE: low.")
+    assert df.select(Pref.embedding_text(F.col("preferences"), 5)).first()[0].endswith("OPTIONAL_CONTEXT: i hat.")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidepool.functions import text as T
 from tidepool.functions.columns import named
+from tidepool.operators.windows import exact_quantiles
 
 
 def missing_report(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
@@ -51,13 +52,18 @@ def index_range(df: DataFrame, group: str, index: str) -> DataFrame:
 
 def group_quantiles(df: DataFrame, groups: Sequence[str], col: str, qs: Sequence[float] = (0.25, 0.5, 0.75)) -> DataFrame:
     """Exact quantiles (linear) per group as q0, q1, ..."""
-    q = df.groupBy(*groups).agg(F.percentile(named(col), list(qs)).alias("q"))
-    return q.select(*groups, *(F.col("q")[i].alias(f"q{i}") for i in range(len(qs))))
+    return exact_quantiles(df, col, qs, groups)
 
 
 def describe(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
-    c = named(col)
-    return df.groupBy(*by).agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), F.percentile(c, 0.25).alias("q25"), F.percentile(c, 0.5).alias("q50"), F.percentile(c, 0.75).alias("q75"), F.max(c).alias("max"))
+    c, by = named(col), list(by)
+    out = df.groupBy(*by).agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"))
+    q = exact_quantiles(df, col, (0.25, 0.5, 0.75), by)
+    same = F.lit(True)
+    for k in by:
+        same = same & F.col(f"o.{k}").eqNullSafe(F.col(f"q.{k}"))
+    out = out.alias("o").join(q.alias("q") if by else F.broadcast(q.alias("q")), same, "left")
+    return out.select(*(F.col(f"o.{k}").alias(k) for k in by), "n", "mean", "std", "min", F.col("q0").alias("q25"), F.col("q1").alias("q50"), F.col("q2").alias("q75"), "max")
 
 
 def outlier_share(df: DataFrame, cols: Sequence[str], z: float = 4.0) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidepool.functions import text as T
 from tidepool.functions.columns import named, present
+from tidepool.operators.windows import exact_quantiles
 
 VOTE_SENTINEL = 4294967295
 VOTES = ("votes_helpful", "votes_funny")
@@ -110,14 +111,18 @@ def norm_name(col: str) -> str:
 def fit_caps(train: DataFrame, cols: Mapping[str, str], quantile: float = 0.99) -> dict[str, dict]:
     """Parameters by column for kinds ``log1p`` and ``cap_log1p``; a cap is the exact quantile (linear) of max(0, null as 0).
 
-    All quantiles come from one aggregation.  Absent columns are skipped; an unknown kind is a ValueError.
+    All quantiles come from one pass over (column, value) rows.  Absent columns are skipped; an unknown kind is a ValueError.
     """
     if bad := set(cols.values()) - {"log1p", "cap_log1p"}:
         raise ValueError(f"unknown kinds: {sorted(bad)}")
     use = present(train, cols)
     capped = [c for c in use if cols[c] == "cap_log1p"]
-    caps = train.agg(*(F.percentile(F.greatest(F.coalesce(named(c).cast("double"), F.lit(0.0)), F.lit(0.0)), quantile).alias(str(i)) for i, c in enumerate(capped))).first() if capped else ()
-    return {c: {"kind": cols[c]} | ({"quantile": quantile, "cap": caps[capped.index(c)]} if c in capped else {}) for c in use}
+    caps = {}
+    if capped:
+        values = F.array(*(F.greatest(F.coalesce(named(c).cast("double"), F.lit(0.0)), F.lit(0.0)) for c in capped))
+        rows = exact_quantiles(train.select(F.posexplode(values).alias("column", "value")), "value", [quantile], ["column"]).collect()  # one row a column
+        caps = {capped[r["column"]]: r["q0"] for r in rows}
+    return {c: {"kind": cols[c]} | ({"quantile": quantile, "cap": caps.get(c)} if c in capped else {}) for c in use}
 
 
 def normalized(x: Column, cap: float | Column | None = None) -> Column:

@@ -50,27 +50,50 @@ def with_position(df: DataFrame, group: str, order: Sequence[Column]) -> DataFra
     return df.withColumns({"position": F.row_number().over(w.orderBy(*order)) - 1, "group_size": F.count(F.lit(1)).over(w)})
 
 
-def running_before(df: DataFrame, order: str, sums: dict[str, str], buckets: int = 256) -> DataFrame:
-    """Adds, for each name, the sum of a column over all rows with a smaller ``order`` (whose values are distinct).
+def running_before(df: DataFrame, order: str, sums: dict[str, str], by: Sequence[str] = (), buckets: int = 256) -> DataFrame:
+    """Adds, for each name, the sum of a column over all rows (of the same ``by``) with a smaller ``order``, whose values are distinct.
 
-    A global window would run in one task.  Here rows fall in buckets between
-    approximate quantiles; the buckets' totals are few, and each bucket is summed
-    apart.
+    A window over all rows, or over a hot group, would run in one task.  Here rows
+    fall in buckets between approximate quantiles; a group has few buckets, whose
+    totals are joined back, and each bucket is summed apart.
     """
+    by = list(by)
     edges = df.agg(F.percentile_approx(order, [i / buckets for i in range(1, buckets)]).alias("e")).first()["e"] or []
     edges = sorted(set(edges))
     bucket = F.size(F.filter(F.array(*(F.lit(e) for e in edges)), lambda e: e <= F.col(order))) if edges else F.lit(0)
     df = df.withColumn("__b", bucket)
-    totals = {r["__b"]: r for r in df.groupBy("__b").agg(*(F.sum(c).alias(n) for n, c in sums.items())).collect()}
-    start: dict[str, list] = {n: [] for n in sums}
-    for n in sums:
-        done = 0
-        for k in range(len(edges) + 1):
-            start[n].append(done)
-            done += (totals[k][n] or 0) if k in totals else 0
-    w = Window.partitionBy("__b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    before = {n: F.element_at(F.array(*(F.lit(x) for x in start[n])), F.col("__b") + 1) + F.coalesce(F.sum(c).over(w), F.lit(0)) for n, c in sums.items()}
-    return df.withColumns(before).drop("__b")
+    before = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    totals = df.groupBy(*by, "__b").agg(*(F.sum(c).alias(f"__t_{n}") for n, c in sums.items()))  # at most ``buckets`` rows a group
+    totals = totals.select(*by, "__b", *(F.coalesce(F.sum(f"__t_{n}").over(before), F.lit(0)).alias(f"__s_{n}") for n in sums))
+    same = F.col("a.__b") == F.col("t.__b")
+    for c in by:
+        same = same & F.col(f"a.{c}").eqNullSafe(F.col(f"t.{c}"))
+    df = df.alias("a").join(totals.alias("t"), same).select("a.*", *(f"t.__s_{n}" for n in sums))
+    w = Window.partitionBy(*by, "__b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return df.withColumns({n: F.col(f"__s_{n}") + F.coalesce(F.sum(c).over(w), F.lit(0)) for n, c in sums.items()}).drop("__b", *(f"__s_{n}" for n in sums))
+
+
+def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """``by``, q0, q1, ...: exact quantiles (linear) of the values that are not null, without a group in one task.
+
+    Distinct values are counted, and those that hold the two order statistics of a
+    quantile are picked by the counts before them.
+    """
+    by = list(by)
+    per = df.where(named(col).isNotNull()).groupBy(*by, named(col).cast("double").alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
+    size = per.groupBy(*by).agg(F.sum("__n").alias("__size"))
+    at = running_before(per, "__v", {"__before": "__n"}, by)
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(f"x.{c}").eqNullSafe(F.col(f"s.{c}"))
+    at = at.alias("x").join(size.alias("s") if by else F.broadcast(size.alias("s")), same).select("x.*", "s.__size")
+    made = []
+    for k, q in enumerate(qs):
+        place = F.lit(float(q)) * (F.col("__size") - 1)
+        holds = lambda i: (F.col("__before") <= i) & (i < F.col("__before") + F.col("__n"))
+        made += [F.max(F.when(holds(F.floor(place)), F.col("__v"))).alias(f"__l{k}"), F.max(F.when(holds(F.ceil(place)), F.col("__v"))).alias(f"__h{k}"), F.max(place - F.floor(place)).alias(f"__f{k}")]
+    got = at.groupBy(*by).agg(*made)
+    return got.select(*by, *((F.col(f"__l{k}") + (F.col(f"__h{k}") - F.col(f"__l{k}")) * F.col(f"__f{k}")).alias(f"q{k}") for k in range(len(qs))))
 
 
 def with_average_rank(df: DataFrame, col: str, name: str) -> DataFrame:
@@ -82,8 +105,8 @@ def with_average_rank(df: DataFrame, col: str, name: str) -> DataFrame:
 
 def quantile_edges(df: DataFrame, col: str, q: int) -> list[float]:
     """Distinct exact quantile edges at 0, 1/q, ... 1 (linear), of the values that are not null."""
-    edges = df.agg(F.percentile(named(col), [i / q for i in range(q + 1)]).alias("e")).first()["e"]
-    return sorted(set(edges)) if edges else []
+    edges = exact_quantiles(df, col, [i / q for i in range(q + 1)]).first()
+    return sorted({e for e in edges if e is not None}) if edges else []
 
 
 def binned(x: Column, edges: Sequence[float], labels: Sequence[str]) -> Column:
@@ -103,15 +126,23 @@ def deciles(df: DataFrame, col: str, name: str = "decile") -> DataFrame:
 def causal_anchors(df: DataFrame, user: str, ts: str, id_col: str) -> DataFrame:
     """For each row, how many of the user's rows lie strictly before and after it by (ts, id), and its neighbours' ids."""
     w = Window.partitionBy(named(user)).orderBy(named(ts), named(id_col))
+    nth = F.row_number().over(w)
     return df.withColumns({
-        "n_before": F.row_number().over(w) - 1,
-        "n_after": F.count(F.lit(1)).over(w.rowsBetween(1, Window.unboundedFollowing)),
+        "n_before": nth - 1,
+        "n_after": F.count(F.lit(1)).over(Window.partitionBy(named(user))) - nth,
         "previous_id": F.lag(named(id_col)).over(w),
         "next_id": F.lead(named(id_col)).over(w),
     })
 
 
 def within_history(events: DataFrame, queries: DataFrame, user: str, ts: str, seconds: int) -> DataFrame:
-    """Pairs of a query and its user's events with query_ts - seconds < ts <= query_ts."""
+    """Pairs of a query and its user's events with query_ts - seconds < ts <= query_ts.
+
+    Time is cut into slots of that length: a query meets the events of its slot and of
+    the one before, and a user's rows are dealt over the slots.
+    """
+    slot = lambda t: F.floor(t / F.lit(seconds))
     q = queries.withColumnRenamed(ts, "query_ts")
-    return q.join(events, user).where((named(ts) > F.col("query_ts") - seconds) & (named(ts) <= F.col("query_ts")))
+    q = q.withColumn("__slot", F.explode(F.array(slot(F.col("query_ts")), slot(F.col("query_ts")) - 1)))
+    e = events.withColumn("__slot", slot(named(ts)))
+    return q.join(e, [user, "__slot"]).where((named(ts) > F.col("query_ts") - seconds) & (named(ts) <= F.col("query_ts"))).drop("__slot")

@@ -216,10 +216,3 @@ def parse_ranked_ids(spark, d):
     answer = F.concat(F.lit("["), (F.col("vec_id") % 3).cast("string"), F.lit(", "), (3 + F.col("vec_id") % 4).cast("string"), F.lit("]"))
     candidates = F.array(*(F.lit(i).cast("long") for i in range(6)))
     return e.select("vec_id", F.to_json(T.ranked_ids(answer, candidates, 2)).alias("ids")).where("ids IS NOT NULL")
-
-
-@query()
-def preferences(spark, d):
-    from tidepool.functions.preferences import extract
-
-    return table(spark, d, "benchmark").select("item_id", extract(F.col("text")).alias("p")).select("item_id", F.size("p.likes").alias("n_likes"), "p.polarity", "p.confidence")
