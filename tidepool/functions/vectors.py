@@ -41,6 +41,11 @@ def blend(a: Column, b: Column, weight: float) -> Column:
     return unit(F.zip_with(a, b, lambda x, y: (1 - w) * x.cast("double") + w * y.cast("double")))
 
 
+def project(v: Column, rows: list[list[float]]) -> Column:
+    """The product of a matrix, given by its rows, and a vector."""
+    return F.array(*(dot(v, F.array(*(F.lit(float(x)) for x in row))) for row in rows))
+
+
 def mean_vector(vectors: Column) -> Column:
     """The mean of an array of vectors; an empty array for none."""
     first = F.transform(F.element_at(vectors, 1), lambda x: F.lit(0.0))

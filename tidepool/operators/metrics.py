@@ -68,12 +68,17 @@ def ranking_metrics(ranked: DataFrame, positives: DataFrame, query: str, item: s
     )
 
 
-def oracle_metrics(pool: DataFrame, positives: DataFrame, query: str, item: str, k: int) -> DataFrame:
-    """Hit and NDCG at k of the best order of each pool, in closed form from the positives it holds."""
+def oracle_metrics(pool: DataFrame, positives: DataFrame, query: str, item: str, k: int, groups: Sequence[str] = ()) -> DataFrame:
+    """Hit and NDCG at k of the best order of each pool, in closed form from the positives it holds.
+
+    With ``groups`` (such as the method), a row for each of their pools; a query without a pool has a row without groups only.
+    """
     n_pos = positives.groupBy(query).agg(F.count(F.lit(1)).alias("n_pos"))
-    held = pool.select(query, item).join(positives, [query, item]).groupBy(query).agg(F.count(F.lit(1)).alias("held"))
+    found = pool.select(*groups, query, item).join(positives.select(query, item, F.lit(1).alias("__p")), [query, item], "left")
+    held = found.groupBy(*groups, query).agg(F.count("__p").alias("held"))
+    both = n_pos.join(held, query, "inner" if groups else "left")
     h = F.coalesce("held", F.lit(0))
-    return n_pos.join(held, query, "left").select(query, "n_pos", h.alias("held"), (h > 0).cast("double").alias("oracle_hit"), (ideal_gain(h, k) / ideal_gain(F.col("n_pos"), k)).alias("oracle_ndcg"))
+    return both.select(*groups, query, "n_pos", h.alias("held"), (h > 0).cast("double").alias("oracle_hit"), (ideal_gain(h, k) / ideal_gain(F.col("n_pos"), k)).alias("oracle_ndcg"))
 
 
 def require_subset(ranked: DataFrame, pool: DataFrame, query: str, item: str) -> None:

@@ -92,3 +92,24 @@ def interest_centroids(df: DataFrame, key: str, vector: str, k: int = 3, rounds:
 
     kind = df.schema[key].dataType.simpleString()
     return df.select(key, vector).groupBy(key).applyInPandas(cluster, f"{key} {kind}, cluster int, vector array<double>")
+
+
+def train_mean_query(queries: DataFrame, support: DataFrame, query: str, order: list[str], m: int) -> DataFrame:
+    """Each query's vector with the mean of itself and its first m - 1 support vectors, to length one; without support it stays.
+
+    ``queries``: query, vector; ``support``: query, vector and the order columns.
+    """
+    w = Window.partitionBy(query).orderBy(*(named(c) for c in order))
+    first = support.where(F.col("vector").isNotNull()).withColumn("__nth", F.row_number().over(w)).where(F.col("__nth") < m).select(query, "vector")
+    mean = pool_vectors(queries.select(query, "vector").unionByName(first), [query], "vector", out="__mean")
+    has = first.select(query).distinct().withColumn("__has", F.lit(True))
+    out = queries.join(mean, query).join(has, query, "left")
+    return out.withColumn("vector", F.when(F.col("__has"), F.col("__mean")).otherwise(V.doubles(F.col("vector")))).drop("__mean", "__has")
+
+
+def habit_query(queries: DataFrame, query: str, weights: dict[str, float]) -> DataFrame:
+    """``vector``: the weighted sum of several vector columns, to length one; a null vector has no part in it."""
+    scaled = lambda c, w: F.transform(F.col(c), lambda x: x.cast("double") * w)
+    parts = [scaled(c, w) for c, w in weights.items()]
+    total = F.aggregate(F.array_compact(F.array(*parts)), F.array().cast("array<double>"), lambda s, v: F.when(F.size(s) == 0, v).otherwise(F.zip_with(s, v, lambda a, b: a + b)))
+    return queries.withColumn("vector", F.when(F.size(total) > 0, V.unit(total)))

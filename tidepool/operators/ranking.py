@@ -50,6 +50,15 @@ def metadata_jaccard(pool: DataFrame, sets: DataFrame, anchor: str, item: str, w
     return df.withColumn(out, sum(each[1:], each[0]) / F.lit(float(sum(weights.values())))).drop("__a", "__c", *(f"__{s}_{f}" for s in "ac" for f in weights))
 
 
+def metadata_entity_max(pool: DataFrame, entities: DataFrame, anchor: str, item: str, fields: list[str], out: str = "meta") -> DataFrame:
+    """The mean over fields of the largest cosine between an entity vector of the anchor item and one of the item; 0 where either has none."""
+    own = entities.select(F.col(item).alias("__a"), *(F.col(f).alias(f"__a_{f}") for f in fields))
+    cand = entities.select(F.col(item).alias("__c"), *(F.col(f).alias(f"__c_{f}") for f in fields))
+    df = pool.join(own, F.col(anchor) == F.col("__a"), "left").join(cand, F.col(item) == F.col("__c"), "left")
+    each = [F.coalesce(V.max_cosine(F.col(f"__a_{f}"), F.col(f"__c_{f}")), F.lit(0.0)) for f in fields]
+    return df.withColumn(out, sum(each[1:], each[0]) / F.lit(float(len(fields)))).drop("__a", "__c", *(f"__{s}_{f}" for s in "ac" for f in fields))
+
+
 def v2a(pool: DataFrame, query: str, w_meta: float = W_META, alpha: float = ALPHA, out: str = "final") -> DataFrame:
     """The log-popularity blend, then blended with ``meta``."""
     return with_blend(pool.withColumn("__d1", logpop_blend(query, alpha)), query, "__d1", "meta", w_meta, out).drop("__d1")

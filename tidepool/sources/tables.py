@@ -6,6 +6,8 @@ import json
 import os
 import re
 import shutil
+import tempfile
+import uuid
 from collections.abc import Mapping, Sequence
 from pathlib import Path
 
@@ -196,3 +198,19 @@ def log_event(path: str, event: Mapping) -> None:
 
 def text_ok(df: DataFrame, col: str, least: int) -> DataFrame:
     return df.where(F.length(X.strip(named(col))) >= least)
+
+
+def scratch(spark: SparkSession, what: str) -> str:
+    """A fresh folder that the driver and all executors share, deleted with the session's JVM.
+
+    It lies in ``spark.checkpoint.dir``; where that is unset, in a temporary folder if all runs on this machine.
+    """
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"file://{tempfile.gettempdir()}"
+    path = f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return path
