@@ -16,6 +16,7 @@ from tidepool.functions.hashing import stable_uniform
 from tidepool.operators import catalog as C
 from tidepool.operators import classification as K
 from tidepool.operators import cohorts as H
+from tidepool.operators import explanations as X
 from tidepool.operators import metrics as M
 from tidepool.operators import models
 from tidepool.operators import pooling as P
@@ -25,7 +26,8 @@ from tidepool.operators import reviews as Rev
 from tidepool.operators import splits as S
 from tidepool.operators import windows as W
 from tidepool.plans import etl
-from tidepool.plans.recommend import evaluate, recommend, regression_gate
+from tidepool.plans import evaluation as Ev
+from tidepool.plans.recommend import recommend, regression_gate
 from tidepool.plans.serve import BadRequest, Service
 from tidepool.sources import http
 from tidepool.sources import tables as IO
@@ -175,13 +177,25 @@ def test_blends(spark):
     assert [r["i"] for r in R.scores_from_picks(picks, "q", "i").orderBy(F.desc("final")).collect()] == [3, 1, 2]
 
 
-def test_blocked_and_broadcast_scores_agree(spark, monkeypatch):
+def test_blocked_and_broadcast_scores_agree(spark):
     rng = np.random.default_rng(1)
     cat = spark.createDataFrame([(i, rng.standard_normal(6).tolist()) for i in range(20)], "i long, vector array<double>")
     q = spark.createDataFrame([(k, k, rng.standard_normal(6).tolist()) for k in range(5)], "q long, i long, vector array<double>")
     one = {(r["q"], r["i"]): r["score"] for r in Ret.cosine_pairs(q, cat, "q", "i").collect()}
-    monkeypatch.setattr(Ret, "CATALOG_CELLS", 30)
-    two = {(r["q"], r["i"]): r["score"] for r in Ret.cosine_pairs(q, cat, "q", "i").collect()}
+    two = {(r["q"], r["i"]): r["score"] for r in Ret.cosine_pairs(q, cat, "q", "i", cells=30).collect()}
+    top = [{(r["q"], r["rank"]): r["i"] for r in Ret.cosine_pool(q, cat, "q", "i", 4, cells=c).collect()} for c in (10**6, 30)]
+    want = {(k, n + 1): i for k in range(5) for n, i in enumerate(sorted((i for q_, i in one if q_ == k), key=lambda i: (-one[k, i], i))[:4])}
+    assert top[0] == top[1] == want
+    same = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(9)], "i long, vector array<double>")  # ties go to the smaller id
+    asked = spark.createDataFrame([(0, 1, [1.0, 0.0]), (1, None, [1.0, 1.0]), (2, 2, [0.0, 0.0])], "q long, i long, vector array<double>")
+    for c in (100, 4):
+        got = Ret.cosine_pool(asked, same, "q", "i", 3, cells=c).orderBy("q", "rank").collect()
+        assert [(r["q"], r["i"]) for r in got] == [(0, 0), (0, 2), (0, 3), (1, 0), (1, 1), (1, 2), (2, 0), (2, 1), (2, 3)]
+    assert Ret.cosine_pool(asked.limit(0), same, "q", "i", 3, cells=4).count() == Ret.cosine_pool(asked, same.limit(0), "q", "i", 3).count() == 0
+    items = spark.createDataFrame([(i, float(i % 3)) for i in range(9)], "i long, pop double")
+    every = {(r["q"], r["i"], r["score"]) for r in Ret.constant_scores(asked, items, "q", "i", F.col("pop")).collect()}
+    assert every == {(r["q"], r["i"], r["score"]) for r in Ret.constant_scores(asked, items, "q", "i", F.col("pop"), cells=128).collect()} and len(every) == 25
+    assert [r["i"] for r in Ret.constant_pool(asked, items, "q", "i", "pop", 3).where("q = 2").orderBy("rank").collect()] == [5, 8, 1]
     assert one.keys() == two.keys() and len(one) == 95 and all(math.isclose(one[k], two[k], abs_tol=1e-12) for k in one)
 
 
@@ -190,11 +204,24 @@ def test_evaluation_job_and_service(spark, tmp_path):
     cat = spark.createDataFrame([(i, f"Game {i}", eye[i].tolist(), float(10 - i)) for i in range(4)], "item long, name string, vector array<double>, pop double")
     q = spark.createDataFrame([(0, 0, [0.1, 0.9, 0.2, 0.0], 0), (1, 1, [0.9, 0.1, 0.8, 0.0], 2)], "query long, item long, vector array<double>, n_support int")
     pos = spark.createDataFrame([(0, 1), (1, 0), (1, 2)], "query long, item long")
-    out = evaluate(q, cat, pos, "query", "item", k=2, k_retrieval=3)
-    bare = {r["query"]: r["hit"] for r in out["per_query"].where("method = 'bare'").collect()}
-    assert bare == {0: 1.0, 1: 1.0} and all(df.count() > 0 for df in out.values())
-    with pytest.raises(ValueError):
-        evaluate(q, cat, pos, "query", "item", k=5, k_retrieval=3)
+    ex = q.join(pos.groupBy("query").agg(F.count("item").alias("n_eval_targets")), "query").select("query", "n_eval_targets", "n_support")
+    pools = Ret.registered_pools(q.withColumn("train_mean_vector", F.col("vector")), cat, "query", "item", ["raw", "popularity_train", "multi_mean_train", "random"], 3)
+    blend = R.PoolReranker("logpop_blend", "raw", lambda p, k: p.withColumn("final", R.logpop_blend(k)))
+    out = Ev.evaluate(ex, pos, cat, pools, [blend], "query", "item", k_final=2, k_retrieval=3, k_personalization=2, folder=f"file://{tmp_path}/eval", metadata=True)
+    meta = out.pop("run_meta")
+    raw = {r["query"]: r["hit"] for r in out["ranking"].where("method = 'raw'").collect()}
+    assert raw == {0: 1.0, 1: 1.0} and all((df.count() > 0) == ("pop_" not in n) for n, df in out.items())  # all means are equal, so there are no deciles
+    assert {r["method"] for r in out["retrieval"].collect()} == set(pools)  # one row for each retrieval method, none for re-rankings
+    assert {(r["method"], r["retrieval_method"]) for r in out["ranking_overall"].collect()} == {(p, p) for p in pools} | {("logpop_blend", "raw")}
+    assert meta["coverage"]["n_total"] == 2 and meta["counts_by_support_bucket"] == {"0": 1, "1": 0, "2-3": 1, "4-7": 0, "8+": 0} and meta["methods_run"][-1] == "logpop_blend"
+    with pytest.raises(ValueError, match="k_retrieval"):
+        Ev.evaluate(ex, pos, cat, pools, [], "query", "item", k_final=5, k_retrieval=3)
+    with pytest.raises(ValueError, match="multi_mean_train"):
+        Ev.evaluate(ex, pos, cat, {"raw": pools["raw"]}, [], "query", "item")
+    with pytest.raises(ValueError, match="logpop_blend"):
+        Ev.rank_frozen(Ret.pool_rows(pools["random"], "query", "item", "random"), ex, pos, cat, ["random"], [blend], "query", "item", reference=pools["popularity_train"])
+    with pytest.raises(KeyError, match="other"):
+        Ret.registered_pools(q, cat, "query", "item", ["other"])
     assert [r["item"] for r in recommend(q, cat, "query", "item", R.RERANKERS["bare"], 1, 3).orderBy("query").collect()] == [1, 0]
     s = Service(spark, cat, lambda t: [0.1, 0.9, 0.2, 0.0], log=f"{tmp_path}/log/events.jsonl")
     assert len(s.recommendations("fun", 0, 2)) == 2 and s.games("GAME 1")[0]["item"] == 1 and s.health()["n_items"] == 4
@@ -360,3 +387,70 @@ def test_embedding_text(spark):
     assert made[0].startswith("WANTS: hitman. AVOIDS: grindy or repetitive progression loops, the grind. MUST_HAVE: none. DISLIKES: the grind.")
     assert made[0].endswith("CONFIDENCE: normal. OPTIONAL_CONTEXT: i hated the grind.") and made[1].endswith("CONFIDENCE: low.")
     assert df.select(Pref.embedding_text(F.col("preferences"), 5)).first()[0].endswith("OPTIONAL_CONTEXT: i hat.")
+
+
+def test_calibration_names_lost_examples(spark):
+    labels = spark.createDataFrame([(0, 5, 4), (1, 3, 2), (2, 1, 1)], "example_id long, human_faithfulness int, human_relevance int")
+    proxies = spark.createDataFrame([(i, 0.1 * i, 0.2, 0.3 * i, False) for i in range(3)], "example_id long, content_overlap_ratio double, relevance_cosine double, relevance_cosine_query_game double, is_degenerate boolean")
+    judged = spark.createDataFrame([(0, 5, 4), (1, 4, 2), (2, 1, 3)], "example_id long, judge_faithfulness int, judge_relevance int")
+    row = X.summarize_calibration(X.calibration(labels, proxies, judged)).first().asDict()
+    assert row["n_examples"] == 3 and math.isclose(row["judge_faithfulness_exact_agreement_rate"], 2 / 3) and row["judge_faithfulness_within_1_rate"] == 1 and math.isclose(row["judge_faithfulness_spearman"], 1)
+    assert row["heuristic_relevance_vs_review_spearman"] is None and math.isclose(row["heuristic_groundedness_spearman"], -1)
+    assert X.summarize_judge(judged).first()["judge_relevance_median"] == 3
+    with pytest.raises(ValueError, match="judge"):
+        X.calibration(labels, proxies, judged.where("example_id < 2"))
+    with pytest.raises(ValueError, match="heuristic"):
+        X.calibration(labels, proxies.where("example_id < 2"), judged)
+
+
+def test_explanations_are_scored(spark):
+    df = spark.createDataFrame([("A cozy farm game", "farm game", ["farm"], [1.0, 0.0], [1.0, 0.0], [0.0, 1.0]), ("", "x", None, [0.0, 0.0], [1.0, 0.0], [1.0, 0.0])], "explanation string, candidate_text string, tags array<string>, explanation_vector array<double>, query_vector array<double>, query_game_vector array<double>")
+    a, b = X.score_explanations(df, F.array(F.lit("farm"), F.lit("cozy"))).collect()
+    assert (a["is_degenerate"], a["ungrounded_tags"], a["relevance_cosine"], a["relevance_cosine_query_game"]) == (False, ["cozy"], 1.0, 0.0) and b["is_degenerate"] and b["relevance_cosine"] == 0
+    assert X.summarize_explanations(X.score_explanations(df, F.array(F.lit("cozy")))).first()["any_ungrounded_tag_rate"] == 0.5
+
+
+def test_npz_and_moves(spark, tmp_path):
+    df = spark.createDataFrame([(3, [1.0, 2.0]), (1, [0.5, 0.25])], "app_id long, vector array<float>")
+    IO.write_npz(df, f"{tmp_path}/a/m.npz")
+    assert [tuple(r) for r in IO.read_npz(spark, f"{tmp_path}/a/m.npz").collect()] == [(1, [0.5, 0.25]), (3, [1.0, 2.0])]
+    (tmp_path / "old").mkdir()
+    plan = IO.plan_moves({"old": "new/place", "absent": "x", "a": "a"}, str(tmp_path))
+    assert [p["action"] for p in plan] == ["move", "skip", "conflict"]
+    with pytest.raises(FileExistsError):
+        IO.move_planned(plan, str(tmp_path))
+    assert IO.move_planned(plan[:2], str(tmp_path)) == 1 and (tmp_path / "new" / "place").is_dir()
+
+
+def test_http_client_renews_its_token_and_keeps_pace():
+    import contextlib
+    import json
+    import urllib.error
+    from types import SimpleNamespace
+
+    asked, now = [], [0.0]
+
+    def opener(request):
+        asked.append((request.full_url, request.get_header("Authorization")))
+        if "token" in request.full_url:
+            return contextlib.nullcontext(SimpleNamespace(status=200, read=lambda: json.dumps({"access_token": f"t{len(asked)}", "expires_in": 1000}).encode()))
+        if request.get_header("Authorization") == "Bearer t1" and len(asked) > 2:
+            raise urllib.error.HTTPError(request.full_url, 401, "old", None, None)
+        return contextlib.nullcontext(SimpleNamespace(status=200, read=lambda: b'[{"id": 7}]'))
+
+    def sleep(s):
+        now[0] += s
+
+    c = http.Client("http://x/games", "http://x/token", "me", "s", opener=opener, clock=lambda: now[0], sleep=sleep)
+    assert c.post("fields id;") == [{"id": 7}] and c.post("fields id;") == [{"id": 7}]
+    assert [u.rsplit("/", 1)[1] for u, _ in asked] == ["token", "games", "games", "token", "games"] and asked[-1][1] == "Bearer t4" and now[0] >= 0.52
+
+
+def test_lookups_and_histories(spark):
+    df = spark.createDataFrame([(1, 2)], "user long, item long")
+    texts = spark.createDataFrame([(1, 2, "a"), (1, 3, "b")], "user long, item long, query_text string")
+    assert H.with_lookup(df, texts, ["user", "item"]).first()["query_text"] == "a"
+    with pytest.raises(KeyError, match="query_text"):
+        H.with_lookup(df, texts.where("item = 3"), ["user", "item"])
+    runs = Ev.run_history({"b": df, "a": texts}, {"a": "2024-01-01 00:00:00", "b": "2024-02-01 00:00:00"}).collect()
+    assert [r["run"] for r in runs] == ["a", "a", "b"] and runs[2]["query_text"] is None

@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from tidepool.operators.windows import running_before, with_average_rank
 
 
+def correlation(a: Column, b: Column) -> Column:
+    """The correlation of two columns as an aggregate; null where either is constant (``corr`` would divide by zero)."""
+    a, b = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
+    return F.when((F.min(a) < F.max(a)) & (F.min(b) < F.max(b)), F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)))
+
+
 def _over(a: Column, b: Column) -> Column:
     return F.when(b == 0, F.lit(0.0)).otherwise(a / b)
 
@@ -72,7 +78,7 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     """One row: the correlation of average ranks; null where either is constant."""
     r = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(a, b)
     r = with_average_rank(with_average_rank(r, a, "__a"), b, "__b")
-    return r.agg(F.when((F.count_distinct(a) > 1) & (F.count_distinct(b) > 1), F.corr("__a", "__b")).alias("spearman"))
+    return r.agg(correlation(F.col("__a"), F.col("__b")).alias("spearman"))
 
 
 def pairwise_correlation(df: DataFrame, cols: Sequence[str], method: str = "pearson") -> DataFrame:
@@ -82,7 +88,7 @@ def pairwise_correlation(df: DataFrame, cols: Sequence[str], method: str = "pear
         for c in cols:
             x = with_average_rank(x, c, f"__r_{c}").drop(c).withColumnRenamed(f"__r_{c}", c)
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :]]
-    row = x.agg(*(F.corr(a, b).alias(f"{i}") for i, (a, b) in enumerate(pairs)))
+    row = x.agg(*(correlation(F.col(a), F.col(b)).alias(f"{i}") for i, (a, b) in enumerate(pairs)))
     return row.select(F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(str(i)).alias("correlation")) for i, (a, b) in enumerate(pairs)))).alias("p")).select("p.*")
 
 

@@ -83,3 +83,16 @@ def cohort_json(ex: DataFrame, key: str) -> DataFrame:
 
 def cohort_from_json(df: DataFrame) -> DataFrame:
     return df.withColumn("positives", F.from_json("validation_positive_app_ids_json", "array<bigint>")).drop("validation_positive_app_ids_json")
+
+
+def with_lookup(df: DataFrame, texts: DataFrame, keys: list[str], text: str = "query_text") -> DataFrame:
+    """``df`` with the text of its keys; KeyError naming some keys that have none."""
+    lost = df.select(*keys).distinct().join(texts.select(*keys), keys, "left_anti").limit(5).collect()
+    if lost:
+        raise KeyError(f"no {text} for {[tuple(r) for r in lost]}")
+    return df.join(texts.select(*keys, text).dropDuplicates(keys), keys)
+
+
+def cohort_summary(ex: DataFrame, user: str, slice_col: str = "slice", bucket_col: str = "bucket") -> DataFrame:
+    """Examples and distinct users of every slice and support bucket."""
+    return ex.groupBy(slice_col, bucket_col).agg(F.count(F.lit(1)).alias("n_examples"), F.count_distinct(user).alias("n_users"))

@@ -60,7 +60,7 @@ def _scores(queries: DataFrame, catalog: DataFrame, query: str, item: str, own:
     right = catalog.select(F.col(item).cast("long").alias("__i"), V.unit(F.col("vector")).alias("__m"))
     if size <= cells:
         rows = right.orderBy("__i").collect()  # at most ``cells`` numbers
-        shared = spark.sparkContext.broadcast((np.array([r["__i"] for r in rows], dtype=np.int64), np.array([r["__m"] for r in rows], dtype=np.float64).reshape(len(rows), -1)))
+        shared = spark.sparkContext.broadcast((np.array([r["__i"] for r in rows], dtype=np.int64), np.array([r["__m"] for r in rows], dtype=np.float64).reshape(len(rows), dims["d"] or 0)))
 
         def all_items(batches):
             items, matrix = shared.value
@@ -96,7 +96,7 @@ def _matrix(lists: pa.Array | pa.ChunkedArray) -> np.ndarray:
     """Vectors of one length as rows."""
     if isinstance(lists, pa.ChunkedArray):
         lists = lists.combine_chunks()
-    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1)
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1 if len(lists) else 0)
 
 
 def cosine_pairs(queries: DataFrame, catalog: DataFrame, query: str, item: str, own: str | None = None, mask: bool = True, cells: int = CATALOG_CELLS) -> DataFrame:

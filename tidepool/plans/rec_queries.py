@@ -42,8 +42,8 @@ def items_of(spark, d):
 
 
 def pool_of(spark, d, k=8):
-    scores = T.cosine_pairs(queries_of(spark, d), catalog(spark, d), "vec_id", "item")
-    return T.pool(scores, "vec_id", "item", k).join(items_of(spark, d).select("item", "pop"), "item")
+    pool = T.cosine_pool(queries_of(spark, d), catalog(spark, d), "vec_id", "item", k)
+    return pool.join(items_of(spark, d).select("item", "pop"), "item")
 
 
 def positives_of(spark, d):
@@ -191,9 +191,13 @@ def pool_excluding(spark, d):
     return rounded(T.pool(scores, "vec_id", "item", 5, positives_of(spark, d)), "score").select("vec_id", "item", "score", "rank")
 
 
-@query()
+@query(f"WITH {CATALOG} SELECT vec_id, 'cosine' AS pool_method, '[' || string_agg(item, ',' ORDER BY rank) || ']' AS retrieved_app_ids_json, round(sum(score * rank), 6) AS scores_by_rank, count(*) AS n FROM pool GROUP BY vec_id")
 def pool_json(spark, d):
-    return T.pool_rows(pool_of(spark, d).select("vec_id", "item", "score", "rank"), "vec_id", "item", "cosine")
+    """Pools as JSON; the array of scores is read back, since two engines print doubles differently."""
+    p = T.pool_rows(pool_of(spark, d).select("vec_id", "item", "score", "rank"), "vec_id", "item", "cosine")
+    s = F.from_json("retrieved_scores_json", "array<double>")
+    weighted = F.aggregate(F.transform(s, lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return p.select("vec_id", "pool_method", "retrieved_app_ids_json", F.round(weighted, 6).alias("scores_by_rank"), F.size(s).cast("long").alias("n"))
 
 
 # -- re-ranking ------------------------------------------------------------------------
@@ -304,7 +308,7 @@ def oracle_ceiling(spark, d):
 
 
 def _methods(spark, d):
-    p = pool_of(spark, d).persist()
+    p = pool_of(spark, d)
     made = {"bare": F.col("score"), "logpop": R.logpop_blend("vec_id"), "popularity": F.col("pop")}
     out = None
     for name, final in made.items():

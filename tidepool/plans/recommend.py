@@ -1,18 +1,15 @@
-"""Whole recommendation jobs: batch recommendations, offline evaluation, the flagship query."""
+"""Whole recommendation jobs: batch recommendations, the regression gate, the flagship query."""
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepool.operators import metrics as M
 from tidepool.operators import ranking as R
 from tidepool.operators import retrieval as T
-from tidepool.operators.windows import deciles, ranked
-
-METRICS = ("hit", "precision", "recall", "ap", "ndcg", "mrr")
+from tidepool.operators.windows import ranked
 
 
 def recommend(queries: DataFrame, catalog: DataFrame, query: str, item: str, reranker: R.PoolReranker | None = None, k: int = 10, k_retrieval: int = 100) -> DataFrame:
@@ -23,43 +20,11 @@ def recommend(queries: DataFrame, catalog: DataFrame, query: str, item: str, rer
     if k > k_retrieval:
         raise ValueError("k must not exceed the size of the pool")
     reranker = reranker or R.RERANKERS["logpop_blend"]
-    pool = T.pool(T.cosine_pairs(queries, catalog, query, item), query, item, k_retrieval).drop("rank")
+    pool = T.cosine_pool(queries, catalog, query, item, k_retrieval).drop("rank")
     scored = reranker(pool.join(catalog.select(item, "pop"), item), query)
     return ranked(scored, query, F.col("final"), [F.col(item)]).where(F.col("rank") <= k).select(query, item, "rank", "final")
 
 
-def evaluate(queries: DataFrame, catalog: DataFrame, positives: DataFrame, query: str, item: str, rerankers: Mapping[str, R.PoolReranker] | None = None, k: int = 10, k_retrieval: int = 100, segments: Sequence[str] = ("slice", "bucket")) -> dict[str, DataFrame]:
-    """An offline evaluation: per_query, tables, deltas, oracle, bottleneck, deciles, personalization.
-
-    ``queries``: query, item, vector and n_support.  The pool is kept, since every table needs it.
-    """
-    if k_retrieval < k:
-        raise ValueError("k_retrieval must be at least k")
-    rerankers = dict(rerankers or {n: r for n, r in R.RERANKERS.items() if n != "v2a"})
-    pool = T.pool(T.cosine_pairs(queries, catalog, query, item), query, item, k_retrieval).drop("rank").join(catalog.select(item, "pop"), item).persist()
-    popular = R.PoolReranker("popularity", "cosine", lambda p, q: p.withColumn("final", F.col("pop")))
-    lists = None
-    for name, r in {**rerankers, "popularity": popular}.items():
-        one = ranked(r(pool, query), query, F.col("final"), [F.col(item)]).select(F.lit(name).alias("method"), query, item, "rank")
-        lists = one if lists is None else lists.unionByName(one)
-    top = lists.where(F.col("rank") <= k).persist()
-    per = M.ranking_metrics(top, positives, query, item, k, ["method"]).join(queries.select(query, "n_support"), query)
-    per = per.withColumns({"slice": M.slice_name(F.col("n_pos")), "bucket": M.support_bucket(F.col("n_support"))})
-    tables = M.segment_tables(per, "method", list(segments), METRICS)
-    mean_pop = positives.join(catalog.select(item, "pop"), item).groupBy(query).agg(F.avg("pop").alias("pos_pop_mean"))
-    by_decile = M.mean_table(per.join(deciles(mean_pop, "pos_pop_mean"), query), ["decile", "method"], METRICS)
-    found = pool.join(positives.withColumn("__r", F.lit(1)), [query, item], "left").groupBy(query).agg(F.count("__r").alias("found"))
-    return {
-        "per_query": per,
-        "tables": tables,
-        "deltas": M.deltas(tables, ["segment", "value"], "popularity", METRICS),
-        "deciles": M.deltas(by_decile, ["decile"], "popularity", METRICS),
-        "oracle": M.oracle_metrics(pool, positives, query, item, k),
-        "bottleneck": M.bottleneck(found, [], "found"),
-        "personalization": M.personalization(top, catalog, query, item),
-    }
-
-
 def regression_gate(current: Mapping[str, Mapping[str, float]], baseline: Mapping[str, Mapping[str, float]], tolerance: float = 1e-3) -> list[str]:
     """What is wrong: methods that are missing, values outside [0, 1], values that fell by more than the tolerance."""
     wrong = [f"{m} is missing" for m in baseline if m not in current]

@@ -23,6 +23,10 @@ class Service:
         self.spark, self.catalog, self.embed, self.item, self.name, self.k_final, self.log = spark, catalog.persist(), embed, item, name, k_final, log
         self.explained: dict[tuple[str, int], str] = {}
 
+    def close(self) -> None:
+        """Let the catalogue go from the executors' memory."""
+        self.catalog.unpersist()
+
     def health(self) -> dict:
         return {"status": "ok", "n_items": self.catalog.count()}
 

@@ -6,7 +6,11 @@ without network) give their own.
 
 from __future__ import annotations
 
+import json
 import time
+import urllib.error
+import urllib.parse
+import urllib.request
 from collections.abc import Callable, Iterable, Sequence
 
 PAGE = 500
@@ -64,3 +68,40 @@ def with_retry(send: Callable[[str, str], tuple[int, list[dict]]], token: Callab
         raise RuntimeError("not authorised")
 
     return post
+
+
+class Client:
+    """Posts queries to ``url`` with a client id and a token that is fetched when it is absent, old or refused.
+
+    Requests keep ``pause`` seconds apart.  ``opener`` opens a request (urllib's, unless a test gives its own).
+    """
+
+    def __init__(self, url: str, token_url: str, client_id: str, secret: str, pause: float = 0.26, opener: Callable = urllib.request.urlopen, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep):
+        self.url, self.token_url, self.client_id, self.secret, self.pause = url, token_url, client_id, secret, pause
+        self.opener, self.clock, self.sleep = opener, clock, sleep
+        self._token, self._until, self._last = "", float("-inf"), float("-inf")
+
+    def token(self) -> str:
+        """The token; a new one within a minute of its end."""
+        if self.clock() >= self._until - 60:
+            form = {"client_id": self.client_id, "client_secret": self.secret, "grant_type": "client_credentials"}
+            with self.opener(urllib.request.Request(self.token_url, urllib.parse.urlencode(form).encode())) as answer:
+                got = json.loads(answer.read())
+            self._token, self._until = got["access_token"], self.clock() + got.get("expires_in", 3600)
+        return self._token
+
+    def send(self, body: str, token: str) -> tuple[int, list[dict]]:
+        """One request, not before the pause since the last: its status and rows.  A refused token is dropped."""
+        self.sleep(max(0.0, self._last + self.pause - self.clock()))
+        self._last = self.clock()
+        headers = {"Client-ID": self.client_id, "Authorization": f"Bearer {token}"}
+        try:
+            with self.opener(urllib.request.Request(self.url, body.encode(), headers)) as answer:
+                return answer.status, json.loads(answer.read())
+        except urllib.error.HTTPError as e:
+            if e.code == 401:
+                self._until = float("-inf")
+            return e.code, []
+
+    def post(self, body: str) -> list[dict]:
+        return with_retry(self.send, self.token)(body)

@@ -11,6 +11,7 @@ import uuid
 from collections.abc import Mapping, Sequence
 from pathlib import Path
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,12 +36,15 @@ EVENT = T.StructType([
 ])
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType = RAW_REVIEWS, columns: Sequence[str] | None = None, limit: int | None = None) -> DataFrame:
-    """A CSV file with header; quoted texts may span lines.  Columns are matched by the header's names, so their order and extras do not matter."""
-    header = spark.read.csv(path, header=True, multiLine=True, escape='"', inferSchema=False).columns
+def read_csv(spark: SparkSession, path: str, schema: T.StructType = RAW_REVIEWS, columns: Sequence[str] | None = None, limit: int | None = None, multiline: bool = True) -> DataFrame:
+    """A CSV file with header.  Columns are matched by the header's names, so their order and extras do not matter.
+
+    With ``multiline`` quoted texts may span lines, and a file is one task; without it, a file is read in splits.
+    """
+    header = spark.read.csv(path, header=True, escape='"', enforceSchema=False).columns  # reads the first line alone
     kinds = {f.name: f.dataType for f in schema}
     own = T.StructType([T.StructField(c, kinds.get(c, _S)) for c in header])
-    df = spark.read.csv(path, schema=own, header=True, multiLine=True, escape='"')
+    df = spark.read.csv(path, schema=own, header=True, multiLine=multiline, escape='"')
     if columns is not None:
         require(df, columns)
         df = df.select(*(named(c) for c in columns))
@@ -94,7 +98,7 @@ def write_splits(df: DataFrame, path: str, split: str = "split") -> dict[str, in
 def write_csv(df: DataFrame, path: str) -> None:
     """A small result table as one CSV part with header; arrays and structs as JSON."""
     cols = [F.to_json(named(f.name)).alias(f.name) if isinstance(f.dataType, (T.ArrayType, T.StructType, T.MapType)) else named(f.name) for f in df.schema]
-    df.select(*cols).coalesce(1).write.mode("overwrite").csv(path, header=True)
+    df.select(*cols).coalesce(1).write.mode("overwrite").csv(path, header=True, escape='"')
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
@@ -200,6 +204,42 @@ def text_ok(df: DataFrame, col: str, least: int) -> DataFrame:
     return df.where(F.length(X.strip(named(col))) >= least)
 
 
+def write_npz(df: DataFrame, path: str, key: str = "app_id", vector: str = "vector") -> None:
+    """A catalogue's vectors as one .npz file (int64 ids, float32 matrix) by id; for catalogues that fit the driver."""
+    rows = df.select(named(key).cast("long").alias("i"), named(vector).alias("v")).orderBy("i").collect()
+    Path(path).parent.mkdir(parents=True, exist_ok=True)
+    np.savez(path, app_ids=np.array([r["i"] for r in rows], np.int64), embeddings=np.array([r["v"] for r in rows], np.float32).reshape(len(rows), -1))
+
+
+def read_npz(spark: SparkSession, path: str, key: str = "app_id", vector: str = "vector") -> DataFrame:
+    """Ids and vectors of a .npz file; ValueError if their numbers differ."""
+    with np.load(path) as f:
+        ids, matrix = f["app_ids"], f["embeddings"]
+    if len(ids) != len(matrix):
+        raise ValueError(f"{len(ids)} ids and {len(matrix)} vectors in {path}")
+    return spark.createDataFrame(list(zip(ids.tolist(), matrix.tolist())), f"{key} long, {vector} array<float>")
+
+
+def plan_moves(moves: Mapping[str, str], root: str, exists=os.path.exists) -> list[dict]:
+    """What to do with old paths below ``root``: move, skip (absent) or conflict (the new path is there too)."""
+    out = []
+    for old, new in moves.items():
+        a, b = exists(f"{root}/{old}"), exists(f"{root}/{new}")
+        out.append({"source": old, "target": new, "action": "conflict" if a and b else "move" if a else "skip"})
+    return out
+
+
+def move_planned(plan: Sequence[Mapping], root: str) -> int:
+    """Carry out the moves of a plan; FileExistsError, before anything is moved, if it holds a conflict."""
+    if bad := [p["source"] for p in plan if p["action"] == "conflict"]:
+        raise FileExistsError(f"both old and new path are there: {bad}")
+    todo = [p for p in plan if p["action"] == "move"]
+    for p in todo:
+        Path(f"{root}/{p['target']}").parent.mkdir(parents=True, exist_ok=True)
+        shutil.move(f"{root}/{p['source']}", f"{root}/{p['target']}")
+    return len(todo)
+
+
 def scratch(spark: SparkSession, what: str) -> str:
     """A fresh folder that the driver and all executors share, deleted with the session's JVM.
 
