@@ -47,7 +47,7 @@ def doubles(df, n=6):
 # -- explanations ------------------------------------------------------------------------
 
 _SC = """sc AS (SELECT vec_id AS example_id, vec_id % 10 = 0 AS is_degenerate, (vec_id % 8) / 8.0::DOUBLE AS content_overlap_ratio, CASE WHEN vec_id % 3 = 0 THEN ['cozy'] ELSE []::VARCHAR[] END AS ungrounded_tags,
-  list_cosine_similarity(embedding[1:32], embedding[33:64])::DOUBLE AS relevance_cosine, list_cosine_similarity(embedding[1:16], embedding[17:32])::DOUBLE AS relevance_cosine_query_game,
+  list_cosine_similarity(embedding[1:32]::DOUBLE[], embedding[33:64]::DOUBLE[]) AS relevance_cosine, list_cosine_similarity(embedding[1:16]::DOUBLE[], embedding[17:32]::DOUBLE[]) AS relevance_cosine_query_game,
   (1 + vec_id % 5)::INT AS human_faithfulness, (1 + vec_id % 4)::INT AS human_relevance, (1 + (vec_id // 2) % 5)::INT AS judge_faithfulness, (1 + (vec_id * 3) % 4)::INT AS judge_relevance FROM embeddings)"""
 
 

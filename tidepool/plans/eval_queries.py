@@ -234,7 +234,7 @@ def shop_pool_json(spark, d):
     return T.pool_rows(S.pools(spark, d)["raw"], "user", "item", "raw").select("user", "pool_method", "retrieved_app_ids_json")
 
 
-@query("SELECT vec_id, round(list_cosine_similarity(embedding[1:32], embedding[33:64]), 6)::DOUBLE AS halves FROM embeddings")
+@query("SELECT vec_id, round(list_cosine_similarity(embedding[1:32]::DOUBLE[], embedding[33:64]::DOUBLE[]), 6)::DOUBLE AS halves FROM embeddings")
 def max_cosine(spark, d):
     e = spark.read.parquet(f"{d}/embeddings.parquet")
     return e.select("vec_id", F.round(V.max_cosine(F.array(F.slice("embedding", 1, 32)), F.array(F.slice("embedding", 33, 32))), 6).alias("halves"))

@@ -114,7 +114,7 @@ nov AS (SELECT item, -log2((pop + 1) / (sum(pop) OVER () + count(*) OVER ())) AS
 ild AS (SELECT a.method, a.user, avg(1 - list_inner_product(x.v, y.v)) AS v FROM top a JOIN top b ON a.method = b.method AND a.user = b.user AND a.rank < b.rank JOIN it x ON x.item = a.item JOIN it y ON y.item = b.item GROUP BY ALL),
 nv AS (SELECT method, top.user, avg(v) AS v FROM top JOIN nov USING (item) GROUP BY ALL),
 gap AS (SELECT a.method, a.user, 1 - count(b.item) / (count(*) + {K_FINAL} - count(b.item)) AS v FROM top a LEFT JOIN (SELECT * FROM top WHERE method = 'popularity_train') b ON b.user = a.user AND b.item = a.item GROUP BY ALL),
-who AS (SELECT seg.user, slice, bucket, decile, 'all' AS whole FROM seg LEFT JOIN dec ON dec.user = seg.user)"""
+who AS (SELECT seg.user, CASE WHEN n_eval_targets > 0 THEN slice END AS slice, CASE WHEN n_eval_targets > 0 THEN bucket END AS bucket, decile, 'all' AS whole FROM seg LEFT JOIN dec ON dec.user = seg.user)"""
 
 
 def guards(by: str) -> str:
