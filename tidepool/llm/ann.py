@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from tidepool.llm.tables import small_batches, staged
 from tidepool.llm.vector_graph import QUERY_BEAM, Graph
 
-SHARD, SHARDS, QUERY_BLOCK = (1024, 1 << 17), 64, 128
+SHARD, SHARDS, QUERY_BLOCK = (1024, 1 << 14), 64, 128
 
 
 def usable(vector: Column) -> Column:

@@ -40,7 +40,7 @@ _ODD_C2[0x80:0xA1] = True
 _ODD_C2[[0xB2, 0xB3, 0xB9, 0xBC, 0xBD, 0xBE]] = True
 
 _SLOTS_BITS = 20
-_POOL_MOST = 1 << 24
+_POOL_MOST, _TEXT_MOST = 1 << 23, 1 << 25
 _GROUP = 200
 
 
@@ -90,8 +90,8 @@ class Encoder:
         self.used = 0
         #: The bytes of the pre-tokens in the cache, and where those of each slot are.
         self.text, self.text_used = np.zeros(1 << 18, dtype=np.uint8), 0
-        self.text_at = np.zeros(1 << _SLOTS_BITS, dtype=np.int64)
-        self.text_len = np.full(1 << _SLOTS_BITS, -1, dtype=np.int64)
+        self.text_at = np.zeros(1 << _SLOTS_BITS, dtype=np.int32)
+        self.text_len = np.full(1 << _SLOTS_BITS, -1, dtype=np.int32)
 
     # -- the plain path -------------------------------------------------
 
@@ -192,7 +192,7 @@ class Encoder:
 
     def _plain(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of plain rows, and their bounds."""
-        if self.used > _POOL_MOST or self.text_used > 8 * _POOL_MOST:
+        if self.used > _POOL_MOST or self.text_used > _TEXT_MOST:
             self._clear()
         data, starts, lengths = self.pretokens(data, offsets)
         h = bt.span_hashes(data, starts, lengths) | np.uint64(1)
