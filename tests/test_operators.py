@@ -330,14 +330,14 @@ def test_cohorts(spark):
         H.reindexed(ex, 9, "rid")
 
 
-def test_degenerate_documents_of_any_length(spark, tmp_path):
-    from tidepool.plans.catalog_queries import degenerate_documents
+def test_degenerate_texts_of_any_length(spark, tmp_path):
+    from tidepool.plans.catalog_queries import degenerate_text
 
     prose = " ".join(f"word{i}" for i in range(200))
     texts = [prose, f"{prose} I cannot say.", "loop " * 201 + prose, "loop " * 200 + prose, " \n" * 300, "", None, "b a b a b b", "a b a b a b", "a a a a a"]
     rows = [(i, t, len(t or "")) for i, t in enumerate(texts)]
     spark.createDataFrame(rows, "doc_id long, text string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r[0]: r[1] for r in degenerate_documents(spark, str(tmp_path)).collect()}
+    got = {r[0]: r[1] for r in degenerate_text(spark, str(tmp_path)).collect()}
     assert [got[i] for i in range(len(texts))] == [False, True, True, False, True, True, True, True, False, False]
 
 

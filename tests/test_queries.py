@@ -8,11 +8,10 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
-from tidepool.plans import catalog_queries, etl_queries, rec_queries
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-PLAIN = {n: m.SQL.get(n) for m in (etl_queries, rec_queries, catalog_queries) for n in m.Q}
+PLAIN = {n: m.SQL.get(n) for m in entry.MODULES for n in m.Q}
 pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="the driver's tables are absent")
 
 
@@ -50,7 +49,7 @@ def test_query_without_sql_runs(spark, name):
 
 
 def test_blend_has_every_component(spark):
-    got = entry.queries()["vector_blend_whole"](spark, DIR).groupBy("vec_id").count()
+    got = entry.queries()["vector_blend"](spark, DIR).groupBy("vec_id").count()
     assert {r["count"] for r in got.collect()} == {64}
 
 

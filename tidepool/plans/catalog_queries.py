@@ -98,12 +98,12 @@ def text_clip(spark, d):
     return table(spark, d, "documents").select("doc_id", T.clipped(F.col("text"), 100).alias("clip"))
 
 
-@query("""WITH r AS (SELECT source AS app_id, doc_id AS review_id, text, n_chars AS votes FROM documents WHERE lang = 'en' AND length(regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', '')) >= 30 QUALIFY row_number() OVER (PARTITION BY source ORDER BY n_chars DESC NULLS LAST, doc_id) <= 3),
+@query("""WITH r AS (SELECT source AS app_id, doc_id AS review_id, text, n_chars AS votes FROM documents WHERE length(regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', '')) >= 30 QUALIFY row_number() OVER (PARTITION BY source ORDER BY n_chars DESC NULLS LAST, doc_id) <= 3),
 s AS (SELECT source AS app_id, min(lang) || chr(10) || chr(10) || source AS text FROM documents GROUP BY source)
 SELECT app_id, 'review' AS chunk_type, review_id, length(text)::INT AS text_len FROM r UNION ALL SELECT app_id, 'description', NULL, length(text)::INT FROM s""")
 def chunk_table(spark, d):
     doc = table(spark, d, "documents")
-    r = C.review_chunks(doc.where("lang = 'en'").withColumn("app_id", F.col("source")), "app_id", "text", "n_chars", "doc_id", 3)
+    r = C.review_chunks(doc.withColumn("app_id", F.col("source")), "app_id", "text", "n_chars", "doc_id", 3)
     r = r.select("app_id", F.col("source").alias("app_name"), F.col("doc_id").alias("review_id"), "text", F.col("n_chars").alias("votes_helpful"), F.lit(1).alias("recommended"))
     s = doc.groupBy(F.col("source").alias("app_id")).agg(F.min("lang").alias("summary")).withColumn("storyline", F.col("app_id"))
     names = doc.select(F.col("source").alias("app_id"), F.col("source").alias("app_name")).distinct()
@@ -117,7 +117,7 @@ def tag_vocabulary(spark, d):
 
 # -- cohorts and examples --------------------------------------------------------------
 
-_COHORT = f"""WITH {EV}, q AS (SELECT * FROM ev WHERE event_id % 10 = 0), t AS (SELECT * FROM ev WHERE event_id % 10 <> 0 AND user_id % 7 <> 0),
+_COHORT = f"""WITH {EV}, q AS (SELECT * FROM ev WHERE event_id % 10 = 0), t AS (SELECT * FROM ev WHERE event_id % 10 <> 0),
 ta AS (SELECT user_id, count(*) AS n_train_support, count(*) FILTER (flag = 1) AS n_train_pos_support FROM t GROUP BY user_id),
 vp AS (SELECT user_id, count(*) AS n_val_pos_rows, count(DISTINCT k) AS n_val_pos_apps FROM q WHERE flag = 1 GROUP BY user_id),
 r AS (SELECT q.event_id, q.user_id, q.k, q.ts, coalesce(n_train_support, 0) AS n_train_support, coalesce(n_train_pos_support, 0) AS n_train_pos_support, n_val_pos_rows, n_val_pos_apps,
@@ -128,7 +128,7 @@ r AS (SELECT q.event_id, q.user_id, q.k, q.ts, coalesce(n_train_support, 0) AS n
 
 def _halves(spark, d):
     e = events(spark, d)
-    return e.where("event_id % 10 = 0"), e.where("event_id % 10 <> 0 AND user_id % 7 <> 0")
+    return e.where("event_id % 10 = 0"), e.where("event_id % 10 <> 0")
 
 
 @query(f"{_COHORT} SELECT event_id, user_id, k, cohort, eval_pos_cohort, n_train_support, n_train_pos_support, n_val_pos_rows, n_val_pos_apps FROM r")
@@ -150,11 +150,11 @@ def build_examples(spark, d):
     return out.select("event_id", "n_eval_targets", slice_name(F.col("n_eval_targets")).alias("slice"), F.to_json("positives").alias("positives"), F.coalesce("n_support", F.lit(0)).alias("n_support"))
 
 
-@query(f"{_COHORT}, ex AS (SELECT DISTINCT r.event_id, v.k AS positive FROM r JOIN q v ON v.user_id = r.user_id AND v.flag = 1 AND v.k <> r.k) SELECT event_id AS group_id, positive FROM ex WHERE positive % 2 = 0")
+@query(f"{_COHORT}, ex AS (SELECT DISTINCT r.event_id, v.k AS positive FROM r JOIN q v ON v.user_id = r.user_id AND v.flag = 1 AND v.k <> r.k) SELECT event_id AS group_id, positive FROM ex WHERE positive IN (SELECT k FROM t WHERE flag = 1)")
 def contrastive_rows(spark, d):
     q, t = _halves(spark, d)
     ex = H.examples(H.eval_records(q, t, "user_id", "k", "flag"), q, "event_id", "user_id", "k", "flag")
-    items = events(spark, d).select("k").distinct().where("k % 2 = 0")
+    items = t.where("flag = 1").select("k").distinct()
     return H.contrastive_rows(ex, items, "event_id", "k").select("group_id", "positive")
 
 
@@ -181,18 +181,10 @@ def overlap_ratio(spark, d):
     return doc.join(b, "doc_id").select("doc_id", F.round(T.overlap_ratio(F.col("text"), F.col("other")), 6).alias("overlap"))
 
 
-@query(r"""WITH w AS (SELECT doc_id, lower(text) AS t, regexp_extract_all(lower(text), '[a-z0-9'']+') AS w FROM documents WHERE n_chars < 400)
-SELECT doc_id, (regexp_full_match(t, '\s*') OR contains(t, 'i cannot') OR contains(t, 'i can''t') OR contains(t, 'i''m unable') OR contains(t, 'as an ai') OR contains(t, 'i don''t have enough information') OR (len(w) >= 6 AND 2 * list_max(list_transform(list_distinct(w), lambda u: len(list_filter(w, lambda v: v = u)))) > len(w))) AS degenerate FROM w""")
-def degenerate_text(spark, d):
-    doc = table(spark, d, "documents").where("n_chars < 400")
-    return doc.select("doc_id", T.degenerate(F.col("text")).alias("degenerate"))
-
-
 @query(r"""WITH t AS (SELECT doc_id, md5(coalesce(text, '')) AS h, lower(coalesce(text, '')) AS t FROM documents), d AS (SELECT DISTINCT h, t FROM t),
 c AS (SELECT h, u, count(*) AS n FROM (SELECT h, unnest(regexp_extract_all(t, '[a-z0-9'']+')) AS u FROM d) GROUP BY ALL), m AS (SELECT h, sum(n) AS n, max(n) AS most FROM c GROUP BY h)
 SELECT doc_id, (regexp_full_match(t, '\s*') OR contains(t, 'i cannot') OR contains(t, 'i can''t') OR contains(t, 'i''m unable') OR contains(t, 'as an ai') OR contains(t, 'i don''t have enough information') OR coalesce(n >= 6 AND 2 * most > n, false)) AS degenerate FROM t LEFT JOIN m USING (h)""")
-def degenerate_documents(spark, d):
-    """``degenerate_text`` over every document, of any length."""
+def degenerate_text(spark, d):
     return table(spark, d, "documents").select("doc_id", T.degenerate(F.col("text")).alias("degenerate"))
 
 

@@ -154,9 +154,15 @@ def blend_grid(spark, d):
 # -- the evaluation's tables ----------------------------------------------------------------
 
 
+_JOBS: dict[tuple[str, str], dict] = {}
+
+
 def _evaluated(spark, d):
-    folder = scratch(spark, "evaluation")
-    return E.evaluate(S.examples(spark, d).withColumnRenamed("item", "own"), S.positives(spark, d), S.items(spark, d), S.pools(spark, d), S.RERANKERS, "user", "item", k_final=K_FINAL, k_retrieval=K_POOL, k_personalization=K_FINAL, folder=folder)
+    """The tables of one evaluation job; it runs once in a session, and each query below is one of its tables."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _JOBS:
+        _JOBS[key] = E.evaluate(S.examples(spark, d).withColumnRenamed("item", "own"), S.positives(spark, d), S.items(spark, d), S.pools(spark, d), S.RERANKERS, "user", "item", k_final=K_FINAL, k_retrieval=K_POOL, k_personalization=K_FINAL, folder=scratch(spark, "evaluation"))
+    return _JOBS[key]
 
 
 _RR = ", ".join(f"round({c}, 6)::DOUBLE AS {c}" for c in E.RETRIEVAL_COLS)
