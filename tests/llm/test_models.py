@@ -212,6 +212,9 @@ def test_chunks_decode_as_the_whole(spark, monkeypatch):
     rows += [(None, 0, None, "x"), (7, 0, "", "x"), (7, 0, "", "x")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, text string, role string")
     whole = chat.format_transcripts(df).toPandas().sort_values(["conv", "turn"]).reset_index(drop=True)
+    monkeypatch.setattr(chat, "CHUNK_BYTES", 200)
+    by_bytes = chat.format_transcripts(df.repartition(6)).toPandas().sort_values(["conv", "turn"]).reset_index(drop=True)
+    pd.testing.assert_frame_equal(whole, by_bytes)
     monkeypatch.setattr(chat, "CHUNK", 4)
     cut = chat.format_transcripts(df.repartition(6)).toPandas().sort_values(["conv", "turn"]).reset_index(drop=True)
     pd.testing.assert_frame_equal(whole, cut)
@@ -220,6 +223,14 @@ def test_chunks_decode_as_the_whole(spark, monkeypatch):
     assert text.count("<|im_start|>") == text.count("<|im_end|>") == whole[whole["conv"] == 1]["n_begun"].sum()
 
 
+def test_a_very_long_text(spark):
+    long = "User: " + "What is this?\nI wonder.\n" * 40_000
+    rows = [(1, 0, "System: You are a bot."), (1, 1, long), (1, 2, "Assistant: x" + "y" * 1_000_000), (None, 0, "User: a"), (None, 1, "b")]
+    got = chat.format_transcripts(spark.createDataFrame(rows, "conv_id long, turn long, text string")).orderBy("conv", "turn").collect()
+    assert [(r["conv"], r["role"], r["n_lines"]) for r in got] == [(None, "user", 1), (None, "user", 1), (1, "system", 1), (1, "user", 80_001), (1, "assistant", 1)]
+    assert len(got[4]["rendered"]) > 1_000_000 and got[1]["n_begun"] <= 1
+
+
 def test_roles_are_recovered(spark):
     rnd = random.Random(3)
     rows = [(c, t, ["user", "assistant"][t % 2], " ".join(rnd.choice(["alpha", "beta", "gamma"]) for _ in range(rnd.randint(3, 30 + 60 * (t % 2))))) for c in range(60) for t in range(rnd.randint(1, 8))]

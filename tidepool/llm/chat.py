@@ -7,15 +7,18 @@ so a turn without a marker gets the role that its neighbours and its own lines
 suggest.  Rendering puts ``<|im_start|>role`` before each turn and ``<|im_end|>``
 behind it, and takes recognised markers out.
 
-A conversation of any length is cut into chunks of ``CHUNK`` rows.  A chunk of an
+The model's probabilities are set by hand, not estimated.
+
+A conversation of any length is cut into chunks of ``CHUNK`` rows, or as many as
+reach ``CHUNK_BYTES``, so a task holds no more than that and one text.  A chunk of an
 open conversation first gives its 6 x 6 matrix of best scores from the state
 before it to its last; a conversation's matrices give each chunk the scores at its
 entry and the state at its exit; then chunks are decoded apart, exactly.
 
 Rows are ordered by conversation, order column and text hash: repeated rows and
-ties stay, in that order.  A null or empty text is one empty line.  A null
-conversation id is a conversation of its own.  An empty table gives an empty
-result.  Other columns are not read.
+ties stay, in that order.  A null or empty text is one empty line.  Rows without a
+conversation id are one conversation, whose id stays null.  An empty table gives an
+empty result.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ from pyspark.sql import functions as F
 from tidepool.llm.tables import per_batch, small_batches, staged
 
 ROLES = ("system", "user", "assistant")
-CHUNK = 512
+CHUNK, CHUNK_BYTES = 512, 4 << 20
 
 #: Words that mark a speaker.
 SPEAKERS = {
@@ -142,10 +145,10 @@ def _cut(batches):
     from pyspark import TaskContext
 
     base, number = TaskContext.get().partitionId() << 32, 0
-    held, conv, chunk_of, first_conv = [], None, 0, True
+    held, size, conv, chunk_of, first_conv = [], 0, None, 0, True
 
     def emit(last_of_task: bool, more: bool):
-        nonlocal number, held
+        nonlocal number, held, size
         turns, texts = zip(*held)
         is_open = first_conv or last_of_task or more or chunk_of > 0
         matrix = start = None
@@ -157,7 +160,7 @@ def _cut(batches):
             start = s.tolist()
             matrix = matrix.ravel().tolist()
         row = {"conv": conv, "chunk": base + number, "open": is_open, "turns": list(turns), "texts": list(texts), "matrix": matrix, "start_matrix": start}
-        number, held = number + 1, []
+        number, held, size = number + 1, [], 0
         return pa.RecordBatch.from_pylist([row], schema=_arrow_chunks())
 
     begun = False
@@ -166,11 +169,12 @@ def _cut(batches):
             if begun and c != conv:
                 yield emit(False, False)
                 chunk_of, first_conv = 0, False
-            elif len(held) >= CHUNK:
+            elif len(held) >= CHUNK or size >= CHUNK_BYTES:
                 yield emit(False, True)
                 chunk_of += 1
             begun, conv = True, c
             held.append((t, x))
+            size += len(x or "")
     if held:
         yield emit(True, False)
 
