@@ -39,8 +39,8 @@ _ODD_C2 = np.zeros(256, dtype=bool)
 _ODD_C2[0x80:0xA1] = True
 _ODD_C2[[0xB2, 0xB3, 0xB9, 0xBC, 0xBD, 0xBE]] = True
 
-_SLOTS_BITS = 20
-_POOL_MOST, _TEXT_MOST = 1 << 23, 1 << 25
+_SLOTS_BITS = 19
+_POOL_MOST, _TEXT_MOST = 1 << 22, 1 << 23
 _GROUP = 200
 
 
@@ -86,10 +86,10 @@ class Encoder:
         self.key = np.zeros(1 << _SLOTS_BITS, dtype=np.uint64)
         self.at = np.zeros(1 << _SLOTS_BITS, dtype=np.int64)
         self.n = np.zeros(1 << _SLOTS_BITS, dtype=np.int32)
-        self.pool = np.zeros(1 << 16, dtype=np.uint16)
+        self.pool = np.zeros(_POOL_MOST + (1 << 20), dtype=np.uint16)
         self.used = 0
         #: The bytes of the pre-tokens in the cache, and where those of each slot are.
-        self.text, self.text_used = np.zeros(1 << 18, dtype=np.uint8), 0
+        self.text, self.text_used = np.zeros(_TEXT_MOST + (1 << 20), dtype=np.uint8), 0
         self.text_at = np.zeros(1 << _SLOTS_BITS, dtype=np.int32)
         self.text_len = np.full(1 << _SLOTS_BITS, -1, dtype=np.int32)
 

@@ -27,7 +27,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 #: Bytes of an Arrow batch: texts may be long, and a batch is held by the JVM and by Python.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
