@@ -282,9 +282,12 @@ def _sets_table(docs: DataFrame, wanted: DataFrame, repeats: bool, held: list[st
 
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (x, y) that link: suffix filter, then verification on whole sets."""
+    """The pairs (x, y) that link: suffix filter, then verification on whole sets.
+
+    Sets grow with the corpus, so they are joined by a shuffle at every size and never broadcast.
+    """
     size = lambda s: F.col(s).alias(s)
-    part = lambda k: sets.select(F.col("doc").alias(k), F.col("n").alias(f"n{k}"), F.col("bins").alias(f"b{k}"))
+    part = lambda k: sets.select(F.col("doc").alias(k), F.col("n").alias(f"n{k}"), F.col("bins").alias(f"b{k}")).hint("merge")
 
     def bounded(batch: pa.RecordBatch):
         n = batch.column(2).to_numpy() + batch.column(4).to_numpy()
@@ -293,7 +296,7 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         yield batch.select(["x", "y"]).filter(pa.array(180 * most >= 80 * n))
 
     pairs = pairs.join(part("x"), "x").join(part("y"), "y").select("x", "y", "nx", "bx", "ny", "by").mapInArrow(per_batch(bounded), "x long, y long")
-    whole = lambda k: sets.select(F.col("doc").alias(k), F.col("grams").alias(f"g{k}"))
+    whole = lambda k: sets.select(F.col("doc").alias(k), F.col("grams").alias(f"g{k}")).hint("merge")
 
     def verify(batch: pa.RecordBatch):
         keep = []
