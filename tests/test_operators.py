@@ -382,9 +382,9 @@ def test_preferences(spark, said, want):
 
 
 def test_embedding_text(spark):
-    df = Pref.with_preferences(spark.createDataFrame([("I loved Hitman, but I hated the grind",), (None,)], "t string"), "t")
+    df = Pref.with_preferences(spark.createDataFrame([("I loved Chess, but I hated the grind",), (None,)], "t string"), "t")
     made = [r[0] for r in df.select(Pref.embedding_text(F.col("preferences"))).collect()]
-    assert made[0].startswith("WANTS: hitman. AVOIDS: grindy or repetitive progression loops, the grind. MUST_HAVE: none. DISLIKES: the grind.")
+    assert made[0].startswith("WANTS: chess. AVOIDS: grindy or repetitive progression loops, the grind. MUST_HAVE: none. DISLIKES: the grind.")
     assert made[0].endswith("CONFIDENCE: normal. OPTIONAL_CONTEXT: i hated the grind.") and made[1].endswith("CONFIDENCE: low.")
     assert df.select(Pref.embedding_text(F.col("preferences"), 5)).first()[0].endswith("OPTIONAL_CONTEXT: i hat.")
 
