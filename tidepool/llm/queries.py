@@ -19,6 +19,7 @@ from tidepool.llm.tables import documents, shared_path
 from tidepool.llm.token_counts import count_tokens
 from tidepool.llm.token_files import read_token_files, write_token_files
 from tidepool.llm.toxicity import held_out, score_toxicity, train
+from tidepool.llm.vector_codes import encode_vectors
 
 
 def raw_transcripts(conversations: DataFrame) -> DataFrame:
@@ -97,6 +98,11 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(F.size(v).cast("long").alias(f"n_{k}") for k, v in of.items()), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("pii")).alias("spans"))
 
 
+def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = encode_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return coded.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat": op1_chat,
     "op2_token_counts": op2_token_counts,
@@ -109,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_quality": op9_quality,
     "op10_pii": op10_pii,
+    "op11_codes": op11_codes,
 }
 
-ORACLE_SQL: dict[str, str] = {"op7_jaccard": sql.JACCARD, "op9_quality": sql.QUALITY}
+ORACLE_SQL: dict[str, str] = {"op7_jaccard": sql.JACCARD, "op9_quality": sql.QUALITY, "op11_codes": sql.VECTOR_CODES}

@@ -50,3 +50,31 @@ r AS (SELECT doc_id AS x, doc_id AS y FROM n UNION SELECT r.x, e.y FROM r JOIN e
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(m.component, d.doc_id)::BIGINT AS component_id
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT x AS doc_id, min(y) AS component FROM r GROUP BY x) m USING (doc_id)
 """
+
+
+def _vector_codes() -> str:
+    """Two rounds, then the final assignment; a part is a row (r, p, v), a codebook entry (p, e, v)."""
+    near = lambda books: f"SELECT r, p, min([d, e]) AS best FROM (SELECT r, p, e, list_sum(list_transform(list_zip(part.v, b.v), z -> (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM part JOIN {books} b USING (p)) GROUP BY r, p"
+    rounds = "".join(
+        f"""
+near{k} AS MATERIALIZED (SELECT r, p, best[2] AS e FROM ({near(f"book{k}")})),
+mean{k} AS (SELECT p, e, list(floor(s / n)::BIGINT ORDER BY i) AS v FROM (
+  SELECT p, e, i, sum(v[i])::BIGINT AS s, count(*) AS n FROM near{k} JOIN part USING (r, p), range(1, len(v) + 1) t(i) GROUP BY p, e, i) GROUP BY p, e),
+book{k + 1} AS MATERIALIZED (SELECT p, e, coalesce(m.v, b.v) AS v FROM book{k} b LEFT JOIN mean{k} m USING (p, e)),"""
+        for k in range(2)
+    )
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, x -> floor(256 * x::DOUBLE)::BIGINT) AS q, row_number() OVER (ORDER BY vec_id) AS r FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+part AS MATERIALIZED (SELECT r, p, q[p * (len(q) // 16) + 1 : (p + 1) * (len(q) // 16)] AS v FROM kept, range(16) t(p)),
+book0 AS MATERIALIZED (SELECT p, r - 1 AS e, v FROM part WHERE r <= 64),{rounds}
+final AS MATERIALIZED ({near("book2")}),
+code AS (SELECT r, string_agg(lower(printf('%02x', best[2])), '' ORDER BY p) AS code, sum(best[1])::BIGINT AS error FROM final GROUP BY r),
+digest AS (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY p, e, i)) AS sha FROM (SELECT p, e, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM book2))
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, sha AS codebooks_sha256
+FROM kept JOIN code USING (r), digest
+"""
+
+
+VECTOR_CODES = _vector_codes()

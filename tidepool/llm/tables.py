@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_path(spark: SparkSession, what: str) -> str:
@@ -72,6 +73,25 @@ def tasks_for(spark: SparkSession, size: int | None) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(size or 0) // TASK_BYTES))
 
 
+#: A key is hot from so large a share of the rows on: no more than so many keys can be.
+HOT_KEYS = 256
+
+
+def join_back(rows: DataFrame, per_key: DataFrame, key: str, *, spread: str) -> DataFrame:
+    """``rows`` with the columns of ``per_key``, which has a row for each of their keys (nulls are one key) and the key's number of rows, ``n``.
+
+    Rows of hot keys are dealt out by the hash of their ``spread`` column, and those keys' results are
+    copied as often.  Hot keys are ``HOT_KEYS`` at most, so the table that tells them is broadcast whatever the input.
+    """
+    total = per_key.agg(F.sum("n")).first()[0] or 0
+    deals = F.ceil(F.col("n") * HOT_KEYS / total) if total else F.lit(1)
+    hot = per_key.where(F.col("n") * HOT_KEYS >= total).groupBy(F.xxhash64(key).alias("hot_")).agg(F.max(deals).cast("int").alias("deals_"))
+    told = lambda df: df.join(F.broadcast(hot), F.xxhash64(df[key]) == F.col("hot_"), "left").withColumn("deals_", F.coalesce("deals_", F.lit(1))).drop("hot_")
+    left = told(rows).withColumn("deal_", F.pmod(F.xxhash64(spread), "deals_").cast("int")).drop("deals_")
+    right = told(per_key.drop("n")).withColumn("deal_", F.explode(F.sequence(F.lit(0), F.col("deals_") - 1))).select(F.col(key).alias("key_"), F.col("deal_").alias("other_"), *(c for c in per_key.columns if c not in (key, "n")))
+    return left.join(right, left[key].eqNullSafe(right["key_"]) & (F.col("deal_") == F.col("other_")), "left").drop("deal_", "key_", "other_")
+
+
 def per_batch(f: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]):
     """A function for mapInArrow from one on batches; what a task has freed goes back to the system at its end."""
 
