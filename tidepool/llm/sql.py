@@ -54,7 +54,7 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT x AS doc_id, min(y) AS compo
 
 def _vector_codes() -> str:
     """Two rounds, then the final assignment; a part is a row (r, p, v), a codebook entry (p, e, v)."""
-    near = lambda books: f"SELECT r, p, min([d, e]) AS best FROM (SELECT r, p, e, list_sum(list_transform(list_zip(part.v, b.v), z -> (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM part JOIN {books} b USING (p)) GROUP BY r, p"
+    near = lambda books: f"SELECT r, p, min([d, e]) AS best FROM (SELECT r, p, e, list_sum(list_transform(list_zip(part.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM part JOIN {books} b USING (p)) GROUP BY r, p"
     rounds = "".join(
         f"""
 near{k} AS MATERIALIZED (SELECT r, p, best[2] AS e FROM ({near(f"book{k}")})),
@@ -65,8 +65,8 @@ book{k + 1} AS MATERIALIZED (SELECT p, e, coalesce(m.v, b.v) AS v FROM book{k} b
     )
     return f"""
 WITH kept AS MATERIALIZED (
-  SELECT vec_id, label, list_transform(embedding, x -> floor(256 * x::DOUBLE)::BIGINT) AS q, row_number() OVER (ORDER BY vec_id) AS r FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q, row_number() OVER (ORDER BY vec_id) AS r FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 part AS MATERIALIZED (SELECT r, p, q[p * (len(q) // 16) + 1 : (p + 1) * (len(q) // 16)] AS v FROM kept, range(16) t(p)),
 book0 AS MATERIALIZED (SELECT p, r - 1 AS e, v FROM part WHERE r <= 64),{rounds}
 final AS MATERIALIZED ({near("book2")}),
