@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from tidepool.llm import sql
 from tidepool.llm.ann import nearest
 from tidepool.llm.chat import format_transcripts
+from tidepool.llm.conversation_repair import audits, repaired_digests
 from tidepool.llm.jaccard import similar_groups
 from tidepool.llm.nbest import decode_pieces, encode_nbest
 from tidepool.llm.packing import pack_documents
 from tidepool.llm.pii import BASE, find_pii, joined
 from tidepool.llm.quality import quality_cascade
-from tidepool.llm.tables import documents, shared_path
+from tidepool.llm.tables import documents, shared_path, staged
 from tidepool.llm.token_counts import count_tokens
 from tidepool.llm.token_files import read_token_files, write_token_files
 from tidepool.llm.toxicity import held_out, score_toxicity, train
@@ -103,6 +104,33 @@ def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
 
 
+def damaged(conversations: DataFrame) -> DataFrame:
+    """A twentieth of the rows each: dropped, emptied, without sentence ends, repeated, made a user's."""
+    filled = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    kind = F.crc32(F.concat(filled("conv_id"), F.lit(":"), filled("turn")).cast("binary")) % 20
+    rows = conversations.select("conv_id", "turn", filled("role").alias("role"), filled("text").alias("text"), kind.alias("damage")).where("damage <> 0")
+    text = F.when(F.col("damage") == 1, "").when(F.col("damage") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    role = F.when(F.col("damage") == 4, "user").otherwise(F.col("role"))
+    rows = rows.withColumns({"text": text, "role": role})
+    return rows.withColumn("copy", F.explode(F.when(F.col("damage") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))).select("conv_id", "turn", "role", "text")
+
+
+def repair_report(conversations: DataFrame) -> DataFrame:
+    rows = damaged(conversations)
+    found = staged(audits(rows), "audits")
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    hashed = repaired_digests(rows, found).select(F.col("conv").alias("hashed"), "repaired_sha256")
+    out = conversations.select("conv_id").distinct().join(found, F.col("conv_id").eqNullSafe(F.col("conv")), "left")
+    out = out.join(hashed, F.col("conv_id").eqNullSafe(F.col("hashed")), "left")
+    # a conversation that lost all rows has no audit
+    filled = [F.when(F.col("audit").isNull(), 0).otherwise(F.col(c)).cast("long").alias(c) for c in counts]
+    return out.select("conv_id", *filled, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_report(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat": op1_chat,
     "op2_token_counts": op2_token_counts,
@@ -116,6 +144,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality": op9_quality,
     "op10_pii": op10_pii,
     "op11_codes": op11_codes,
+    "op12_repair": op12_repair,
 }
 
 ORACLE_SQL: dict[str, str] = {"op7_jaccard": sql.JACCARD, "op9_quality": sql.QUALITY, "op11_codes": sql.VECTOR_CODES}
