@@ -45,14 +45,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepool.llm import bytetext as bt
 from tidepool.llm.components import components
 from tidepool.llm.tables import drop, per_batch, release, small_batches, staged
 
-SHINGLE, LEADERS, BINS, SLICES = 5, 32, 64, 64
+SHINGLE, PERCENT, LEADERS, BINS, SLICES = 5, 80, 32, 64, 64
 #: The sketch has a slot for each ``SLOT_BYTES`` of text, within these powers of two.
 SKETCH_BITS, SLOT_BYTES = (20, 24), 1024
 #: The filter of documents has 16 bits for each that is wanted, within these powers of two.
@@ -281,8 +281,8 @@ def _sets_table(docs: DataFrame, wanted: DataFrame, repeats: bool, held: list[st
     return staged(sets.drop("s1", "s2"), "sets", held)
 
 
-def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (x, y) that link: suffix filter, then verification on whole sets.
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (x, y) with 100 * common >= percent * union: suffix filter, then verification on whole sets.
 
     Sets grow with the corpus, so they are joined by a shuffle at every size and never broadcast.
     """
@@ -293,7 +293,7 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         n = batch.column(2).to_numpy() + batch.column(4).to_numpy()
         b = [np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype="<i4").reshape(-1, BINS) for k in (3, 5)]
         most = np.minimum(b[0], b[1]).sum(axis=1)
-        yield batch.select(["x", "y"]).filter(pa.array(180 * most >= 80 * n))
+        yield batch.select(["x", "y"]).filter(pa.array((100 + percent) * most >= percent * n))
 
     pairs = pairs.join(part("x"), "x").join(part("y"), "y").select("x", "y", "nx", "bx", "ny", "by").mapInArrow(per_batch(bounded), "x long, y long")
     whole = lambda k: sets.select(F.col("doc").alias(k), F.col("grams").alias(f"g{k}")).hint("merge")
@@ -303,7 +303,7 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         for a, b in zip(batch.column(2), batch.column(3)):
             g, h = (np.frombuffer(z.as_py(), dtype=np.uint64) for z in (a, b))
             s = np.sort(np.concatenate([g, h]))
-            keep.append(180 * int((s[1:] == s[:-1]).sum()) >= 80 * len(s))
+            keep.append((100 + percent) * int((s[1:] == s[:-1]).sum()) >= percent * len(s))
         yield batch.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
 
     return pairs.join(whole("x"), "x").join(whole("y"), "y").select(size("x"), size("y"), "gx", "gy").mapInArrow(per_batch(verify), "x long, y long").distinct()
@@ -317,54 +317,57 @@ def _ordered(a: str, b: str) -> list:
     return [F.least(F.col(f"{a}.doc"), F.col(f"{b}.doc")).alias("x"), F.greatest(F.col(f"{a}.doc"), F.col(f"{b}.doc")).alias("y")]
 
 
-def similar_groups(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of ``df``: its id, n_shingles, component_id (see the module)."""
-    spark, held = df.sparkSession, []
-    small_batches(spark)
-    docs = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = _power(size // SLOT_BYTES, SKETCH_BITS)
-    survey = _survey(docs, bits, held)
-    found = survey.where("slice IS NULL").select("doc", "n", "s1", "s2")
-    levels = _reduced(survey.where("slice IS NOT NULL").select("slice", "part"), "<u4", np.add, _levels)
-    level = spark.sparkContext.broadcast(levels if len(levels) else np.zeros(1 << bits, np.uint8))  # 1 to 16 MB
+def _classes(found: DataFrame, held: list[str], *more) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of rows (doc, n, s1, s2): the classes of equal sets (rep, nth, n, s1, s2, and ``more`` of each), each row's class (doc, n, rep), and ids with several rows.
 
-    # classes, and the place of each among those that one document stands for (nearly always it stands for one)
-    classes = found.where("n > 0 AND doc IS NOT NULL").groupBy("s1", "s2", "n").agg(F.min("doc").alias("rep"))
+    ``nth``: the place of a class among those that one document stands for (nearly always it stands for one).
+    """
+    classes = found.where("n > 0 AND doc IS NOT NULL").groupBy("s1", "s2", "n").agg(F.min("doc").alias("rep"), *more)
     classes = staged(classes.withColumn("nth", F.row_number().over(Window.partitionBy("rep").orderBy("s1", "s2", "n"))), "classes", held)
     members = staged(found.join(classes.select("s1", "s2", "n", "rep"), ["s1", "s2", "n"], "left").select("doc", "n", "rep"), "members", held)
     repeated = members.where("doc IS NOT NULL").groupBy("doc").agg(F.count("*").alias("rows"), F.min("rep").alias("low"), F.max("rep").alias("high"), F.count("rep").alias("filled")).where("rows > 1")
-    repeated = staged(repeated, "repeated", held)
-    repeats = not repeated.isEmpty()
+    return classes, members, staged(repeated, "repeated", held)
 
-    reps = classes.select(F.col("rep").alias("doc"), "s1", "s2", "nth")
-    packed = _prefixes(docs.where("doc IS NOT NULL"), level).join(reps, ["doc", "s1", "s2"])
-    packed = packed.dropDuplicates(["doc", "s1", "s2"]) if repeats else packed
-    grams = packed.select("doc", "nth", "n", "prefix").mapInArrow(per_batch(_unpacked(level, salts_of(level.value))), "gram long, doc long, nth int, n int, pos int, salts int")
-    salt = F.when(F.col("salts") > 0, F.pmod(F.xxhash64("doc"), F.col("salts"))).otherwise(F.lit(-1)).cast("int")
-    met = grams.repartition(F.col("gram"), salt).sortWithinPartitions("gram").mapInArrow(_without_singles, grams.schema)
-    met = staged(met.withColumn("prev", F.lag("gram").over(Window.partitionBy("doc", "nth").orderBy("pos"))), "met", held)
+
+def _salt() -> Column:
+    """To which of its shingle's tasks a row goes."""
+    return F.when(F.col("salts") > 0, F.pmod(F.xxhash64("doc"), F.col("salts"))).otherwise(F.lit(-1)).cast("int")
+
+
+def _everywhere(rows: DataFrame) -> DataFrame:
+    """Rows copied to each of their shingle's tasks."""
+    return rows.withColumn("salt", F.explode(F.when(F.col("salts") > 0, F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(F.array(F.lit(-1)))))
+
+
+def _met(grams: DataFrame) -> DataFrame:
+    """Rows whose gram other rows have too."""
+    return grams.repartition(F.col("gram"), _salt()).sortWithinPartitions("gram").mapInArrow(_without_singles, grams.schema)
+
+
+def _groups(docs: DataFrame, met: DataFrame, members: DataFrame, repeated: DataFrame, candidate, percent: int, id_col: str, held: list[str]) -> DataFrame:
+    """id, n_shingles, component_id of each row, by the links among documents that meet (rows of ``met``) and are candidates."""
+    repeats = not repeated.isEmpty()
 
     # pass 1: each row with a few leaders of its shingle
     draw = Window.partitionBy("gram").orderBy("pos", F.xxhash64("doc"), "doc", "nth")
-    leaders = met.withColumn("place", F.row_number().over(draw)).where(F.col("place") <= LEADERS).drop("place")
-    leaders = leaders.withColumn("salt", F.explode(F.when(F.col("salts") > 0, F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(F.array(F.lit(-1)))))
-    first = met.withColumn("salt", salt).alias("a").join(leaders.alias("b"), ["gram", "salt"]).where(F.col("a.doc") != F.col("b.doc")).where(_candidate("a", "b")).select(*_ordered("a", "b")).distinct()
+    leaders = _everywhere(met.withColumn("place", F.row_number().over(draw)).where(F.col("place") <= LEADERS).drop("place"))
+    first = met.withColumn("salt", _salt()).alias("a").join(leaders.alias("b"), ["gram", "salt"]).where(F.col("a.doc") != F.col("b.doc")).where(candidate("a", "b")).select(*_ordered("a", "b")).distinct()
     tried = staged(first, "pairs", held)
-    links = staged(_linked(tried, _sets_table(docs, _ends(tried), repeats, held)), "links", held)
+    links = staged(_linked(tried, _sets_table(docs, _ends(tried), repeats, held), percent), "links", held)
     # the classes of one document are one node
     apart = members.join(repeated.where("low < high").select("doc", "low"), "doc").where("rep > low").select(F.col("low").alias("x"), F.col("rep").alias("y")).distinct()
     links = links.union(apart)
     merged = staged(components(links.select(F.col("x").alias("u"), F.col("y").alias("v")), held), "merged", held)
 
-    # pass 2: rows of one shingle in different components, all of them
+    # pass 2: rows of one shingle in different components, all of them; hot shingles are dealt out here too
     known = met.join(merged.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     known = staged(known, "known", held)
     mixed = known.groupBy("gram").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("gram")
     rest = known.join(mixed, "gram", "left_semi")
-    across = rest.alias("a").join(rest.alias("b"), (F.col("a.gram") == F.col("b.gram")) & (F.col("a.component") != F.col("b.component")) & (F.col("a.doc") < F.col("b.doc")) & _candidate("a", "b"))
+    across = rest.withColumn("salt", _salt()).alias("a").join(_everywhere(rest).alias("b"), ["gram", "salt"])
+    across = across.where((F.col("a.component") != F.col("b.component")) & (F.col("a.doc") < F.col("b.doc"))).where(candidate("a", "b"))
     second = staged(across.select(*_ordered("a", "b")).distinct().join(tried, ["x", "y"], "left_anti"), "pairs", held)
-    links2 = staged(_linked(second, _sets_table(docs, _ends(second), repeats, held)), "links", held)
+    links2 = staged(_linked(second, _sets_table(docs, _ends(second), repeats, held), percent), "links", held)
 
     # rows without words follow their document's other rows
     final = components(links.union(links2).select(F.col("x").alias("u"), F.col("y").alias("v")), held).withColumnRenamed("node", "rep")
@@ -372,10 +375,31 @@ def similar_groups(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     out = members.where("rep IS NOT NULL").unionByName(bare).join(final, "rep", "left")
     component = F.when(F.col("doc").isNotNull(), F.coalesce("component", "rep", "doc"))
     out = staged(out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id")), "groups")
-    drop(spark, held)
+    drop(docs.sparkSession, held)
     return out
 
 
+def similar_groups(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row of ``df``: its id, n_shingles, component_id (see the module)."""
+    spark, held = df.sparkSession, []
+    small_batches(spark)
+    docs = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = _power(size // SLOT_BYTES, SKETCH_BITS)
+    survey = _survey(docs, bits, held)
+    found = survey.where("slice IS NULL").select("doc", "n", "s1", "s2")
+    levels = _reduced(survey.where("slice IS NOT NULL").select("slice", "part"), "<u4", np.add, _levels)
+    level = spark.sparkContext.broadcast(levels if len(levels) else np.zeros(1 << bits, np.uint8))  # 1 to 16 MB
+    classes, members, repeated = _classes(found, held)
+
+    reps = classes.select(F.col("rep").alias("doc"), "s1", "s2", "nth")
+    packed = _prefixes(docs.where("doc IS NOT NULL"), level).join(reps, ["doc", "s1", "s2"])
+    packed = packed if repeated.isEmpty() else packed.dropDuplicates(["doc", "s1", "s2"])
+    grams = packed.select("doc", "nth", "n", "prefix").mapInArrow(per_batch(_unpacked(level, salts_of(level.value))), "gram long, doc long, nth int, n int, pos int, salts int")
+    met = staged(_met(grams).withColumn("prev", F.lag("gram").over(Window.partitionBy("doc", "nth").orderBy("pos"))), "met", held)
+    return _groups(docs, met, members, repeated, _candidate, PERCENT, id_col, held)
+
+
 def one_of_each(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` whose id is the smallest of their component, one a document, with all their columns.  Rows without an id stay."""
     groups = similar_groups(df, id_col=id_col, text_col=text_col)

@@ -12,6 +12,7 @@ from tidepool.llm.ann import nearest
 from tidepool.llm.chat import format_transcripts
 from tidepool.llm.conversation_repair import audits, repaired_digests
 from tidepool.llm.jaccard import similar_groups
+from tidepool.llm.minhash import near_duplicates
 from tidepool.llm.nbest import decode_pieces, encode_nbest
 from tidepool.llm.packing import pack_documents
 from tidepool.llm.pii import BASE, find_pii, joined
@@ -131,6 +132,10 @@ def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_report(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat": op1_chat,
     "op2_token_counts": op2_token_counts,
@@ -145,6 +150,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_pii": op10_pii,
     "op11_codes": op11_codes,
     "op12_repair": op12_repair,
+    "op13_minhash": op13_minhash,
 }
 
-ORACLE_SQL: dict[str, str] = {"op7_jaccard": sql.JACCARD, "op9_quality": sql.QUALITY, "op11_codes": sql.VECTOR_CODES}
+ORACLE_SQL: dict[str, str] = {"op7_jaccard": sql.JACCARD, "op9_quality": sql.QUALITY, "op11_codes": sql.VECTOR_CODES, "op13_minhash": sql.MINHASH}

@@ -51,6 +51,9 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(m.component, d
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT x AS doc_id, min(y) AS component FROM r GROUP BY x) m USING (doc_id)
 """
 
+#: The same components at 0.85, and which document stays.
+MINHASH = f"SELECT *, doc_id = component_id AS kept FROM ({JACCARD.replace('>= 80 *', '>= 85 *')})"
+
 
 def _vector_codes() -> str:
     """Two rounds, then the final assignment; a part is a row (r, p, v), a codebook entry (p, e, v)."""
