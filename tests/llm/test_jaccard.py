@@ -148,3 +148,27 @@ def test_components_of_chains_and_stars(spark):
     df = spark.createDataFrame(edges, "u long, v long").repartition(6)
     got = {r["node"]: r["component"] for r in components(df).collect()}
     assert got == {**{i: 1 for i in range(1, 41)}, **{x: 100 for x in range(100, 130)}, 200: 200, 203: 200, 205: 200}
+
+
+def test_parity_maps_differ_in_no_more_bits_than_sets():
+    rnd = np.random.default_rng(5)
+    h = np.sort(rnd.integers(0, 1 << 63, 600, dtype=np.uint64))
+    for common in (0, 150, 290, 300):
+        sets = np.concatenate([h[:300], h[300 - common : 600 - common]])
+        maps = np.array(J.parities(sets, np.array([0, 300, 600])))
+        bits = sum(bin((int(a) ^ int(b)) & (2**64 - 1)).count("1") for a, b in maps)
+        assert bits <= 2 * (300 - common)
+
+
+def test_pairs_of_a_form_stay_few(spark, monkeypatch):
+    """Texts of eight fields with four fixed phrases each, as many as there are mixtures, no two linked: few pairs are looked at."""
+    rnd = random.Random(3)
+    phrases = [[" ".join(f"p{f}{v}{i}" for i in range(12)) for v in range(4)] for f in range(8)]
+    docs = sorted({tuple(rnd.randrange(4) for _ in range(8)) for _ in range(3000)})
+    docs = [(k, " ".join(phrases[f][v] for f, v in enumerate(d))) for k, d in enumerate(docs)]
+    sizes = []
+    linked = J._linked
+    monkeypatch.setattr(J, "_linked", lambda pairs, *a: (sizes.append(pairs.count()), linked(pairs, *a))[1])
+    got = found(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert all(r[2] == r[0] for r in got)
+    assert sizes[1] < 10 * len(docs)  # all pairs: 1,500 a document

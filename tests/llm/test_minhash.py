@@ -62,7 +62,7 @@ def corpus(seed, changes=6):
 @pytest.mark.parametrize("seed", [1, 2])
 def test_components_are_those_of_all_pairs(spark, monkeypatch, seed):
     if seed == 2:  # few leaders and hot lists, so that the second pass and the dealing have work
-        monkeypatch.setattr(J, "LEADERS", 1)
+        monkeypatch.setattr(M, "LEADERS", 1)
         monkeypatch.setattr(J, "HOT", 4)
     docs = corpus(seed)
     assert found(spark, docs) == plain(docs)

@@ -24,8 +24,10 @@ the fewest rarer shingles before it: of near copies, those with the least text o
 their own, which link with most others.  Verified links merge most of a group.  The second pairs rows
 of one shingle whose documents are still in different components, all of them,
 so no component is missed: a pair left out lies inside one component already.
-Rows of a shingle that the sketch finds frequent are dealt over several tasks
-(``HOT``), and its leaders go to each of them.
+In the second pass pairs must also pass the bitmap filter (``_alike``), so texts that
+share phrases by a form and do not link come out of no join.  Rows of a shingle that
+the sketch finds frequent are dealt over several tasks (``HOT``) in both passes, and
+what they meet goes to each of them.
 
 Shingles are compared by 64-bit hashes of words and of their sequence, and sets by
 128 bits.  Two sets of n and m shingles then share a false shingle with a chance
@@ -99,6 +101,31 @@ def signatures(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return s1.view(np.int64), s2.view(np.int64)
 
 
+#: Columns of a set's parity map.
+PARITY = ["p0", "p1", "p2", "p3"]
+
+
+def parities(h: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
+    """256 bits of each row's set, as four longs: whether an odd number of its hashes falls on each.
+
+    Two maps differ in no more bits than the sets have shingles that are not common.
+    """
+    at = (h >> np.uint64(20)) & np.uint64(255)
+    some, out = np.flatnonzero(np.diff(bounds)), np.zeros((4, len(bounds) - 1), np.uint64)
+    for k in range(4) if len(some) else ():
+        mine = np.where(at >> np.uint64(6) == k, np.uint64(1) << (at & np.uint64(63)), np.uint64(0))
+        out[k, some] = np.bitwise_xor.reduceat(mine, bounds[some])
+    return list(out.view(np.int64))
+
+
+def _alike(a: str, b: str, percent: int) -> Column:
+    """The bitmap filter: sets of n and m shingles that link have (100 - percent) / (100 + percent) * (n + m) apart at most, and their parity maps differ in no more bits."""
+    apart = F.lit(0)
+    for c in PARITY:
+        apart = apart + F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}")))
+    return (100 + percent) * apart <= (100 - percent) * (F.col(f"{a}.n") + F.col(f"{b}.n"))
+
+
 def _sets_of(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     data, offsets = bt.buffers(column)
     for a, b in bt.steps(offsets):
@@ -150,7 +177,8 @@ def salts_of(levels: np.ndarray) -> np.ndarray:
 
 
 def _survey(docs: DataFrame, bits: int, held: list[str]) -> DataFrame:
-    """A row per document (doc, n, s1, s2), and each task's sketch by slices (slice, part)."""
+    """A row per document (doc, n, s1, s2, parity map), and each task's sketch by slices (slice, part)."""
+    names = ["doc", "n", "s1", "s2", *PARITY, "slice", "part"]
 
     def run(batches):
         counts = np.zeros(1 << bits, np.uint32)
@@ -159,12 +187,12 @@ def _survey(docs: DataFrame, bits: int, held: list[str]) -> DataFrame:
                 n = len(bounds) - 1
                 np.add.at(counts, (h >> np.uint64(64 - bits)).astype(np.int64), 1)
                 s1, s2 = signatures(h, bounds)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, n), pa.array(np.diff(bounds)), pa.array(s1), pa.array(s2), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=["doc", "n", "s1", "s2", "slice", "part"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, n), pa.array(np.diff(bounds)), pa.array(s1), pa.array(s2), *map(pa.array, parities(h, bounds)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
         release()
         longs = pa.nulls(SLICES, pa.int64())
-        yield pa.RecordBatch.from_arrays([longs, longs, longs, longs, pa.array(range(SLICES), pa.int32()), pa.array(_slices(counts), pa.binary())], names=["doc", "n", "s1", "s2", "slice", "part"])
+        yield pa.RecordBatch.from_arrays([longs] * 8 + [pa.array(range(SLICES), pa.int32()), pa.array(_slices(counts), pa.binary())], names=names)
 
-    return staged(docs.mapInArrow(run, "doc long, n long, s1 long, s2 long, slice int, part binary"), "survey", held)
+    return staged(docs.mapInArrow(run, ", ".join(f"{c} long" for c in names[:8]) + ", slice int, part binary"), "survey", held)
 
 
 def _prefixes(docs: DataFrame, level) -> DataFrame:
@@ -344,13 +372,16 @@ def _met(grams: DataFrame) -> DataFrame:
     return grams.repartition(F.col("gram"), _salt()).sortWithinPartitions("gram").mapInArrow(_without_singles, grams.schema)
 
 
-def _groups(docs: DataFrame, met: DataFrame, members: DataFrame, repeated: DataFrame, candidate, percent: int, id_col: str, held: list[str]) -> DataFrame:
-    """id, n_shingles, component_id of each row, by the links among documents that meet (rows of ``met``) and are candidates."""
+def _groups(docs: DataFrame, met: DataFrame, members: DataFrame, repeated: DataFrame, candidate, percent: int, id_col: str, held: list[str], leaders_of: int = 0, maps: DataFrame | None = None) -> DataFrame:
+    """id, n_shingles, component_id of each row, by the links among documents that meet (rows of ``met``) and are candidates.
+
+    ``maps``: doc, nth and their parity maps, for the bitmap filter in the second pass.
+    """
     repeats = not repeated.isEmpty()
 
     # pass 1: each row with a few leaders of its shingle
     draw = Window.partitionBy("gram").orderBy("pos", F.xxhash64("doc"), "doc", "nth")
-    leaders = _everywhere(met.withColumn("place", F.row_number().over(draw)).where(F.col("place") <= LEADERS).drop("place"))
+    leaders = _everywhere(met.withColumn("place", F.row_number().over(draw)).where(F.col("place") <= (leaders_of or LEADERS)).drop("place"))
     first = met.withColumn("salt", _salt()).alias("a").join(leaders.alias("b"), ["gram", "salt"]).where(F.col("a.doc") != F.col("b.doc")).where(candidate("a", "b")).select(*_ordered("a", "b")).distinct()
     tried = staged(first, "pairs", held)
     links = staged(_linked(tried, _sets_table(docs, _ends(tried), repeats, held), percent), "links", held)
@@ -364,8 +395,11 @@ def _groups(docs: DataFrame, met: DataFrame, members: DataFrame, repeated: DataF
     known = staged(known, "known", held)
     mixed = known.groupBy("gram").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("gram")
     rest = known.join(mixed, "gram", "left_semi")
+    alike = F.lit(True)
+    if maps is not None:
+        rest, alike = rest.join(maps.hint("merge"), ["doc", "nth"]), _alike("a", "b", percent)
     across = rest.withColumn("salt", _salt()).alias("a").join(_everywhere(rest).alias("b"), ["gram", "salt"])
-    across = across.where((F.col("a.component") != F.col("b.component")) & (F.col("a.doc") < F.col("b.doc"))).where(candidate("a", "b"))
+    across = across.where((F.col("a.component") != F.col("b.component")) & (F.col("a.doc") < F.col("b.doc"))).where(candidate("a", "b") & alike)
     second = staged(across.select(*_ordered("a", "b")).distinct().join(tried, ["x", "y"], "left_anti"), "pairs", held)
     links2 = staged(_linked(second, _sets_table(docs, _ends(second), repeats, held), percent), "links", held)
 
@@ -387,17 +421,18 @@ def similar_groups(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = _power(size // SLOT_BYTES, SKETCH_BITS)
     survey = _survey(docs, bits, held)
-    found = survey.where("slice IS NULL").select("doc", "n", "s1", "s2")
+    found = survey.where("slice IS NULL").select("doc", "n", "s1", "s2", *PARITY)
     levels = _reduced(survey.where("slice IS NOT NULL").select("slice", "part"), "<u4", np.add, _levels)
     level = spark.sparkContext.broadcast(levels if len(levels) else np.zeros(1 << bits, np.uint8))  # 1 to 16 MB
-    classes, members, repeated = _classes(found, held)
+    classes, members, repeated = _classes(found, held, *(F.first(c).alias(c) for c in PARITY))
 
     reps = classes.select(F.col("rep").alias("doc"), "s1", "s2", "nth")
     packed = _prefixes(docs.where("doc IS NOT NULL"), level).join(reps, ["doc", "s1", "s2"])
     packed = packed if repeated.isEmpty() else packed.dropDuplicates(["doc", "s1", "s2"])
     grams = packed.select("doc", "nth", "n", "prefix").mapInArrow(per_batch(_unpacked(level, salts_of(level.value))), "gram long, doc long, nth int, n int, pos int, salts int")
     met = staged(_met(grams).withColumn("prev", F.lag("gram").over(Window.partitionBy("doc", "nth").orderBy("pos"))), "met", held)
-    return _groups(docs, met, members, repeated, _candidate, PERCENT, id_col, held)
+    maps = classes.select(F.col("rep").alias("doc"), "nth", *PARITY)
+    return _groups(docs, met, members, repeated, _candidate, PERCENT, id_col, held, maps=maps)
 
 
 def one_of_each(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

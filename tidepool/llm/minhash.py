@@ -14,7 +14,8 @@ which a pair at the threshold of 0.85 misses with a chance below 10^-9
   bits of each coordinate that a row carries (64 of them are four longs, and one
   expression counts them).  False agreements of four bits add candidates and lose none.
   A pair that shares the list before, too, is skipped: it is counted where it first meets.
-* Pairs that pass, and whose set sizes allow the similarity, are verified once.
+* Pairs that pass, and whose set sizes and parity maps (``jaccard``) allow the
+  similarity, are verified once.
 
 Texts with equal sets are one class, joined by its smallest doc_id.  A group of near
 copies has a square of links, so lists are merged in two passes, as in ``jaccard``: first
@@ -41,7 +42,7 @@ from tidepool.llm import bytetext as bt
 from tidepool.llm import jaccard as J
 from tidepool.llm.tables import per_batch, small_batches, staged
 
-COORDINATES, PERCENT, MISSED = 64, 85, 1e-9
+COORDINATES, PERCENT, MISSED, LEADERS = 64, 85, 1e-9, 8
 
 
 def matches_for(percent: int, coordinates: int = COORDINATES, missed: float = MISSED) -> int:
@@ -95,10 +96,10 @@ def agreeing(a: str, b: str) -> Column:
 
 
 def _candidate(a: str, b: str) -> Column:
-    """Set sizes that allow the similarity, lists not skipped, and enough agreeing coordinates."""
+    """Set sizes that allow the similarity, lists not skipped, enough agreeing coordinates, and parity maps that do not rule it out."""
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
     first = F.col(f"{a}.prev").isNull() | F.col(f"{b}.prev").isNull() | (F.col(f"{a}.prev") != F.col(f"{b}.prev"))
-    return first & (100 * F.least(n, m) >= PERCENT * F.greatest(n, m)) & (agreeing(a, b) >= MATCHES)
+    return first & (100 * F.least(n, m) >= PERCENT * F.greatest(n, m)) & (agreeing(a, b) >= MATCHES) & J._alike(a, b, PERCENT)
 
 
 def _read(column: pa.Array) -> np.ndarray:
@@ -106,7 +107,8 @@ def _read(column: pa.Array) -> np.ndarray:
 
 
 def _survey(docs: DataFrame, held: list[str]) -> DataFrame:
-    """A row per document: doc, n, s1, s2, signature (null for the empty set)."""
+    """A row per document: doc, n, s1, s2, parity map, signature (null for the empty set)."""
+    names = ["doc", "n", "s1", "s2", *J.PARITY]
 
     def run(batch: pa.RecordBatch):
         for a, h, bounds in J._sets_of(batch.column(1)):
@@ -116,9 +118,9 @@ def _survey(docs: DataFrame, held: list[str]) -> DataFrame:
             for i, x in zip(some.tolist(), signature_rows(h, np.append(bounds[some], len(h)))):
                 packed[i] = x.tobytes()
             s1, s2 = J.signatures(h, bounds)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(size)), pa.array(size), pa.array(s1), pa.array(s2), pa.array(packed, pa.binary())], names=["doc", "n", "s1", "s2", "signature"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(size)), pa.array(size), pa.array(s1), pa.array(s2), *map(pa.array, J.parities(h, bounds)), pa.array(packed, pa.binary())], names=[*names, "signature"])
 
-    return staged(docs.mapInArrow(per_batch(run), "doc long, n long, s1 long, s2 long, signature binary"), "survey", held)
+    return staged(docs.mapInArrow(per_batch(run), ", ".join(f"{c} long" for c in names) + ", signature binary"), "survey", held)
 
 
 def _levels(signatures: DataFrame, bits: int) -> np.ndarray:
@@ -155,7 +157,7 @@ def _postings(level, salts: np.ndarray):
 
 
 def _bits(batch: pa.RecordBatch):
-    yield pa.RecordBatch.from_arrays([*batch.columns[:2], *map(pa.array, nibbles(_read(batch.column(2))))], names=["doc", "nth", *_BITS])
+    yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *map(pa.array, nibbles(_read(batch.column("signature"))))], names=["doc", "nth", *J.PARITY, *_BITS])
 
 
 def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -163,13 +165,13 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     spark, held = df.sparkSession, []
     small_batches(spark)
     docs = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    classes, members, repeated = J._classes(_survey(docs, held), held, F.first("signature").alias("signature"))
+    classes, members, repeated = J._classes(_survey(docs, held), held, *(F.first(c).alias(c) for c in (*J.PARITY, "signature")))
     bits = J._power(4 * classes.count(), J.SKETCH_BITS)
     level = spark.sparkContext.broadcast(_levels(classes.select("signature"), bits))  # 1 to 16 MB
-    own = classes.select(F.col("rep").alias("doc"), F.col("nth").cast("int").alias("nth"), "n", "signature")
-    grams = own.mapInArrow(per_batch(_postings(level, J.salts_of(level.value))), "gram long, doc long, nth int, n int, pos int, salts int")
+    own = classes.select(F.col("rep").alias("doc"), F.col("nth").cast("int").alias("nth"), "n", "signature", *J.PARITY)
+    grams = own.select("doc", "nth", "n", "signature").mapInArrow(per_batch(_postings(level, J.salts_of(level.value))), "gram long, doc long, nth int, n int, pos int, salts int")
     met = J._met(grams).withColumn("prev", F.lag("gram").over(Window.partitionBy("doc", "nth").orderBy("pos")))
-    packed = own.select("doc", "nth", "signature").mapInArrow(per_batch(_bits), "doc long, nth int, b0 long, b1 long, b2 long, b3 long")
+    packed = own.select("doc", "nth", *J.PARITY, "signature").mapInArrow(per_batch(_bits), "doc long, nth int, " + ", ".join(f"{c} long" for c in (*J.PARITY, *_BITS)))
     met = staged(met.join(packed.hint("merge"), ["doc", "nth"]), "met", held)
-    found = J._groups(docs, met, members, repeated, _candidate, PERCENT, id_col, held)
+    found = J._groups(docs, met, members, repeated, _candidate, PERCENT, id_col, held, leaders_of=LEADERS)
     return found.withColumn("kept", F.col(id_col) == F.col("component_id"))
