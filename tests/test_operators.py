@@ -199,6 +199,35 @@ def test_blocked_and_broadcast_scores_agree(spark):
     assert one.keys() == two.keys() and len(one) == 95 and all(math.isclose(one[k], two[k], abs_tol=1e-12) for k in one)
 
 
+def test_rerankers_name_registered_scorers():
+    assert {r.base_method for r in R.RERANKERS.values()} <= set(Ret.SCORERS)
+
+
+def test_evaluation_refuses_support_that_is_to_be_predicted(spark):
+    rows = spark.createDataFrame([(0, 1), (0, 2)], "query long, item long")
+    ex = spark.createDataFrame([(0, 2, 1)], "query long, n_eval_targets long, n_support long")
+    pools = {m: rows.withColumn("score", F.lit(0.0)) for m in ("raw", "popularity_train", "multi_mean_train")}
+    with pytest.raises(ValueError, match="overlap"):
+        Ev.evaluate(ex, rows, rows, pools, [], "query", "item", support=rows)
+
+
+def test_shipped_rerankers_run_in_the_job(spark, tmp_path):
+    eye = np.eye(4)
+    cat = [(i, eye[i].tolist(), float(10 - i), eye[i].tolist(), eye[i].tolist(), [1.0, float(i)], [float(i), 1.0], [0.0, 0.0]) for i in range(4)]
+    cat = spark.createDataFrame(cat, "item long, vector array<double>, pop double, tower_vector array<double>, profile_vector array<double>, genres array<double>, themes array<double>, keywords array<double>")
+    q = spark.createDataFrame([(0, 0, [0.1, 0.9, 0.2, 0.0]), (1, 1, [0.9, 0.1, 0.8, 0.0])], "query long, item long, vector array<double>")
+    q = q.withColumns({c: F.col("vector") for c in ("train_mean_vector", "tower_vector", "described_vector")})
+    q = P.blended_with_own(q, spark.createDataFrame([(0, [0.0, 0.0, 1.0, 0.0])], "item long, description array<double>"), "item", 0.5)
+    assert [r["blended_vector"] for r in q.where("query = 1").collect()] == [[0.9, 0.1, 0.8, 0.0]]  # its item has no description
+    pos = spark.createDataFrame([(0, 1), (1, 0), (1, 2)], "query long, item long")
+    ex = q.join(pos.groupBy("query").agg(F.count("item").alias("n_eval_targets")), "query").select("query", "n_eval_targets", F.lit(1).alias("n_support"), F.col("item").alias("own"))
+    pools = Ret.registered_pools(q, cat, "query", "item", [m for m in Ret.SCORERS if m != "fusion_c_raw_plus_behavior"], 3)
+    out = Ev.evaluate(ex, pos, cat, pools, list(R.RERANKERS.values()), "query", "item", k_final=2, k_retrieval=3, k_personalization=2, own="own", folder=f"file://{tmp_path}/eval")
+    assert {r["method"] for r in out["ranking_overall"].collect()} == {*pools, *R.RERANKERS}
+    with pytest.raises(ValueError, match="own items"):
+        Ev.evaluate(ex, pos, cat, pools, list(R.RERANKERS.values()), "query", "item", k_final=2, k_retrieval=3)
+
+
 def test_evaluation_job_and_service(spark, tmp_path):
     eye = np.eye(4)
     cat = spark.createDataFrame([(i, f"Game {i}", eye[i].tolist(), float(10 - i)) for i in range(4)], "item long, name string, vector array<double>, pop double")

@@ -44,6 +44,13 @@ def blend_descriptions(pooled: DataFrame, descriptions: DataFrame, item: str, we
     return pooled.join(descriptions.select(item, "description"), item).withColumn("vector", V.blend(F.col("vector"), F.col("description"), weight)).drop("description").withColumn("blend_weight", F.lit(float(weight)))
 
 
+def blended_with_own(queries: DataFrame, descriptions: DataFrame, item: str, weight: float, out: str = "blended_vector") -> DataFrame:
+    """``out``: the query's vector blended with its own item's ``description``; without one, the vector as it is."""
+    own = descriptions.select(item, F.col("description").alias("__d"))
+    blended = F.when(F.col("__d").isNull(), V.doubles(F.col("vector"))).otherwise(V.blend(F.col("vector"), F.col("__d"), weight))
+    return queries.join(own, item, "left").withColumn(out, blended).drop("__d")
+
+
 def time_decayed(df: DataFrame, keys: list[str], vector: str, age: Column, tau: float) -> DataFrame:
     """Pooling with weights exp(-age / tau)."""
     return pool_vectors(df, keys, vector, F.exp(-age / F.lit(float(tau))))

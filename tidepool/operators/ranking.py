@@ -129,23 +129,36 @@ def softmax(x: str, query: str) -> Column:
 
 @dataclass(frozen=True)
 class PoolReranker:
-    """A named re-ranking of one retrieval method's pools."""
+    """A named re-ranking of one retrieval method's pools; with ``fields``, the pool comes with ``meta``, the mean cosine of these vectors to the query's own item's."""
 
     name: str
     base_method: str
     apply: Callable[..., DataFrame]
     params: dict = field(default_factory=dict)
+    fields: tuple[str, ...] = ()
 
     def __call__(self, pool: DataFrame, query: str) -> DataFrame:
         return self.apply(pool, query, **self.params)
 
 
+def _logpop(p: DataFrame, q: str, alpha: float) -> DataFrame:
+    return p.withColumn("final", logpop_blend(q, alpha))
+
+
+#: Metadata vectors that the shipped re-rankers compare; fixed names.
+META_FIELDS = ("genres", "themes", "keywords")
+_BLEND, _V2A = {"alpha": ALPHA}, {"w_meta": W_META, "alpha": ALPHA}
+
+#: Re-rankers by name; their base methods are names of ``retrieval.SCORERS``.
 RERANKERS: dict[str, PoolReranker] = {
     r.name: r
     for r in (
-        PoolReranker("bare", "cosine", lambda p, q: p.withColumn("final", F.col("score"))),
-        PoolReranker("logpop_blend", "cosine", lambda p, q, alpha: p.withColumn("final", logpop_blend(q, alpha)), {"alpha": ALPHA}),
-        PoolReranker("v2a", "cosine", lambda p, q, w_meta, alpha: v2a(p, q, w_meta, alpha), {"w_meta": W_META, "alpha": ALPHA}),
+        PoolReranker("bare", "raw", lambda p, q: p.withColumn("final", F.col("score"))),
+        PoolReranker("logpop_blend", "raw", _logpop, _BLEND),
+        PoolReranker("v2a", "raw", v2a, _V2A, META_FIELDS),
+        PoolReranker("two_tower_v1_heuristic_logpop_blend", "two_tower_v1", _logpop, _BLEND),
+        PoolReranker("two_tower_v1_v2a_embed_query_logpop_blend", "two_tower_v1", v2a, _V2A, META_FIELDS),
+        PoolReranker("rag_chunk_v1_vector_blend_query_v2a_embed_query_logpop_blend", "rag_chunk_v1_vector_blend_query", v2a, _V2A, META_FIELDS),
     )
 }
 

@@ -19,8 +19,10 @@ CATALOG_CELLS = 4_000_000
 SLICE_QUERIES = 4096
 
 
-def popularity(events: DataFrame, catalog: DataFrame, item: str, floor: float = 1e-6) -> DataFrame:
-    """Catalog items with ``pop``: their events, at least ``floor``."""
+def popularity(events: DataFrame, catalog: DataFrame, item: str, floor: float = 1e-6, flag: str | None = None) -> DataFrame:
+    """Catalog items with ``pop``: their events (those with ``flag`` 1, if it is named), at least ``floor``.  Give training events only."""
+    if flag is not None:
+        events = events.where(F.col(flag) == 1)
     n = events.groupBy(item).agg(F.count(F.lit(1)).alias("__n"))
     return catalog.join(n, item, "left").withColumn("pop", F.greatest(F.coalesce(F.col("__n"), F.lit(0)).cast("double"), F.lit(floor))).drop("__n")
 
@@ -173,12 +175,29 @@ def tower_pool(queries: DataFrame, catalog: DataFrame, query: str, item: str, qu
 
 
 #: name -> function(queries, catalog, query, item, k) giving a pool: query, item, score, rank.
-#: ``catalog`` holds item, vector and pop; ``queries`` query, its own item, and vector or train_mean_vector.
+#: ``catalog`` holds item, vector and pop, and for some methods tower_vector or profile_vector; ``queries`` query, its own item,
+#: and vector or what the method names: train_mean_vector, fused_vector, tower_vector (projected by the towers), described_vector
+#: (of the query's text with its item's description), blended_vector (``pooling.blended_with_own``).
 Scorer = Callable[[DataFrame, DataFrame, str, str, int], DataFrame]
+
+
+def _with(column: str, q: DataFrame) -> DataFrame:
+    return q.withColumn("vector", F.col(column))
+
+
+def _profiles(column: str) -> Scorer:
+    """Distances of a query vector to the items' profile vectors, negated; items without a profile are absent."""
+    return lambda q, c, query, item, k: cosine_pool(_with(column, q), _with("profile_vector", c).where(F.col("vector").isNotNull()), query, item, k).withColumn("score", -(1 - F.col("score")))
+
+
 SCORERS: dict[str, Scorer] = {
     "raw": lambda q, c, query, item, k: cosine_pool(q, c, query, item, k),
-    "multi_mean_train": lambda q, c, query, item, k: cosine_pool(q.withColumn("vector", F.col("train_mean_vector")), c, query, item, k),
-    "fusion_c_raw_plus_behavior": lambda q, c, query, item, k: cosine_pool(q.withColumn("vector", F.col("fused_vector")), c, query, item, k),
+    "multi_mean_train": lambda q, c, query, item, k: cosine_pool(_with("train_mean_vector", q), c, query, item, k),
+    "fusion_c_raw_plus_behavior": lambda q, c, query, item, k: cosine_pool(_with("fused_vector", q), c, query, item, k),
+    "two_tower_v1": lambda q, c, query, item, k: cosine_pool(_with("tower_vector", q), _with("tower_vector", c), query, item, k),
+    "rag_chunk_v1_raw_query": _profiles("vector"),
+    "rag_chunk_v1_query_plus_desc": _profiles("described_vector"),
+    "rag_chunk_v1_vector_blend_query": _profiles("blended_vector"),
     "popularity_train": lambda q, c, query, item, k: constant_pool(q, c, query, item, "pop", k),
     "random": lambda q, c, query, item, k: pool(constant_scores(q, c.select(item), query, item, random_score(2026, query, item)), query, item, k),
 }

@@ -11,7 +11,7 @@ from tidepool.operators import reports as R
 from tidepool.operators import reviews as V
 from tidepool.operators import splits as S
 from tidepool.operators import windows as W
-from tidepool.plans.tables import EV, PU, events, purchases, table
+from tidepool.plans.tables import EV, PU, SUPPORT_SPLIT, UNIFORM, events, purchases, table
 
 Q, SQL = {}, {}
 
@@ -68,7 +68,7 @@ def title_search(spark, d):
     return R.search(table(spark, d, "part").select("p_partkey", "p_name"), "p_name", "p_partkey", "RED", 20)
 
 
-_U = "(('0x' || substr(m, 7, 2) || substr(m, 5, 2) || substr(m, 3, 2) || substr(m, 1, 2))::UBIGINT / 4294967296.0)"
+_U = UNIFORM
 
 
 @query(f"SELECT event_id, {_U} AS u FROM (SELECT event_id, md5('2026|g|' || event_id) AS m FROM events)")
@@ -89,24 +89,17 @@ def split_user_temporal(spark, d):
     return S.split_user_temporal(df, "user", "ts", "id", F.col("flag").cast("string"), n_val=3, n_test=2).select("id", "user", "split")
 
 
-_SUPPORT = f"""WITH {PU}, r AS (SELECT *, count(*) OVER (PARTITION BY user) AS n, row_number() OVER (PARTITION BY user ORDER BY ts DESC, id DESC) AS nth,
-  md5('2026|support-aware-main|' || user) AS m, md5('2026|support-aware-eval|' || user) AS e FROM pu),
-u AS (SELECT *, {_U} AS um, {_U.replace('(m,', '(e,')} < 0.15 / (0.15 + (1.0 - 0.7 - 0.15)) AS to_val FROM r),
-k AS (SELECT *, CASE WHEN n = 2 THEN 1 ELSE least(n - 1, greatest(2, round_even(n * CASE WHEN to_val THEN 0.15::DOUBLE ELSE (1.0::DOUBLE - 0.7::DOUBLE - 0.15::DOUBLE) END, 0)::BIGINT)) END AS n_eval FROM u)
-SELECT id, user, CASE WHEN n = 1 THEN CASE WHEN um < 0.7 THEN 'train' WHEN um < 0.7 + 0.15 THEN 'val' ELSE 'test' END WHEN nth <= n_eval THEN CASE WHEN to_val THEN 'val' ELSE 'test' END ELSE 'train' END AS split FROM k"""
-
-
-@query(_SUPPORT)
+@query(SUPPORT_SPLIT)
 def split_support_aware(spark, d):
     return S.split_support_aware(purchases(spark, d), "user", "ts", "id").select("id", "user", "split")
 
 
-@query(f"WITH s AS ({_SUPPORT}) SELECT split, count(*) AS n, count(DISTINCT user) AS n_users FROM s GROUP BY split")
+@query(f"WITH s AS ({SUPPORT_SPLIT}) SELECT split, count(*) AS n, count(DISTINCT user) AS n_users FROM s GROUP BY split")
 def split_counts(spark, d):
     return split_support_aware(spark, d).groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("user").alias("n_users"))
 
 
-@query(f"WITH s AS ({_SUPPORT}), {PU}, t AS (SELECT s.*, pu.ts FROM s JOIN pu USING (id)), p AS (SELECT user, max(ts) FILTER (split = 'train') AS train_max, min(ts) FILTER (split <> 'train') AS eval_min FROM t GROUP BY user) SELECT * FROM p WHERE train_max > eval_min")
+@query(f"WITH s AS ({SUPPORT_SPLIT}), {PU}, t AS (SELECT s.*, pu.ts FROM s JOIN pu USING (id)), p AS (SELECT user, max(ts) FILTER (split = 'train') AS train_max, min(ts) FILTER (split <> 'train') AS eval_min FROM t GROUP BY user) SELECT * FROM p WHERE train_max > eval_min")
 def temporal_violations(spark, d):
     df = S.split_support_aware(purchases(spark, d), "user", "ts", "id")
     return R.temporal_violations(df, "user", "ts")
@@ -262,7 +255,7 @@ def mix_summary(spark, d):
     return R.mix_summary(user_mix(spark, d))
 
 
-@query(f"WITH s AS ({_SUPPORT}), a AS (SELECT DISTINCT user FROM s WHERE split = 'train'), b AS (SELECT DISTINCT user FROM s WHERE split = 'val'), c AS (SELECT a.user AS x, b.user AS y FROM a FULL JOIN b USING (user)) SELECT count(x) AS n_a, count(y) AS n_b, count(*) FILTER (x IS NOT NULL AND y IS NOT NULL) AS n_both, count(*) AS n_any, count(*) FILTER (x IS NOT NULL AND y IS NOT NULL) / count(*)::DOUBLE AS share FROM c")
+@query(f"WITH s AS ({SUPPORT_SPLIT}), a AS (SELECT DISTINCT user FROM s WHERE split = 'train'), b AS (SELECT DISTINCT user FROM s WHERE split = 'val'), c AS (SELECT a.user AS x, b.user AS y FROM a FULL JOIN b USING (user)) SELECT count(x) AS n_a, count(y) AS n_b, count(*) FILTER (x IS NOT NULL AND y IS NOT NULL) AS n_both, count(*) AS n_any, count(*) FILTER (x IS NOT NULL AND y IS NOT NULL) / count(*)::DOUBLE AS share FROM c")
 def split_overlap(spark, d):
     s = split_support_aware(spark, d)
     return R.overlap(s.where("split = 'train'"), s.where("split = 'val'"), "user")

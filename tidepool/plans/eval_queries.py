@@ -11,8 +11,8 @@ from tidepool.operators import ranking as R
 from tidepool.operators import retrieval as T
 from tidepool.plans import evaluation as E
 from tidepool.plans import shop as S
-from tidepool.plans.shop import EVALUATED, K_FINAL, K_POOL, SHOP, guards
-from tidepool.sources.tables import scratch
+from tidepool.plans.shop import _TOWER, EVALUATED, ITEM_TOWER, K_FINAL, K_POOL, QUERY_TOWER, SHOP, guards
+from tidepool.sources.tables import listing, scratch
 
 Q, SQL = {}, {}
 
@@ -81,14 +81,10 @@ def chunk_pool(spark, d):
     return _pool(T.chunk_scores(S.queries(spark, d), chunks, "user", "item", "flat", k=5))
 
 
-_TQ, _TI = [[1, 0, 0.5, 0, 0, 0, 0, 0.25], [0, 1, 0, 0.5, 0, 0, 0.25, 0], [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8]], [[1, 0, 0, 0, 0.5, 0, 0, 0.25], [0, 1, 0, 0, 0, 0.5, 0.25, 0], [0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.2, 0.1]]
-_TOWER = lambda v, m: "[" + ", ".join(f"list_inner_product({v}, {[float(x) for x in row]}::DOUBLE[])" for row in m) + "]"
-
-
-@query(f"""WITH {SHOP}, a AS (SELECT qv.user, own, {_TOWER('v', _TQ)} AS raw FROM qv), b AS (SELECT item, {_TOWER('v', _TI)} AS raw FROM it), c AS (SELECT a.user, item, round(list_inner_product(a.raw, b.raw) / sqrt(list_inner_product(a.raw, a.raw)) / sqrt(list_inner_product(b.raw, b.raw)), 12) AS score FROM a, b WHERE item <> own)
+@query(f"""WITH {SHOP}, a AS (SELECT qv.user, own, {_TOWER('v', QUERY_TOWER)} AS raw FROM qv), b AS (SELECT item, {_TOWER('v', ITEM_TOWER)} AS raw FROM it), c AS (SELECT a.user, item, round(list_inner_product(a.raw, b.raw) / sqrt(list_inner_product(a.raw, a.raw)) / sqrt(list_inner_product(b.raw, b.raw)), 12) AS score FROM a, b WHERE item <> own)
 SELECT c.user, item, round(score, 6) AS score, row_number() OVER (PARTITION BY c.user ORDER BY score DESC, item)::INT AS rank FROM c QUALIFY rank <= 5""")
 def tower_pool(spark, d):
-    return _pool(T.tower_pool(S.queries(spark, d), S.items(spark, d), "user", "item", _TQ, _TI, 5))
+    return _pool(T.tower_pool(S.queries(spark, d), S.items(spark, d), "user", "item", QUERY_TOWER, ITEM_TOWER, 5))
 
 
 @query(f"""WITH {SHOP}, h AS (SELECT p.user, p.item, p.score AS habit_score, round(list_inner_product(mv.v, it.v), 12) AS score FROM pools p JOIN mv ON mv.user = p.user JOIN it ON it.item = p.item WHERE method = 'raw')
@@ -154,14 +150,14 @@ def blend_grid(spark, d):
 # -- the evaluation's tables ----------------------------------------------------------------
 
 
-_JOBS: dict[tuple[str, str], dict] = {}
+_JOBS: dict[tuple, dict] = {}
 
 
 def _evaluated(spark, d):
-    """The tables of one evaluation job; it runs once in a session, and each query below is one of its tables."""
-    key = (spark.sparkContext.applicationId, d)
+    """The tables of one evaluation job; it runs once for the input files of a session, and each query below is one of its tables."""
+    key = listing(spark, *(f"{d}/{t}.parquet" for t in ("part", "orders", "lineitem")))
     if key not in _JOBS:
-        _JOBS[key] = E.evaluate(S.examples(spark, d).withColumnRenamed("item", "own"), S.positives(spark, d), S.items(spark, d), S.pools(spark, d), S.RERANKERS, "user", "item", k_final=K_FINAL, k_retrieval=K_POOL, k_personalization=K_FINAL, folder=scratch(spark, "evaluation"))
+        _JOBS[key] = E.evaluate(S.examples(spark, d).withColumnRenamed("item", "own"), S.positives(spark, d), S.full_items(spark, d), S.pools(spark, d), S.RERANKERS, "user", "item", k_final=K_FINAL, k_retrieval=K_POOL, k_personalization=K_FINAL, support=S.support(spark, d), own="own", folder=scratch(spark, "evaluation"))
     return _JOBS[key]
 
 
@@ -225,13 +221,14 @@ def eval_run_meta(spark, d):
     return spark.createDataFrame([(a, b, round(float(c), 6)) for a, b, c in rows], "section string, name string, value double")
 
 
-@query(f"{EVALUATED}, {guards('slice')}, t AS (SELECT method, origin AS retrieval_method, slice, {_AK}, count(*) AS n FROM per WHERE method <> 'multi_mean_train' AND method <> 'fused_ranks' GROUP BY ALL) SELECT t.method, retrieval_method, t.slice, {_RK}, n, {_GR} FROM t LEFT JOIN g ON g.method = t.method AND g.slice = t.slice")
+@query(f"{EVALUATED}, {guards('slice')}, t AS (SELECT method, origin AS retrieval_method, slice, {_AK}, count(*) AS n FROM per WHERE method IN ('raw', 'popularity_train', 'logpop_blend') GROUP BY ALL) SELECT t.method, retrieval_method, t.slice, {_RK}, n, {_GR} FROM t LEFT JOIN g ON g.method = t.method AND g.slice = t.slice")
 def rank_frozen(spark, d):
     """Ranking on exported pools: the tables of the whole evaluation, without retrieval."""
     pools = S.pools(spark, d)
     rows = T.pool_rows(pools["raw"], "user", "item", "raw")
     rows = written(rows, scratch(spark, "pools"))
-    t = E.rank_frozen(rows, S.examples(spark, d), S.positives(spark, d), S.items(spark, d), ["raw"], S.RERANKERS[:1], "user", "item", reference=pools["popularity_train"], k_final=K_FINAL, k_retrieval=K_POOL, k_personalization=K_FINAL)["ranking_by_slice"]
+    held = {n: written(f(spark, d), scratch(spark, n)) for n, f in (("examples", S.examples), ("positives", S.positives), ("items", S.full_items))}
+    t = E.rank_frozen(rows, held["examples"], held["positives"], held["items"], ["raw"], S.RERANKERS[:1], "user", "item", reference=written(pools["popularity_train"], scratch(spark, "popular")), k_final=K_FINAL, k_retrieval=K_POOL, k_personalization=K_FINAL)["ranking_by_slice"]
     return rounded(t, *(c for c in t.columns if t.schema[c].dataType.simpleString() == "double"))
 
 

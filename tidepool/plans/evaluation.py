@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tidepool.operators import metrics as M
 from tidepool.operators import ranking as R
+from tidepool.operators.cohorts import require_disjoint
 from tidepool.operators.windows import deciles, ranked
 
 #: Methods that an evaluation needs, and the one that others are compared with; fixed values.
@@ -44,14 +45,22 @@ def require(methods: Sequence[str], k_final: int, k_retrieval: int, required: Se
         raise ValueError(f"k_retrieval ({k_retrieval}) must be at least k_final ({k_final})")
 
 
-def ranked_lists(pools: DataFrame, catalog: DataFrame, rerankers: Sequence[R.PoolReranker], query: str, item: str) -> DataFrame:
-    """method, retrieval_method, query, item, final, rank: every pool in its own order, and each re-ranking of its base method's pools."""
+def ranked_lists(pools: DataFrame, catalog: DataFrame, rerankers: Sequence[R.PoolReranker], query: str, item: str, anchors: DataFrame | None = None) -> DataFrame:
+    """method, retrieval_method, query, item, final, rank: every pool in its own order, and each re-ranking of its base method's pools.
+
+    ``anchors``: query, anchor (its own item), for re-rankers that compare metadata.
+    """
     base = pools.select("method", F.col("method").alias("retrieval_method"), query, item, F.col("score").alias("final"), "rank")
-    extra = [c for c in catalog.columns if c not in ("vector", "pop", item)]
+    vectors = {"vector", "tower_vector", "profile_vector", *(f for r in rerankers for f in r.fields)}
+    extra = [c for c in catalog.columns if c not in vectors | {"pop", item}]
     known = catalog.select(item, "pop", *extra)
     made = []
     for r in rerankers:
         pool = pools.where(F.col("method") == r.base_method).drop("method", "rank").join(known, item)
+        if r.fields:
+            if anchors is None:
+                raise ValueError(f"{r.name} needs the queries' own items")
+            pool = R.metadata_cosine(pool.join(anchors, query), catalog.select(item, *r.fields), "anchor", item, list(r.fields))
         scored = r(pool, query).select(query, item, "final")
         made.append(ranked(scored, query, F.col("final"), [F.col(item)]).select(F.lit(r.name).alias("method"), F.lit(r.base_method).alias("retrieval_method"), query, item, "final", "rank"))
     return _union([base, *made])
@@ -143,16 +152,19 @@ def run_metadata(examples: DataFrame, retrieval: DataFrame, ranking: DataFrame,
     }
 
 
-def evaluate(examples: DataFrame, positives: DataFrame, catalog: DataFrame, pools: Mapping[str, DataFrame], rerankers: Sequence[R.PoolReranker], query: str, item: str, *, k_final: int = 10, k_retrieval: int = 100, k_personalization: int = 10, folder: str | None = None, metadata: bool = False) -> dict:
+def evaluate(examples: DataFrame, positives: DataFrame, catalog: DataFrame, pools: Mapping[str, DataFrame], rerankers: Sequence[R.PoolReranker], query: str, item: str, *, k_final: int = 10, k_retrieval: int = 100, k_personalization: int = 10, support: DataFrame | None = None, own: str | None = None, folder: str | None = None, metadata: bool = False) -> dict:
     """The whole evaluation: tables by name, ``retrieval`` and ``ranking`` (per example), ``artifacts``, and ``run_meta`` if asked for.
 
     ``examples``: query, n_eval_targets, n_support; ``positives``: distinct (query, item); ``catalog``: item, vector,
     pop and what re-rankers need; ``pools``: (query, item, score) by retrieval method, the query's own item left out.
-    A method that no example has a positive for is a ValueError.
+    ``support``: (query, item) rows that methods learn from, which share none with the positives (else a ValueError);
+    ``own``: the examples' column with the query's own item.  A method that no example has a positive for is a ValueError.
     """
     require(list(pools), k_final, k_retrieval)
     if unknown := sorted({r.base_method for r in rerankers} - set(pools)):
         raise ValueError(f"no pools of the re-rankers' base methods: {unknown}")
+    if support is not None:
+        require_disjoint(support, positives, [query, item])
     began = time.perf_counter()
 
     def kept(df: DataFrame, name: str) -> DataFrame:
@@ -163,7 +175,8 @@ def evaluate(examples: DataFrame, positives: DataFrame, catalog: DataFrame, pool
 
     examples, positives, catalog = kept(examples, "examples"), kept(positives, "positives"), kept(catalog, "catalog")
     pool = kept(long_pools(pools, query, item).where(F.col("rank") <= k_retrieval), "pools")
-    lists = ranked_lists(pool, catalog, rerankers, query, item)
+    anchors = None if own is None else examples.select(query, F.col(own).alias("anchor"))
+    lists = ranked_lists(pool, catalog, rerankers, query, item, anchors)
     lists = kept(lists.where(F.col("rank") <= max(k_final, k_personalization)), "lists")
     retrieval = kept(retrieval_metrics(pool, positives, examples, query, item, k_retrieval), "retrieval")
     ranking = kept(ranking_metrics(lists, pool, positives, examples, query, item, k_final, k_retrieval), "ranking")

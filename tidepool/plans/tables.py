@@ -29,6 +29,16 @@ def purchases(spark: SparkSession, d: str) -> DataFrame:
 PU = "pu AS (SELECT l_orderkey * 10 + l_linenumber AS id, o_custkey AS user, l_partkey AS item, floor(epoch(o_orderdate))::BIGINT AS ts, l_quantity AS votes, (l_returnflag <> 'R')::INT AS flag FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
 
 
+#: A uniform number from the md5 in m.
+UNIFORM = "(('0x' || substr(m, 7, 2) || substr(m, 5, 2) || substr(m, 3, 2) || substr(m, 1, 2))::UBIGINT / 4294967296.0)"
+
+#: id, user, split of purchases by support_aware_user_temporal.
+SUPPORT_SPLIT = f"""WITH {PU}, r AS (SELECT *, count(*) OVER (PARTITION BY user) AS n, row_number() OVER (PARTITION BY user ORDER BY ts DESC, id DESC) AS nth,
+  md5('2026|support-aware-main|' || user) AS m, md5('2026|support-aware-eval|' || user) AS e FROM pu),
+u AS (SELECT *, {UNIFORM} AS um, {UNIFORM.replace('(m,', '(e,')} < 0.15 / (0.15 + (1.0 - 0.7 - 0.15)) AS to_val FROM r),
+k AS (SELECT *, CASE WHEN n = 2 THEN 1 ELSE least(n - 1, greatest(2, round_even(n * CASE WHEN to_val THEN 0.15::DOUBLE ELSE (1.0::DOUBLE - 0.7::DOUBLE - 0.15::DOUBLE) END, 0)::BIGINT)) END AS n_eval FROM u)
+SELECT id, user, CASE WHEN n = 1 THEN CASE WHEN um < 0.7 THEN 'train' WHEN um < 0.7 + 0.15 THEN 'val' ELSE 'test' END WHEN nth <= n_eval THEN CASE WHEN to_val THEN 'val' ELSE 'test' END ELSE 'train' END AS split FROM k"""
+
 def catalog(spark: SparkSession, d: str) -> DataFrame:
     """Items (labels of embeddings) with their mean vector at length one: item, vector."""
     from tidepool.operators.pooling import pool_vectors

@@ -240,14 +240,26 @@ def move_planned(plan: Sequence[Mapping], root: str) -> int:
     return len(todo)
 
 
+def listing(spark: SparkSession, *paths: str) -> tuple:
+    """Application, and path, time and size of every file of some tables: equal as long as the files are."""
+    files, jvm = [], spark.sparkContext._jvm
+    for path in paths:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        todo = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(p, True)
+        while todo.hasNext():
+            f = todo.next()
+            files.append((f.getPath().toString(), f.getModificationTime(), f.getLen()))
+    return (spark.sparkContext.applicationId, *sorted(files))
+
+
 def scratch(spark: SparkSession, what: str) -> str:
     """A fresh folder that the driver and all executors share, deleted with the session's JVM.
 
     It lies in ``spark.checkpoint.dir``; where that is unset, in a temporary folder if all runs on this machine.
     """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.gettempdir()}"
     path = f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
