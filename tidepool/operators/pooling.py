@@ -2,29 +2,38 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepool.functions import vectors as V
 from tidepool.functions.columns import named
+from tidepool.sources.tables import scratch
 
 VARIANTS = ("flat", "log_weighted", "recommended_only", "recommended_log_weighted")
 
 
+def summed_mean(vector: Column, weight: Column | None = None) -> Column:
+    """The (weighted) mean of vectors as one aggregate: a group is one row of sums per task before the shuffle."""
+    v = array_to_vector(F.transform(vector, lambda x: F.coalesce(x.cast("double"), F.lit(0.0))))
+    # the least weight leaves sums as they are, and counts vectors equally where all weights are 0
+    mean = Summarizer.mean(v) if weight is None else Summarizer.mean(v, F.greatest(F.coalesce(weight.cast("double"), F.lit(0.0)), F.lit(1e-300)))
+    return vector_to_array(mean)
+
+
 def pool_vectors(df: DataFrame, keys: list[str], vector: str, weight: Column | None = None, normalize: bool = True, out: str = "vector") -> DataFrame:
-    """The weighted mean of each key's vectors, scaled to length one; weights that sum to 0 or less count as equal.
+    """The weighted mean of each key's vectors, scaled to length one; weights below 0 count as 0, and if all are 0, they count as equal.
 
-    Vectors are exploded to (key, position) rows, so sums are combined before the
-    shuffle and a hot key sends a row per task and dimension.
+    Vectors of a key have one length; null ones are left out, null components are 0.
     """
-    w = F.lit(1.0) if weight is None else weight.cast("double")
-    long = df.select(*(named(k) for k in keys), w.alias("__w"), F.posexplode(named(vector)).alias("__i", "__x"))
-    per = long.groupBy(*keys, "__i").agg(F.sum(F.col("__w") * F.col("__x").cast("double")).alias("__s"), F.sum("__w").alias("__t"), F.avg(F.col("__x").cast("double")).alias("__m"))
-    value = F.when(F.col("__t") > 0, F.col("__s") / F.col("__t")).otherwise(F.col("__m"))
-    vec = F.transform(F.array_sort(F.collect_list(F.struct("__i", value.alias("x")))), lambda s: s["x"])  # one entry per dimension
-    got = per.groupBy(*keys).agg(vec.alias(out))
+    w = F.lit(1.0) if weight is None else weight
+    rows = df.where(named(vector).isNotNull()).select(*(named(k) for k in keys), w.alias("__w"), named(vector).alias("__v"))
+    got = rows.groupBy(*keys).agg(summed_mean(F.col("__v"), None if weight is None else F.col("__w")).alias(out))
     return got.withColumn(out, V.unit(F.col(out))) if normalize else got
 
 
@@ -68,6 +77,36 @@ def history_blend(queries: DataFrame, history: DataFrame, query: str, alpha: flo
     return queries.join(pooled, query, "left").withColumn("vector", F.when(F.col("history").isNull(), F.col("vector")).otherwise(V.blend(F.col("vector"), F.col("history"), alpha))).drop("history")
 
 
+def history_blends(queries: DataFrame, history: DataFrame, query: str, configs: list[dict]) -> DataFrame:
+    """``queries`` with ``blends``: the vector of ``history_blend`` for each configuration (alpha, min_similarity, top_k), in order.
+
+    History is scored once; a query keeps the vectors of its ``top_k`` most similar items for the largest top_k.
+    """
+    most = max(c["top_k"] for c in configs)
+    near = queries.join(history, query).select(query, "item", "item_vector", V.cosine(F.col("vector"), F.col("item_vector")).alias("c"))
+    w = Window.partitionBy(query).orderBy(F.col("c").desc(), "item")
+    near = near.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= most)
+    best = near.groupBy(query).agg(F.array_sort(F.collect_list(F.struct("nth", "c", V.doubles(F.col("item_vector")).alias("v")))).alias("__h"))  # ``most`` items
+
+    def pooled(held: Column) -> Column:
+        """The mean by weights max(0, c), equal if all are 0, to length one."""
+        total = F.aggregate(held, F.lit(0.0), lambda s, x: s + F.greatest(F.lit(0.0), x["c"]))
+        weight = lambda x: F.when(total > 0, F.greatest(F.lit(0.0), x["c"])).otherwise(F.lit(1.0))
+        zero = F.transform(F.element_at(held, 1)["v"], lambda _: F.lit(0.0))
+        return V.unit(F.aggregate(held, zero, lambda s, x: F.zip_with(s, x["v"], lambda a, b: a + weight(x) * b)))
+
+    def within(low: float, top: int) -> Column:
+        held = F.filter(F.col("__h"), lambda x: (x["c"] >= low) & (x["nth"] <= top))
+        return F.when(F.size(held) > 0, pooled(held))
+
+    pools = {(c["min_similarity"], c["top_k"]): within(c["min_similarity"], c["top_k"]) for c in configs}
+    names = {at: f"__h{i}" for i, at in enumerate(pools)}
+    out = queries.join(best, query, "left").withColumns({names[at]: p for at, p in pools.items()})
+    own = V.unit(F.col("vector"))
+    blend = lambda c: F.coalesce(V.blend(F.col("vector"), F.col(names[c["min_similarity"], c["top_k"]]), c["alpha"]), own)
+    return out.select(*queries.columns, F.array(*(blend(c) for c in configs)).alias("blends"))
+
+
 def fused_query(queries: DataFrame, support: DataFrame, catalog: DataFrame, query: str, item: str, weight: str | None = None) -> DataFrame:
     """unit(q + weighted mean of the catalog vectors of supporting items).
 
@@ -79,26 +118,116 @@ def fused_query(queries: DataFrame, support: DataFrame, catalog: DataFrame, quer
     return queries.join(pooled, query, "left").withColumn("vector", F.when(F.col("history").isNull(), F.col("vector")).otherwise(V.unit(F.zip_with("vector", "history", lambda a, b: a.cast("double") + b)))).drop("history")
 
 
-def interest_centroids(df: DataFrame, key: str, vector: str, k: int = 3, rounds: int = 10) -> DataFrame:
-    """key, cluster, vector: at most k centroids of each key's few vectors by Lloyd's rounds from farthest points.
+def _squared(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+
 
-    For keys with few rows (a user's history): a key's rows meet in one task.
+def interest_centroids(df: DataFrame, key: str, vector: str, k: int = 3, rounds: int = 10, cells: int = 4_000_000) -> DataFrame:
+    """key, cluster (from 0), vector: at most k centroids of each key's vectors by Lloyd's rounds from farthest points.
+
+    All keys go through the rounds together.  The first centroid is the least vector; each further one is the
+    vector farthest from those so far (ties: the least), as long as one differs from them.  A round sends a row
+    of sums per task, key and cluster; equal distances go to the lower cluster, and a cluster without vectors
+    stays.  Centroids are broadcast up to ``cells`` numbers; beyond, they meet the vectors by key, and adaptive
+    execution splits keys with very many rows.
     """
+    rows = df.where(named(vector).isNotNull()).select(named(key).alias("__k"), V.doubles(named(vector)).alias("__v"))
+    rows = _written(rows, "interest-rows")
+    size = rows.agg(F.count_distinct("__k").alias("n"), F.max(F.size("__v")).alias("d")).first()
+    small = size["n"] * k * (size["d"] or 0) <= cells
+
+    def beside(c: DataFrame) -> DataFrame:
+        c = c.withColumnRenamed("__k", "__c")
+        return rows.join(F.broadcast(c) if small else c, F.col("__k").eqNullSafe(F.col("__c"))).drop("__c")
 
-    def cluster(frame: pd.DataFrame) -> pd.DataFrame:
-        x = np.array(frame.sort_values(list(frame.columns[1:2]), key=lambda s: s.map(tuple))[vector].tolist(), dtype=float)
-        centre = [x[0]]
-        while len(centre) < min(k, len(x)):
-            far = np.min([((x - c) ** 2).sum(axis=1) for c in centre], axis=0)
-            centre.append(x[int(far.argmax())])
-        c = np.array(centre)
-        for _ in range(rounds):
-            own = ((x[:, None] - c[None]) ** 2).sum(axis=2).argmin(axis=1)
-            c = np.array([x[own == j].mean(axis=0) if (own == j).any() else c[j] for j in range(len(c))])
-        return pd.DataFrame({key: [frame[key].iloc[0]] * len(c), "cluster": range(len(c)), "vector": list(c)})
-
-    kind = df.schema[key].dataType.simpleString()
-    return df.select(key, vector).groupBy(key).applyInPandas(cluster, f"{key} {kind}, cluster int, vector array<double>")
+    centres = rows.groupBy("__k").agg(F.array(F.min("__v")).alias("c"))
+    for _ in range(1, k):
+        near = F.array_min(F.transform("c", lambda c: _squared(F.col("__v"), c)))
+        far = beside(centres).groupBy("__k", "c").agg(F.min(F.struct((-near).alias("d"), F.col("__v").alias("v"))).alias("far"))
+        centres = far.select("__k", F.when(F.col("far.d") < 0, F.concat("c", F.array("far.v"))).otherwise(F.col("c")).alias("c"))
+        centres = _written(centres, "interest-centres")
+    for _ in range(rounds):
+        own = F.array_min(F.transform("c", lambda c, i: F.struct(_squared(F.col("__v"), c).alias("d"), i.alias("i"))))["i"]
+        moved = beside(centres).groupBy("__k", own.alias("i")).agg(summed_mean(F.col("__v")).alias("m"))
+        moved = moved.groupBy("__k").agg(F.map_from_entries(F.collect_list(F.struct("i", "m"))).alias("m")).withColumnRenamed("__k", "__c")  # k entries at most
+        at = lambda c, i: F.coalesce(F.col("m")[i], c)
+        centres = centres.join(moved, F.col("__k").eqNullSafe(F.col("__c"))).select("__k", F.transform("c", at).alias("c"))
+        centres = _written(centres, "interest-centres")
+    return centres.select(F.col("__k").alias(key), F.posexplode("c").alias("cluster", "vector"))
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """Written to a shared folder and read back: a round's lineage ends at files."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+# -- decayed windows -------------------------------------------------------------------------
+
+
+def window_rows(queries: DataFrame, history: DataFrame, key: str, ts: str, query: str, vector: str, window: int) -> DataFrame:
+    """History rows and queries of each slot of a key, in both directions of time: two rows for each of them.
+
+    A query's window reaches over its own slot, up to its time, and over the end of the slot before.
+    """
+    slot = lambda t: F.floor(t / F.lit(window))
+    t, v = named(ts).cast("double"), V.doubles(named(vector))
+    empty = F.lit(None).cast(queries.schema[query].dataType)
+    past = history.where(named(ts).isNotNull() & named(vector).isNotNull())
+    ask = queries.where(named(ts).isNotNull())
+    columns = lambda s, way, at, last, name, x: [named(key).alias("key"), s.alias("slot"), F.lit(way).alias("way"), at.alias("at"), F.lit(last).alias("last"), name.alias("query"), x.alias("v")]
+    nothing = F.lit(None).cast("array<double>")
+    forward = past.select(*columns(slot(t), 0, t, 0, empty, v)).union(ask.select(*columns(slot(t), 0, t, 1, named(query), v)))
+    backward = past.select(*columns(slot(t), 1, -t, 1, empty, v)).union(ask.select(*columns(slot(t) - 1, 1, -(t - window), 0, named(query), nothing)))
+    return forward.union(backward)
+
+
+def decayed_windows(queries: DataFrame, history: DataFrame, key: str, ts: str, query: str, vector: str, window: int, tau: float) -> DataFrame:
+    """query, vector, n_history, weight: each query's vector (weight 1) and its key's history rows with query_ts - window < ts <= query_ts,
+
+    weighted by exp(-age / tau), as a mean to length one.  ``queries``: key, ts, query (distinct), vector.  History is
+    not joined to the queries: a slot's rows pass once in each direction of time, and a running sum decays from
+    row to row, so time is linear in both tables, and a key's history is dealt over its slots.  A query without a
+    time keeps no row; with an empty window, it keeps its vector.
+    """
+    rows = window_rows(queries, history, key, ts, query, vector, window)
+    rows = rows.repartition("key", "slot", "way").sortWithinPartitions("key", "slot", "way", "at", "last")
+    kind = queries.schema[query].dataType.simpleString()
+
+    def run(batches):
+        place, total, weight, n, when = None, 0.0, 0.0, 0, 0.0
+        for b in batches:
+            out: list[tuple] = []
+            names, way, at, last = b.column("query"), b.column("way").to_numpy(), b.column("at").to_numpy(), b.column("last").to_numpy()
+            slots = b.column("slot").to_numpy()
+            keys = b.column("key").to_pylist()
+            for i, x in enumerate(b.column("v")):
+                here = (keys[i], slots[i], way[i])
+                if here != place:
+                    place, total, weight, n, when = here, 0.0, 0.0, 0, at[i]
+                asks = last[i] == (1 if way[i] == 0 else 0)
+                if way[i] == 0:  # the sum decays as time goes on
+                    fade = math.exp(-(at[i] - when) / tau)
+                    total, weight, when, mine = total * fade, weight * fade, at[i], 1.0
+                else:  # weights to the end of the slot, from where they decay to the query
+                    end = (slots[i] + 1) * window
+                    mine = math.exp(-(end + at[i]) / tau) if not asks else math.exp(-(window - at[i] - end) / tau)
+                if not asks:
+                    total, weight, n = total + mine * x.values.to_numpy(), weight + mine, n + 1
+                elif way[i] == 0:
+                    out.append((i, total + x.values.to_numpy() if x.is_valid else total, weight + 1.0, n))
+                else:
+                    out.append((i, total * mine, weight * mine, n))
+            held = [o for o in out if not np.isscalar(o[1])]
+            if held:
+                at_rows, sums, weights, counts = zip(*held)
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(at_rows)), pa.array([s.tolist() for s in sums], pa.list_(pa.float64())), pa.array(weights), pa.array(counts, pa.int64())], names=["query", "s", "w", "n"])
+
+    parts = rows.mapInArrow(run, f"query {kind}, s array<double>, w double, n long")
+    both = parts.groupBy("query").agg(F.collect_list("s").alias("s"), F.sum("w").alias("weight"), F.sum("n").alias("n_history"))  # two parts at most
+    added = F.when(F.size("s") == 2, F.zip_with(F.col("s")[0], F.col("s")[1], lambda x, y: x + y)).otherwise(F.col("s")[0])
+    return both.select(F.col("query").alias(query), V.unit(added).alias("vector"), "n_history", "weight")
 
 
 def train_mean_query(queries: DataFrame, support: DataFrame, query: str, order: list[str], m: int) -> DataFrame:

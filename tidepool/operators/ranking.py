@@ -5,14 +5,14 @@ All are window expressions over a long pool (query, item, score, ...): one shuff
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepool.functions import vectors as V
-from tidepool.operators.windows import minmax
+from tidepool.operators.windows import minmax, ranked
 
 ALPHA, W_META = 0.2, 0.1
 
@@ -170,3 +170,22 @@ def grid(pool: DataFrame, query: str, values: list[float], score: Callable[[floa
     for f in frames[1:]:
         out = out.unionByName(f)
     return out
+
+
+def scored_grid(pool: DataFrame, scores: Column, config: str = "config", out: str = "final") -> DataFrame:
+    """A row of the pool for each configuration (its number from 0), of an array with a score for each: the pool is read once."""
+    return pool.select("*", F.posexplode(scores).alias(config, out))
+
+
+def grid_metrics(pool: DataFrame, positives: DataFrame, query: str, item: str, configs: Sequence[dict], score: Callable[..., Column] | Column, k: int = 10) -> DataFrame:
+    """Mean metrics of every configuration, with a column for each parameter: one scan, one ranking by (configuration, query).
+
+    ``score``: a configuration's parameters to a score, or an array column with the scores of all of them in order.
+    """
+    from tidepool.operators import metrics as M
+
+    scores = score if isinstance(score, Column) else F.array(*(score(**c) for c in configs))
+    lists = ranked(scored_grid(pool.select(query, item, scores.alias("__s")), F.col("__s")).drop("__s"), ["config", query], F.col("final"), [F.col(item)])
+    means = M.mean_table(M.ranking_metrics(lists.where(F.col("rank") <= k), positives, query, item, k, ["config"]), ["config"], ["hit", "precision", "recall", "ap", "ndcg", "mrr"])
+    values = F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in c.items())) for c in configs))
+    return means.select("config", values[F.col("config")].alias("c"), "hit", "precision", "recall", "ap", "ndcg", "mrr", "n").select("config", "c.*", "hit", "precision", "recall", "ap", "ndcg", "mrr", "n")

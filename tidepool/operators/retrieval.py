@@ -168,6 +168,17 @@ def cascade(queries: DataFrame, catalog: DataFrame, query: str, item: str, sessi
     return ranked(scored, query, F.col("score"), [F.col(item)]).where(F.col("rank") <= k)
 
 
+def interest_pool(interests: DataFrame, catalog: DataFrame, query: str, item: str, k: int = 100, own: str | None = None, cells: int = CATALOG_CELLS) -> DataFrame:
+    """Pools of queries with several vectors (query, cluster, vector): an item's score is its largest cosine to one of them.
+
+    An item among the k best by the largest is among the k best of that vector, so the vectors' pools hold all that is needed.
+    """
+    each = interests.select(F.struct(query, "cluster").alias("__interest"), F.col(own or item).alias(own or item), "vector")
+    best = cosine_pool(each, catalog, "__interest", item, k, own, cells=cells)
+    best = best.groupBy(F.col(f"__interest.{query}").alias(query), item).agg(F.max("score").alias("score"))
+    return ranked(best, query, F.col("score"), [F.col(item)]).where(F.col("rank") <= k)
+
+
 def tower_pool(queries: DataFrame, catalog: DataFrame, query: str, item: str, query_tower: list[list[float]], item_tower: list[list[float]], k: int = 100, own: str | None = None, cells: int = CATALOG_CELLS) -> DataFrame:
     """Pools by cosine after both sides are projected by their tower's matrix (rows: outputs)."""
     q = queries.withColumn("vector", V.project(F.col("vector"), query_tower))

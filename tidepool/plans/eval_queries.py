@@ -127,26 +127,6 @@ def rerank_picks(spark, d):
     return rounded(R.scores_from_picks(p, "user", "item").select("user", "item", "final"), "final")
 
 
-_BLEND = [0.0, 0.5, 1.0]
-_MM = lambda x: f"CASE WHEN max({x}) OVER w - min({x}) OVER w <= 1e-12 THEN 0.0 ELSE ({x} - min({x}) OVER w) / (max({x}) OVER w - min({x}) OVER w) END"
-
-
-@query(f"""WITH {SHOP}, m AS (SELECT p.user, p.item, {_MM('score')} AS a, {_MM('ln(1 + pop)')} AS b FROM pools p JOIN it USING (item) WHERE method = 'raw' WINDOW w AS (PARTITION BY p.user)),
-g AS (SELECT value, m.user, m.item, row_number() OVER (PARTITION BY value, m.user ORDER BY value * a + (1 - value) * b DESC, item) AS rank FROM m, (VALUES (0.0::DOUBLE), (0.5), (1.0)) t(value) QUALIFY rank <= {K_FINAL}),
-h AS (SELECT g.value, g.user, sum(CASE WHEN pos.item IS NULL THEN 0 ELSE 1 / log2(rank + 1) END) AS dcg FROM g LEFT JOIN pos ON pos.user = g.user AND pos.item = g.item GROUP BY ALL)
-SELECT value, round(avg(dcg / list_sum(list_transform(range(1, least(n_eval_targets, {K_FINAL}) + 1), lambda r: 1 / log2(r + 1)))), 6) AS ndcg, count(*) AS n FROM h JOIN ex ON ex.user = h.user WHERE n_eval_targets > 0 GROUP BY value""")
-def blend_grid(spark, d):
-    pool = T.cosine_pool(S.queries(spark, d), S.items(spark, d), "user", "item", K_POOL).drop("rank").join(S.items(spark, d).select("item", "pop"), "item")
-
-    def ndcg(scored):
-        from tidepool.operators.windows import ranked
-
-        r = ranked(scored, "user", F.col("final"), [F.col("item")])
-        return M.mean_table(M.ranking_metrics(r, S.positives(spark, d), "user", "item", K_FINAL), [], ["ndcg"])
-
-    return rounded(R.grid(pool, "user", _BLEND, lambda v: R.logpop_blend("user", v), ndcg).select("value", "ndcg", "n"), "ndcg")
-
-
 # -- the evaluation's tables ----------------------------------------------------------------
 
 

@@ -134,12 +134,6 @@ def fused_query(spark, d):
     return b.select("vec_id", F.round(F.array_max("vector"), 5).alias("top"))
 
 
-@query()
-def interest_centroids(spark, d):
-    c = P.interest_centroids(table(spark, d, "embeddings").withColumn("item", F.col("label")), "item", "embedding", 3)
-    return c.select("item", "cluster", F.round(V.norm(F.col("vector")), 4).alias("norm"))
-
-
 @query("SELECT lang, source, round(list_sum(list_transform(range(1, 4), lambda i: i)) * 0.0 + len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b)))::DOUBLE, 6) AS jaccard FROM (SELECT x.lang, y.source, x.s AS a, y.s AS b FROM (SELECT lang, list(DISTINCT n_chars % 50) AS s FROM documents GROUP BY lang) x, (SELECT source, list(DISTINCT n_chars % 50) AS s FROM documents GROUP BY source) y)")
 def set_jaccard(spark, d):
     doc = table(spark, d, "documents").withColumn("v", F.col("n_chars") % 50)
