@@ -95,16 +95,21 @@ def history_blends(queries: DataFrame, history: DataFrame, query: str, configs:
         zero = F.transform(F.element_at(held, 1)["v"], lambda _: F.lit(0.0))
         return V.unit(F.aggregate(held, zero, lambda s, x: F.zip_with(s, x["v"], lambda a, b: a + weight(x) * b)))
 
-    def within(low: float, top: int) -> Column:
-        held = F.filter(F.col("__h"), lambda x: (x["c"] >= low) & (x["nth"] <= top))
+    def within(p: Column) -> Column:
+        held = F.filter(F.col("__h"), lambda x: (x["c"] >= p["low"]) & (x["nth"] <= p["top"]))
         return F.when(F.size(held) > 0, pooled(held))
 
-    pools = {(c["min_similarity"], c["top_k"]): within(c["min_similarity"], c["top_k"]) for c in configs}
-    names = {at: f"__h{i}" for i, at in enumerate(pools)}
-    out = queries.join(best, query, "left").withColumns({names[at]: p for at, p in pools.items()})
-    own = V.unit(F.col("vector"))
-    blend = lambda c: F.coalesce(V.blend(F.col("vector"), F.col(names[c["min_similarity"], c["top_k"]]), c["alpha"]), own)
-    return out.select(*queries.columns, F.array(*(blend(c) for c in configs)).alias("blends"))
+    # the configurations are data: one expression runs over them
+    cuts = sorted({(c["min_similarity"], c["top_k"]) for c in configs})
+    cut_rows = F.array(*(F.struct(F.lit(float(low)).alias("low"), F.lit(top).alias("top")) for low, top in cuts))
+    rows = F.array(*(F.struct(F.lit(float(min(max(c["alpha"], 0.0), 1.0))).alias("alpha"), F.lit(cuts.index((c["min_similarity"], c["top_k"]))).alias("cut")) for c in configs))
+
+    def blend(cut: Column, c: Column) -> Column:
+        mixed = lambda h: V.unit(F.zip_with("vector", h, lambda x, y: (1 - c["alpha"]) * x.cast("double") + c["alpha"] * y))
+        return V.let(F.get(cut, c["cut"]), lambda h: F.when(h.isNull(), V.unit(F.col("vector"))).otherwise(mixed(h)))
+
+    blends = V.let(F.transform(cut_rows, within), lambda cut: F.transform(rows, lambda c: blend(cut, c)))
+    return queries.join(best, query, "left").select(*queries.columns, blends.alias("blends"))
 
 
 def fused_query(queries: DataFrame, support: DataFrame, catalog: DataFrame, query: str, item: str, weight: str | None = None) -> DataFrame:
