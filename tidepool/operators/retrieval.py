@@ -27,6 +27,24 @@ def popularity(events: DataFrame, catalog: DataFrame, item: str, floor: float =
     return catalog.join(n, item, "left").withColumn("pop", F.greatest(F.coalesce(F.col("__n"), F.lit(0)).cast("double"), F.lit(floor))).drop("__n")
 
 
+def best_of_block(names: pa.Array, mine: pa.Array, vectors: np.ndarray, items: np.ndarray, matrix: np.ndarray, mask: bool, k: int | None) -> list[pa.Array]:
+    """names, items and scores of the pairs of some queries and a block of ``items`` (ascending), or of the k best of each; with ``mask``, without the query's own item."""
+    s = np.round(vectors @ matrix.T, 12)
+    if mask:
+        at = np.searchsorted(items, own_ids := mine.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        held = (at < len(items)) & (items[np.minimum(at, len(items) - 1)] == own_ids) & mine.is_valid().to_numpy(zero_copy_only=False)
+        s[np.flatnonzero(held), at[held]] = -np.inf
+    if k is not None and k < s.shape[1]:
+        least = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
+        over, tied = s > least[:, None], s == least[:, None]
+        r, c = np.nonzero(over | (tied & (np.cumsum(tied, axis=1) <= (k - over.sum(axis=1))[:, None])))
+    else:
+        r, c = np.nonzero(np.ones(s.shape, dtype=bool))
+    keep = np.isfinite(s[r, c])
+    r, c = r[keep], c[keep]
+    return [names.take(pa.array(r)), pa.array(items[c]), pa.array(s[r, c])]
+
+
 def _scores(queries: DataFrame, catalog: DataFrame, query: str, item: str, own: str | None, mask: bool, k: int | None, cells: int) -> DataFrame:
     """query, item, score of every pair, or of the k best items by score, then id.
 
@@ -42,21 +60,7 @@ def _scores(queries: DataFrame, catalog: DataFrame, query: str, item: str, own:
     schema = f"{query} {kind}, {item} long, score double"
 
     def score(names: pa.Array, mine: pa.Array, vectors: np.ndarray, items: np.ndarray, matrix: np.ndarray) -> pa.RecordBatch:
-        """``items`` ascend."""
-        s = np.round(vectors @ matrix.T, 12)
-        if mask:
-            at = np.searchsorted(items, own_ids := mine.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
-            held = (at < len(items)) & (items[np.minimum(at, len(items) - 1)] == own_ids) & mine.is_valid().to_numpy(zero_copy_only=False)
-            s[np.flatnonzero(held), at[held]] = -np.inf
-        if k is not None and k < s.shape[1]:
-            least = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
-            over, tied = s > least[:, None], s == least[:, None]
-            r, c = np.nonzero(over | (tied & (np.cumsum(tied, axis=1) <= (k - over.sum(axis=1))[:, None])))
-        else:
-            r, c = np.nonzero(np.ones(s.shape, dtype=bool))
-        keep = np.isfinite(s[r, c])
-        r, c = r[keep], c[keep]
-        return pa.RecordBatch.from_arrays([names.take(pa.array(r)), pa.array(items[c]), pa.array(s[r, c])], names=[query, item, "score"])
+        return pa.RecordBatch.from_arrays(best_of_block(names, mine, vectors, items, matrix, mask, k), names=[query, item, "score"])
 
     left = queries.select(query, F.col(own or item).cast("long").alias("__own"), V.unit(F.col("vector")).alias("__v"))
     right = catalog.select(F.col(item).cast("long").alias("__i"), V.unit(F.col("vector")).alias("__m"))
