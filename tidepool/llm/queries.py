@@ -153,4 +153,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_minhash": op13_minhash,
 }
 
-ORACLE_SQL: dict[str, str] = {"op7_jaccard": sql.JACCARD, "op9_quality": sql.QUALITY, "op11_codes": sql.VECTOR_CODES, "op13_minhash": sql.MINHASH}
+ORACLE_SQL: dict[str, str] = {"op7_jaccard": sql.JACCARD, "op9_quality": sql.QUALITY, "op11_codes": sql.VECTOR_CODES, "op12_repair": sql.REPAIR, "op13_minhash": sql.MINHASH}

@@ -81,3 +81,42 @@ FROM kept JOIN code USING (r), digest
 
 
 VECTOR_CODES = _vector_codes()
+
+
+def _repair() -> str:
+    """The cheapest edits by going forward over rows: for each last role (nothing, s, u, a) the least ten-digit cost followed by its audit."""
+    far = "'5000000000'"
+    add = lambda x, cost, edit: f"(lpad((left({x}, 10)::BIGINT + {cost})::VARCHAR, 10, '0') || substr({x}, 11) || '{edit}')"
+    closed = f"""SELECT *, least(u1, {add('a1', 2, 'I')}) AS u2, least(a1, {add('u1', 2, 'I')}) AS a2 FROM (
+    SELECT *, least(u, {add('n', 2, 'I')}, {add('s', 2, 'I')}, {add('a', 2, 'I')}) AS u1, least(a, {add('u', 2, 'I')}) AS a1 FROM walk)"""
+    stays = lambda role, froms: f"CASE WHEN sound AND init = '{role}' THEN least({', '.join(add(x, 'cut', 'K') for x in froms)}) ELSE {far} END" if len(froms) > 1 else f"CASE WHEN sound AND init = '{role}' THEN {add(froms[0], 'cut', 'K')} ELSE {far} END"
+    turned = lambda froms: f"CASE WHEN sound THEN {'least(' + ', '.join(add(x, '(2 + cut)', 'R') for x in froms) + ')' if len(froms) > 1 else add(froms[0], '(2 + cut)', 'R')} ELSE {far} END"
+    return f"""
+WITH RECURSIVE tab AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, x: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS v FROM range(256) r(i))),
+d AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda c: ascii(c)::BIGINT)),
+    lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) % 20 AS k FROM conversations, tab),
+r0 AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE WHEN k = 1 THEN '' WHEN k = 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(CASE WHEN k = 3 THEN [0, 1] ELSE [0] END) AS copy FROM d WHERE k <> 0),
+r1 AS (SELECT *, left(role, 1) AS init, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS said, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM r0),
+r2 AS (SELECT *, said = '' AS blank, said <> '' AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS dup, lag(init) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM r1),
+r AS MATERIALIZED (SELECT *, NOT (blank OR dup) AS sound, (NOT (blank OR dup) AND right(said, 1) NOT IN ('.', '!', '?'))::BIGINT AS cut FROM r2),
+walk AS (
+  SELECT DISTINCT conv_id, 0::BIGINT AS i, '0000000000' AS n, {far} AS s, {far} AS u, {far} AS a FROM r
+  UNION ALL
+  SELECT w.conv_id, r.i, {add('n', 3, 'D')}, least({add('s', 3, 'D')}, {stays('s', ['n'])}),
+    least({add('u2', 3, 'D')}, {turned(['n', 's', 'a2'])}, {stays('u', ['n', 's', 'a2'])}), least({add('a2', 3, 'D')}, {turned(['u2'])}, {stays('a', ['u2'])})
+  FROM ({closed}) w JOIN r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.i = w.i + 1),
+found AS MATERIALIZED (SELECT conv_id, left(best, 10)::BIGINT AS cost, substr(best, 11) AS audit FROM (SELECT conv_id, least(n, a2) AS best FROM ({closed}) QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1)),
+edits AS (SELECT conv_id, j, edit, sum((edit <> 'I')::INT) OVER (PARTITION BY conv_id ORDER BY j) AS i FROM (SELECT conv_id, unnest(string_split(audit, '')) AS edit, unnest(range(length(audit))) AS j FROM found WHERE audit <> '')),
+out AS (SELECT e.conv_id, j, edit, role, text, init, row_number() OVER (PARTITION BY e.conv_id ORDER BY j) AS m FROM edits e LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM e.conv_id AND r.i = e.i WHERE edit <> 'D'),
+led AS (SELECT *, max((m = 1 AND edit = 'K' AND init = 's')::INT) OVER (PARTITION BY conv_id) AS led FROM out),
+lines AS (SELECT conv_id, sha256(string_agg(CASE WHEN edit = 'K' THEN role ELSE CASE WHEN (m - led) % 2 = 1 THEN 'user' ELSE 'assistant' END END || ':' || CASE WHEN edit = 'I' THEN '' ELSE text END, chr(10) ORDER BY j)) AS sha FROM led GROUP BY conv_id),
+counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (dup) AS duplicate, sum(cut) AS truncated,
+  count(*) FILTER (before IS NOT NULL AND before || init NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY conv_id)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+  coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, coalesce(sha, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN counts n ON n.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN found f ON f.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN lines l ON l.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+
+REPAIR = _repair()
