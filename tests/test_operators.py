@@ -284,7 +284,7 @@ def test_etl_job(spark, tmp_path):
 
 def test_csv_with_newlines(spark, tmp_path):
     (tmp_path / "a.csv").write_text('review_id,app_id,extra,review\n1,5,x,"two\nlines, ""quoted"""\n2,6,y,plain\n')
-    got = IO.read_csv(spark, f"{tmp_path}/a.csv", columns=["review_id", "review"])
+    got = IO.read_csv(spark, f"{tmp_path}/a.csv", columns=["review_id", "review"], multiline=True)
     assert [tuple(r) for r in got.orderBy("review_id").collect()] == [(1, 'two\nlines, "quoted"'), (2, "plain")]
     with pytest.raises(KeyError):
         IO.read_csv(spark, f"{tmp_path}/a.csv", columns=["none"])

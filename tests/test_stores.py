@@ -165,3 +165,36 @@ def test_a_second_run_scores_no_row(spark, tmp_path):
     more = spark.createDataFrame([(1, 2), (9, 9)], "user long, app long")
     assert sorted(tuple(r) for r in memo.scores(more, score).select("user", "app", "score").collect()) == [(1, 2, 4.0), (9, 9, 18.0)]
     assert memo.n_scored == 1 and calls[1] == [(9, 9)]
+
+
+def test_explanations_are_generated_once(spark, tmp_path):
+    from tidepool.plans import explain
+
+    pairs = spark.createDataFrame([(1, 7, "likes ships", "A game of ships"), (2, 7, None, "A game of ships"), (3, 8, "x", "Z" * 900)], "user long, item long, query_text string, candidate_text string")
+    said, rated = (ScoreMemo(spark, f"file://{tmp_path}/{n}", ["user", "item"], 4) for n in ("said", "rated"))
+    rows = {r["user"]: r for r in explain.judge(explain.explain(pairs, explain.echo_model, said), explain.length_judge, rated).collect()}
+    assert rows[1]["explanation"] == "It has A game of ships" and (rows[1]["judge_relevance"], rows[1]["judge_faithfulness"]) == (3, 5)
+    assert len(rows[3]["explanation"]) < 640 and said.n_scored == rated.n_scored == 3
+    broken = lambda batches: (b.map(lambda p: "no JSON") for b in batches)
+    again = explain.judge(explain.explain(pairs, broken, said), broken, rated).collect()
+    assert {r["user"]: r["explanation"] for r in again} == {u: r["explanation"] for u, r in rows.items()} and said.n_scored == 0
+    fresh = ScoreMemo(spark, f"file://{tmp_path}/other", ["user", "item"], 4)
+    assert {r["judge_relevance"] for r in explain.judge(explain.explain(pairs, broken, said), broken, fresh).collect()} == {None}
+
+
+def test_single_files_and_bounds(spark, tmp_path):
+    from tidepool.operators import classification as K
+    from tidepool.sources import tables as IO
+
+    a, b = spark.createDataFrame([(1, "x")], "i int, s string"), spark.createDataFrame([("y", 2, 0)], "s string, i long, more int")
+    assert IO.write_single([a, b], f"{tmp_path}/one") == 2
+    back = spark.read.parquet(f"{tmp_path}/one")
+    assert back.schema.simpleString() == "struct<i:int,s:string>" and len(back.inputFiles()) == 1
+    with pytest.raises(KeyError):
+        IO.write_single([a, spark.createDataFrame([(1,)], "i int")], f"{tmp_path}/two")
+    v = spark.createDataFrame([(1, [1.0, 2.0])], "app_id long, vector array<double>")
+    with pytest.raises(ValueError, match="components"):
+        IO.write_npz(v, f"{tmp_path}/v.npz", most=1)
+    df = spark.createDataFrame([(float(x), x % 2, 1) for x in range(10)], "x double, y int, p int")
+    got = {r["bin"]: (r["n"], r["precision"]) for r in K.classification_metrics(K.by_bins(df, "x", 2), "y", "p", ["bin"], least=5).collect()}
+    assert got == {"Q1": (5, 0.4), "Q2": (5, 0.6)}

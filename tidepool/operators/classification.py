@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.operators.windows import running_before, with_average_rank
+from tidepool.operators.windows import binned, quantile_edges, running_before, with_average_rank
 
 
 def correlation(a: Column, b: Column) -> Column:
@@ -35,6 +35,11 @@ def classification_metrics(df: DataFrame, label: str, predicted: str, by: Sequen
     return c.withColumns({"accuracy": _over(tp + tn, tp + fp + fn + tn), "precision": p, "recall": r, "specificity": _over(tn, tn + fp), "f1": f(1), "f2": f(2), "mcc": mcc})
 
 
+def by_bins(df: DataFrame, col: str, q: int, out: str = "bin") -> DataFrame:
+    """``df`` with its bin Q1 to Qq by exact quantiles of a column, for metrics by bin."""
+    return df.withColumn(out, binned(F.col(col), quantile_edges(df, col, q), [f"Q{i}" for i in range(1, q + 1)]))
+
+
 def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
     """One row: the area under the ROC curve from the counts of each distinct score (ties count half); null with one class."""
     per = df.groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n"))

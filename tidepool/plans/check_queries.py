@@ -20,7 +20,7 @@ from tidepool.operators.windows import binned, quantile_edges
 from tidepool.plans import evaluation as E
 from tidepool.plans import shop
 from tidepool.plans.shop import SHOP
-from tidepool.plans.tables import EV, events, table
+from tidepool.plans.tables import EV, UNIFORM, events, table
 from tidepool.sources import tables as IO
 
 Q, SQL = {}, {}
@@ -109,7 +109,7 @@ def csv_texts(spark, d):
     path = IO.scratch(spark, "texts")
     docs = table(spark, d, "documents").select("doc_id", "text")
     docs.write.csv(path, header=True, escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, lineSep="\n")
-    return IO.read_csv(spark, path, docs.schema)
+    return IO.read_csv(spark, path, docs.schema, multiline=True)
 
 
 @query("SELECT p_partkey, p_brand || '|' || p_type AS parts, p_size FROM part")
@@ -168,10 +168,15 @@ def long_names(spark, d):
     return IO.text_ok(table(spark, d, "part"), "p_name", 12).select("p_partkey", "p_name")
 
 
-@query("SELECT 'cosine' AS method, 'a' AS name, 500::BIGINT AS n, NULL AS join_note FROM (SELECT 1) UNION ALL SELECT 'lost', 'b', NULL, 'no metrics for method lost'")
+@query("""WITH m AS (SELECT source AS method, count(*) AS n, round(avg(n_chars), 4) AS chars FROM documents GROUP BY source), e AS (SELECT DISTINCT source AS method, 'run of ' || source AS name FROM documents UNION ALL SELECT 'lost', 'run of lost')
+SELECT e.method, name, n, chars, CASE WHEN n IS NULL THEN 'no metrics for method ' || e.method END AS join_note FROM e LEFT JOIN m USING (method)""")
 def experiment_registry(spark, d):
-    metrics = spark.createDataFrame([("cosine", 500)], "method string, n long")
-    return IO.registry(spark, [{"method": "cosine", "name": "a"}, {"method": "lost", "name": "b"}], metrics).select("method", "name", "n", "join_note")
+    """A manifest of runs, one for each source and one without metrics, with the metrics of their method."""
+    docs = table(spark, d, "documents")
+    metrics = docs.groupBy(F.col("source").alias("method")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("n_chars"), 4).alias("chars"))
+    names = [r["source"] for r in docs.select("source").distinct().collect()]  # a few sources
+    runs = [{"method": m, "name": f"run of {m}"} for m in [*names, "lost"]]
+    return IO.registry(spark, runs, metrics).select("method", "name", "n", "chars", "join_note")
 
 
 # -- catalogue and pooling -----------------------------------------------------------------------
@@ -235,32 +240,36 @@ def cohort_files(spark, d):
     return js.join(H.cohort_from_json(js), "user").select("user", "validation_positive_app_ids_json", F.size("positives").cast("long").alias("n"))
 
 
-@query("SELECT count(*) AS n, min(ex_idx) AS low, max(ex_idx) AS high, count(DISTINCT ex_idx) AS n_idx FROM (SELECT row_number() OVER (ORDER BY event_id) - 1 AS ex_idx FROM events LIMIT 50)")
+@query(f"SELECT event_id, row_number() OVER (ORDER BY {UNIFORM}, event_id) - 1 AS ex_idx FROM (SELECT event_id, md5('2026|subsample|' || event_id) AS m FROM events) ORDER BY 2 LIMIT 50")
 def frozen_subsample(spark, d):
     """A cohort cut to 50 rows with new indices."""
-    r = H.reindexed(events(spark, d).select("event_id"), 50, "event_id")
-    return r.agg(F.count(F.lit(1)).alias("n"), F.min("ex_idx").cast("long").alias("low"), F.max("ex_idx").cast("long").alias("high"), F.count_distinct("ex_idx").alias("n_idx"))
+    return H.reindexed(events(spark, d).select("event_id"), 50, "event_id").select("event_id", F.col("ex_idx").cast("long").alias("ex_idx"))
 
 
-@query("SELECT 'overlap' AS outcome UNION ALL SELECT 'disjoint' UNION ALL SELECT 'sizes' UNION ALL SELECT 'mode'")
+@query("""SELECT event_type AS what, CASE WHEN bool_or(event_id < 3) THEN 'overlap' ELSE 'disjoint' END AS outcome FROM events GROUP BY event_type
+UNION ALL SELECT n_name, CASE WHEN n_nationkey / 20.0 + n_regionkey / 5.0 >= 1 THEN 'sizes' ELSE 'kept' END FROM nation
+UNION ALL SELECT 'mode ' || r_name, CASE WHEN r_regionkey < 3 THEN 'unknown mode' ELSE 'known mode' END FROM region""")
 def guards(spark, d):
-    """Checks that raise: cohorts that share a key, sizes of splits, names of support modes."""
-    e, out = events(spark, d).select("event_id", "user_id"), []
-    try:
-        H.require_disjoint(e, e.where("event_id < 100"), ["event_id"])
-    except ValueError:
-        out.append("overlap")
-    H.require_disjoint(e.where("event_id >= 100"), e.where("event_id < 100"), ["event_id"])
-    out.append("disjoint")
-    try:
-        S.check_sizes(0.9, 0.2)
-    except ValueError:
-        out.append("sizes")
-    try:
-        H.support_rows(e, e, "event_id", "user_id", "k", "flag", "other")
-    except ValueError:
-        out.append("mode")
-    return spark.createDataFrame([(x,) for x in out], "outcome string")
+    """Checks that raise, each over a table's rows: cohorts that share a key, sizes of splits, names of support modes."""
+    e, out = events(spark, d).select("event_id", "event_type", "user_id", "k", "flag"), []
+
+    def tried(what, right, wrong, run):
+        try:
+            run()
+            out.append((what, right))
+        except ValueError:
+            out.append((what, wrong))
+
+    for r in e.select("event_type").distinct().collect():  # a few types
+        mine = e.where(F.col("event_type") == r["event_type"])
+        tried(r["event_type"], "disjoint", "overlap", lambda mine=mine: H.require_disjoint(mine, e.where("event_id < 3"), ["event_id"]))
+    for r in table(spark, d, "nation").collect():  # 25 nations
+        tried(r["n_name"], "kept", "sizes", lambda r=r: S.check_sizes(r["n_nationkey"] / 20, r["n_regionkey"] / 5))
+    ex = e.withColumn("positives", F.array("k"))
+    for r in table(spark, d, "region").collect():  # 5 regions
+        mode = ("query_only", "strict")[r["r_regionkey"] % 2] if r["r_regionkey"] >= 3 else r["r_name"]
+        tried(f"mode {r['r_name']}", "known mode", "unknown mode", lambda mode=mode: H.support_rows(ex, e, "event_id", "user_id", "k", "flag", mode))
+    return spark.createDataFrame(out, "what string, outcome string")
 
 
 @query(f"WITH {EV} SELECT max(ts) FILTER (event_id % 10 < 7) AS latest FROM ev")
@@ -307,7 +316,7 @@ _MET = "count(*) AS n, round(avg(abs(p - y)), 4) AS mae, round(sqrt(avg((p - y)
 @query(f"WITH {_E} SELECT game, {_MET} FROM e GROUP BY game HAVING count(*) >= 380")
 def metrics_by_group(spark, d):
     o = table(spark, d, "orders").select((F.col("o_custkey") % 40).alias("game"), F.col("o_totalprice").alias("y"), (F.lit(200000.0) + F.col("o_custkey") % 100).alias("p"))
-    return K.regression_metrics(o, "y", "p", ["game"]).where("n >= 380").select("game", "n", F.round("mae", 4).alias("mae"), F.round("rmse", 4).alias("rmse"))
+    return K.regression_metrics(o, "y", "p", ["game"], least=380).select("game", "n", F.round("mae", 4).alias("mae"), F.round("rmse", 4).alias("rmse"))
 
 
 @query(f"WITH {_E}, q AS (SELECT quantile_cont(y, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]) AS k FROM e) SELECT 'Q' || (1 + len(list_filter(k[2:5], lambda z: y > z))) AS bin, {_MET} FROM e, q GROUP BY 1 HAVING count(*) >= 100")

@@ -36,10 +36,10 @@ EVENT = T.StructType([
 ])
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType = RAW_REVIEWS, columns: Sequence[str] | None = None, limit: int | None = None, multiline: bool = True) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: T.StructType = RAW_REVIEWS, columns: Sequence[str] | None = None, limit: int | None = None, multiline: bool = False) -> DataFrame:
     """A CSV file with header.  Columns are matched by the header's names, so their order and extras do not matter.
 
-    With ``multiline`` quoted texts may span lines, and a file is one task; without it, a file is read in splits.
+    A file is read in splits.  Where quoted texts span lines, ask for ``multiline``: a file is then one task, so give many files.
     """
     header = spark.read.csv(path, header=True, escape='"', enforceSchema=False).columns  # reads the first line alone
     kinds = {f.name: f.dataType for f in schema}
@@ -95,6 +95,20 @@ def write_splits(df: DataFrame, path: str, split: str = "split") -> dict[str, in
     return {r[split]: r["count"] for r in back.groupBy(split).count().collect()}
 
 
+def write_single(chunks: Sequence[DataFrame], path: str) -> int:
+    """Chunks as one Parquet file with the first one's schema (columns by name, later ones cast); the number of rows.
+
+    For tools that take one file: a single task writes it.  ``write_splits`` and plain writes keep many files.
+    """
+    first = chunks[0].schema
+    every = chunks[0]
+    for c in chunks[1:]:
+        require(c, first.fieldNames())
+        every = every.union(c.select(*(named(f.name).cast(f.dataType).alias(f.name) for f in first)))
+    every.coalesce(1).write.mode("overwrite").parquet(path)
+    return every.sparkSession.read.parquet(path).count()
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """A small result table as one CSV part with header; arrays and structs as JSON."""
     cols = [F.to_json(named(f.name)).alias(f.name) if isinstance(f.dataType, (T.ArrayType, T.StructType, T.MapType)) else named(f.name) for f in df.schema]
@@ -204,8 +218,11 @@ def text_ok(df: DataFrame, col: str, least: int) -> DataFrame:
     return df.where(F.length(X.strip(named(col))) >= least)
 
 
-def write_npz(df: DataFrame, path: str, key: str = "app_id", vector: str = "vector") -> None:
-    """A catalogue's vectors as one .npz file (int64 ids, float32 matrix) by id; for catalogues that fit the driver."""
+def write_npz(df: DataFrame, path: str, key: str = "app_id", vector: str = "vector", most: int = 50_000_000) -> None:
+    """A catalogue's vectors as one .npz file (int64 ids, float32 matrix) by id; ValueError for more than ``most`` components, as they go through the driver."""
+    size = df.agg(F.sum(F.size(named(vector)).cast("long"))).first()[0] or 0
+    if size > most:
+        raise ValueError(f"{size} components are more than {most}: write Parquet instead")
     rows = df.select(named(key).cast("long").alias("i"), named(vector).alias("v")).orderBy("i").collect()
     Path(path).parent.mkdir(parents=True, exist_ok=True)
     np.savez(path, app_ids=np.array([r["i"] for r in rows], np.int64), embeddings=np.array([r["v"] for r in rows], np.float32).reshape(len(rows), -1))
