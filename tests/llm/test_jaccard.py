@@ -172,3 +172,9 @@ def test_pairs_of_a_form_stay_few(spark, monkeypatch):
     got = found(spark.createDataFrame(docs, "doc_id long, text string"))
     assert all(r[2] == r[0] for r in got)
     assert sizes[1] < 10 * len(docs)  # all pairs: 1,500 a document
+
+
+def test_one_of_each_with_clashing_columns(spark):
+    rows = [(1, "a b c d e f", 7), (1, "other words are here now", 8), (2, "a b c d e f", 9)]
+    df = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "doc_id long, text string, place_ int, place__ int, place___ int, __place int")
+    assert [r["doc_id"] for r in J.one_of_each(df).collect()] == [1]

@@ -52,7 +52,7 @@ from pyspark.sql import functions as F
 
 from tidepool.llm import bytetext as bt
 from tidepool.llm.components import components
-from tidepool.llm.tables import drop, per_batch, release, small_batches, staged
+from tidepool.llm.tables import drop, fresh_name, per_batch, release, small_batches, staged
 
 SHINGLE, PERCENT, LEADERS, BINS, SLICES = 5, 80, 32, 64, 64
 #: The sketch has a slot for each ``SLOT_BYTES`` of text, within these powers of two.
@@ -443,7 +443,7 @@ def one_of_each(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     again = groups.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(id_col)
     if again.isEmpty():
         return left
-    place = next(c for c in ("place_", "place__", "place___") if c not in df.columns)
+    place = fresh_name(df, "__place")
     own = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col), text_col)
     one = left.join(again, id_col, "left_semi").withColumn(place, F.row_number().over(own)).where(F.col(place) == 1).drop(place)
     return left.join(again, id_col, "left_anti").select(df.columns).unionByName(one.select(df.columns))

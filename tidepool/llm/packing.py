@@ -8,8 +8,8 @@ cut into sequences whose lengths are powers of two, so no sequence needs padding
 
 Null text: packed as empty (the end id alone).  Equal keys (copies, a hot group)
 are ordered by doc_id, text hash and place, so ranges split them.  Repeated rows
-are packed as rows of their own.  An empty table gives no pieces.  Other columns
-are not read.
+are packed as rows of their own.  A very long text is encoded whole and cut over as
+many sequences as it needs.  An empty table gives no pieces.  Other columns are not read.
 """
 
 from __future__ import annotations

@@ -31,6 +31,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidepool.llm.tables import fresh_name
+
 THRESHOLD, BEFORE, AFTER, BLOCK = 0.5, 40, 20, 256
 NEGATIVE = r"\b(?:example|sample|dummy|fake|version|isbn|invoice no|order no)\b"
 
@@ -210,7 +212,7 @@ def _judged(kind: Kind, rank: int, text: Column, spans: Column) -> Column:
 
 def find_pii(df: DataFrame, kinds: Sequence[Kind] = KINDS, *, text_col: str = "text", out_col: str = "pii") -> DataFrame:
     """``df`` with ``out_col``: array<struct<start, rank, end, kind, score>> by start, then kind as listed."""
-    own = _fresh(df, "__pii")
+    own = fresh_name(df, "__pii")
     kept = [c for c in df.columns if c != out_col]
     text = F.col(f"{own}_text")
     df = df.withColumn(f"{own}_text", F.coalesce(F.col(text_col), F.lit("")))
@@ -224,13 +226,6 @@ def find_pii(df: DataFrame, kinds: Sequence[Kind] = KINDS, *, text_col: str = "t
     return df.select(*(F.col(f"`{c}`") for c in kept), found.alias(out_col))
 
 
-def _fresh(df: DataFrame, name: str) -> str:
-    """A prefix that no column of ``df`` begins with."""
-    while any(c.lower().startswith(name) for c in df.columns):
-        name += "_"
-    return name
-
-
 def joined(spans: Column) -> Column:
     """Spans as kind:start:end, comma-joined."""
     return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
@@ -238,7 +233,7 @@ def joined(spans: Column) -> Column:
 
 def redact(df: DataFrame, kinds: Sequence[Kind] = KINDS, *, text_col: str = "text") -> DataFrame:
     """``df`` with every span of its texts replaced by its kind in angle brackets; of overlapping spans the first names it."""
-    spans = _fresh(df, "__spans")
+    spans = fresh_name(df, "__spans")
     found = find_pii(df, kinds, text_col=text_col, out_col=spans)
     text = F.col(text_col)
 

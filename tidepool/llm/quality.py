@@ -11,7 +11,8 @@ and not the result.  A measure that several rules or the caller need is taken on
 Words are ``[^\\x20\\x09-\\x0D]+``.  Words and lines are compared by 64-bit hashes of
 their bytes and length, within one text: n of them hold a false repeat with a
 chance of n * n / 2^65 (for a text of 1 MB below 10^-8).  Null and empty texts have
-no words and are rejected.  Rows are judged one by one: ties, repeats and empty
+no words and are rejected.  Very long texts are judged whole, each as a step of its own.
+Rows are judged one by one: ties, repeats and empty
 tables need no rule.  Columns other than the id and the text are passed on
 (``keep_documents``) or not read (``quality_cascade``).
 """

@@ -113,6 +113,13 @@ def release() -> None:
         pass
 
 
+def fresh_name(df: DataFrame, name: str) -> str:
+    """A prefix that no column of ``df`` begins with."""
+    while any(c.lower().startswith(name) for c in df.columns):
+        name += "_"
+    return name
+
+
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return df.select(*columns) if columns else df

@@ -18,8 +18,9 @@ documents with the smallest hash of their id, the first ``sample_ids`` ids of
 each.  It only shapes the compression; every document is encoded whole.
 
 Null text: encoded as empty (the end id alone).  Null doc_ids come first.  Equal
-doc_ids are all kept, in the order of a hash of their texts.  An empty table
-gives a file set without segments.  Other columns are not read.
+doc_ids are all kept, in the order of a hash of their texts.  A very long text is one
+frame, in a segment of its own if it is longer than one.  An empty table gives a file
+set without segments.  Other columns are not read.
 """
 
 from __future__ import annotations
