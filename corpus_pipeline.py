@@ -4,6 +4,11 @@ Each stage maps documents to documents (the last one to pieces of packed
 sequences); its result is written as Parquet and read again as the next one's
 input, so a stage's decisions hold for all that follow and lost executors repeat
 one stage at most.
+
+Null and empty texts have too few words and go in the first stage.  Repeated rows and
+rows that share an id are one document from the third stage on; rows without an id stay
+documents of their own.  Texts of any length are worked on whole.  An empty table gives an
+empty result.  Columns beyond those of documents are passed on until packing, whatever their names.
 """
 
 from __future__ import annotations
