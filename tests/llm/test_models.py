@@ -19,7 +19,7 @@ from tidepool.llm import bytetext as bt
 from tidepool.llm.ann import Shard, nearest
 from tidepool.llm.nbest import BYTE_SCORE, UNIT, Table, decode_pieces, encode_nbest, lattice, table
 from tidepool.llm.queries import raw_transcripts
-from tidepool.llm.toxicity import drop_toxic, features, held_out, label_model, sample_features, score_toxicity, train
+from tidepool.llm.toxicity import drop_toxic, features, held_out, label_model, posteriors, sample_features, score_toxicity, train
 from tidepool.llm.vector_graph import Graph
 
 # -- nearest neighbours ---------------------------------------------------------------
@@ -138,6 +138,27 @@ def test_without_labels_the_lexicon_decides(spark):
     assert score_toxicity(df.limit(0), train(df.limit(0), empty)).count() == 0
 
 
+def test_labels_reach_the_classifier_through_the_voters_only():
+    """Right labels give posteriors that follow them; shuffled ones choose no voters and do not pass through."""
+    rnd = np.random.default_rng(7)
+    toxic = rnd.random(600) < 0.3
+    docs = []
+    for t in toxic:
+        words = list(rnd.integers(1000, 9000, 40)) + (list(rnd.choice(20, 4, replace=False)) if t else [])
+        docs.append(np.unique(np.array(words, dtype="<i4")))
+    none = np.zeros((600, 3), bool)
+    post = posteriors(docs, none, toxic.astype(np.int64))
+    assert ((post > 0.5) == toxic).mean() > 0.97
+    shuffled = rnd.permutation(toxic)
+    wrong = posteriors(docs, none, shuffled.astype(np.int64))
+    assert ((wrong > 0.5) & shuffled).sum() < 0.2 * shuffled.sum()
+    # a wrong label of one text does not move its own posterior across
+    flipped = toxic.astype(np.int64).copy()
+    flipped[:20] = 1 - flipped[:20]
+    again = posteriors(docs, none, flipped)
+    assert ((again[:20] > 0.5) == toxic[:20]).sum() >= 18
+
+
 def test_label_model_learns_who_is_right():
     rng = np.random.default_rng(5)
     y = rng.random(4000) < 0.3

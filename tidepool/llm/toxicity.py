@@ -6,12 +6,14 @@
    is no sample; it is scored like any other).
 2. Many voters judge each sampled text: words of a lexicon, words and word
    beginnings that are frequent in texts labelled toxic, patterns (shouting, masked
-   words, runs of exclamation marks), the absence of all of these, and the given
-   label, whose accuracy is estimated like any other's.  A voter votes or abstains.
-3. A generative model of a hidden class and the votes is fitted by EM, which the
-   labels start.  Votes depend on the class and on one another along a tree: the
-   spanning tree of the largest mutual information within the classes, found anew
-   as the classes settle.  So a voter that only repeats its parent adds nothing.
+   words, runs of exclamation marks), and the absence of all of these.  A voter votes
+   or abstains.  The sample is cut into ``FOLDS``: the voters of a fold are mined from
+   the labels of the others, and no text is judged by its own label.
+3. For each fold, a generative model of a hidden class and the votes is fitted by
+   ``EM_ROUNDS`` rounds of EM.  The voters' rates among the other folds' labels start
+   it; the fold's own labels are not seen.  Votes depend on the class and on one
+   another along a tree: the spanning tree of the largest mutual information within the
+   classes.  So a voter that only repeats its parent adds nothing.
 4. A logistic regression on hashed words and word beginnings learns the posteriors.
    Its weights have a fixed size, and every document is scored with them.
 
@@ -37,7 +39,7 @@ from tidepool.llm.tables import per_batch, small_batches, staged
 
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_BYTES = 2000, 4000, 24 << 20
 FEATURE_BITS, BEGINNINGS = 20, (4, 5, 6)
-MINED, SELECTED, RIDGE = 192, 8192, 0.3
+MINED, SELECTED, RIDGE, FOLDS, EM_ROUNDS = 192, 8192, 0.3, 5, 4
 
 #: Insults and slurs of everyday use, as single words.
 LEXICON = """
@@ -165,54 +167,73 @@ def _tree(v: np.ndarray, weights: np.ndarray, rate: np.ndarray, least: float) ->
     return np.where(best > 0, parent, np.arange(m))
 
 
+def posteriors(docs: list[np.ndarray], pattern: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """The chance that each sampled text is toxic, by the label model of its fold; its own label has no part in it."""
+    size = 1 << FEATURE_BITS
+    lexicon = np.array(sorted({word_feature(w) for w in LEXICON}))
+    fold, post = np.arange(len(docs)) % FOLDS, np.zeros(len(docs))
+    for f in range(FOLDS):
+        mine, others = fold == f, fold != f
+        apart, every = _apart(docs, label.astype(np.float64), others)
+        mined = np.argsort(-np.where(every >= 5, apart, -np.inf), kind="stable")[:MINED]
+        voters = np.unique(np.concatenate([lexicon, mined[apart[mined] > 4]]))
+        votes = np.zeros((len(docs), len(voters)), dtype=bool)
+        votes[_having(docs, voters, size)] = True
+        votes = np.hstack([votes, pattern, ~votes.any(axis=1, keepdims=True)])
+        toxic = others & (label == 1)
+        prior = (toxic.sum() + 0.5) / (others.sum() + 1)
+        rate = [(votes[m].sum(axis=0) + 0.5) / (m.sum() + 1) for m in (others & (label == 0), toxic)]
+        v = votes[mine]
+        odds = np.log(prior / (1 - prior)) + (v * np.log(rate[1] / rate[0]) + (1 - v) * np.log((1 - rate[1]) / (1 - rate[0]))).sum(axis=1)
+        post[mine], _ = label_model(v, prior, 1 / (1 + np.exp(-np.clip(odds, -30, 30))), EM_ROUNDS)
+    return post
+
+
+def _parts(docs: list[np.ndarray], keep: np.ndarray | None = None):
+    """(document, feature) of some documents at a time, so that no array holds them all."""
+    chosen = np.arange(len(docs)) if keep is None else np.flatnonzero(keep)
+    for k in range(0, len(chosen), 128):
+        some = chosen[k : k + 128]
+        yield np.repeat(some, [len(docs[i]) for i in some]), np.concatenate([docs[i] for i in some]).astype(np.int64)
+
+
+def _apart(docs: list[np.ndarray], weight: np.ndarray, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """How far a feature's rates in the two classes lie apart among some documents, in standard errors; and its count."""
+    size = 1 << FEATURE_BITS
+    one, every = np.zeros(size), np.zeros(size)
+    for row, at in _parts(docs, keep):
+        one += np.bincount(at, weights=weight[row], minlength=size)
+        every += np.bincount(at, minlength=size)
+    w = weight if keep is None else weight[keep]
+    n1, n0 = max(w.sum(), 1), max((1 - w).sum(), 1)
+    p = every / max(len(w), 1)
+    return (one / n1 - (every - one) / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0)), every
+
+
+def _having(docs: list[np.ndarray], chosen: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(document, place among the chosen) of the chosen features alone."""
+    place = np.full(size, -1)
+    place[chosen] = np.arange(len(chosen))
+    held = [(row[place[at] >= 0], place[at[place[at] >= 0]]) for row, at in _parts(docs)]
+    return np.concatenate([r for r, _ in held]), np.concatenate([c for _, c in held])
+
+
 def fit(docs: list[np.ndarray], pattern: np.ndarray, label: np.ndarray, base_rate: float) -> Model:
     """A model from the distinct features, pattern votes and labels of sampled texts; base_rate: of toxic among all labelled."""
     size = 1 << FEATURE_BITS
-    lexicon = np.array(sorted({word_feature(w) for w in LEXICON}))
     if len(docs) < 20 or label.min() == label.max():
         weights = np.zeros(size)
-        weights[lexicon] = 3.0
+        weights[sorted({word_feature(w) for w in LEXICON})] = 3.0
         return Model(weights, -2.0)
     n1, n0 = int(label.sum()), int((1 - label).sum())
-
-    def parts():
-        """(document, feature) of some documents at a time, so that no array holds them all."""
-        for k in range(0, len(docs), 128):
-            some = docs[k : k + 128]
-            yield k + np.repeat(np.arange(len(some)), [len(x) for x in some]), np.concatenate(some).astype(np.int64)
-
-    def z(weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """How far a feature's rates in the two classes lie apart, in standard errors; and its count."""
-        one, every = np.zeros(size), np.zeros(size)
-        for row, at in parts():
-            one += np.bincount(at, weights=weight[row], minlength=size)
-            every += np.bincount(at, minlength=size)
-        a, b = one / max(weight.sum(), 1), (every - one) / max((1 - weight).sum(), 1)
-        p = every / len(docs)
-        return (a - b) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / max(n1, 1) + 1 / max(n0, 1))), every
-
-    def having(chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(document, place among the chosen) of the chosen features alone."""
-        place = np.full(size, -1)
-        place[chosen] = np.arange(len(chosen))
-        held = [(row[place[at] >= 0], place[at[place[at] >= 0]]) for row, at in parts()]
-        return np.concatenate([r for r, _ in held]), np.concatenate([c for _, c in held])
-
-    apart, every = z(label.astype(np.float64))
-    mined = np.argsort(-np.where(every >= 5, apart, -np.inf), kind="stable")[:MINED]
-    mined = mined[apart[mined] > 4]
-    voters = np.unique(np.concatenate([lexicon, mined]))
-    votes = np.zeros((len(docs), len(voters)), dtype=bool)
-    votes[having(voters)] = True
-    quiet = ~votes.any(axis=1, keepdims=True)
-    post, _ = label_model(np.hstack([votes, pattern, quiet, label[:, None] == 1]), n1 / len(docs), np.where(label == 1, 0.95, 0.05))
+    post = posteriors(docs, pattern, label)
 
     # logistic regression on the posteriors, over the features that tell the classes apart
-    apart, every = z(post)
+    apart, every = _apart(docs, post)
     apart = np.where(every >= 3, np.abs(apart), 0)
     chosen = np.argsort(-apart, kind="stable")[:SELECTED]
     chosen = chosen[apart[chosen] > 3.5]
-    w, bias = _regress(*having(chosen), post, len(chosen))
+    w, bias = _regress(*_having(docs, chosen, size), post, len(chosen))
     weights = np.zeros(size)
     weights[chosen] = w
     shift = np.log(base_rate / (1 - base_rate)) - np.log(n1 / n0)  # the sample has its own share of toxic rows
