@@ -254,6 +254,8 @@ def test_evaluation_job_and_service(spark, tmp_path):
     assert [r["item"] for r in recommend(q, cat, "query", "item", R.RERANKERS["bare"], 1, 3).orderBy("query").collect()] == [1, 0]
     s = Service(spark, cat, lambda t: [0.1, 0.9, 0.2, 0.0], log=f"{tmp_path}/log/events.jsonl")
     assert len(s.recommendations("fun", 0, 2)) == 2 and s.games("GAME 1")[0]["item"] == 1 and s.health()["n_items"] == 4
+    by_job = Service(spark, cat, lambda t: [0.1, 0.9, 0.2, 0.0], cells=0)
+    assert by_job.held is None and by_job.recommendations("fun", 0, 3) == s.recommendations("fun", 0, 3) != s.recommendations("fun", 1, 3)
     assert not s.explain("fun", 1, lambda a, b: b)["cached"] and s.explain("fun", 1, lambda a, b: b)["cached"]
     for bad in ({"exclude": None}, {"exclude": 0, "k": 99}):
         with pytest.raises(BadRequest):
