@@ -198,3 +198,15 @@ def test_single_files_and_bounds(spark, tmp_path):
     df = spark.createDataFrame([(float(x), x % 2, 1) for x in range(10)], "x double, y int, p int")
     got = {r["bin"]: (r["n"], r["precision"]) for r in K.classification_metrics(K.by_bins(df, "x", 2), "y", "p", ["bin"], least=5).collect()}
     assert got == {"Q1": (5, 0.4), "Q2": (5, 0.6)}
+
+
+def test_text_vectors_of_a_catalogue(spark):
+    from tidepool.functions.prompts import batch_encoder
+    from tidepool.operators import catalog as C
+
+    encode = batch_encoder(lambda: lambda texts: [[len(t), 3.0] if t else [0.0, 0.0] for t in texts], 2)
+    df = spark.createDataFrame([(1, "abcdef", None), (2, "abcd", "x" * 9)], "i int, name string, story string")
+    got = {r["i"]: r for r in C.with_text_vectors(df, ["name", "story"], encode, clip=4).collect()}
+    assert got[1]["name_vector"] == got[2]["name_vector"] == got[2]["story_vector"] == [0.8, 0.6] and got[1]["story_vector"] == [0.0, 0.0]
+    with pytest.raises(KeyError, match="none"):
+        C.with_text_vectors(df, ["none"], encode)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from abc import ABC, abstractmethod
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -43,8 +43,25 @@ class OverlapBackend(Backend):
         return [i for _, i in sorted((-len(words & set(t.lower().split())), i) for i, t in candidates)][:k]
 
 
+def batch_encoder(load: Callable[[], Callable[[list[str]], Sequence[Sequence[float]]]], batch: int = 64) -> Callable[[Column], Column]:
+    """A text encoder as a function of columns: ``load`` gives the model, once a task, and texts go through it ``batch`` at a time.
+
+    This is the place for a real encoder: an iterator pandas UDF, so neither rows nor batches load it again.
+    """
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def encode(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = load()
+        for s in series:
+            texts = s.fillna("").astype(str).tolist()
+            vectors = [np.asarray(v, dtype=float).tolist() for a in range(0, len(texts), batch) for v in model(texts[a : a + batch])]
+            yield pd.Series(vectors, dtype=object)
+
+    return encode
+
+
 def hashed_embedding(dims: int = 64):
-    """A deterministic stand-in for a text encoder: signed hashed words, to length one (a pandas UDF)."""
+    """A deterministic stand-in for a text encoder: signed hashed words, to length one (a pandas UDF, text by text; for a model, see ``batch_encoder``)."""
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def embed(text: pd.Series) -> pd.Series:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidepool.functions import text as T
@@ -50,6 +50,17 @@ def enrich(df: DataFrame, key: str, fields: Sequence[str], lookups: dict[str, Da
     return df
 
 
+def with_text_vectors(df: DataFrame, fields: Sequence[str], encode: Callable[[Column], Column], clip: int | None = 8000, suffix: str = "_vector") -> DataFrame:
+    """``df`` with a vector of each text field, to length one; null texts count as empty, and at most ``clip`` characters are encoded.
+
+    ``encode``: a text column to a vector column, such as ``prompts.batch_encoder`` gives for a model; KeyError for a field that is not there.
+    """
+    if lost := [f for f in fields if f not in df.columns]:
+        raise KeyError(f"no text fields {lost}")
+    text = lambda f: F.coalesce(F.col(f).cast("string"), F.lit("")) if clip is None else F.substring(F.coalesce(F.col(f).cast("string"), F.lit("")), 1, clip)
+    return df.withColumns({f"{f}{suffix}": V.unit(encode(text(f))) for f in fields})
+
+
 def match_waterfall(catalog: DataFrame, external: DataFrame, titles: DataFrame, hits: int = 8, cap: int | None = None) -> DataFrame:
     """app_id, match_id, join_method: by external id first, else by an exact normalised title among the first ``hits``.
 

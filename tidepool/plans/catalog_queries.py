@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidepool.functions import text as T
+from tidepool.functions.prompts import batch_encoder
 from tidepool.operators import catalog as C
 from tidepool.operators import cohorts as H
 from tidepool.plans.tables import EV, events, table
@@ -208,3 +209,14 @@ def parse_ranked_ids(spark, d):
     answer = F.concat(F.lit("["), (F.col("vec_id") % 3).cast("string"), F.lit(", "), (3 + F.col("vec_id") % 4).cast("string"), F.lit("]"))
     candidates = F.array(*(F.lit(i).cast("long") for i in range(6)))
     return e.select("vec_id", F.to_json(T.ranked_ids(answer, candidates, 2)).alias("ids")).where("ids IS NOT NULL")
+
+
+@query("""WITH t AS (SELECT p_partkey, substr(p_name, 1, 12) AS a, CASE WHEN p_size % 3 > 0 THEN substr(p_type, 1, 12) ELSE '' END AS b FROM part), v AS (SELECT p_partkey, [length(a), 1 + length(a) % 3, 2]::DOUBLE[] AS x, [length(b), 1 + length(b) % 3, 2]::DOUBLE[] AS y FROM t)
+SELECT p_partkey, i::INT AS i, round(x[i] / sqrt(list_inner_product(x, x)), 6) AS name_x, round(y[i] / sqrt(list_inner_product(y, y)), 6) AS type_x FROM v, range(1, 4) r(i)""")
+def text_vectors(spark, d):
+    """Vectors of two text fields, one of them null for some items, by an encoder that takes batches."""
+    part = table(spark, d, "part").select("p_partkey", "p_name", F.when(F.col("p_size") % 3 > 0, F.col("p_type")).alias("p_type"))
+    encode = batch_encoder(lambda: lambda texts: [[len(t), 1 + len(t) % 3, 2] for t in texts], 100)
+    got = C.with_text_vectors(part, ["p_name", "p_type"], encode, clip=12)
+    x = got.select("p_partkey", "p_type_vector", F.posexplode("p_name_vector").alias("i", "name_x"))
+    return x.select("p_partkey", (F.col("i") + 1).alias("i"), F.round("name_x", 6).alias("name_x"), F.round(F.col("p_type_vector")[F.col("i")], 6).alias("type_x"))
