@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidepool.functions import text as T
-from tidepool.functions.prompts import batch_encoder
+from tidepool.functions.prompts import batch_encoder, explanation_prompt
 from tidepool.operators import catalog as C
 from tidepool.operators import cohorts as H
 from tidepool.plans.tables import EV, events, table
@@ -220,3 +220,15 @@ def text_vectors(spark, d):
     got = C.with_text_vectors(part, ["p_name", "p_type"], encode, clip=12)
     x = got.select("p_partkey", "p_type_vector", F.posexplode("p_name_vector").alias("i", "name_x"))
     return x.select("p_partkey", (F.col("i") + 1).alias("i"), F.round("name_x", 6).alias("name_x"), F.round(F.col("p_type_vector")[F.col("i")], 6).alias("type_x"))
+
+
+_STRIPPED = "regexp_replace(regexp_replace({0}, '^\\s+', ''), '\\s+$', '')"
+
+
+@query(f"""WITH x AS (SELECT d.doc_id, substr({_STRIPPED.format('d.text')}, 1, 200) AS q, p_name || ', ' || p_type AS c FROM documents d JOIN part ON p_partkey = d.doc_id % 100 + 1)
+SELECT doc_id, md5('A player writes:' || chr(10) || q || chr(10) || chr(10) || 'Recommended:' || chr(10) || c || chr(10) || chr(10) || 'In two sentences, and from these texts alone, say why it fits.') AS prompt FROM x""")
+def explanation_prompts(spark, d):
+    """Prompts with whole documents as queries, clipped."""
+    part = table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.concat_ws(", ", "p_name", "p_type").alias("c"))
+    docs = table(spark, d, "documents").select("doc_id", "text", (F.col("doc_id") % 100 + 1).alias("k")).join(part, "k")
+    return docs.select("doc_id", F.md5(explanation_prompt(F.col("text"), F.col("c"), 200)).alias("prompt"))

@@ -11,6 +11,7 @@ from tidepool.operators import ranking as R
 from tidepool.operators import retrieval as T
 from tidepool.plans import evaluation as E
 from tidepool.plans import shop as S
+from tidepool.plans.recommend import recommend
 from tidepool.plans.shop import _TOWER, EVALUATED, ITEM_TOWER, K_FINAL, K_POOL, QUERY_TOWER, SHOP, guards
 from tidepool.sources.tables import listing, scratch
 
@@ -221,3 +222,9 @@ def shop_pool_json(spark, d):
 def max_cosine(spark, d):
     e = spark.read.parquet(f"{d}/embeddings.parquet")
     return e.select("vec_id", F.round(V.max_cosine(F.array(F.slice("embedding", 1, 32)), F.array(F.slice("embedding", 33, 32))), 6).alias("halves"))
+
+
+@query(f"{EVALUATED} SELECT lists.user, item, rank::INT AS rank, round(final, 6) AS final FROM lists WHERE method = 'logpop_blend' AND rank <= {K_FINAL}")
+def recommendations(spark, d):
+    """What the service gives, for every customer at once: retrieval, the log-popularity blend, the best ten."""
+    return rounded(recommend(S.queries(spark, d), S.items(spark, d), "user", "item", k=K_FINAL, k_retrieval=K_POOL), "final")
