@@ -156,3 +156,19 @@ def test_learnt_towers_find_more_of_what_was_held_out(spark, tmp_path):
     assert towers.losses[-1] < towers.losses[0] / 2
     assert hits(towers.query, towers.item) > 3 * hits(a, b)
     assert T.start_towers(6, 3)[0].shape == (3, 6) and T.start_towers(3, 6)[0].shape == (6, 3)
+
+
+def test_fixed_scores_are_rounded_once(spark, monkeypatch):
+    """A score whose ninth digit rounds up to a half of the sixth."""
+    from tidepool.plans import learn_queries as Q
+
+    net = Q._FIXED
+    x = np.stack([np.linspace(0.3, 0.9, 4_000_000), np.full(4_000_000, 1.5)], axis=1)
+    z = L.scores((x - net.shift) / net.scale, net.weights, net.hidden)[0]
+    part = np.abs(z) * 1e6 % 1
+    at = np.flatnonzero((part > 0.4999996) & (part < 0.4999999))[:3]
+    assert len(at)
+    rows = [(1, int(i), 0.0, float(x[i, 0]), 1.5) for i in at]
+    monkeypatch.setattr(Q, "_pool", lambda spark, d: spark.createDataFrame(rows, "user long, item long, score double, retr_score double, log_pop double"))
+    got = {r["item"]: r["final"] for r in Q.ranker_scores(spark, "").collect()}
+    assert got == {int(i): round(float(z[i]), 6) for i in at}

@@ -68,8 +68,7 @@ def _sql_score(net) -> str:
 @query(f"{_ROWS} SELECT r.user, item, round({_sql_score(_FIXED)}, 6) AS final, row_number() OVER (PARTITION BY r.user ORDER BY round({_sql_score(_FIXED)}, 9) DESC, item)::INT AS rank FROM r")
 def ranker_scores(spark, d):
     """The scores of a network with given weights, as an expression."""
-    final = F.round(_FIXED.column(), 9)
-    return ranked(_pool(spark, d).withColumn("final", final), "user", F.col("final"), [F.col("item")]).select("user", "item", F.round("final", 6).alias("final"), "rank")
+    return ranked(_pool(spark, d).withColumn("final", _FIXED.column()), "user", F.round("final", 9), [F.col("item")]).select("user", "item", F.round("final", 6).alias("final"), "rank")
 
 
 def _learnt(spark, d, kind):
