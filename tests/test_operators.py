@@ -485,3 +485,42 @@ def test_lookups_and_histories(spark):
         H.with_lookup(df, texts.where("item = 3"), ["user", "item"])
     runs = Ev.run_history({"b": df, "a": texts}, {"a": "2024-01-01 00:00:00", "b": "2024-02-01 00:00:00"}).collect()
     assert [r["run"] for r in runs] == ["a", "a", "b"] and runs[2]["query_text"] is None
+
+
+@pytest.mark.parametrize("shape", ["spread", "tied"])
+def test_pruned_pool_is_exact_and_scores_few_pairs(spark, shape, monkeypatch):
+    from tidepool.operators import pruned
+
+    monkeypatch.setattr(pruned, "LEAF", 32)
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((3000, 3)) if shape == "spread" else rng.integers(0, 3, (3000, 3)).astype(float)  # tied: few directions, some of length zero
+    cat = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(3000, [float("nan"), 1.0, 1.0])], "i long, vector array<double>")
+    asked = [(k, k * 7 if k % 9 else None, x[k * 7].tolist() if k % 2 else rng.standard_normal(3).tolist()) for k in range(200)]
+    q = spark.createDataFrame(asked, "q long, i long, vector array<double>")
+    got = {}
+    for r in Ret.cosine_pool(q, cat, "q", "i", 5, cells=3000).collect():
+        got.setdefault(r["q"], {})[r["rank"]] = (r["i"], r["score"])
+    unit = lambda v: v / n if (n := np.linalg.norm(v)) > 1e-12 else v
+    u = np.array([unit(v) for v in x])
+    for k, own, v in asked:
+        s = np.round(u @ unit(np.array(v)), 12)
+        want = sorted((i for i in range(3000) if i != own), key=lambda i: (-s[i], i))[:5]
+        assert [got[k][n + 1][0] for n in range(5)] == want and np.allclose([got[k][n + 1][1] for n in range(5)], s[want], atol=1e-11)
+    if shape == "spread":
+        tree = pruned.grow(u, 64)
+        leaf = tree.leaves(u)
+        of = [u[leaf == n] for n in range(tree.n_leaves)]
+        boxes = pruned.Boxes(np.array([y.min(axis=0) for y in of]), np.array([y.max(axis=0) for y in of]), np.ones(len(of)), np.arange(len(of)), np.ones(len(of), int))
+        least = np.sort(u[:300] @ u.T, axis=1)[:, -5]
+        row, _ = boxes.reached(u[:300], least, -1)
+        assert len(row) < 300 * len(of) / 8
+
+
+def test_constant_sums_are_those_of_all_pairs(spark):
+    items = spark.createDataFrame([(i, float(i % 3) or 1e-6) for i in range(9)] + [(4, 2.0)], "i long, pop double")
+    asked = spark.createDataFrame([(0, 1), (1, None), (2, 4), (2, 8), (3, 99)], "q long, i long")
+    pairs = Ret.constant_scores(asked, items, "q", "i", F.col("pop")).groupBy("q").agg(F.count(F.lit(1)).alias("n"), F.sum("i").alias("items"), F.sum("score").alias("s"))
+    want = {r["q"]: (r["n"], r["items"], round(r["s"], 9)) for r in pairs.collect()}
+    sums = Ret.constant_sums(asked, items, "q", "i", "pop")
+    assert {r["q"]: (r["n"], r["items"], round(float(r["score"]), 9)) for r in sums.collect()} == want
+    assert Ret.constant_sums(asked.where("q = 0"), items.where("i = 1"), "q", "i", "pop").count() == 0
