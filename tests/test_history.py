@@ -116,3 +116,24 @@ def test_history_blends_are_those_of_one_configuration(spark):
     for n, c in enumerate(configs):
         for r in P.history_blend(q, h, "query", c["alpha"], c["min_similarity"], c["top_k"]).collect():
             assert np.allclose(many[r["query"]][n], unit(r["vector"]))
+
+
+def test_support_is_told_by_the_split_and_unknown_parts_are_passed_over(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tidepool.operators import pooling as P
+    from tidepool.plans import shop as S
+
+    d, small = str(tmp_path), "/root/testdata/sf0.001"
+    for t in ("orders", "lineitem"):
+        spark.read.parquet(f"{small}/{t}.parquet").write.parquet(f"{d}/{t}.parquet")
+    spark.read.parquet(f"{small}/part.parquet").where("p_partkey % 5 <> 0").write.parquet(f"{d}/part.parquet")  # line items name parts that are not there
+    rows = S.split(spark, d)
+    asked = rows.where("split = 'val' AND flag = 1").where(F.col("item") != F.col("own")).select("user", "item").distinct()
+    held = rows.where("split = 'train' AND flag = 1").join(asked, ["user", "item"], "left_anti").select("user", "item", "ts", "id")
+    tuples = lambda df: sorted(tuple(r) for r in df.collect())
+    assert tuples(S.positives(spark, d)) == tuples(asked) and tuples(S.support(spark, d)) == tuples(held)
+    assert "Join" not in S.support(spark, d)._jdf.queryExecution().executedPlan().toString()
+    whole = P.train_mean_query(S.queries(spark, d), S.support_vectors(spark, d), "user", ["ts", "id", "item"], 3)
+    rounded = lambda df: sorted((r["user"], *(round(x, 9) for x in r["vector"])) for r in df.collect())
+    assert rounded(S.train_mean_queries(spark, d)) == rounded(whole)

@@ -37,7 +37,7 @@ def written(df, name):
 
 def _pool(spark, d):
     """The raw method's pools with features and labels."""
-    pool = S.pools(spark, d)["raw"].join(S.items(spark, d).select("item", "pop"), "item")
+    pool = S.pools(spark, d, methods=("raw",))["raw"].join(S.items(spark, d).select("item", "pop"), "item")
     return L.labelled(L.pool_features(pool), S.positives(spark, d), "user", "item").select("user", "item", "rank", "score", "pop", *L.FEATURES, "label")
 
 
