@@ -524,3 +524,39 @@ def test_constant_sums_are_those_of_all_pairs(spark):
     sums = Ret.constant_sums(asked, items, "q", "i", "pop")
     assert {r["q"]: (r["n"], r["items"], round(float(r["score"]), 9)) for r in sums.collect()} == want
     assert Ret.constant_sums(asked.where("q = 0"), items.where("i = 1"), "q", "i", "pop").count() == 0
+
+
+@pytest.mark.parametrize("sizes", [(1, 1 << 20), (40, 16)])
+def test_pruned_queries_meet_leaves_by_blocks(spark, sizes, monkeypatch):
+    """No row per query and leaf is sent, whether all queries are one block or a leaf's queries are several."""
+    from tidepool.operators import pruned
+
+    for name, value in (("LEAF", 32), ("BLOCKS", sizes[0]), ("LEAST_QUERIES", 1), ("MOST_QUERIES", sizes[1]), ("AT_ONCE", 600)):
+        monkeypatch.setattr(pruned, name, value)
+    rng, written, kept = np.random.default_rng(5), {}, pruned._kept
+    monkeypatch.setattr(pruned, "_kept", lambda df, name: written.setdefault(name, kept(df, name)) if name == "asks" else kept(df, name))
+    x = rng.standard_normal((2000, 3)) + [2.0, 0.0, 0.0]
+    near = np.concatenate([x[:200] + rng.normal(0, 0.05, (200, 3)), x[:1] + rng.normal(0, 0.001, (100, 3))])  # a hundred in one leaf
+    cat = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "i long, vector array<double>")
+    q = spark.createDataFrame([(k, k % 200, v.tolist()) for k, v in enumerate(near)], "q long, i long, vector array<double>")
+    got = {}
+    for r in Ret.cosine_pool(q, cat, "q", "i", 5, cells=1500).collect():
+        got.setdefault(r["q"], []).append((r["rank"], r["i"]))
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    s = np.round((near / np.linalg.norm(near, axis=1)[:, None]) @ u.T, 12)
+    s[np.arange(300), np.arange(300) % 200] = -np.inf
+    assert {k: [i for _, i in sorted(v)] for k, v in got.items()} == {k: np.lexsort((np.arange(2000), -s[k]))[:5].tolist() for k in range(300)}
+    asks = written["asks"].agg(F.count_distinct("__b").alias("b"), F.count(F.lit(1)).alias("n"), F.max("__s").alias("s")).first()
+    assert asks["b"] == 1 and asks["n"] <= 64 and asks["s"] >= 1 if sizes[0] == 1 else asks["b"] > 20
+
+
+def test_dealt_blocks_are_bounded_and_in_order():
+    from tidepool.operators.pruned import Best, dealt
+
+    first, parts = dealt(np.array([3, 4, 9, 25, 0, 2, 8]), 10)
+    assert first.tolist() == [0, 0, 1, 2, 5, 5, 5] and parts.tolist() == [1, 1, 1, 3, 1, 1, 1]
+    best = Best(np.full(2, -np.inf), 2)
+    best.add(np.array([1, 0, 1]), np.array([5, 6, 3]), np.array([0.5, 0.1, 0.5]))
+    best.add(np.array([1]), np.array([1]), np.array([0.4]))
+    r, i, s = best.cut()
+    assert r.tolist() == [0, 1, 1] and i.tolist() == [6, 3, 5] and best.least.tolist() == [-np.inf, 0.5]
