@@ -560,3 +560,24 @@ def test_dealt_blocks_are_bounded_and_in_order():
     best.add(np.array([1]), np.array([1]), np.array([0.4]))
     r, i, s = best.cut()
     assert r.tolist() == [0, 1, 1] and i.tolist() == [6, 3, 5] and best.least.tolist() == [-np.inf, 0.5]
+
+
+def test_retrieval_tables_need_no_lists(spark, tmp_path):
+    """Retrieval is evaluated without ranking anything, a pool's own rank is kept, and the whole evaluation goes on from there."""
+    from tidepool.plans import evaluation as E
+
+    ex = spark.createDataFrame([(0, 1, 2, 3), (1, 2, 1, 0), (2, 3, 0, 1)], "u long, own long, n_eval_targets int, n_support int")
+    pos = spark.createDataFrame([(0, 4), (0, 5), (1, 6)], "u long, i long")
+    cat = spark.createDataFrame([(i, [1.0, float(i)], float(i)) for i in range(8)], "i long, vector array<double>, pop double")
+    made = lambda by: spark.createDataFrame([(u, i, by(i)) for u in range(3) for i in range(8) if i != u + 1], "u long, i long, score double")
+    pools = {"raw": made(float), "popularity_train": made(lambda i: 1.0), "multi_mean_train": made(lambda i: -float(i)).withColumn("rank", F.lit(1) + F.col("i"))}
+    assert {(r["rank"], r["i"]) for r in E.long_pools(pools, "u", "i").where("method = 'multi_mean_train'").collect()} == {(i + 1, i) for i in range(8)}
+    given = (ex, pos, cat, pools)
+    got = E.evaluate_retrieval(*given, "u", "i", k_final=2, k_retrieval=4, folder=f"{tmp_path}/a")
+    assert not (tmp_path / "a" / "lists").exists() and (tmp_path / "a" / "pools").exists()
+    whole = E.evaluate(*given, [], "u", "i", k_final=2, k_retrieval=4, k_personalization=2, folder=f"{tmp_path}/b")
+    again = E.evaluate(*given, [], "u", "i", k_final=2, k_retrieval=4, k_personalization=2, folder=f"{tmp_path}/a", retrieved=got)
+    rows = lambda t: sorted(map(str, t.collect()))
+    for name in ("retrieval", "retrieval_by_slice", "retrieval_pop_delta"):
+        assert rows(got[name]) == rows(whole[name]) == rows(again[name]) and rows(got[name])
+    assert rows(whole["ranking_overall"]) == rows(again["ranking_overall"])
