@@ -18,3 +18,19 @@ def nodes(df, name, plan="sparkPlan"):
 def test_a_support_aware_split_is_one_sort(spark):
     df = spark.createDataFrame([(i, i % 3, float(i)) for i in range(9)], "id long, user long, ts double")
     assert nodes(S.split_support_aware(df, "user", "ts", "id"), "Sort", "executedPlan") == 1
+
+
+def test_chunks_of_a_single_file_are_made_by_many_tasks(spark, tmp_path):
+    def task(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([TaskContext.get().partitionId()] * b.num_rows)], names=["id", "task"])
+
+    chunks = [spark.range(100 * n, 100 * n + 100, 1, 4).mapInArrow(task, "id long, task long") for n in range(2)]
+    assert IO.write_single(chunks, f"{tmp_path}/one") == 200
+    back = spark.read.parquet(f"{tmp_path}/one")
+    assert len(back.inputFiles()) == 1 and back.select("task").distinct().count() == 4
+    ids = [r["id"] for r in back.collect()]
+    assert sorted(ids) == list(range(200)) and max(ids[:100]) < 100
