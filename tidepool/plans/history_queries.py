@@ -90,7 +90,8 @@ def _window(days: int):
     def run(spark, d):
         it = S.items(spark, d).select("item", "vector")
         asked = S.split(spark, d).where("split = 'val'").select("user", "item", "ts").distinct().join(it, "item").withColumn("query", F.concat_ws(":", "user", "item", "ts"))
-        got = P.decayed_windows(asked, S.support_vectors(spark, d), "user", "ts", "query", "vector", days * DAY, float(TAU_DAYS * DAY))
+        past = P.within_reach(S.support(spark, d).select("user", "ts", "item"), S.split(spark, d).where("split = 'val'"), "user", "ts", days * DAY)
+        got = P.decayed_windows(asked, past.join(it, "item"), "user", "ts", "query", "vector", days * DAY, float(TAU_DAYS * DAY))
         return _components(got.withColumn("weight", F.round("weight", 6)), "query", "n_history", "weight")
 
     return run
