@@ -34,3 +34,14 @@ def test_chunks_of_a_single_file_are_made_by_many_tasks(spark, tmp_path):
     assert len(back.inputFiles()) == 1 and back.select("task").distinct().count() == 4
     ids = [r["id"] for r in back.collect()]
     assert sorted(ids) == list(range(200)) and max(ids[:100]) < 100
+
+
+@pytest.mark.parametrize("name, most", [("cohort_files", 0), ("habit_query", 4)])
+def test_few_joins(spark, name, most):
+    assert nodes(entry.queries()[name](spark, DIR), "Join", "optimizedPlan") <= most
+
+
+def test_history_out_of_reach_is_left_out(spark):
+    h = spark.createDataFrame([(0, t) for t in (5, 15, 25, 35, 45)] + [(1, 35), (None, 35), (0, None)], "user long, ts long")
+    q = spark.createDataFrame([(0, 38), (0, 31), (0, None)], "user long, ts long")
+    assert sorted(tuple(r) for r in P.within_reach(h, q, "user", "ts", 10).collect()) == [(0, 25), (0, 35)]
