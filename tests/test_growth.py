@@ -1,12 +1,12 @@
 """What keeps figures from growing faster than the input: one sort for a split, no repeated scans and joins, rows left out early."""
 
 import pytest
-from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tidepool.operators import pooling as P
 from tidepool.operators import splits as S
 from tidepool.sources import tables as IO
+from tidepool.sources.accepted import AcceptedKeys
 
 DIR = "/root/testdata/sf0.001"
 
@@ -45,3 +45,11 @@ def test_history_out_of_reach_is_left_out(spark):
     h = spark.createDataFrame([(0, t) for t in (5, 15, 25, 35, 45)] + [(1, 35), (None, 35), (0, None)], "user long, ts long")
     q = spark.createDataFrame([(0, 38), (0, 31), (0, None)], "user long, ts long")
     assert sorted(tuple(r) for r in P.within_reach(h, q, "user", "ts", 10).collect()) == [(0, 25), (0, 35)]
+
+
+def test_the_first_chunk_is_not_joined_to_filters(spark, tmp_path):
+    keys = AcceptedKeys(spark, f"file://{tmp_path}/keys", 2)
+    rows = lambda: keys._maybe(keys._hashed(spark.createDataFrame([("a",), ("b",)], "text string"), "text"))
+    assert nodes(rows(), "Join", "optimizedPlan") == 0
+    keys.admit(spark.createDataFrame([("a",)], "text string"), "text", ["text"])
+    assert {(r["text"], r["__maybe"]) for r in rows().collect()} >= {("a", True)}

@@ -107,6 +107,8 @@ class AcceptedKeys:
     def _maybe(self, rows: DataFrame) -> DataFrame:
         """``rows`` with whether the filter of their bucket lets them through."""
         bits = self.bits
+        if not self._tables("filters"):  # the first chunk: nothing to ask, so its rows stay where they are
+            return rows.withColumn("__maybe", F.lit(False))
 
         # a filter goes once to the task of its bucket: keys come as hashes, their rows stay where they are
         rows = rows.withColumn("__id", F.xxhash64("__h1", "__h2"))
