@@ -42,6 +42,16 @@ def test_padded_lists(learnt):
         assert r["y"] == [float((r["query"], x[1]) in positives) for x in mine] + [0.0] * (20 - len(mine))
 
 
+def test_padded_lists_are_those_of_the_table_function_without_python(spark):
+    rows = [(1, 7, 2, 1.0, None), (1, 5, 2, None, 0.5), (1, 9, 1, 0.0, 2.0), (2, 3, 1, 1.0, 1.5), (None, 4, 1, 0.0, 3.0)]
+    pool = spark.createDataFrame(rows, "q long, i long, rank int, label double, f double")
+    for length in (2, 4):
+        got = L.padded_lists(pool, "q", "i", "label", ["f", "rank"], length)
+        want = L.PaddedLists(pool.asTable(), F.lit("q"), F.lit("i"), F.lit("label"), F.lit("f,rank"), F.lit(length))
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+        assert "PythonUDTF" not in got._jdf.queryExecution().toString()
+
+
 def test_table_function_names_what_is_wrong(spark):
     pool = spark.createDataFrame([(1, 2, 1, 0.5)], "q long, i long, rank int, label double")
     with pytest.raises(Exception, match="lacks"):

@@ -3,7 +3,7 @@
 ``pointwise``: class-weighted cross-entropy of each row's label; ``listwise``: cross-entropy
 between the softmax of a list and the uniform distribution over its positives (lists without
 one are left out).  The network (features -> hidden, ReLU -> 1) has some hundred weights; it
-is fitted by ``descent`` over lists that ``PaddedLists`` makes, and scores rows as a column
+is fitted by ``descent`` over lists that ``padded_lists`` makes, and scores rows as a column
 expression, so scoring needs no Python.  There is no dropout: ``ridge`` holds weights down,
 and a tuning set stops the fit.
 """
@@ -15,10 +15,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepool.functions.lists import PaddedLists
+from tidepool.functions.lists import PaddedLists  # noqa: F401  the same as a table function, for SQL
 from tidepool.operators import classification as K
 from tidepool.operators import metrics as M
 from tidepool.operators.descent import Fit, minimize, objective
@@ -71,9 +71,14 @@ def labelled(pool: DataFrame, positives: DataFrame, query: str, item: str) -> Da
 
 
 def padded_lists(pool: DataFrame, query: str, item: str, label: str, features: Sequence[str], length: int = LIST_LENGTH) -> DataFrame:
-    """A row per query: query, list_len, items, x, y (see ``PaddedLists``)."""
-    rows = pool.select(query, item, "rank", label, *features)
-    return PaddedLists(rows.asTable(), F.lit(query), F.lit(item), F.lit(label), F.lit(",".join(features)), F.lit(length))
+    """A row per query: query, list_len, items, x, y: the rows of the table function ``PaddedLists``, made without Python, as pools are large."""
+    number = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+    rows = pool.withColumn("__place", F.row_number().over(Window.partitionBy(query).orderBy("rank", item))).where(F.col("__place") <= length)
+    one = F.struct("__place", F.col(item).cast("long").alias("i"), F.array(*(number(f) for f in features)).alias("x"), number(label).alias("y"))
+    lists = rows.groupBy(query).agg(F.array_sort(F.collect_list(one)).alias("r")).withColumn("list_len", F.size("r"))  # ``length`` rows at most
+    of, empty = lambda c: F.transform("r", lambda z: z[c]), length - F.col("list_len")
+    x = F.concat(F.flatten(of("x")), F.array_repeat(F.lit(0.0), (empty * len(features)).cast("int")))
+    return lists.select(query, "list_len", of("i").alias("items"), x.alias("x"), F.concat(of("y"), F.array_repeat(F.lit(0.0), empty.cast("int"))).alias("y"))
 
 
 # -- losses of a batch of lists ------------------------------------------------------
