@@ -52,6 +52,13 @@ def test_padded_lists_are_those_of_the_table_function_without_python(spark):
         assert "PythonUDTF" not in got._jdf.queryExecution().toString()
 
 
+def test_picks_make_the_pool_once(spark):
+    from tidepool.plans.eval_queries import rerank_picks
+
+    plan = rerank_picks(spark, "/root/testdata/sf0.001")._jdf.queryExecution().analyzed().toString()
+    assert plan.count("MapInArrow") == 1
+
+
 def test_table_function_names_what_is_wrong(spark):
     pool = spark.createDataFrame([(1, 2, 1, 0.5)], "q long, i long, rank int, label double")
     with pytest.raises(Exception, match="lacks"):
