@@ -189,3 +189,14 @@ def test_fixed_scores_are_rounded_once(spark, monkeypatch):
     monkeypatch.setattr(Q, "_pool", lambda spark, d: spark.createDataFrame(rows, "user long, item long, score double, retr_score double, log_pop double"))
     got = {r["item"]: r["final"] for r in Q.ranker_scores(spark, "").collect()}
     assert got == {int(i): round(float(z[i]), 6) for i in at}
+
+
+@pytest.mark.parametrize("temperature", [0.02, 0.07, 1.0])
+def test_shared_exponentials_lose_nothing(temperature):
+    rnd = np.random.default_rng(5)
+    q, v, g = rnd.normal(size=(64, 4)), rnd.normal(size=(64, 4)), rnd.integers(0, 40, 64)
+    v[0] = -q[0]
+    a, b = T.start_towers(4, 4)
+    got = T.block_loss(q, v, g, a, b, temperature)
+    z = T._unit(q @ a.T)[0] @ T._unit(v @ b.T)[0].T / temperature
+    assert np.isclose(got[0], T._far_loss(z, g[:, None] == g[None, :])[0], rtol=1e-12)

@@ -21,6 +21,8 @@ from tidepool.functions import vectors as V
 from tidepool.operators.descent import minimize, objective
 
 BLOCK, TEMPERATURE, SEED = 256, 0.07, 2026
+#: The least temperature at which exp(-2 / temperature), the least exponential of a block, is far from vanishing.
+LEAST_SHARED = 0.01
 
 
 @dataclass(frozen=True)
@@ -64,12 +66,8 @@ def _softmax(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return e / total, (np.log(total) + top)[:, 0]
 
 
-def block_loss(q: np.ndarray, v: np.ndarray, groups: np.ndarray, a: np.ndarray, b: np.ndarray, temperature: float) -> tuple[float, np.ndarray, np.ndarray]:
-    """The sum over a block's pairs of both sides' losses, halved, and its gradients to both towers."""
-    qp, vp = q @ a.T, v @ b.T
-    (qu, qn), (vu, vn) = _unit(qp), _unit(vp)
-    z = qu @ vu.T / temperature
-    same = groups[:, None] == groups[None, :]
+def _far_loss(z: np.ndarray, same: np.ndarray) -> tuple[float, np.ndarray]:
+    """The loss and its gradient to the scores where a common shift would not do: each row and column has its own."""
     loss, dz = 0.0, np.zeros_like(z)
     for turned in (False, True):
         s = z.T if turned else z
@@ -77,6 +75,25 @@ def block_loss(q: np.ndarray, v: np.ndarray, groups: np.ndarray, a: np.ndarray,
         t, log_pos = _softmax(np.where(same, s, -np.inf))
         loss += 0.5 * float((log_all - log_pos).sum())
         dz += 0.5 * ((p - t).T if turned else p - t)
+    return loss, dz
+
+
+def block_loss(q: np.ndarray, v: np.ndarray, groups: np.ndarray, a: np.ndarray, b: np.ndarray, temperature: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """The sum over a block's pairs of both sides' losses, halved, and its gradients to both towers."""
+    qp, vp = q @ a.T, v @ b.T
+    (qu, qn), (vu, vn) = _unit(qp), _unit(vp)
+    z = qu @ vu.T / temperature
+    same = groups[:, None] == groups[None, :]
+    if temperature >= LEAST_SHARED:  # no score is beyond 1 / temperature, so one table of exponentials serves both sides
+        e = np.exp(z - 1 / temperature)
+        held = np.where(same, e, 0.0)
+        loss, dz = 0.0, np.zeros_like(z)
+        for axis in (0, 1):
+            whole, mine = e.sum(axis=axis, keepdims=True), held.sum(axis=axis, keepdims=True)
+            loss += 0.5 * float((np.log(whole) - np.log(mine)).sum())
+            dz += e * (0.5 / whole) - held * (0.5 / mine)
+    else:
+        loss, dz = _far_loss(z, same)
     dz /= temperature
     dq, dv = dz @ vu, dz.T @ qu
     dq = (dq - qu * (dq * qu).sum(axis=1, keepdims=True)) / qn
