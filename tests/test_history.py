@@ -45,6 +45,33 @@ def test_interests_of_many_keys_at_once(spark, cells):
         assert np.allclose([got[u][j] for j in range(len(want))], want) and len(got[u]) == len(want)
 
 
+def test_interests_of_keys_with_many_vectors_lie_in_no_bucket(spark):
+    rnd = np.random.default_rng(4)
+    users = {u: rnd.normal(size=(n, 3)).round(3) for u, n in enumerate([4, 30, 200, 7])}
+    df = spark.createDataFrame([(u, v.tolist()) for u, x in users.items() for v in x], "u long, v array<double>")
+    got = {}
+    for r in P.interest_centroids(df, "u", "v", 3, 2, cells=0, most=25).collect():
+        got.setdefault(r["u"], {})[r["cluster"]] = r["vector"]
+    assert all(np.allclose([got[u][j] for j in range(3)], lloyd(x, 3, 2)) for u, x in users.items()) and len(got) == 4
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("interests_")]
+
+
+def test_rounds_of_interests_shuffle_nothing(spark, tmp_path):
+    plans = []
+
+    def kept(x):
+        plans.append(x._jdf.queryExecution().executedPlan().toString())
+        name = f"kept_{len(plans)}"
+        x.repartition(4, "__k").write.bucketBy(4, "__k").option("path", str(tmp_path / name)).saveAsTable(name)
+        return spark.table(name)
+
+    rows = kept(spark.createDataFrame([((u % 7,), [float(u), float(u * u % 5)]) for u in range(50)], "__k struct<k: long>, __v array<double>"))
+    P._centroids(rows, lambda c: c.hint("shuffle_hash"), kept, 3, 2, "u")
+    for i in range(len(plans)):
+        spark.sql(f"DROP TABLE kept_{i + 1}")
+    assert len(plans) == 5 and not any("Exchange hashpartitioning" in p for p in plans[1:])
+
+
 def test_interest_pool_is_the_best_of_all_interests(spark):
     rnd = np.random.default_rng(2)
     cat, asked = rnd.normal(size=(50, 4)), rnd.normal(size=(8, 3, 4))
