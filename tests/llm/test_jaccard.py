@@ -178,3 +178,18 @@ def test_one_of_each_with_clashing_columns(spark):
     rows = [(1, "a b c d e f", 7), (1, "other words are here now", 8), (2, "a b c d e f", 9)]
     df = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "doc_id long, text string, place_ int, place__ int, place___ int, __place int")
     assert [r["doc_id"] for r in J.one_of_each(df).collect()] == [1]
+
+
+def test_joins_of_large_tables_are_shuffled_at_every_size(spark, monkeypatch):
+    from tidepool.llm import jaccard
+
+    plans, real = {}, jaccard.staged
+
+    def spy(df, name, *more):
+        plans.setdefault(name, []).append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df, name, *more)
+
+    monkeypatch.setattr(jaccard, "staged", spy)
+    texts = [" ".join(f"w{(i // 3) * 50 + j}" for j in range(40 + i % 3)) for i in range(12)]
+    jaccard.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert not any("Broadcast" in p for p in (plans["met"][0], plans["known"][0], plans["pairs"][0]))

@@ -382,7 +382,7 @@ def _groups(docs: DataFrame, met: DataFrame, members: DataFrame, repeated: DataF
     # pass 1: each row with a few leaders of its shingle
     draw = Window.partitionBy("gram").orderBy("pos", F.xxhash64("doc"), "doc", "nth")
     leaders = _everywhere(met.withColumn("place", F.row_number().over(draw)).where(F.col("place") <= (leaders_of or LEADERS)).drop("place"))
-    first = met.withColumn("salt", _salt()).alias("a").join(leaders.alias("b"), ["gram", "salt"]).where(F.col("a.doc") != F.col("b.doc")).where(candidate("a", "b")).select(*_ordered("a", "b")).distinct()
+    first = met.withColumn("salt", _salt()).alias("a").join(leaders.hint("merge").alias("b"), ["gram", "salt"]).where(F.col("a.doc") != F.col("b.doc")).where(candidate("a", "b")).select(*_ordered("a", "b")).distinct()
     tried = staged(first, "pairs", held)
     links = staged(_linked(tried, _sets_table(docs, _ends(tried), repeats, held), percent), "links", held)
     # the classes of one document are one node
@@ -391,10 +391,10 @@ def _groups(docs: DataFrame, met: DataFrame, members: DataFrame, repeated: DataF
     merged = staged(components(links.select(F.col("x").alias("u"), F.col("y").alias("v")), held), "merged", held)
 
     # pass 2: rows of one shingle in different components, all of them; hot shingles are dealt out here too
-    known = met.join(merged.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    known = met.join(merged.withColumnRenamed("node", "doc").hint("merge"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     known = staged(known, "known", held)
     mixed = known.groupBy("gram").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("gram")
-    rest = known.join(mixed, "gram", "left_semi")
+    rest = known.join(mixed.hint("merge"), "gram", "left_semi")
     alike = F.lit(True)
     if maps is not None:
         rest, alike = rest.join(maps.hint("merge"), ["doc", "nth"]), _alike("a", "b", percent)
@@ -427,7 +427,7 @@ def similar_groups(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     classes, members, repeated = _classes(found, held, *(F.first(c).alias(c) for c in PARITY))
 
     reps = classes.select(F.col("rep").alias("doc"), "s1", "s2", "nth")
-    packed = _prefixes(docs.where("doc IS NOT NULL"), level).join(reps, ["doc", "s1", "s2"])
+    packed = _prefixes(docs.where("doc IS NOT NULL"), level).join(reps.hint("merge"), ["doc", "s1", "s2"])
     packed = packed if repeated.isEmpty() else packed.dropDuplicates(["doc", "s1", "s2"])
     grams = packed.select("doc", "nth", "n", "prefix").mapInArrow(per_batch(_unpacked(level, salts_of(level.value))), "gram long, doc long, nth int, n int, pos int, salts int")
     met = staged(_met(grams).withColumn("prev", F.lag("gram").over(Window.partitionBy("doc", "nth").orderBy("pos"))), "met", held)
