@@ -48,6 +48,19 @@ def test_index_finds_what_the_exact_search_finds(spark, tmp_path):
     assert spark.read.parquet(f"{path}/vectors").where("cell = 0").count() + spark.read.parquet(f"{path}/vectors").where("cell > 0").count() == 1501
 
 
+def test_the_exact_search_copies_no_query_for_each_cell(spark, tmp_path, monkeypatch):
+    rnd = np.random.default_rng(2)
+    x = rnd.normal(size=(900, 8))
+    x[300:600] = x[:300]  # ties
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "item long, vector array<double>")
+    cells.build_index(df, f"{tmp_path}/index", "item", "vector", 12)
+    q = df.select(F.col("item").alias("query"), "item", "vector")
+    want = best(cosine_pool(q, df, "query", "item", 7))
+    monkeypatch.setattr(cells, "probed", lambda *a: pytest.fail("a row for each query and cell"))
+    for size in (1000, 4_000_000):  # eight blocks, and one
+        assert best(cells.search_index(spark, f"{tmp_path}/index", q, "query", "item", "vector", 7, probes=12, cells=size)) == want
+
+
 class Games(BaseHTTPRequestHandler):
     """A stub of the service: its token is refused after a few requests."""
 

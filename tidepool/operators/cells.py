@@ -4,8 +4,9 @@ The centroids are those of k-means on a bounded sample (``SAMPLE`` rows, those w
 lowest); every row is indexed, in the cell of the centroid nearest by cosine, and the table is
 written partitioned by cell, large cells as several files.  A search reads the partitions of the
 cells that some query probes and no others, and scores exactly; with as many probes as cells, it
-is the exact search.  Within a cell, blocks of items meet slices of queries, so a cell that holds
-a large part of all rows is no single task.
+is the exact search, which goes by blocks of any cells' items: a query is sent once a block, not once a
+cell.  Within a cell, blocks of items meet slices of queries, so a cell that holds a large part of all
+rows is no single task.
 """
 
 from __future__ import annotations
@@ -22,10 +23,13 @@ from pyspark.sql import functions as F
 from tidepool.functions import vectors as V
 from tidepool.functions.columns import named
 from tidepool.functions.hashing import stable_uniform
-from tidepool.operators.retrieval import CATALOG_CELLS, SLICE_QUERIES, _matrix, best_of_block
+from tidepool.operators.pruned import AT_ONCE, SLACK, Best, _own
+from tidepool.operators.retrieval import CATALOG_CELLS, SLICE_QUERIES, _matrix, best_of_block, best_of_rows
 from tidepool.operators.windows import ranked
 
 SAMPLE, MOST_CELLS, SEED = 50_000, 4096, 2026
+#: The exact search: tasks that it is dealt into at least, and the least and most queries of one.
+TASKS, LEAST_SLICE, MOST_SLICE = 24, 256, 16_384
 
 
 def nearest_cells(vectors: np.ndarray, centres: np.ndarray, probes: int) -> np.ndarray:
@@ -75,9 +79,8 @@ def probed(spark: SparkSession, path: str, queries: DataFrame, query: str, item:
     kind = queries.schema[query].dataType.simpleString()
 
     def near(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
+        step = max(1, AT_ONCE // max(1, len(filled), probes * shared.value.shape[1]))  # a query is copied for each cell
+        for b in (b.slice(a, step) for b in batches for a in range(0, b.num_rows, step)):
             cell = nearest_cells(_matrix(b.column("__v")), shared.value, probes)
             at = np.repeat(np.arange(b.num_rows), cell.shape[1])
             keep = filled[cell.ravel()]
@@ -88,6 +91,10 @@ def probed(spark: SparkSession, path: str, queries: DataFrame, query: str, item:
 
 def search_index(spark: SparkSession, path: str, queries: DataFrame, query: str, item: str, vector: str, k: int = 100, probes: int = 8, own: str | None = None, mask: bool = True, cells: int = CATALOG_CELLS) -> DataFrame:
     """The k best items of each query (query, vector, its own item) by cosine in the ``probes`` nearest cells: query, item, score, rank."""
+    known = spark.read.parquet(f"{path}/cells").agg(F.count(F.lit(1)).alias("cells"), F.sum("n").alias("n"), F.max(F.size("centre")).alias("dims")).first()
+    if probes >= known["cells"]:
+        got = _exact(spark, path, queries, query, item, vector, k, own, mask, max(1, -(-known["n"] * known["dims"] // cells)))
+        return ranked(got, query, F.col("score"), [F.col(item)]).where(F.col("rank") <= k)
     asked = probed(spark, path, queries, query, item, probes, own)
     wanted = {r["cell"]: r["count"] for r in asked.groupBy("cell").count().collect()}  # a row per cell
     sizes = {r["cell"]: (r["n"], len(r["centre"])) for r in spark.read.parquet(f"{path}/cells").where(F.col("cell").isin(list(wanted))).collect()}
@@ -112,3 +119,41 @@ def search_index(spark: SparkSession, path: str, queries: DataFrame, query: str,
 
     got = left.groupBy("cell", "__s", "__b").cogroup(right.groupBy("cell", "__s", "__b")).applyInArrow(cell, f"{query} {kind}, {item} long, score double")
     return ranked(got, query, F.col("score"), [F.col(item)]).where(F.col("rank") <= k)
+
+
+def _exact(spark: SparkSession, path: str, queries: DataFrame, query: str, item: str, vector: str, k: int, own: str | None, mask: bool, blocks: int) -> DataFrame:
+    """query, item, score: the k best items of each query in each of some blocks of the index; every slice of queries meets every block."""
+    left = queries.where(F.col("vector").isNotNull()).select(F.col(query).alias("__q"), F.col(own or item).cast("long").alias("__own"), V.unit(F.col("vector")).alias("__v"))
+    right = spark.read.parquet(f"{path}/vectors").where(F.col(vector).isNotNull()).select(F.col(item).cast("long").alias("__i"), V.unit(F.col(vector)).alias("__m"))
+    n = queries.count()
+    slices = max(1, -(-n // MOST_SLICE), min(-(-TASKS // blocks), n // LEAST_SLICE))
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = left.withColumn("__s", F.pmod(F.xxhash64("__q"), F.lit(slices)).cast("int")).withColumn("__b", spread(blocks))
+    right = right.withColumn("__b", F.pmod(F.xxhash64("__i"), F.lit(blocks)).cast("int")).withColumn("__s", spread(slices))
+    kind = queries.schema[query].dataType.simpleString()
+
+    def met(asked: pa.Table, held: pa.Table) -> pa.Table:
+        schema = pa.schema([(query, asked.schema.field("__q").type), (item, pa.int64()), ("score", pa.float64())])
+        out = [schema.empty_table()]
+        if asked.num_rows and held.num_rows:
+            held = held.sort_by("__i").combine_chunks()
+            items, matrix = held["__i"].to_numpy(), _matrix(held["__m"])
+            few = max(k, min(len(items), 4096))  # the first items give each query a bound, which few of the others reach
+            step = max(1, AT_ONCE // few)
+            for b in asked.combine_chunks().to_batches(max_chunksize=step):
+                v, (mine, masked) = _matrix(b["__v"]), _own(b, mask)
+                best = Best(np.full(len(v), -np.inf), k)
+                for a in range(0, len(items), few):
+                    ids = items[a : a + few]
+                    s = v @ matrix[a : a + few].T
+                    s[(ids[None, :] == mine[:, None]) & masked[:, None]] = -np.inf
+                    r, c = best_of_rows(np.round(s, 12), k) if a == 0 else np.nonzero(s >= best.least[:, None] - SLACK)
+                    score = np.round(s[r, c], 12)
+                    keep = np.isfinite(score)
+                    best.add(r[keep], ids[c[keep]], score[keep])
+                    best.cut()
+                r, found, score = best.cut()
+                out.append(pa.Table.from_arrays([b["__q"].take(pa.array(r)), pa.array(found), pa.array(score)], schema=schema))
+        return pa.concat_tables(out)
+
+    return left.groupBy("__s", "__b").cogroup(right.groupBy("__s", "__b")).applyInArrow(met, f"{query} {kind}, {item} long, score double")
