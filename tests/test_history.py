@@ -6,8 +6,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidepool.functions import vectors as V
 from tidepool.operators import pooling as P
 from tidepool.operators import ranking as R
+from tidepool.operators.history_grid import history_grid_metrics
 from tidepool.operators.retrieval import interest_pool
 
 
@@ -145,6 +147,26 @@ def test_history_blends_are_those_of_one_configuration(spark):
             assert np.allclose(many[r["query"]][n], unit(r["vector"]))
 
 
+def test_a_history_grid_has_no_row_for_a_configuration_and_is_the_grid_of_blends(spark):
+    rnd = np.random.default_rng(6)
+    q = spark.createDataFrame([(i, rnd.normal(size=3).tolist()) for i in range(12)], "query long, vector array<double>")
+    v = spark.createDataFrame([(i, np.round(rnd.normal(size=3), 1).tolist()) for i in range(40)] + [(40 + i, [1.0, 0.0, 0.5]) for i in range(4)], "item long, item_vector array<double>")
+    h = spark.createDataFrame([(i % 11, k) for k, i in enumerate(range(40))], "query long, item long").join(v, "item")
+    pool = spark.createDataFrame([(i, (7 * i + 3 * j) % 44) for i in range(12) for j in range(9 + i)], "query long, item long")
+    pos = spark.createDataFrame([(i, (7 * i + 3 * j) % 44) for i in range(0, 12, 2) for j in range(1, 9, 3)] + [(1, 99)], "query long, item long")
+    configs = [{"alpha": a, "min_similarity": s, "top_k": t} for a in (0.0, 0.1, 0.4) for s in (-1.0, 0.3) for t in (1, 4)]
+    got = history_grid_metrics(q, h, pool, v, pos, "query", "item", configs, 4)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan  # no row for a configuration's pool
+    blends = P.history_blends(q, h, "query", configs).select("query", "blends")
+    both = pool.join(v, "item").join(blends, "query")
+    scores = F.transform("blends", lambda b: F.round(V.dot(b, F.col("item_vector")), 9))
+    want = {r["config"]: r for r in R.grid_metrics(both, pos, "query", "item", configs, scores, 4).collect()}
+    rows = got.collect()
+    assert len(rows) == len(configs) == len(want) and all(r["n"] == 7 for r in rows)
+    assert all(np.isclose(r[m], want[r["config"]][m]) for r in rows for m in ("alpha", "hit", "precision", "recall", "ap", "ndcg", "mrr"))
+
+
 def test_support_is_told_by_the_split_and_unknown_parts_are_passed_over(spark, tmp_path):
     from pyspark.sql import functions as F
 

@@ -10,6 +10,7 @@ from tidepool.functions import vectors as V
 from tidepool.operators import pooling as P
 from tidepool.operators import ranking as R
 from tidepool.operators import retrieval as T
+from tidepool.operators.history_grid import history_grid_metrics
 from tidepool.plans import shop as S
 from tidepool.plans.shop import _MM, _UNIT, K_FINAL, K_POOL, SHOP
 from tidepool.plans.tables import table
@@ -133,12 +134,11 @@ e AS (SELECT k.config, k.user, sum(CASE WHEN pos.item IS NULL THEN 0 ELSE 1 / lo
 SELECT g.alpha, g.min_similarity, g.top_k, round(avg((held > 0)::INT), 6) AS hit, round(avg(dcg / list_sum(list_transform(range(1, least(n_eval_targets, {K_FINAL}) + 1), lambda r: 1 / log2(r + 1)))), 6) AS ndcg, count(*) AS n
 FROM e JOIN g USING (config) JOIN ex ON ex.user = e.user WHERE n_eval_targets > 0 GROUP BY ALL""")
 def history_blend_grid(spark, d):
-    """A hundred blends of the query with its history, scored on the pools in one pass."""
+    """A hundred blends of the query with its history, scored on the pools of the customers that have positives, all in one pass."""
     it = S.items(spark, d).select("item", F.col("vector").alias("item_vector"))
-    q = S.queries(spark, d).select("user", "vector")
+    positives = S.positives(spark, d)
+    q = S.queries(spark, d).join(positives.select("user"), "user", "left_semi")
     held = S.support(spark, d).select("user", "item").distinct().join(it, "item")
-    blends = P.history_blends(q, held, "user", GRID)
-    pool = T.cosine_pool(S.queries(spark, d), S.items(spark, d), "user", "item", K_POOL).drop("score", "rank").join(it, "item").join(blends.select("user", "blends"), "user")
-    scores = F.transform("blends", lambda b: F.round(V.dot(b, F.col("item_vector")), 9))
-    got = R.grid_metrics(pool, S.positives(spark, d), "user", "item", GRID, scores, K_FINAL)
+    pool = T.cosine_pool(q, S.items(spark, d), "user", "item", K_POOL)
+    got = history_grid_metrics(q.select("user", "vector"), held, pool, it, positives, "user", "item", GRID, K_FINAL)
     return got.select("alpha", "min_similarity", "top_k", F.round("hit", 6).alias("hit"), F.round("ndcg", 6).alias("ndcg"), "n")
