@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from tidepool.operators import metrics as M
 from tidepool.operators import pooling as P
 from tidepool.operators import splits as S
 from tidepool.sources import tables as IO
@@ -53,3 +54,19 @@ def test_the_first_chunk_is_not_joined_to_filters(spark, tmp_path):
     assert nodes(rows(), "Join", "optimizedPlan") == 0
     keys.admit(spark.createDataFrame([("a",)], "text string"), "text", ["text"])
     assert {(r["text"], r["__maybe"]) for r in rows().collect()} >= {("a", True)}
+
+
+def test_lists_are_sorted_by_no_window_and_not_joined_with_themselves(spark):
+    top = spark.createDataFrame([(m, q, (3 * q + j) % 7, j) for m in ("popularity", "raw") for q in range(4) for j in range(1, 4)], "method string, q long, i long, rank int")
+    pos = spark.createDataFrame([(0, 2), (0, 3), (2, 99)], "q long, i long")
+    items = spark.createDataFrame([(i, [1.0, float(i)], float(i)) for i in range(7)], "i long, vector array<double>, pop double")
+    per = M.ranking_metrics(top, pos, "q", "i", 3, ["method"])
+    assert nodes(per, "Window") == 0 and nodes(per, "Join", "optimizedPlan") == 1
+    got = {(r["method"], r["q"]): r for r in per.collect()}
+    assert sorted(got) == [("popularity", 0), ("popularity", 2), ("raw", 0), ("raw", 2)]
+    assert got["raw", 0]["ap"] == pytest.approx((1 / 2 + 2 / 3) / 2) and got["raw", 0]["mrr"] == 0.5 and got["raw", 2]["ndcg"] == 0
+    guards = M.personalization(top, items, "q", "i")
+    assert nodes(guards, "Join", "optimizedPlan") <= 7
+    lists = [[(3 * q + j) % 7 for j in range(1, 4)] for q in range(4)]
+    far = [sum(1 - (1 + a * b) for n, a in enumerate(x) for b in x[n + 1 :]) / 3 for x in lists]
+    assert all(r["ild"] == pytest.approx(sum(far) / 4) and r["gap_vs_reference"] == 0 and r["coverage"] == len({i for x in lists for i in x}) / 7 for r in guards.collect())
