@@ -70,3 +70,25 @@ def test_lists_are_sorted_by_no_window_and_not_joined_with_themselves(spark):
     lists = [[(3 * q + j) % 7 for j in range(1, 4)] for q in range(4)]
     far = [sum(1 - (1 + a * b) for n, a in enumerate(x) for b in x[n + 1 :]) / 3 for x in lists]
     assert all(r["ild"] == pytest.approx(sum(far) / 4) and r["gap_vs_reference"] == 0 and r["coverage"] == len({i for x in lists for i in x}) / 7 for r in guards.collect())
+
+
+def test_queries_are_copied_for_what_a_task_holds_and_not_for_each_small_matrix(spark, monkeypatch):
+    import numpy as np
+
+    from tidepool.operators import pruned
+    from tidepool.operators.retrieval import cosine_pool
+
+    monkeypatch.setattr(pruned, "LEAF", 32)
+    written, kept = {}, pruned._kept
+    monkeypatch.setattr(pruned, "_kept", lambda df, name: written.setdefault(name, kept(df, name)) if name == "asks" else kept(df, name))
+    x = np.random.default_rng(8).standard_normal((1200, 4))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    cat = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "i long, vector array<double>")
+    q = cat.where("i < 150").selectExpr("i AS q", "i", "vector")
+    got = {}
+    for r in cosine_pool(q, cat, "q", "i", 5, cells=400).orderBy("rank").collect():  # matrices of a hundred items
+        got.setdefault(r["q"], []).append(r["i"])
+    s = np.round(x[:150] @ x.T, 12)
+    s[np.arange(150), np.arange(150)] = -np.inf
+    assert got == {k: np.lexsort((np.arange(1200), -s[k]))[:5].tolist() for k in range(150)}
+    assert written["asks"].where("__s > 0").isEmpty()
